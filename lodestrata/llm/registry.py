@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from lodestrata.llm import decontaminate
+from lodestrata.llm import decontaminate, packing
 
 QUERIES = {
     "op8_decontaminate": decontaminate.op8_decontaminate,
+    "op9_packing": packing.op9_packing,
 }
 ORACLE_SQL = {
     "op8_decontaminate": decontaminate.ORACLE_SQL,
