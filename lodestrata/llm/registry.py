@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lodestrata.llm import decontaminate, packing
+from lodestrata.llm import decontaminate, langid, packing
 
 QUERIES = {
+    "op3_language": langid.op3_language,
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_packing": packing.op9_packing,
 }
