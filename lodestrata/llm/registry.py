@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from lodestrata.llm import decontaminate, langid, packing
+from lodestrata.llm import decontaminate, langid, packing, pii
 
 QUERIES = {
     "op3_language": langid.op3_language,
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_packing": packing.op9_packing,
+    "op10_pii": pii.op10_pii,
 }
 ORACLE_SQL = {
     "op8_decontaminate": decontaminate.ORACLE_SQL,
