@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from lodestrata.llm import decontaminate, langid, packing, pii
+from lodestrata.llm import decontaminate, langid, packing, pii, secrets
 
 QUERIES = {
     "op3_language": langid.op3_language,
+    "op6_secrets": secrets.op6_secrets,
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_packing": packing.op9_packing,
     "op10_pii": pii.op10_pii,
