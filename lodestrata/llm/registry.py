@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lodestrata.llm import decontaminate, langid, packing, pii, secrets
+from lodestrata.llm import decontaminate, langid, packing, pii, secrets, warc
 
 QUERIES = {
+    "op1_warc": warc.op1_warc,
     "op3_language": langid.op3_language,
     "op6_secrets": secrets.op6_secrets,
     "op8_decontaminate": decontaminate.op8_decontaminate,
@@ -12,5 +13,6 @@ QUERIES = {
     "op10_pii": pii.op10_pii,
 }
 ORACLE_SQL = {
+    "op1_warc": warc.ORACLE_SQL,
     "op8_decontaminate": decontaminate.ORACLE_SQL,
 }
