@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from lodestrata.llm import decontaminate, langid, packing, pii, secrets, warc
+from lodestrata.llm import decontaminate, langid, packing, pii, quality, secrets, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op3_language": langid.op3_language,
+    "op4_quality": quality.op4_quality,
     "op6_secrets": secrets.op6_secrets,
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_packing": packing.op9_packing,
