@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from lodestrata.llm import decontaminate, langid, packing, pii, quality, secrets, warc
+from lodestrata.llm import decontaminate, embed_dedup, langid, packing, pii, quality, secrets, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op3_language": langid.op3_language,
     "op4_quality": quality.op4_quality,
     "op6_secrets": secrets.op6_secrets,
+    "op7_embeddings": embed_dedup.op7_embeddings,
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_packing": packing.op9_packing,
     "op10_pii": pii.op10_pii,
 }
 ORACLE_SQL = {
     "op1_warc": warc.ORACLE_SQL,
+    "op7_embeddings": embed_dedup.ORACLE_SQL,
     "op8_decontaminate": decontaminate.ORACLE_SQL,
 }
