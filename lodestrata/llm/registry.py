@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from lodestrata.llm import decontaminate, embed_dedup, langid, packing, pii, quality, secrets, warc
+from lodestrata.llm import decontaminate, embed_dedup, jaccard, langid, packing, pii, quality, secrets, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op3_language": langid.op3_language,
     "op4_quality": quality.op4_quality,
+    "op5_jaccard": jaccard.op5_jaccard,
     "op6_secrets": secrets.op6_secrets,
     "op7_embeddings": embed_dedup.op7_embeddings,
     "op8_decontaminate": decontaminate.op8_decontaminate,
@@ -16,6 +17,7 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op1_warc": warc.ORACLE_SQL,
+    "op5_jaccard": jaccard.ORACLE_SQL,
     "op7_embeddings": embed_dedup.ORACLE_SQL,
     "op8_decontaminate": decontaminate.ORACLE_SQL,
 }
