@@ -131,17 +131,20 @@ def compare(threshold: float):
         a, b = r["rep"].to_numpy(), c["rep"].to_numpy()
         ok = (X @ Y.T >= threshold) & (a[:, None] != b[None, :])
         r_home, c_home = r["home"].to_numpy(), c["home"].to_numpy()
-        ok &= (r_home == cell)[:, None] | (c_home == cell)[None, :]  # two visitors meet elsewhere
-        # a visitor from a lower cell meets those who visit that cell there
+        # a visitor and a resident who visit each other's cells meet in the lower one
         for homes, other, turn in ((r_home, c, False), (c_home, r, True)):
-            for h in np.unique(homes[homes < cell]):
+            met_any = ok.any(axis=0 if turn else 1)
+            for h in np.unique(homes[(homes < cell) & met_any]):
                 met = np.array([v is not None and h in v for v in other["visits"]])
                 if turn:
                     ok &= ~(met[:, None] & (homes == h)[None, :])
                 else:
                     ok &= ~((homes == h)[:, None] & met[None, :])
+        # residents outside the core are rows and columns; all others only count as columns, or against the core
         mult_r, mult_c, core = r["mult"].to_numpy(), c["mult"].to_numpy(), c["core"].to_numpy()
-        out = [(a, ok @ mult_c, a), (b[core], mult_r @ ok[:, core], b[core])]
+        r_lives, c_lives = r_home == cell, (c_home == cell) & ~core
+        ok[np.ix_(~r_lives, ~core)] = False
+        out = [(a, ok @ mult_c, a), (b[~c_lives], mult_r @ ok[:, ~c_lives], b[~c_lives])]
         if ok.any():
             label_r, label_c = a.copy(), b.copy()
             big = np.iinfo(np.int64).max
@@ -160,14 +163,17 @@ def compare(threshold: float):
 
 
 def blocks(placed: DataFrame) -> DataFrame:
-    """Rows (outside the core) and columns of each cell, dealt to blocks (cell, i, j)."""
+    """Rows and columns of each cell, dealt to blocks (cell, i, j). Rows: residents outside the core, and visitors if there is a core."""
     # one row for each cell: MAX_CELLS bounds the broadcast
-    sizes = placed.groupBy("cell").agg(F.ceil(F.count(F.when(~F.col("core"), 1)) / ROW_BLOCK).cast("int").alias("ni"), F.ceil(F.count("*") / COLUMN_BLOCK).cast("int").alias("nj"))
+    lives = F.col("home") == F.col("cell")
+    sizes = placed.groupBy("cell").agg(F.count(F.when(lives & ~F.col("core"), 1)).alias("residents"), F.count(F.when(F.col("core"), 1)).alias("cores"), F.count("*").alias("all"))
+    turns = F.col("residents") + F.when(F.col("cores") > 0, F.col("all") - F.col("residents") - F.col("cores")).otherwise(0)
+    sizes = sizes.select("cell", "cores", F.ceil(turns / ROW_BLOCK).cast("int").alias("ni"), F.ceil(F.col("all") / COLUMN_BLOCK).cast("int").alias("nj"))
     both = placed.join(F.broadcast(sizes), "cell")
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     mine = lambda n, salt: F.pmod(F.xxhash64("rep", F.lit(salt)), F.col(n)).cast("int")
     some = both.where("ni > 0")
-    rows = some.where("not core").withColumn("i", mine("ni", "row")).withColumn("j", upto("nj")).withColumn("side", F.lit(0))
+    rows = some.where(~F.col("core") & (lives | (F.col("cores") > 0))).withColumn("i", mine("ni", "row")).withColumn("j", upto("nj")).withColumn("side", F.lit(0))
     columns = some.withColumn("j", mine("nj", "column")).withColumn("i", upto("ni")).withColumn("side", F.lit(1))
     return rows.select("side", "i", "j", *placed.columns).unionByName(columns.select("side", "i", "j", *placed.columns))
 
