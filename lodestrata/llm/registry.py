@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from lodestrata.llm import decontaminate, embed_dedup, jaccard, langid, packing, pii, quality, secrets, warc
+from lodestrata.llm import decontaminate, embed_dedup, jaccard, langid, packing, pii, quality, repeats, secrets, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
+    "op2_repeats": repeats.op2_repeats,
     "op3_language": langid.op3_language,
     "op4_quality": quality.op4_quality,
     "op5_jaccard": jaccard.op5_jaccard,
