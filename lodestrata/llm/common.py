@@ -8,6 +8,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,12 +46,30 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def with_row_key(df: DataFrame, name: str = "_key") -> DataFrame:
+    """df with a long that stands for each row and is the same in every scan.
+
+    For files it is a 64-bit hash of the file and the row's place in it, so nothing is copied; other tables are written down
+    once with a number.
+    """
+    try:
+        return df.withColumn(name, F.xxhash64(F.col("_metadata.file_path"), F.col("_metadata.row_index")))
+    except AnalysisException:
+        return materialize(df.withColumn(name, F.monotonically_increasing_id()), "keyed")
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, in a session that hands Python whole texts in batches of about 8 MB, so that a worker's memory is bounded."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    return df
+
+
 def crc_mod(column: str, divisor: int):
     """crc32(id as text) mod divisor: the folds of the contracts."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % divisor
 
 
-def text_slices(column: pa.Array, max_bytes: int = 4 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_slices(column: pa.Array, max_bytes: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cut a string column into runs of rows of about max_bytes (one longer text makes a run of its own).
 
     Yields (first row, end row, bytes of the run, len+1 offsets into them). A null counts as empty.

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import materialize, table, text_slices
+from lodestrata.llm.common import materialize, small_batches, table, text_slices
 from lodestrata.llm.graph import components
 from lodestrata.llm.words import SPACED, find_words, mix, shingles, word_hashes
 
@@ -74,24 +74,24 @@ def links(inter: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int) -> np
     return 100 * inter >= percent * (na[:, None] + nb[None, :] - inter)
 
 
-SETS = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int32()), ("f1", pa.int64()), ("f2", pa.int64()), ("prefix", pa.list_(pa.int64()))])
+SETS = pa.schema([("row", pa.int64()), ("key", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int32()), ("f1", pa.int64()), ("f2", pa.int64()), ("prefix", pa.list_(pa.int64()))])
 
 
 def describe(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """row, doc_id, set size, size class, fingerprint and prefix of each document."""
+    """row, key, doc_id, set size, size class, fingerprint and prefix of each document (doc_id, text, key)."""
 
     def run(batches):
         number = 0
         for batch in batches:
             cols: list[list] = [[] for _ in SETS]
-            for doc_id, s in zip(batch.column("doc_id").to_pylist(), token_sets(batch.column("text"), shingle), strict=True):
-                row = (number, doc_id, len(s), size_class(len(s), percent), *fingerprint(s), s[: prefix_length(len(s), percent)].view(np.int64))
+            for key, doc_id, s in zip(batch.column("key").to_pylist(), batch.column("doc_id").to_pylist(), token_sets(batch.column("text"), shingle), strict=True):
+                row = (number, key, doc_id, len(s), size_class(len(s), percent), *fingerprint(s), s[: prefix_length(len(s), percent)].view(np.int64))
                 number += 1
                 for c, x in zip(cols, row, strict=True):
                     c.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, SETS, strict=True)], schema=SETS)
 
-    out = docs.select("doc_id", "text").mapInArrow(run, "row long, doc_id long, n long, cls int, f1 long, f2 long, prefix array<long>")
+    out = docs.select("doc_id", "text", "key").mapInArrow(run, "row long, key long, doc_id long, n long, cls int, f1 long, f2 long, prefix array<long>")
     return out.withColumn("row", F.spark_partition_id() * F.lit(1 << 33) + F.col("row"))
 
 
@@ -351,11 +351,17 @@ def big_group_links(big: DataFrame, sets: DataFrame, edges: DataFrame, percent:
 
 
 def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id for each document row."""
-    docs = docs.select("doc_id", "text")
+    """doc_id, n_shingles, component_id and kept (one row of each component, that of the smallest id) for each document row.
+
+    A column key of docs, if there is one, is handed through.
+    """
+    keyed = "key" in docs.columns
+    docs = small_batches(docs.select("doc_id", "text", F.col("key") if keyed else F.lit(None).cast("long").alias("key")))
     all_sets = materialize(describe(docs, shingle, percent), "sets")
+    # a null id comes after all others
+    low = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), F.col("row"))
     # one row for each distinct set: the copy with the smallest row number stands for it
-    best = all_sets.where("n > 0").groupBy("f1", "f2").agg(F.min("row").alias("rep"), F.min("doc_id").alias("low"), F.min_by(F.struct("doc_id", "n", "cls", "prefix"), "row").alias("x"))
+    best = all_sets.where("n > 0").groupBy("f1", "f2").agg(F.min("row").alias("rep"), F.min(low).alias("low"), F.min_by(F.struct("doc_id", "n", "cls", "prefix"), "row").alias("x"))
     distinct = materialize(best.select("f1", "f2", "rep", "low", "x.*"), "distinct")
     lists = postings(distinct)
     hot = materialize(lists.groupBy("t").agg(F.count("*").alias("c")).where(F.col("c") > HOT).select("t"), "hot")
@@ -381,14 +387,16 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
         edges = edges.unionByName(materialize(big_group_links(big, sets, edges, percent), "across"))
     roots = components(edges)
     labels = distinct.select("f1", "f2", "rep", "low").join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    lowest = labels.groupBy("root").agg(F.min("low").alias("component_id"))
-    found = labels.join(lowest, "root").select("f1", "f2", "component_id")
-    out = all_sets.select("doc_id", "n", "f1", "f2").join(found, ["f1", "f2"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    lowest = labels.groupBy("root").agg(F.min("low").alias("low"))
+    found = labels.drop("low").join(lowest, "root").select("f1", "f2", "low")
+    out = all_sets.select("row", "key", "doc_id", "n", "f1", "f2").join(found, ["f1", "f2"], "left")
+    component = F.when((F.col("n") > 0) & (F.col("low.id") < (1 << 63) - 1), F.col("low.id")).otherwise(F.col("doc_id"))
+    kept = (F.col("n") == 0) | (F.col("low.row") == F.col("row"))
+    return out.select(*["key"] * keyed, "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), kept.alias("kept"))
 
 
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(table(spark, sf_dir, "documents"))
+    return jaccard_components(table(spark, sf_dir, "documents")).drop("kept")
 
 
 ORACLE_SQL = r"""

@@ -136,6 +136,12 @@ def infer(model: Model, raw: np.ndarray, offsets: np.ndarray, segment: int = SEG
 OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64()), ("languages", pa.list_(pa.string())), ("shares", pa.list_(pa.float64()))])
 
 
+def letters(raw: np.ndarray) -> bool:
+    """Whether there is an ASCII letter."""
+    low = raw | 32
+    return bool(((low >= 97) & (low <= 122)).any())
+
+
 def has_letter(raw: np.ndarray) -> bool:
     return any(c.isalpha() for c in raw.tobytes().decode("utf-8", "replace"))
 
@@ -165,6 +171,21 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return rows.mapInArrow(predict, "doc_id long, held_out boolean, lang_pred string, score double, languages array<string>, shares array<double>")
 
 
+def keep_identified(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """The rows of docs, with all their columns, whose language is known with a share of at least `least`."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for batch in batches:
+            keep: list[bool] = []
+            for _, _, raw, offsets in text_slices(batch.column(batch.schema.get_field_index("text"))):
+                share = infer(held.value, raw, offsets).max(axis=1, initial=0) if held.value.languages else np.zeros(len(offsets) - 1)
+                keep += [bool(s >= least and (letters(raw[a:b]) or has_letter(raw[a:b]))) for s, a, b in zip(share, offsets[:-1], offsets[1:], strict=True)]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return identify(docs, fit(docs.where(crc_mod("doc_id", 4) != 2)))
