@@ -37,7 +37,7 @@ from lodestrata.llm.graph import components
 from lodestrata.llm.words import SPACED, find_words, mix, shingles, word_hashes
 
 SHINGLE, PERCENT = 4, 85
-HOT, HOT_CHUNK = 256, 1 << 20
+HOT, HOT_CHUNK = 32, 1 << 20
 BLOCK_SETS, BLOCK_BYTES = 512, 16 << 20
 _SALT = np.uint64(0x5851F42D4C957F2D)
 
@@ -95,8 +95,14 @@ def describe(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     return out.withColumn("row", F.spark_partition_id() * F.lit(1 << 33) + F.col("row"))
 
 
-def fetch(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """rep, n and tokens (sorted, as bytes) of the sets of wanted (rep, doc_id, f1, f2)."""
+def wanted_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """rep, f1, f2 and text for wanted (rep, doc_id, f1, f2)."""
+    w = wanted.select(F.col("doc_id").alias("id"), "rep", "f1", "f2")
+    return docs.select("doc_id", "text").join(w, F.col("doc_id").eqNullSafe(F.col("id"))).select("rep", "f1", "f2", "text")
+
+
+def sets_of_texts(shingle: int) -> Callable:
+    """rep, n and tokens (sorted, as bytes) of texts whose fingerprint is the wanted one."""
     schema = pa.schema([("rep", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary())])
 
     def run(batches):
@@ -107,45 +113,46 @@ def fetch(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
                     out.append((rep, len(s), s.tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(schema)], schema=schema)
 
-    w = wanted.select(F.col("doc_id").alias("id"), "rep", "f1", "f2")
-    return docs.select("doc_id", "text").join(w, F.col("doc_id").eqNullSafe(F.col("id"))).select("rep", "f1", "f2", "text").mapInArrow(run, "rep long, n long, tokens binary")
+    return run
 
 
-def cooler_prefixes(sets: DataFrame, hot: DataFrame, percent: int) -> DataFrame:
-    """Prefixes (rep, n, cls, prefix) of sets in the token order that has hot tokens last. hot is read in bounded chunks."""
-    spark = sets.sparkSession
+def fetch(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """rep, n and tokens of the wanted sets."""
+    return wanted_texts(docs, wanted).mapInArrow(sets_of_texts(shingle), "rep long, n long, tokens binary")
 
-    def chunks():
-        held: list[int] = []
-        for r in hot.select("t").toLocalIterator():
-            held.append(r["t"])
-            if len(held) == HOT_CHUNK:
-                yield np.sort(np.array(held, np.int64))
-                held = []
-        if held:
+
+def token_chunks(hot: DataFrame, size: int) -> Iterator[np.ndarray]:
+    """The tokens of hot, sorted, in chunks of a bounded size."""
+    held: list[int] = []
+    for r in hot.select("t").toLocalIterator():
+        held.append(r["t"])
+        if len(held) == size:
             yield np.sort(np.array(held, np.int64))
+            held = []
+    if held:
+        yield np.sort(np.array(held, np.int64))
+
 
-    state = sets.select("rep", "n", "tokens", F.expr("cast('' as binary)").alias("hot"))
-    schema = pa.schema([("rep", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary()), ("hot", pa.binary())])
+def cooler_prefixes(docs: DataFrame, wanted: DataFrame, hot: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Prefixes (rep, n, cls, prefix) of the wanted sets in the token order that has hot tokens last."""
+    spark = docs.sparkSession
+    marked_schema = pa.schema([("rep", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary()), ("hot", pa.binary())])
+    out_schema = pa.schema([("rep", pa.int64()), ("n", pa.int64()), ("cls", pa.int32()), ("prefix", pa.list_(pa.int64()))])
 
     def mark(held):
         def run(batches):
             for batch in batches:
+                masks = batch.column("hot").to_pylist() if "hot" in batch.schema.names else [b""] * batch.num_rows
                 out = []
-                for tokens, mask in zip(batch.column("tokens").to_pylist(), batch.column("hot").to_pylist(), strict=True):
+                for tokens, mask in zip(batch.column("tokens").to_pylist(), masks, strict=True):
                     t = np.frombuffer(tokens, np.int64)
-                    m = np.frombuffer(mask, bool).copy() if mask else np.zeros(len(t), bool)
+                    m = np.frombuffer(mask, bool) if mask else np.zeros(len(t), bool)
                     k = np.minimum(np.searchsorted(held.value, t), len(held.value) - 1)
                     out.append((m | (held.value[k] == t)).tobytes())
-                yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("n"), batch.column("tokens"), pa.array(out, pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("n"), batch.column("tokens"), pa.array(out, pa.binary())], schema=marked_schema)
 
         return run
 
-    for k, chunk in enumerate(chunks()):
-        state = (materialize(state, "marked") if k else state).mapInArrow(mark(spark.sparkContext.broadcast(chunk)), "rep long, n long, tokens binary, hot binary")
-
-    out_schema = pa.schema([("rep", pa.int64()), ("n", pa.int64()), ("cls", pa.int32()), ("prefix", pa.list_(pa.int64()))])
-
     def first(batches):
         for batch in batches:
             out = []
@@ -154,7 +161,28 @@ def cooler_prefixes(sets: DataFrame, hot: DataFrame, percent: int) -> DataFrame:
                 out.append((rep, n, size_class(n, percent), np.concatenate([t[~m], t[m]])[: prefix_length(n, percent)]))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(out_schema)], schema=out_schema)
 
-    return state.mapInArrow(first, "rep long, n long, cls int, prefix array<long>")
+    # a chunk of hot tokens is broadcast at a time; one worker does all steps of the last chunk, and of the only one all
+    chunks = token_chunks(hot, HOT_CHUNK)
+    now, state, ddl = next(chunks), None, "rep long, n long, cls int, prefix array<long>"
+    steps: list = [sets_of_texts(shingle)]
+    for following in chunks:
+        steps.append(mark(spark.sparkContext.broadcast(now)))
+        source = wanted_texts(docs, wanted) if state is None else state
+        state = materialize(source.mapInArrow(chain(steps), "rep long, n long, tokens binary, hot binary"), "marked")
+        steps, now = [], following
+    steps += [mark(spark.sparkContext.broadcast(now)), first]
+    return (wanted_texts(docs, wanted) if state is None else state).mapInArrow(chain(steps), ddl)
+
+
+def chain(steps: list) -> Callable:
+    """Functions of batches as one, for one Python worker."""
+
+    def run(batches):
+        for step in steps:
+            batches = step(batches)
+        yield from batches
+
+    return run
 
 
 def postings(sets: DataFrame) -> DataFrame:
@@ -367,8 +395,8 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
     hot = materialize(lists.groupBy("t").agg(F.count("*").alias("c")).where(F.col("c") > HOT).select("t"), "hot")
     if not hot.isEmpty():
         warm = materialize(lists.join(hot, "t").select("rep").distinct(), "warm")
-        whole = fetch(docs, distinct.join(warm, "rep"), shingle)
-        lists = lists.join(warm, "rep", "left_anti").unionByName(postings(materialize(cooler_prefixes(whole, hot, percent), "cooler")))
+        cooler = materialize(cooler_prefixes(docs, distinct.join(warm, "rep"), hot, shingle, percent), "cooler")
+        lists = lists.join(warm, "rep", "left_anti").unionByName(postings(cooler))
     groups = materialize(relations(lists), "groups")
     # a block holds at most BLOCK_SETS sets and BLOCK_BYTES bytes; sets of a band are of one or two size classes
     most = F.pow(F.lit(1 / (percent / 100 - 1e-4)), F.col("band") + 1) * 8
