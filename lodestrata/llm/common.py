@@ -64,6 +64,48 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+class Bloom:
+    """A Bloom filter of longs (a null is one of them) with at most MOST_BITS bits: past its capacity it lets more pass, never less."""
+
+    MOST_BITS = 1 << 27
+
+    def __init__(self, bits: int, data: np.ndarray | None = None):
+        self.bits = bits
+        self.data = np.zeros(bits // 8, np.uint8) if data is None else data
+
+    def places(self, ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        x = np.asarray(ids.fill_null(-(1 << 63)), np.int64).view(np.uint64)
+        from lodestrata.llm.words import mix
+
+        h = mix(x ^ np.uint64(0x2545F4914F6CDD1D))
+        m = np.uint64(self.bits - 1)
+        return (h & m).astype(np.int64), ((h >> np.uint64(32)) & m).astype(np.int64)
+
+    def add(self, ids: pa.Array) -> None:
+        for p in self.places(ids):
+            np.bitwise_or.at(self.data, p >> 3, (1 << (p & 7)).astype(np.uint8))
+
+    def may_hold(self, ids: pa.Array) -> np.ndarray:
+        a, b = self.places(ids)
+        return ((self.data[a >> 3] >> (a & 7)) & (self.data[b >> 3] >> (b & 7)) & 1).astype(bool)
+
+
+def bloom_of(df: DataFrame, column: str):
+    """A broadcast Bloom filter of a column of longs: a fixed size at most, gathered from 16 partial ones."""
+    bits = min(Bloom.MOST_BITS, max(1 << 16, 1 << int(12 * df.count()).bit_length()))
+
+    def part(batches):
+        held = Bloom(bits)
+        for batch in batches:
+            held.add(batch.column(0))
+        yield pa.RecordBatch.from_arrays([pa.array([held.data.tobytes()], pa.binary())], ["bits"])
+
+    whole = Bloom(bits)
+    for r in df.select(column).coalesce(16).mapInArrow(part, "bits binary").toLocalIterator():
+        whole.data |= np.frombuffer(r["bits"], np.uint8)
+    return df.sparkSession.sparkContext.broadcast(whole)
+
+
 def crc_mod(column: str, divisor: int):
     """crc32(id as text) mod divisor: the folds of the contracts."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % divisor

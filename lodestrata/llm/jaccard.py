@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import materialize, small_batches, table, text_slices
+from lodestrata.llm.common import bloom_of, materialize, small_batches, table, text_slices
 from lodestrata.llm.graph import components
 from lodestrata.llm.words import SPACED, find_words, mix, shingles, word_hashes
 
@@ -95,30 +95,34 @@ def describe(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     return out.withColumn("row", F.spark_partition_id() * F.lit(1 << 33) + F.col("row"))
 
 
-def wanted_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """rep, f1, f2 and text for wanted (rep, doc_id, f1, f2)."""
-    w = wanted.select(F.col("doc_id").alias("id"), "rep", "f1", "f2")
-    return docs.select("doc_id", "text").join(w, F.col("doc_id").eqNullSafe(F.col("id"))).select("rep", "f1", "f2", "text")
+TOKENS = pa.schema([("doc_id", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary())])
 
 
-def sets_of_texts(shingle: int) -> Callable:
-    """rep, n and tokens (sorted, as bytes) of texts whose fingerprint is the wanted one."""
-    schema = pa.schema([("rep", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary())])
+def sets_of(shingle: int, held) -> Callable:
+    """doc_id, fingerprint, n and tokens (sorted, as bytes) of the texts whose ids may be among the wanted ones."""
 
     def run(batches):
         for batch in batches:
-            out = []
-            for rep, f1, f2, s in zip(*(batch.column(c).to_pylist() for c in ("rep", "f1", "f2")), token_sets(batch.column("text"), shingle), strict=True):
-                if fingerprint(s) == (f1, f2):
-                    out.append((rep, len(s), s.tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(schema)], schema=schema)
+            batch = batch.filter(pa.array(held.value.may_hold(batch.column("doc_id"))))
+            out = [(doc_id, *fingerprint(s), len(s), s.tobytes()) for doc_id, s in zip(batch.column("doc_id").to_pylist(), token_sets(batch.column("text"), shingle), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(TOKENS)], schema=TOKENS)
 
     return run
 
 
+def claimed(found: DataFrame, wanted: DataFrame, *columns: str) -> DataFrame:
+    """rep and columns of the rows found that are wanted (rep, doc_id, f1, f2): the filter in front may let others pass."""
+    w = wanted.select(F.col("doc_id").alias("id"), "rep", F.col("f1").alias("w1"), F.col("f2").alias("w2"))
+    return found.join(w, (F.col("f1") == F.col("w1")) & (F.col("f2") == F.col("w2")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("rep", *columns)
+
+
 def fetch(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """rep, n and tokens of the wanted sets."""
-    return wanted_texts(docs, wanted).mapInArrow(sets_of_texts(shingle), "rep long, n long, tokens binary")
+    """rep, n and tokens of the wanted sets (rep, doc_id, f1, f2), from one more pass over the texts.
+
+    A Bloom filter of bounded size keeps most other texts from being cut up and sent; past its capacity it only filters less.
+    """
+    found = docs.select("doc_id", "text").mapInArrow(sets_of(shingle, bloom_of(wanted, "doc_id")), "doc_id long, f1 long, f2 long, n long, tokens binary")
+    return claimed(found, wanted, "n", "tokens")
 
 
 def token_chunks(hot: DataFrame, size: int) -> Iterator[np.ndarray]:
@@ -136,8 +140,8 @@ def token_chunks(hot: DataFrame, size: int) -> Iterator[np.ndarray]:
 def cooler_prefixes(docs: DataFrame, wanted: DataFrame, hot: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Prefixes (rep, n, cls, prefix) of the wanted sets in the token order that has hot tokens last."""
     spark = docs.sparkSession
-    marked_schema = pa.schema([("rep", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary()), ("hot", pa.binary())])
-    out_schema = pa.schema([("rep", pa.int64()), ("n", pa.int64()), ("cls", pa.int32()), ("prefix", pa.list_(pa.int64()))])
+    marked_schema = TOKENS.append(pa.field("hot", pa.binary()))
+    out_schema = pa.schema([("doc_id", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("n", pa.int64()), ("cls", pa.int32()), ("prefix", pa.list_(pa.int64()))])
 
     def mark(held):
         def run(batches):
@@ -149,29 +153,28 @@ def cooler_prefixes(docs: DataFrame, wanted: DataFrame, hot: DataFrame, shingle:
                     m = np.frombuffer(mask, bool) if mask else np.zeros(len(t), bool)
                     k = np.minimum(np.searchsorted(held.value, t), len(held.value) - 1)
                     out.append((m | (held.value[k] == t)).tobytes())
-                yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("n"), batch.column("tokens"), pa.array(out, pa.binary())], schema=marked_schema)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in TOKENS.names), pa.array(out, pa.binary())], schema=marked_schema)
 
         return run
 
     def first(batches):
         for batch in batches:
             out = []
-            for rep, n, tokens, mask in zip(*(batch.column(c).to_pylist() for c in ("rep", "n", "tokens", "hot")), strict=True):
+            for doc_id, f1, f2, n, tokens, mask in zip(*(batch.column(c).to_pylist() for c in (*TOKENS.names, "hot")), strict=True):
                 t, m = np.frombuffer(tokens, np.int64), np.frombuffer(mask, bool)
-                out.append((rep, n, size_class(n, percent), np.concatenate([t[~m], t[m]])[: prefix_length(n, percent)]))
+                out.append((doc_id, f1, f2, n, size_class(n, percent), np.concatenate([t[~m], t[m]])[: prefix_length(n, percent)]))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(out_schema)], schema=out_schema)
 
     # a chunk of hot tokens is broadcast at a time; one worker does all steps of the last chunk, and of the only one all
     chunks = token_chunks(hot, HOT_CHUNK)
-    now, state, ddl = next(chunks), None, "rep long, n long, cls int, prefix array<long>"
-    steps: list = [sets_of_texts(shingle)]
+    now, state, ddl = next(chunks), docs.select("doc_id", "text"), "doc_id long, f1 long, f2 long, n long, cls int, prefix array<long>"
+    steps: list = [sets_of(shingle, bloom_of(wanted, "doc_id"))]
     for following in chunks:
         steps.append(mark(spark.sparkContext.broadcast(now)))
-        source = wanted_texts(docs, wanted) if state is None else state
-        state = materialize(source.mapInArrow(chain(steps), "rep long, n long, tokens binary, hot binary"), "marked")
+        state = materialize(state.mapInArrow(chain(steps), "doc_id long, f1 long, f2 long, n long, tokens binary, hot binary"), "marked")
         steps, now = [], following
     steps += [mark(spark.sparkContext.broadcast(now)), first]
-    return (wanted_texts(docs, wanted) if state is None else state).mapInArrow(chain(steps), ddl)
+    return claimed(state.mapInArrow(chain(steps), ddl), wanted, "n", "cls", "prefix")
 
 
 def chain(steps: list) -> Callable:
@@ -395,7 +398,7 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
     hot = materialize(lists.groupBy("t").agg(F.count("*").alias("c")).where(F.col("c") > HOT).select("t"), "hot")
     if not hot.isEmpty():
         warm = materialize(lists.join(hot, "t").select("rep").distinct(), "warm")
-        cooler = materialize(cooler_prefixes(docs, distinct.join(warm, "rep"), hot, shingle, percent), "cooler")
+        cooler = materialize(cooler_prefixes(docs, materialize(distinct.join(warm, "rep").select("rep", "doc_id", "f1", "f2"), "wanted"), hot, shingle, percent), "cooler")
         lists = lists.join(warm, "rep", "left_anti").unionByName(postings(cooler))
     groups = materialize(relations(lists), "groups")
     # a block holds at most BLOCK_SETS sets and BLOCK_BYTES bytes; sets of a band are of one or two size classes
@@ -408,7 +411,7 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
     big = groups.where("nb > 1")
     spread = big.select("leader", "band", F.pmod(F.xxhash64("rep"), F.col("nb")).alias("sub"), "rep")
     blocks = parts.unionByName(spread)
-    wanted = distinct.select("rep", "doc_id", "f1", "f2").join(blocks.select("rep").distinct(), "rep")
+    wanted = materialize(distinct.select("rep", "doc_id", "f1", "f2").join(blocks.select("rep").distinct(), "rep"), "wanted")
     sets = materialize(fetch(docs, wanted, shingle), "tokens")
     edges = materialize(compare_within(blocks.join(sets.select("rep", "tokens"), "rep").select("leader", "band", "sub", "rep", "tokens"), percent), "links")
     if not big.isEmpty():
