@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -58,12 +60,29 @@ def with_row_key(df: DataFrame, name: str = "_key") -> DataFrame:
         return materialize(df.withColumn(name, F.monotonically_increasing_id()), "keyed")
 
 
+def tidy(run):
+    """run over batches, giving what its allocators have kept back to the system at the end: workers are used again by later stages."""
+
+    def tidied(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # other C libraries give memory back themselves
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return tidied
+
+
 def small_batches(df: DataFrame) -> DataFrame:
     """df, in a session that hands Python whole texts in batches of about 8 MB, so that a worker's memory is bounded."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     return df
 
 
+def merge(df: DataFrame) -> DataFrame:
+    """df as a side of a sort-merge join: for sides that grow with the input, so that a plan is the same at every size."""
+    return df.hint("merge")
+
+
 class Bloom:
     """A Bloom filter of longs (a null is one of them) with at most MOST_BITS bits: past its capacity it lets more pass, never less."""
 

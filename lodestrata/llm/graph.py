@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import materialize
+from lodestrata.llm.common import materialize, merge
 
 
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
@@ -44,8 +44,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     if large:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        out = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        out = both.where("b > a").join(merge(low), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         low = edges.groupBy("a").agg(F.min("b").alias("m"))
-        out = edges.join(low, "a").select("b", "m").where("b <> m").toDF("a", "b").unionByName(low.toDF("a", "b"))
+        out = edges.join(merge(low), "a").select("b", "m").where("b <> m").toDF("a", "b").unionByName(low.toDF("a", "b"))
     return out.where("a <> b").distinct()

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import bloom_of, materialize, small_batches, table, text_slices
+from lodestrata.llm.common import bloom_of, materialize, merge, small_batches, table, text_slices, tidy
 from lodestrata.llm.graph import components
 from lodestrata.llm.words import SPACED, find_words, mix, shingles, word_hashes
 
@@ -91,7 +91,7 @@ def describe(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
                     c.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, SETS, strict=True)], schema=SETS)
 
-    out = docs.select("doc_id", "text", "key").mapInArrow(run, "row long, key long, doc_id long, n long, cls int, f1 long, f2 long, prefix array<long>")
+    out = docs.select("doc_id", "text", "key").mapInArrow(tidy(run), "row long, key long, doc_id long, n long, cls int, f1 long, f2 long, prefix array<long>")
     return out.withColumn("row", F.spark_partition_id() * F.lit(1 << 33) + F.col("row"))
 
 
@@ -113,7 +113,7 @@ def sets_of(shingle: int, held) -> Callable:
 def claimed(found: DataFrame, wanted: DataFrame, *columns: str) -> DataFrame:
     """rep and columns of the rows found that are wanted (rep, doc_id, f1, f2): the filter in front may let others pass."""
     w = wanted.select(F.col("doc_id").alias("id"), "rep", F.col("f1").alias("w1"), F.col("f2").alias("w2"))
-    return found.join(w, (F.col("f1") == F.col("w1")) & (F.col("f2") == F.col("w2")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("rep", *columns)
+    return found.join(merge(w), (F.col("f1") == F.col("w1")) & (F.col("f2") == F.col("w2")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("rep", *columns)
 
 
 def fetch(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
@@ -121,7 +121,7 @@ def fetch(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
 
     A Bloom filter of bounded size keeps most other texts from being cut up and sent; past its capacity it only filters less.
     """
-    found = docs.select("doc_id", "text").mapInArrow(sets_of(shingle, bloom_of(wanted, "doc_id")), "doc_id long, f1 long, f2 long, n long, tokens binary")
+    found = docs.select("doc_id", "text").mapInArrow(tidy(sets_of(shingle, bloom_of(wanted, "doc_id"))), "doc_id long, f1 long, f2 long, n long, tokens binary")
     return claimed(found, wanted, "n", "tokens")
 
 
@@ -174,7 +174,7 @@ def cooler_prefixes(docs: DataFrame, wanted: DataFrame, hot: DataFrame, shingle:
         state = materialize(state.mapInArrow(chain(steps), "doc_id long, f1 long, f2 long, n long, tokens binary, hot binary"), "marked")
         steps, now = [], following
     steps += [mark(spark.sparkContext.broadcast(now)), first]
-    return claimed(state.mapInArrow(chain(steps), ddl), wanted, "n", "cls", "prefix")
+    return claimed(state.mapInArrow(tidy(chain(steps)), ddl), wanted, "n", "cls", "prefix")
 
 
 def chain(steps: list) -> Callable:
@@ -195,9 +195,9 @@ def postings(sets: DataFrame) -> DataFrame:
 def relations(lists: DataFrame) -> DataFrame:
     """(leader, band, rep): the groups. lists: (t, rep, cls) of all sets."""
     shared = lists.groupBy("t").agg(F.count("*").alias("c")).where("c > 1").select("t")
-    banded = materialize(lists.join(shared, "t").select("t", "rep", "cls", F.explode(F.array(F.col("cls"), F.col("cls") + 1)).alias("band")), "lists")
+    banded = materialize(lists.join(merge(shared), "t").select("t", "rep", "cls", F.explode(F.array(F.col("cls"), F.col("cls") + 1)).alias("band")), "lists")
     leaders = banded.groupBy("t", "band").agg(F.min(F.struct(F.xxhash64("rep").alias("h"), F.col("rep"))).alias("m"), F.count("*").alias("c"), F.max(F.col("cls") == F.col("band")).alias("own")).where("c > 1 and own").select("t", "band", F.col("m.rep").alias("leader"))
-    return banded.join(leaders, ["t", "band"]).select("leader", "band", "rep").distinct()
+    return banded.join(merge(leaders), ["t", "band"]).select("leader", "band", "rep").distinct()
 
 
 def grouped(batches, key: list[str]) -> Iterator[tuple[tuple, dict[str, list]]]:
@@ -219,7 +219,7 @@ def grouped(batches, key: list[str]) -> Iterator[tuple[tuple, dict[str, list]]]:
 
 def by_block(df: DataFrame, key: list[str], run: Callable, ddl: str) -> DataFrame:
     """Bring each block together, sorted, and run over blocks one after the other."""
-    return df.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, ddl)
+    return df.repartition(*key).sortWithinPartitions(*key).mapInArrow(tidy(run), ddl)
 
 
 def overlaps(a: list[np.ndarray], b: list[np.ndarray] | None = None) -> np.ndarray:
@@ -359,21 +359,21 @@ def distances(members: DataFrame, leaders: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("leader"), batch.column("band"), batch.column("rep"), pa.array(far, pa.float64())], schema=schema)
 
     of = leaders.select(F.col("rep").alias("leader"), F.col("tokens").alias("of"))
-    return members.join(of, "leader").select("leader", "band", "rep", "tokens", "of").mapInArrow(run, "leader long, band int, rep long, far double")
+    return members.join(merge(of), "leader").select("leader", "band", "rep", "tokens", "of").mapInArrow(run, "leader long, band int, rep long, far double")
 
 
 def big_group_links(big: DataFrame, sets: DataFrame, edges: DataFrame, percent: int) -> DataFrame:
     """Links across the blocks of groups (leader, band, rep, nb) that still hold several components."""
     roots = components(edges)
-    known = big.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    known = big.join(merge(roots.withColumnRenamed("node", "rep")), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     parts = known.groupBy("leader", "band", "root").agg(F.count("*").alias("c"))
     largest = parts.groupBy("leader", "band").agg(F.max(F.struct("c", "root")).alias("m"), F.count("*").alias("parts")).where("parts > 1").select("leader", "band", F.col("m.root").alias("giant"))
-    left = materialize(known.join(largest, ["leader", "band"]), "open")
+    left = materialize(known.join(merge(largest), ["leader", "band"]), "open")
     if left.isEmpty():
         return big.sparkSession.createDataFrame([], "a long, b long")
-    full = left.join(sets.select("rep", "tokens"), "rep")
+    full = left.join(merge(sets.select("rep", "tokens")), "rep")
     far = distances(full, sets)
-    full = full.join(far, ["leader", "band", "rep"]).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
+    full = full.join(merge(far), ["leader", "band", "rep"]).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
     every = F.explode(F.sequence(F.lit(0), (F.col("nb") - 1).cast("int")))
     names = ["leader", "band", "i", "j", "side", "rep", "root", "far", "tokens"]
     rows = full.where("root <> giant").withColumn("i", F.col("mine")).withColumn("j", every).withColumn("side", F.lit(0))
@@ -397,30 +397,30 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
     lists = postings(distinct)
     hot = materialize(lists.groupBy("t").agg(F.count("*").alias("c")).where(F.col("c") > HOT).select("t"), "hot")
     if not hot.isEmpty():
-        warm = materialize(lists.join(hot, "t").select("rep").distinct(), "warm")
-        cooler = materialize(cooler_prefixes(docs, materialize(distinct.join(warm, "rep").select("rep", "doc_id", "f1", "f2"), "wanted"), hot, shingle, percent), "cooler")
-        lists = lists.join(warm, "rep", "left_anti").unionByName(postings(cooler))
+        warm = materialize(lists.join(merge(hot), "t").select("rep").distinct(), "warm")
+        cooler = materialize(cooler_prefixes(docs, materialize(distinct.join(merge(warm), "rep").select("rep", "doc_id", "f1", "f2"), "wanted"), hot, shingle, percent), "cooler")
+        lists = lists.join(merge(warm), "rep", "left_anti").unionByName(postings(cooler))
     groups = materialize(relations(lists), "groups")
     # a block holds at most BLOCK_SETS sets and BLOCK_BYTES bytes; sets of a band are of one or two size classes
     most = F.pow(F.lit(1 / (percent / 100 - 1e-4)), F.col("band") + 1) * 8
     fits = F.greatest(F.lit(2), F.least(F.lit(BLOCK_SETS), F.floor(BLOCK_BYTES / most)))
     sizes = groups.groupBy("leader", "band").agg(F.count("*").alias("c")).withColumn("nb", F.ceil(F.col("c") / fits)).select("leader", "band", "nb")
-    groups = materialize(groups.join(sizes, ["leader", "band"]), "sized")
-    small = groups.where("nb = 1").join(distinct.select("rep", "n", "prefix"), "rep").select("leader", "band", "rep", "n", "prefix")
+    groups = materialize(groups.join(merge(sizes), ["leader", "band"]), "sized")
+    small = groups.where("nb = 1").join(merge(distinct.select("rep", "n", "prefix")), "rep").select("leader", "band", "rep", "n", "prefix")
     parts = materialize(survivors(small, percent), "parts")
     big = groups.where("nb > 1")
     spread = big.select("leader", "band", F.pmod(F.xxhash64("rep"), F.col("nb")).alias("sub"), "rep")
     blocks = parts.unionByName(spread)
-    wanted = materialize(distinct.select("rep", "doc_id", "f1", "f2").join(blocks.select("rep").distinct(), "rep"), "wanted")
+    wanted = materialize(distinct.select("rep", "doc_id", "f1", "f2").join(merge(blocks.select("rep").distinct()), "rep"), "wanted")
     sets = materialize(fetch(docs, wanted, shingle), "tokens")
-    edges = materialize(compare_within(blocks.join(sets.select("rep", "tokens"), "rep").select("leader", "band", "sub", "rep", "tokens"), percent), "links")
+    edges = materialize(compare_within(blocks.join(merge(sets.select("rep", "tokens")), "rep").select("leader", "band", "sub", "rep", "tokens"), percent), "links")
     if not big.isEmpty():
         edges = edges.unionByName(materialize(big_group_links(big, sets, edges, percent), "across"))
     roots = components(edges)
-    labels = distinct.select("f1", "f2", "rep", "low").join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    labels = distinct.select("f1", "f2", "rep", "low").join(merge(roots.withColumnRenamed("node", "rep")), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     lowest = labels.groupBy("root").agg(F.min("low").alias("low"))
-    found = labels.drop("low").join(lowest, "root").select("f1", "f2", "low")
-    out = all_sets.select("row", "key", "doc_id", "n", "f1", "f2").join(found, ["f1", "f2"], "left")
+    found = labels.drop("low").join(merge(lowest), "root").select("f1", "f2", "low")
+    out = all_sets.select("row", "key", "doc_id", "n", "f1", "f2").join(merge(found), ["f1", "f2"], "left")
     component = F.when((F.col("n") > 0) & (F.col("low.id") < (1 << 63) - 1), F.col("low.id")).otherwise(F.col("doc_id"))
     kept = (F.col("n") == 0) | (F.col("low.row") == F.col("row"))
     return out.select(*["key"] * keyed, "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), kept.alias("kept"))
