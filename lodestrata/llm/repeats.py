@@ -12,7 +12,7 @@ found, as their first suffix shares MIN_WORDS words with its neighbour in the or
 where other suffixes agree longer to the right but shorter to the left on all NEIGHBOURS places.
 
 The sort is a range partitioning by words and document, so suffixes of one passage spread over as many tasks as their number asks
-for; what lies at the ends of the ranges is sorted again, by itself, until one range is left. Documents of equal words are one
+for; what lies at the ends of the ranges (EDGE_ROWS suffixes at most at each) is sorted again, by itself, until one range is left. Documents of equal words are one
 document for the sort, and each of them repeats the others whole.
 
 Defined cases: words are those of the Jaccard join (A-Z folded, split at white space); a null or shorter text has no repeats; rows
@@ -28,11 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import materialize, small_batches, table, text_slices
-from lodestrata.llm.words import SPACED, find_words, mix, shingles, word_hashes
+from lodestrata.llm.common import materialize, small_batches, table, text_slices, tidy
+from lodestrata.llm.words import SPACED, find_words, mix, ranges, shingles, word_hashes
 
 MIN_WORDS, K, WINDOW, NEIGHBOURS = 50, 12, 25, 3
-RANGE_ROWS = 60_000
+RANGE_ROWS, EDGE_ROWS = 60_000, 64
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 
 
@@ -73,11 +73,11 @@ def fingerprints(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndar
     return out[0], out[1]
 
 
-SCAN = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("keys", pa.list_(pa.int64())), ("places", pa.list_(pa.int32()))])
+SCAN = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("keys", pa.list_(pa.int64()))])
 
 
 def scan(docs: DataFrame, k: int, window: int, min_words: int) -> DataFrame:
-    """row, doc_id, number of words, fingerprint, and the minimisers (hash of k words, place) of each document of min_words and more."""
+    """row, doc_id, number of words, fingerprint, and the distinct minimisers (hashes of k words) of each document of min_words and more."""
 
     def run(batches):
         number = 0
@@ -89,21 +89,24 @@ def scan(docs: DataFrame, k: int, window: int, min_words: int) -> DataFrame:
                 counts = np.diff(bounds)
                 doc = np.searchsorted(cut, at, "right") - 1
                 at, doc = at[counts[doc] >= min_words], doc[counts[doc] >= min_words]
-                heads = np.searchsorted(doc, np.arange(hi - lo + 1)).astype(np.int32)
-                lists = lambda x, t: pa.ListArray.from_arrays(pa.array(heads, pa.int32()), pa.array(x, t))  # noqa: E731, B023
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(number, number + hi - lo)), batch.column("doc_id")[lo:hi], pa.array(counts.astype(np.int64)), pa.array(f1), pa.array(f2), lists(g[at].view(np.int64), pa.int64()), lists((at - cut[doc]).astype(np.int32), pa.int32())], schema=SCAN)
+                heads = np.searchsorted(doc, np.arange(hi - lo + 1))
+                keys = [np.unique(g[at[heads[i] : heads[i + 1]]]).view(np.int64) for i in range(hi - lo)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(number, number + hi - lo)), batch.column("doc_id")[lo:hi], pa.array(counts.astype(np.int64)), pa.array(f1), pa.array(f2), pa.array(keys, pa.list_(pa.int64()))], schema=SCAN)
                 number += hi - lo
 
-    out = docs.select("doc_id", "text").mapInArrow(run, "row long, doc_id long, n long, f1 long, f2 long, keys array<long>, places array<int>")
+    out = docs.select("doc_id", "text").mapInArrow(tidy(run), "row long, doc_id long, n long, f1 long, f2 long, keys array<long>")
     return out.withColumn("row", F.spark_partition_id() * F.lit(1 << 33) + F.col("row"))
 
 
-SUFFIX_DDL = "key long, right binary, left binary, row long, doc_id long, place int, n int"
-SUFFIX = pa.schema([("key", pa.int64()), ("right", pa.binary()), ("left", pa.binary()), ("row", pa.int64()), ("doc_id", pa.int64()), ("place", pa.int32()), ("n", pa.int32())])
+SUFFIX_DDL = "key long, right binary, left binary, row long, doc_id long, has_left int, has_right int, places array<int>"
+SUFFIX = pa.schema([("key", pa.int64()), ("right", pa.binary()), ("left", pa.binary()), ("row", pa.int64()), ("doc_id", pa.int64()), ("has_left", pa.int32()), ("has_right", pa.int32()), ("places", pa.list_(pa.int32()))])
 
 
-def suffixes(docs: DataFrame, wanted: DataFrame, k: int, min_words: int) -> DataFrame:
-    """The suffixes at wanted (row, doc_id, f1, f2, places) with their words as 32-bit hashes: right from the place, left backwards."""
+def suffixes(docs: DataFrame, wanted: DataFrame, k: int, window: int, min_words: int) -> DataFrame:
+    """The suffixes of wanted keys (row, doc_id, f1, f2, keys) with their words as 32-bit hashes: right from the place, left backwards.
+
+    Places of a document with equal words around them are one suffix with several places.
+    """
     reach = min_words - k
 
     def run(batches):
@@ -111,23 +114,47 @@ def suffixes(docs: DataFrame, wanted: DataFrame, k: int, min_words: int) -> Data
             for lo, hi, h, bounds in word_runs(batch.column("text")):
                 f1, f2 = fingerprints(h, bounds)
                 fits = (f1 == batch.column("f1")[lo:hi].to_numpy()) & (f2 == batch.column("f2")[lo:hi].to_numpy())
-                places = [batch.column("places")[i].values.to_numpy() if f else np.zeros(0, np.int32) for i, f in zip(range(lo, hi), fits, strict=True)]
-                doc = np.repeat(np.arange(hi - lo), [len(p) for p in places])
-                at = np.concatenate(places).astype(np.int64)
-                g = shingles(h, bounds, k)
-                key = g[0][g[1][doc] + at]
+                g, cut = shingles(h, bounds, k)
+                every = minimisers(g, cut, window)
+                heads = np.searchsorted(every, cut)
                 # padded so that every context is whole; the lengths say how much of it is the document's
                 w = np.concatenate([np.zeros(reach, np.uint32), (h >> np.uint64(32)).astype(np.uint32), np.zeros(min_words, np.uint32)])
-                here = bounds[doc] + at + reach
-                right = w[here[:, None] + np.arange(min_words)]
-                left = w[here[:, None] - 1 - np.arange(reach)]
-                fixed = lambda x: pa.FixedSizeBinaryArray.from_buffers(pa.binary(x.shape[1] * 4), len(x), [None, pa.py_buffer(np.ascontiguousarray(x))]).cast(pa.binary())
-                pick = pa.array(doc + lo)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), fixed(right), fixed(left), batch.column("row").take(pick), batch.column("doc_id").take(pick), pa.array(at.astype(np.int32)), pa.array(np.diff(bounds)[doc].astype(np.int32))], schema=SUFFIX)
-
-    w = wanted.select(F.col("doc_id").alias("id"), "row", "f1", "f2", "places")
+                for i in np.flatnonzero(fits):
+                    at = every[heads[i] : heads[i + 1]]
+                    at = at[np.isin(g[at], batch.column("keys")[lo + i].values.to_numpy().view(np.uint64))]
+                    if not len(at):
+                        continue
+                    place, n = at - cut[i], int(bounds[i + 1] - bounds[i])
+                    here = bounds[i] + place + reach
+                    whole = np.concatenate([w[here[:, None] + np.arange(min_words)], w[here[:, None] - 1 - np.arange(reach)], np.minimum(place, reach)[:, None].astype(np.uint32), np.minimum(n - place, min_words)[:, None].astype(np.uint32)], axis=1)
+                    _, first, same = np.unique(np.ascontiguousarray(whole).view(f"V{whole.shape[1] * 4}").ravel(), return_index=True, return_inverse=True)
+                    order = np.argsort(same, kind="stable")
+                    lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(same[order], np.arange(len(first) + 1)).astype(np.int32)), pa.array(place[order].astype(np.int32)))
+                    one = whole[first]
+                    fixed = lambda x: pa.array([r.tobytes() for r in np.ascontiguousarray(x)], pa.binary())
+                    same_for_all = lambda c, i=i, lo=lo, m=len(first), batch=batch: batch.column(c)[lo + i : lo + i + 1].take(pa.array(np.zeros(m, np.int64)))
+                    yield pa.RecordBatch.from_arrays([pa.array(g[at[first]].view(np.int64)), fixed(one[:, :min_words]), fixed(one[:, min_words:-2]), same_for_all("row"), same_for_all("doc_id"), pa.array(one[:, -2].astype(np.int32)), pa.array(one[:, -1].astype(np.int32)), lists], schema=SUFFIX)
+
+    w = wanted.select(F.col("doc_id").alias("id"), "row", "f1", "f2", "keys")
     joined = docs.select("doc_id", "text").join(w, F.col("doc_id").eqNullSafe(F.col("id")))
-    return joined.select("row", "doc_id", "f1", "f2", "places", "text").mapInArrow(run, SUFFIX_DDL)
+    return joined.select("row", "doc_id", "f1", "f2", "keys", "text").mapInArrow(tidy(gathered(run, SUFFIX)), SUFFIX_DDL)
+
+
+def gathered(run, schema: pa.Schema, rows: int = 5000):
+    """run with its small batches put together."""
+
+    def together(batches):
+        held, n = [], 0
+        for b in run(batches):
+            held.append(b)
+            n += b.num_rows
+            if n >= rows:
+                yield from pa.Table.from_batches(held, schema).combine_chunks().to_batches()
+                held, n = [], 0
+        if held:
+            yield from pa.Table.from_batches(held, schema).combine_chunks().to_batches()
+
+    return together
 
 
 def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -142,43 +169,52 @@ class Sorted:
     def __init__(self, t: pa.Table, k: int, min_words: int):
         number = lambda c: t.column(c).combine_chunks().to_numpy(zero_copy_only=False)
         words = lambda c: np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint32).reshape(len(t), -1)
-        self.key, self.row, self.place, self.n = number("key"), number("row"), number("place").astype(np.int64), number("n").astype(np.int64)
+        self.key, self.row, self.has_left, self.has_right = number("key"), number("row"), number("has_left"), number("has_right")
         self.right, self.left = words("right"), words("left")
         self.doc_id, self.k, self.min_words = t.column("doc_id").combine_chunks(), k, min_words
+        new = np.append(True, self.row[1:] != self.row[:-1])
+        self.run, self.head = np.cumsum(new) - 1, np.flatnonzero(new)
+        self.tail = np.append(self.head[1:], len(t)) - 1
 
     def total(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Words that the suffixes i and j agree on to the left and to the right."""
-        right = np.minimum(agreement(self.right[i], self.right[j]), np.minimum(self.n[i] - self.place[i], self.n[j] - self.place[j]))
-        left = np.minimum(agreement(self.left[i], self.left[j]), np.minimum(self.place[i], self.place[j]))
-        right[self.key[i] != self.key[j]] = 0
+        right = np.minimum(agreement(self.right[i], self.right[j]), np.minimum(self.has_right[i], self.has_right[j]))
+        left = np.minimum(agreement(self.left[i], self.left[j]), np.minimum(self.has_left[i], self.has_left[j]))
         return left, right
 
-    def matches(self, neighbours: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(suffix, other, left, right) of at least min_words words: the longest for each suffix and side."""
+    def matches(self, neighbours: int) -> tuple[np.ndarray, ...]:
+        """(suffix, left, right, other, other_left): how far the matches of min_words and more of each suffix reach, and the longest one's partner."""
         n = len(self.key)
-        new = np.append(True, self.row[1:] != self.row[:-1])
-        run = np.cumsum(new) - 1
-        head = np.flatnonzero(new)
-        tail = np.append(head[1:], n) - 1
-        found = []
+        far_left, far_right, best, partner, back = (np.zeros(n, np.int64) for _ in range(5))
         for step in range(1, neighbours + 1):
-            for ends, side in ((tail, -step), (head, step)):
-                other = run + side
-                i = np.flatnonzero((other >= 0) & (other < len(head)))
+            for ends, side in ((self.tail, -step), (self.head, step)):
+                other = self.run + side
+                i = np.flatnonzero((other >= 0) & (other < len(self.head)))
                 j = ends[other[i]]
                 near = (self.key[i] == self.key[j]) & (self.row[i] != self.row[j])
                 i, j = i[near], j[near]
                 left, right = self.total(i, j)
                 long = (left + right >= self.min_words) & (right >= self.k)
-                found.append((i[long], j[long], left[long], right[long]))
-        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+                i, j, left, right = i[long], j[long], left[long], right[long]
+                far_left[i], far_right[i] = np.maximum(far_left[i], left), np.maximum(far_right[i], right)
+                more = left + right > best[i]
+                best[i[more]], partner[i[more]], back[i[more]] = (left + right)[more], j[more], left[more]
+        i = np.flatnonzero(best)
+        return i, far_left[i], far_right[i], partner[i], back[i]
+
+    def edge(self, neighbours: int) -> np.ndarray:
+        """Which suffixes may have a neighbour in the next range: those of the outer runs, EDGE_ROWS at most on each side."""
+        at = np.arange(len(self.key))
+        low = (self.run < neighbours) & (at < EDGE_ROWS)
+        return low | ((self.run > self.run[-1] - neighbours) & (at >= len(at) - EDGE_ROWS))
 
 
-MATCH_DDL = "kind int, key long, right binary, left binary, row long, doc_id long, place int, n int, start int, end int, other_row long, other_id long, other_start int"
+MATCH_DDL = "kind int, " + SUFFIX_DDL + ", start int, end int, other_row long, other_id long, other_start int"
 MATCH = pa.schema([("kind", pa.int32()), *SUFFIX, ("start", pa.int32()), ("end", pa.int32()), ("other_row", pa.int64()), ("other_id", pa.int64()), ("other_start", pa.int32())])
+FOUND = ("start", "end", "other_row", "other_id", "other_start")
 
 
-def sort_and_compare(found: DataFrame, ranges: int, k: int, min_words: int, neighbours: int) -> DataFrame:
+def sort_and_compare(found: DataFrame, parts: int, k: int, min_words: int, neighbours: int) -> DataFrame:
     """Matches (kind 0) within each range, and the suffixes at the ends of ranges (kind 1) where there are several."""
 
     def run(batches):
@@ -186,26 +222,29 @@ def sort_and_compare(found: DataFrame, ranges: int, k: int, min_words: int, neig
         if not len(t):
             return
         s = Sorted(t, k, min_words)
-        i, j, left, right = s.matches(neighbours)
-        take = pa.array(i)
-        none = lambda f: pa.nulls(len(i), f.type)
+        i, left, right, j, back = s.matches(neighbours)
+        places = t.column("places").combine_chunks()
+        values, heads = places.values.to_numpy(), places.offsets.to_numpy()
+        count = np.diff(heads)[i]
+        each = np.repeat(np.arange(len(i)), count)  # a suffix with several places is found at each of them
+        place = values[ranges(heads[i].astype(np.int64), count.astype(np.int64))]
+        none = lambda f: pa.nulls(len(each), f.type)
+        pick, other = pa.array(i[each]), pa.array(j[each])
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.zeros(len(i), np.int32)), none(SUFFIX[0]), none(SUFFIX[1]), none(SUFFIX[2]), pa.array(s.row[i]), s.doc_id.take(take), none(SUFFIX[5]), none(SUFFIX[6]), pa.array((s.place[i] - left).astype(np.int32)), pa.array((s.place[i] + right).astype(np.int32)), pa.array(s.row[j]), s.doc_id.take(pa.array(j)), pa.array((s.place[j] - left).astype(np.int32))],
+            [pa.array(np.zeros(len(each), np.int32)), *(none(f) if f.name not in ("row", "doc_id") else t.column(f.name).combine_chunks().take(pick) for f in SUFFIX), pa.array((place - left[each]).astype(np.int32)), pa.array((place + right[each]).astype(np.int32)), pa.array(s.row[j[each]]), s.doc_id.take(other), pa.array((values[heads[j[each]]] - back[each]).astype(np.int32))],
             schema=MATCH,
         )
-        if ranges > 1:
-            new = np.append(True, s.row[1:] != s.row[:-1])
-            run_number = np.cumsum(new) - 1
-            edge = t.filter(pa.array((run_number < neighbours) | (run_number > run_number[-1] - neighbours)))
-            for b in edge.combine_chunks().to_batches():
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(b), np.int32)), *b.columns, *(pa.nulls(len(b), MATCH.field(x).type) for x in ("start", "end", "other_row", "other_id", "other_start"))], schema=MATCH)
-
-    order = ["key", "right", "left", "row", "place"]
-    if ranges > 1:
-        found = found.repartitionByRange(ranges, *order)
+        if parts > 1:
+            edge = t.filter(pa.array(s.edge(neighbours))).combine_chunks()
+            for b in edge.to_batches():
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(b), np.int32)), *b.columns, *(pa.nulls(len(b), MATCH.field(x).type) for x in FOUND)], schema=MATCH)
+
+    order = ["key", "right", "left", "row"]
+    if parts > 1:
+        found = found.repartitionByRange(parts, *order)
     else:
         found = found.coalesce(1)
-    return found.sortWithinPartitions(*order).mapInArrow(run, MATCH_DDL)
+    return found.sortWithinPartitions(*order).mapInArrow(tidy(run), MATCH_DDL)
 
 
 def merged(batches):
@@ -242,19 +281,20 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, k: int = K, w
     other = F.when(F.col("row") == F.col("a.row"), F.col("b")).otherwise(F.col("a"))
     spans = [whole.select("row", "doc_id", F.lit(0).alias("start"), F.col("n").cast("int").alias("end"), other["row"].alias("other_row"), other["doc_id"].alias("other_id"), F.lit(0).alias("other_start"))]
     single = scanned.join(later, "row", "left_anti")
-    anchors = single.select("row", "doc_id", "f1", "f2", F.explode(F.arrays_zip("keys", "places")).alias("s")).select("row", "doc_id", "f1", "f2", F.col("s.keys").alias("key"), F.col("s.places").alias("place"))
-    often = anchors.groupBy("key").agg(F.count("*").alias("c"), F.min("row").alias("x"), F.max("row").alias("y")).where("c > 1 and x <> y").select("key")
-    wanted = anchors.join(often, "key").groupBy("row", "doc_id", "f1", "f2").agg(F.collect_list("place").alias("places"))
-    todo = materialize(suffixes(docs, materialize(wanted, "wanted"), k, min_words), "suffixes")
+    anchors = single.select("row", "doc_id", "f1", "f2", F.explode("keys").alias("key"))
+    # a document has each of its keys once
+    often = anchors.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    wanted = anchors.join(often, "key").groupBy("row", "doc_id", "f1", "f2").agg(F.collect_list("key").alias("keys"))
+    todo = materialize(suffixes(docs, materialize(wanted, "wanted"), k, window, min_words), "suffixes")
     while True:
         n = todo.count()
         if not n:
             break
-        ranges = max(1, round(n / RANGE_ROWS))
-        done = materialize(sort_and_compare(todo, ranges, k, min_words, neighbours), "matches")
+        parts = max(1, round(n / RANGE_ROWS))
+        done = materialize(sort_and_compare(todo, parts, k, min_words, neighbours), "matches")
         spans.append(done.where("kind = 0").select("row", "doc_id", "start", "end", "other_row", "other_id", "other_start"))
         todo = done.where("kind = 1").select(*SUFFIX.names)
-        if ranges == 1:
+        if parts == 1:
             break
     every = spans[0]
     for s in spans[1:]:
