@@ -23,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import materialize, table, text_slices
+from lodestrata.llm.common import materialize, small_batches, table, text_slices, tidy
 from lodestrata.llm.words import ALNUM, find_words, ranges, word_hashes
 
-WINDOW, CHUNK_BYTES, BLOCK_BYTES = 10, 8 << 20, 8 << 20
+WINDOW, CHUNK_BYTES, BLOCK_BYTES = 10, 8 << 20, 4 << 20
 
 INDEX = pa.schema([
     ("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("bounds", pa.list_(pa.int32())),
@@ -109,7 +109,7 @@ def build_index(docs: DataFrame, terms: np.ndarray | None = None, block_bytes: i
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(row, INDEX, strict=True)], schema=INDEX)
                 number += 1
 
-    return docs.select("doc_id", "text").mapInArrow(index, INDEX_DDL).withColumn("block", F.spark_partition_id() * F.lit(1 << 33) + F.col("block"))
+    return small_batches(docs).select("doc_id", "text").mapInArrow(tidy(index), INDEX_DDL).withColumn("block", F.spark_partition_id() * F.lit(1 << 33) + F.col("block"))
 
 
 class Block:
@@ -216,7 +216,7 @@ def search(index: DataFrame, chunk: tuple[list, np.ndarray, np.ndarray], window:
             cols = [pa.array(np.full(n, block)), pa.array(np.arange(n, dtype=np.int32)), b.doc_ids, pa.array(np.diff(b.bounds) - 1), starts, ends, items]
             yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(cols, HITS, strict=True)], schema=HITS)
 
-    return index.mapInArrow(find, HITS_DDL)
+    return index.mapInArrow(tidy(find), HITS_DDL)
 
 
 def _digest(batches):

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import crc_mod, table, text_slices
+from lodestrata.llm.common import crc_mod, small_batches, table, text_slices, tidy
 
 BUCKET_BITS = 16
 PER_LANGUAGE, SEGMENT_BYTES, MAX_SET, PENALTY, TEMPER = 3000, 48, 4, 1.0, 0.5
@@ -54,7 +54,7 @@ class Model:
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """Learn from docs with text and lang; at most about per_language documents of each language are read."""
-    known = docs.where("text is not null and lang is not null").select("doc_id", "text", "lang")
+    known = small_batches(docs).where("text is not null and lang is not null").select("doc_id", "text", "lang")
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     languages = sorted(counts)
     if not languages:
@@ -73,7 +73,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
         yield pa.RecordBatch.from_arrays([pa.array([x.astype("<f8").tobytes() for x in held], pa.binary()), pa.array(range(len(languages)), pa.int32())], ["counts", "k"])
 
     total = np.zeros((len(languages), 1 << BUCKET_BITS))
-    for r in chosen.repartition(FIT_PARTITIONS).mapInArrow(count, "counts binary, k int").toLocalIterator():
+    for r in chosen.repartition(FIT_PARTITIONS).mapInArrow(tidy(count), "counts binary, k int").toLocalIterator():
         total[r["k"]] += np.frombuffer(r["counts"], "<f8")
     return Model(languages, total)
 
@@ -154,7 +154,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         m = held.value
         for batch in batches:
             pred, score, languages, shares = [], [], [], []
-            for lo, hi, raw, offsets in text_slices(batch.column("text"), 2 << 20):
+            for lo, hi, raw, offsets in text_slices(batch.column("text")):
                 found = infer(m, raw, offsets)
                 ascii_letter = sums(((raw | 32) >= 97).astype(np.int64) * ((raw | 32) <= 122), offsets) if len(raw) else np.zeros(hi - lo, np.int64)
                 for i, row in enumerate(found):
@@ -168,7 +168,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(cols, OUT, strict=True)], schema=OUT)
 
     rows = docs.select("doc_id", "text", (crc_mod("doc_id", 4) == 2).alias("held_out"))
-    return rows.mapInArrow(predict, "doc_id long, held_out boolean, lang_pred string, score double, languages array<string>, shares array<double>")
+    return small_batches(rows).mapInArrow(tidy(predict), "doc_id long, held_out boolean, lang_pred string, score double, languages array<string>, shares array<double>")
 
 
 def keep_identified(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
@@ -183,7 +183,7 @@ def keep_identified(docs: DataFrame, model: Model, least: float = 0.5) -> DataFr
                 keep += [bool(s >= least and (letters(raw[a:b]) or has_letter(raw[a:b]))) for s, a, b in zip(share, offsets[:-1], offsets[1:], strict=True)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import materialize, table
+from lodestrata.llm.common import materialize, small_batches, table, tidy
 
 CAPACITY, SEPARATOR = 2048, 0
 VOCABULARY, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
@@ -88,7 +88,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, with_ids: bool = False) ->
                     number += 1
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
-    out = docs.select("doc_id", "text").mapInArrow(encode, PIECES_DDL + (", ids array<int>" if with_ids else ""))
+    out = small_batches(docs).select("doc_id", "text").mapInArrow(tidy(encode), PIECES_DDL + (", ids array<int>" if with_ids else ""))
     return out.withColumn("item", F.spark_partition_id() * F.lit(1 << 33) + F.col("item"))
 
 

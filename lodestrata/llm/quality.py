@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import crc_mod, table, text_slices
+from lodestrata.llm.common import crc_mod, small_batches, table, text_slices, tidy
 from lodestrata.llm.langid import sums
 from lodestrata.llm.words import SPACED, find_words, shingles, word_hashes
 
@@ -175,7 +175,7 @@ def grow(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH) -
 
 def _stats(batches):
     for batch in batches:
-        for lo, hi, raw, offsets in text_slices(batch.column("text"), 2 << 20):
+        for lo, hi, raw, offsets in text_slices(batch.column("text")):
             yield pa.RecordBatch.from_arrays([batch.column("label")[lo:hi], pa.array(list(statistics(raw, offsets)), pa.list_(pa.float64()))], ["label", "x"])
 
 
@@ -184,7 +184,7 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", rows: int =
     known = labels.where(F.col(target).isin(0, 1)).groupBy("doc_id").agg(F.avg(F.col(target).cast("double")).alias("label"))
     rate = min(1.0, rows / max(1, known.count()))
     chosen = known.where(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1_000_000)) < rate * 1e6)
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label").mapInArrow(_stats, "label double, x array<double>")
+    found = small_batches(docs).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label").mapInArrow(tidy(_stats), "label double, x array<double>")
     x, y = [], []
     for r in found.toLocalIterator():
         if len(x) >= 2 * rows:  # only where an id stands for very many rows
@@ -202,12 +202,12 @@ def score_quality(docs: DataFrame, forest: Forest, threshold: float = THRESHOLD)
 
     def predict(batches):
         for batch in batches:
-            for lo, hi, raw, offsets in text_slices(batch.column("text"), 2 << 20):
+            for lo, hi, raw, offsets in text_slices(batch.column("text")):
                 p = held.value.score(statistics(raw, offsets))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[lo:hi], batch.column("held_out")[lo:hi], pa.array(p), pa.array((p >= threshold).astype(np.int32))], schema=schema)
 
     rows = docs.select("doc_id", "text", (crc_mod("doc_id", 5) == 0).alias("held_out"))
-    return rows.mapInArrow(predict, "doc_id long, held_out boolean, score double, predicted int")
+    return small_batches(rows).mapInArrow(tidy(predict), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.llm.common import table
+from lodestrata.llm.common import small_batches, table, tidy
 
 
 def _any_case(word: str) -> str:
@@ -209,7 +209,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
                     c.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, OUT, strict=True)], schema=OUT)
 
-    return docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_confirmed long")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(tidy(scan), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_confirmed long")
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
