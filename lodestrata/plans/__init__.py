@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from lodestrata.plans import clouds, inference, networks, panels, portfolios
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+for _m in (panels, networks, clouds, portfolios, inference):
+    QUERIES |= _m.QUERIES
+    ORACLE_SQL |= _m.ORACLE_SQL
 
-
-def FLAGSHIP(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_returnflag").count()
+FLAGSHIP = clouds.energy_v
