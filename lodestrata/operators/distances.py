@@ -60,7 +60,7 @@ def _block_sum(kernel: str, bandwidth: float, alpha: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
         if not len(left) or not len(right):
-            return pd.DataFrame({"item_i": [], "item_j": [], "total": []})
+            return left.iloc[:0].assign(item_i=left["item"][:0], item_j=left["item"][:0], total=0.0)[["item_i", "item_j", "total"]]
         x, y = np.stack(left["v"].to_numpy()), np.stack(right["v"].to_numpy())
         if kernel == "linear":
             k = x @ y.T
@@ -68,10 +68,13 @@ def _block_sum(kernel: str, bandwidth: float, alpha: float):
             # direct differences: exact zeros for equal points, which the Gram form would lose
             d2 = np.concatenate([((x[i : i + 64, None, :] - y[None, :, :]) ** 2).sum(axis=2) for i in range(0, len(x), 64)])
             k = KERNELS[kernel](d2, bandwidth, alpha)
-        ij = left["item"].to_numpy(), right["item"].to_numpy()
-        table = pd.DataFrame(k, index=pd.Index(ij[0], name="item_i"), columns=pd.Index(ij[1], name="item_j"))
-        out = table.T.groupby(level=0).sum().T.groupby(level=0).sum().stack().rename("total").reset_index()
-        return out[["item_i", "item_j", "total"]]
+        names_i, code_i = np.unique(left["item"].to_numpy(), return_inverse=True)
+        names_j, code_j = np.unique(right["item"].to_numpy(), return_inverse=True)
+        by_i = np.zeros((len(names_i), k.shape[1]))
+        np.add.at(by_i, code_i, k)
+        total = np.zeros((len(names_i), len(names_j)))
+        np.add.at(total.T, code_j, by_i.T)
+        return pd.DataFrame({"item_i": list(np.repeat(names_i, len(names_j))), "item_j": list(np.tile(names_j, len(names_i))), "total": total.ravel()})
 
     return run
 
