@@ -16,6 +16,7 @@ get their own result; several items with one id count once; other columns of the
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -194,8 +195,11 @@ def joined(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start[new], far[np.append(np.flatnonzero(new)[1:] - 1, len(far) - 1)]
 
 
-def search(index: DataFrame, chunk: tuple[list, np.ndarray, np.ndarray], window: int = WINDOW) -> DataFrame:
-    """Exact matches of all windows of a chunk of items: for each document the word intervals hit and the items found."""
+def search(index: DataFrame, chunk: tuple[list, np.ndarray, np.ndarray], window: int = WINDOW, digest: bool = False) -> DataFrame:
+    """Exact matches of all windows of a chunk of items: for each document the word intervals hit and the items found, or their digest.
+
+    The digest is made by the worker that searches, as a second Python step in a stage would take a second worker.
+    """
     held = index.sparkSession.sparkContext.broadcast(chunk)
 
     def find(batches):
@@ -216,7 +220,10 @@ def search(index: DataFrame, chunk: tuple[list, np.ndarray, np.ndarray], window:
             cols = [pa.array(np.full(n, block)), pa.array(np.arange(n, dtype=np.int32)), b.doc_ids, pa.array(np.diff(b.bounds) - 1), starts, ends, items]
             yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(cols, HITS, strict=True)], schema=HITS)
 
-    return index.mapInArrow(tidy(find), HITS_DDL)
+    return index.mapInArrow(tidy((lambda batches: _digest(find(batches))) if digest else find), DIGEST_DDL if digest else HITS_DDL)
+
+
+DIGEST_DDL = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
 def _digest(batches):
@@ -237,19 +244,17 @@ def _digest(batches):
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """For each document row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    spark = docs.sparkSession
     chunks = item_chunks(benchmark, chunk_bytes)
     chunk, second = next(chunks, ([], np.zeros(0, np.uint64), np.zeros(1, np.int64))), next(chunks, None)
     index = materialize(build_index(docs, np.unique(chunk[1]) if second is None else None), "postings")
-    hits = search(index, chunk, window)
-    if second is not None:
-        hits = materialize(hits, "hits")
-        for chunk in [second]:
-            hits = hits.unionByName(materialize(search(index, chunk, window), "hits"))
-        for chunk in chunks:
-            hits = hits.unionByName(materialize(search(index, chunk, window), "hits"))
-        hits = hits.groupBy("block", "ordinal", "doc_id", "n_words").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "ends", "items")))
-    return hits.select("doc_id", "n_words", "starts", "ends", "items").mapInArrow(_digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    if second is None:
+        return search(index, chunk, window, digest=True)
+    hits = None
+    for part in itertools.chain([chunk, second], chunks):
+        found = materialize(search(index, part, window), "hits")
+        hits = found if hits is None else hits.unionByName(found)
+    hits = hits.groupBy("block", "ordinal", "doc_id", "n_words").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "ends", "items")))
+    return hits.select("doc_id", "n_words", "starts", "ends", "items").mapInArrow(_digest, DIGEST_DDL)
 
 
 def near_matches(docs: DataFrame, items: DataFrame, slop: int, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
