@@ -212,3 +212,33 @@ def test_stream_agrees_with_batch(spark, tmp_path):
     batch = windows.event_windows(e, "1 day")
     assert sorted(map(tuple, spark.table("daily").collect())) == sorted(map(tuple, batch.collect()))
     assert windows.sessions(e, "90 minutes").count() == 60
+
+
+def test_studies(spark):
+    from lodestrata.operators import studies
+
+    rng = np.random.default_rng(8)
+    days = [D(2020, 1, 1) + dt.timedelta(days=k) for k in range(120)]
+    p = spark.createDataFrame([(t, d, float(s * rng.normal())) for t, s in (("a", 1.0), ("b", 2.0), ("c", 3.0)) for d in days], "ticker string, Date date, return double")
+    f = panels.first_of_month(p, 20, 10)
+    w = studies.formation_weights(p, f, 20, 10)
+    assert w.groupBy("formation", "portfolio").agg(F.sum("weight").alias("s")).where("abs(s - 1) > 1e-6").count() == 0
+    e = {r["portfolio"]: r for r in studies.formation_evaluation(p, f, w, 20, 10).collect()}
+    assert set(e) == {"equal", "inverse_volatility", "minimum_variance"} and e["equal"]["turnover"] == pytest.approx(0)
+    assert e["minimum_variance"]["variance"] < e["equal"]["variance"]
+    c = spark.createDataFrame([(t, k, d, rng.normal(size=4).tolist()) for t in "ab" for k, d in enumerate(days[:6])], "item string, key int, date date, v array<double>")
+    v = studies.vintage_distances(c, [days[3], days[5]], 4)
+    assert v.count() == 2
+    assert studies.dimension_ladder(c, [2, 4], 5).count() == 2
+    laws = spark.createDataFrame([("x", 1, 0, [0.0], 1.0), ("y", 1, 0, [0.0], 0.5), ("y", 1, 1, [2.0], 0.5), ("x", 2, 0, [2.0], 1.0)], "firm string, year int, atom int, v array<double>, mass double")
+    d = {(r["year"], r["target"], r["reference"]): r["value"] for r in studies.directed_distances(laws, 1).collect()}
+    assert d[1, "x", "y"] == pytest.approx(2**0.5) and d[2, "x", "y"] == pytest.approx(2**0.5) and (1, "x", "x") not in d
+    docs = spark.createDataFrame([(1, "red green"), (2, "red green"), (3, "blue")], "doc int, text string")
+    from lodestrata.sources.tables import cosine_of_sparse
+
+    sparse = studies.tfidf(docs).select(F.col("doc").alias("row"), "weights")
+    assert [(r["row_i"], r["row_j"]) for r in cosine_of_sparse(sparse).collect()] == [(1, 2)] and cosine_of_sparse(sparse).first()["distance"] == pytest.approx(0)
+    m = spark.createDataFrame([(0, f"t{i}", f"t{j}", float((i - j) ** 2)) for i in range(3) for j in range(3)], "draw long, item_i string, item_j string, value double")
+    s = {r["ticker"]: r["weight"] for r in studies.weight_stability(m).collect()}
+    assert s["t0"] == pytest.approx(0.5, abs=1e-5) and s["t2"] == pytest.approx(0.5, abs=1e-5)
+    assert studies.placebo(m.select("item_i", "item_j", "value"), ["t0", "t1", "t2"], 1).count() == 9
