@@ -167,11 +167,11 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             cols = [batch.column("doc_id"), batch.column("held_out"), pred, score, languages, shares]
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(cols, OUT, strict=True)], schema=OUT)
 
-    rows = docs.select("doc_id", "text", (crc_mod("doc_id", 4) == 2).alias("held_out"))
+    rows = docs.select("doc_id", "text", F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False)).alias("held_out"))
     return small_batches(rows).mapInArrow(tidy(predict), "doc_id long, held_out boolean, lang_pred string, score double, languages array<string>, shares array<double>")
 
 
-def keep_identified(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+def keep_identified(docs: DataFrame, model: Model, least: float = 1 / 3) -> DataFrame:
     """The rows of docs, with all their columns, whose language is known with a share of at least `least`."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -206,7 +206,7 @@ def score_quality(docs: DataFrame, forest: Forest, threshold: float = THRESHOLD)
                 p = held.value.score(statistics(raw, offsets))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[lo:hi], batch.column("held_out")[lo:hi], pa.array(p), pa.array((p >= threshold).astype(np.int32))], schema=schema)
 
-    rows = docs.select("doc_id", "text", (crc_mod("doc_id", 5) == 0).alias("held_out"))
+    rows = docs.select("doc_id", "text", F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False)).alias("held_out"))
     return small_batches(rows).mapInArrow(tidy(predict), "doc_id long, held_out boolean, score double, predicted int")
 
 
