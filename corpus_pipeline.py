@@ -19,7 +19,7 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language go: no text, no letter, or no language with half of the text."""
+    """Documents without a language go: no text, no letter, or no language with a third of the text (mixtures of two stay)."""
     return keep_identified(small_batches(docs), fit(docs.where(crc_mod("doc_id", 4) != 2)))
 
 
