@@ -31,9 +31,10 @@ QUERIES, ORACLE_SQL = R.queries, R.sql
 
 def pair_years(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of sellers by order, counted by year. The year joins the lines once, before pairs are formed."""
-    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_suppkey").cast("string").alias("s")).distinct()
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_suppkey").cast("string").alias("s"))
     when = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("o"), F.col("o_orderdate").alias("created_date"))
-    sold = lines.groupBy("o").agg(F.sort_array(F.collect_list("s")).alias("s")).where(F.size("s") > 1).join(when, "o")
+    # one shuffle by order serves the sets and the join
+    sold = lines.groupBy("o").agg(F.sort_array(F.collect_set("s")).alias("s")).where(F.size("s") > 1).join(when, "o")
     # an order has a handful of lines: its pairs come from its own array, without a self join
     pairs = sold.select("created_date", F.year("created_date").alias("publication_year"), F.explode(F.flatten(F.transform("s", lambda a, k: F.transform(F.slice("s", k + 2, F.size("s")), lambda b: F.struct(a.alias("firm_i"), b.alias("firm_j")))))).alias("p"))
     return P.co_mention_pairs(pairs.select("created_date", "publication_year", "p.firm_i", "p.firm_j"))
