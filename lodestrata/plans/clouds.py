@@ -118,7 +118,7 @@ def industry_fallback_field(spark, sf_dir):
     return rounded(fields.class_field(u), "weight")
 
 
-@R.query("SELECT target, \"Date\", [[lag]] AS lag FROM lagged")
+@R.query("SELECT target, \"Date\", [[lag]] AS lag FROM lagged", text=("Date",))
 def spatial_lag(spark, sf_dir):
     return rounded(fields.spatial_lag(group_daily(spark, sf_dir), rbf(spark, sf_dir)), "lag")
 

@@ -113,7 +113,7 @@ def directed_years(spark, sf_dir):
 @R.query("""
 WITH v AS (SELECT DISTINCT CAST(date_trunc('quarter', o_orderdate) AS DATE) AS vintage FROM orders), f AS (SELECT DISTINCT CAST(date_trunc('month', o_orderdate) AS DATE) AS formation FROM orders WHERE o_orderdate >= TIMESTAMP '1995-04-02')
 SELECT formation, max(vintage) AS vintage FROM f JOIN v ON vintage < formation GROUP BY 1
-""")
+""", text=("formation", "vintage"))
 def latest_vintage_strict(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderdate")
     v = o.select(F.trunc("o_orderdate", "quarter").alias("vintage")).distinct()

@@ -44,7 +44,7 @@ def covariance_upper(spark, sf_dir):
     return rounded(c.select("ticker_i", "ticker_j", "correlation", chord("correlation").alias("chord")), "correlation", "chord")
 
 
-@R.query('SELECT ticker, "Date", [[x]] AS "return" FROM daily d WHERE (SELECT count(*) FROM daily c WHERE c."Date" = d."Date") = (SELECT count(DISTINCT ticker) FROM daily)')
+@R.query('SELECT ticker, "Date", [[x]] AS "return" FROM daily d WHERE (SELECT count(*) FROM daily c WHERE c."Date" = d."Date") = (SELECT count(DISTINCT ticker) FROM daily)', text=("Date",))
 def complete_case_panel(spark, sf_dir):
     return rounded(P.complete_case(daily(spark, sf_dir)), "return")
 
@@ -61,7 +61,7 @@ WITH seam AS (
 ), chg AS (SELECT ticker, "Date", x / lag(x) OVER (PARTITION BY ticker ORDER BY "Date") - 1 AS r FROM kept
 ), sel AS (SELECT * FROM chg WHERE "Date" >= DATE '2024-01-10' AND r IS NOT NULL)
 SELECT ticker, "Date", [[r]] AS "return" FROM sel s WHERE (SELECT count(*) FROM sel c WHERE c."Date" = s."Date") = (SELECT count(DISTINCT ticker) FROM chg WHERE "Date" >= DATE '2024-01-10')
-""")
+""", text=("Date",))
 def pct_change_seam(spark, sf_dir):
     """Train and evaluation prices overlap; the first of a date stays, returns are recomputed, then dates are filtered."""
     p = daily(spark, sf_dir, name="close_price")
@@ -74,14 +74,14 @@ WITH seam AS (
   SELECT ticker, "Date", x, 0 AS src FROM daily WHERE "Date" <= DATE '2024-01-20' UNION ALL SELECT ticker, "Date", 2 * x, 1 FROM daily WHERE "Date" >= DATE '2024-01-15'
 ), kept AS (SELECT ticker, "Date", x FROM seam QUALIFY row_number() OVER (PARTITION BY ticker, "Date" ORDER BY src DESC, x) = 1)
 SELECT ticker, "Date", [[x]] AS "return" FROM kept s WHERE (SELECT count(*) FROM kept c WHERE c."Date" = s."Date") = (SELECT count(DISTINCT ticker) FROM kept)
-""")
+""", text=("Date",))
 def chronological_keep_last(spark, sf_dir):
     p = daily(spark, sf_dir)
     first, later = p.where(F.col("Date") <= F.lit(DAY(2024, 1, 20))), p.where(F.col("Date") >= F.lit(DAY(2024, 1, 15))).withColumn("return", 2 * F.col("return"))
     return rounded(P.chronological_returns(first, later), "return")
 
 
-@R.query('SELECT ticker, "Date", [[sum(ln(1 + x / 1e6)) OVER (PARTITION BY ticker ORDER BY "Date")]] AS cumulative FROM daily')
+@R.query('SELECT ticker, "Date", [[sum(ln(1 + x / 1e6)) OVER (PARTITION BY ticker ORDER BY "Date")]] AS cumulative FROM daily', text=("Date",))
 def cumulative_log(spark, sf_dir):
     p = daily(spark, sf_dir).withColumn("return", F.col("return") / 1e6)
     ends = p.agg(F.min("Date").alias("a"), F.max("Date").alias("b"), F.count_distinct("Date").alias("n")).first()
@@ -91,7 +91,7 @@ def cumulative_log(spark, sf_dir):
 @R.query("""
 WITH n AS (SELECT "Date", row_number() OVER (ORDER BY "Date") AS p, count(*) OVER () AS n FROM spend)
 SELECT min("Date") AS "Date", min(p) AS position FROM n GROUP BY date_trunc('month', "Date"), n HAVING min(p) > 21 AND min(p) + 4 <= n
-""")
+""", text=("Date",))
 def monthly_first_date(spark, sf_dir):
     return P.first_of_month(spend(spark, sf_dir), 21, 5).withColumn("position", F.col("position").cast("long"))
 
@@ -100,7 +100,7 @@ def monthly_first_date(spark, sf_dir):
 WITH n AS (SELECT "Date", x, row_number() OVER (ORDER BY "Date") AS p, count(*) OVER () AS n FROM spend),
 f AS (SELECT min("Date") AS formation, min(p) AS f FROM n GROUP BY date_trunc('month', "Date"), n HAVING min(p) > 21 AND min(p) + 4 <= n)
 SELECT formation, CASE WHEN p < f THEN 'trailing' ELSE 'forward' END AS side, count(*) AS n, [[avg(x)]] AS mean FROM f JOIN n ON p BETWEEN f - 21 AND f + 4 GROUP BY 1, 2
-""")
+""", text=("formation",))
 def trailing_forward_windows(spark, sf_dir):
     s = spend(spark, sf_dir)
     w = P.trailing_and_forward(s, P.first_of_month(s, 21, 5), s, 21, 5)
@@ -137,7 +137,7 @@ def inside_window_flag(spark, sf_dir):
     return P.inside_window(rows, roster, DAY(1997, 3, 1), DAY(1997, 3, 31))
 
 
-@R.query('SELECT ticker, "Date", [[x / stddev_samp(x) OVER (PARTITION BY ticker)]] AS standardized FROM daily')
+@R.query('SELECT ticker, "Date", [[x / stddev_samp(x) OVER (PARTITION BY ticker)]] AS standardized FROM daily', text=("Date",))
 def standardized_returns(spark, sf_dir):
     return rounded(P.standardized(daily(spark, sf_dir)).select("ticker", "Date", "standardized"), "standardized")
 
@@ -175,13 +175,13 @@ def keep_first_event(spark, sf_dir):
     return rounded(keep_first(e, ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "value"), "value")
 
 
-@R.query("""SELECT CAST("Date" AS DATE) AS "Date", [[max(x) FILTER (ticker = 'click')]] AS click, [[max(x) FILTER (ticker = 'view')]] AS "view" FROM daily GROUP BY 1""")
+@R.query("""SELECT CAST("Date" AS DATE) AS "Date", [[max(x) FILTER (ticker = 'click')]] AS click, [[max(x) FILTER (ticker = 'view')]] AS "view" FROM daily GROUP BY 1""", text=("Date",))
 def pivot_panel(spark, sf_dir):
     p = daily(spark, sf_dir)
     return rounded(P.wide(p.where(F.col("ticker").isin("click", "view")), ["click", "view"]), "click", "view") if not p.where(F.col("ticker") == "click").isEmpty() else P.wide(p, ["click", "view"])
 
 
-@R.query("SELECT event_type, date_trunc('hour', ts) AS start, count(*) AS n, [[sum(value)]] AS total FROM events GROUP BY 1, 2")
+@R.query("SELECT event_type, date_trunc('hour', ts) AS start, count(*) AS n, [[sum(value)]] AS total FROM events GROUP BY 1, 2", text=("start",))
 def hourly_event_windows(spark, sf_dir):
     from lodestrata.streaming.windows import event_windows
 

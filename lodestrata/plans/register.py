@@ -5,6 +5,7 @@ Floating sums depend on the order of addition, so both sides round to six decima
 
 from __future__ import annotations
 
+import functools
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -17,12 +18,15 @@ class Registry:
         self.sql: dict[str, str] = {}
         self.common = common
 
-    def query(self, sql: str | None = None, name: str | None = None):
-        """Register the decorated function (spark, sf_dir). In sql, [x] stands for x rounded; common tables are WITH clauses."""
+    def query(self, sql: str | None = None, name: str | None = None, text: tuple[str, ...] = ()):
+        """Register the decorated function (spark, sf_dir). In sql, [[x]] stands for x rounded; common tables are WITH clauses.
+
+        Columns named in text (dates and times) are returned as text on both sides, since clients differ in what they make of them.
+        """
 
         def add(f):
             key = name or f.__name__
-            self.queries[key] = f
+            self.queries[key] = as_text(f, text) if text else f
             if sql is not None:
                 used: list[str] = []
 
@@ -39,12 +43,23 @@ class Registry:
                     body = re.sub(r"\s*WITH ", f"WITH {heads}, " if heads else "WITH ", body, count=1)
                 elif heads:
                     body = f"WITH {heads} {body}"
+                if text:
+                    replaced = ", ".join(f'CAST("{c}" AS VARCHAR) AS "{c}"' for c in text)
+                    body = f"SELECT * REPLACE ({replaced}) FROM ({body})"
                 self.sql[key] = body
             return f
 
         return add
 
 
+def as_text(query, columns: tuple[str, ...]):
+    @functools.wraps(query)
+    def run(spark, sf_dir: str) -> DataFrame:
+        return query(spark, sf_dir).withColumns({c: F.col(c).cast("string") for c in columns})
+
+    return run
+
+
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
     """Columns to six decimals."""
     return df.withColumns({c: r6(F.col(c)) for c in columns})
