@@ -77,8 +77,8 @@ def tidy(run):
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """df, in a session that hands Python whole texts in batches of about 8 MB, so that a worker's memory is bounded."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    """df, in a session that hands Python whole texts in batches of about 4 MB, so that a worker's memory is bounded."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
     return df
 
 

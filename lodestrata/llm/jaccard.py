@@ -38,7 +38,7 @@ from lodestrata.llm.words import SPACED, find_words, mix, shingles, word_hashes
 
 SHINGLE, PERCENT = 4, 85
 HOT, HOT_CHUNK = 32, 1 << 20
-BLOCK_SETS, BLOCK_BYTES = 512, 16 << 20
+BLOCK_SETS, BLOCK_BYTES = 512, 8 << 20
 _SALT = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -235,7 +235,7 @@ def overlaps(a: list[np.ndarray], b: list[np.ndarray] | None = None) -> np.ndarr
     out = np.zeros((m, len(both) - m if b is not None else m), np.float32)
     order = np.argsort(token, kind="stable")
     token, owner = token[order], owner[order]
-    step = max(256, (8 << 20) // max(len(both), 1))
+    step = max(256, (4 << 20) // max(len(both), 1))
     for lo in range(0, width, step):
         i, j = np.searchsorted(token, [lo, lo + step])
         x = np.zeros((len(both), min(step, width - lo)), np.float32)
