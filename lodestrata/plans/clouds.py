@@ -9,7 +9,6 @@ from lodestrata.functions import arrays as A
 from lodestrata.operators import distances as D
 from lodestrata.operators import fields
 from lodestrata.operators import pairs as P
-from lodestrata.plans.panels import daily
 from lodestrata.plans.register import Registry, r6, rounded
 from lodestrata.sources import tables as T
 from lodestrata.sources.tables import table
