@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from lodestrata.llm.common import materialize, small_batches, table, text_slices, tidy
 from lodestrata.llm.words import SPACED, find_words, mix, ranges, shingles, word_hashes
 
-MIN_WORDS, K, WINDOW, NEIGHBOURS = 50, 12, 25, 3
+MIN_WORDS, K, WINDOW, NEIGHBOURS = 50, 12, 25, 8
 RANGE_ROWS, EDGE_ROWS = 60_000, 64
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 
