@@ -6,14 +6,17 @@ occur once are dropped; the others are sorted by their words over the whole corp
 nearest suffixes of other documents on either side, and each match is extended to the left and right.
 
 A span of MIN_WORDS or more words that a document shares with another is a repeat. The context that a suffix carries
-(MIN_WORDS to the right, MIN_WORDS - K to the left) is as long as it need be: every MIN_WORDS-word stretch of a longer repeat
-holds a suffix of its own, and the spans found from them are joined. Passages of MIN_WORDS + K + WINDOW words and more are always
-found, as their first suffix shares MIN_WORDS words with its neighbour in the order; shorter ones are missed only
-where other suffixes agree longer to the right but shorter to the left on all NEIGHBOURS places.
+(MIN_WORDS to the right, MIN_WORDS - K to the left) is as long as it need be: every stretch of MIN_WORDS words holds a suffix, at
+the same place in each document that has the stretch, and the spans found from them are joined.
+
+The neighbours are all there is for a key with few suffixes. Where a key has more, or several in a row of one document, a suffix
+that agrees longer to the left may stand far off, so such keys are also compared exactly: for each l, suffixes with the same
+MIN_WORDS words from l before them (128 bits) are grouped. Groups are formed within a range; only for the keys at the ends of a
+range, which may go on in the next one, are two suffixes of each group (or the one there is) grouped again over all ranges. So
+every repeat is found whole, whatever the number of suffixes of a key and wherever the ranges end.
 
 The sort is a range partitioning by words and document, so suffixes of one passage spread over as many tasks as their number asks
-for; what lies at the ends of the ranges (EDGE_ROWS suffixes at most at each) is sorted again, by itself, until one range is left. Documents of equal words are one
-document for the sort, and each of them repeats the others whole.
+for. Documents of equal words are one document for the sort, and each of them repeats the others whole.
 
 Defined cases: words are those of the Jaccard join (A-Z folded, split at white space); a null or shorter text has no repeats; rows
 with equal ids are documents of their own; further columns are ignored; documents without repeats have no row.
@@ -28,11 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import materialize, small_batches, table, text_slices, tidy
+from lodestrata.llm.common import materialize, merge, small_batches, table, text_slices, tidy
 from lodestrata.llm.words import SPACED, find_words, mix, ranges, shingles, word_hashes
 
 MIN_WORDS, K, WINDOW, NEIGHBOURS = 50, 12, 25, 8
-RANGE_ROWS, EDGE_ROWS = 60_000, 64
+RANGE_ROWS = 60_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 
 
@@ -202,42 +205,118 @@ class Sorted:
         i = np.flatnonzero(best)
         return i, far_left[i], far_right[i], partner[i], back[i]
 
-    def edge(self, neighbours: int) -> np.ndarray:
-        """Which suffixes may have a neighbour in the next range: those of the outer runs, EDGE_ROWS at most on each side."""
-        at = np.arange(len(self.key))
-        low = (self.run < neighbours) & (at < EDGE_ROWS)
-        return low | ((self.run > self.run[-1] - neighbours) & (at >= len(at) - EDGE_ROWS))
-
-
-MATCH_DDL = "kind int, " + SUFFIX_DDL + ", start int, end int, other_row long, other_id long, other_start int"
-MATCH = pa.schema([("kind", pa.int32()), *SUFFIX, ("start", pa.int32()), ("end", pa.int32()), ("other_row", pa.int64()), ("other_id", pa.int64()), ("other_start", pa.int32())])
-FOUND = ("start", "end", "other_row", "other_id", "other_start")
+    def unsure(self, neighbours: int, outer: np.ndarray) -> np.ndarray:
+        """Suffixes of the keys for which matches() need not have met every pair; all of a key's or none."""
+        head = np.flatnonzero(np.append(True, self.key[1:] != self.key[:-1]))
+        size = np.diff(np.append(head, len(self.key)))
+        again = np.append(False, (self.row[1:] == self.row[:-1]) & (self.key[1:] == self.key[:-1]))
+        return np.flatnonzero(np.repeat((size > neighbours + 1) | np.logical_or.reduceat(again, head) | outer[head], size))
+
+    def shared(self, i: np.ndarray, whole: bool) -> np.ndarray:
+        """The most words to the right that any suffix of another document can share with suffix i; the order puts that one next to its run."""
+        most = np.zeros(len(i), np.int64)
+        for ends, side in ((self.tail, -1), (self.head, 1)):
+            other = self.run[i] + side
+            inside = (other >= 0) & (other < len(self.head))
+            j = ends[other[inside]]
+            agree = np.where(self.key[i[inside]] == self.key[j], agreement(self.right[i[inside]], self.right[j]), 0)
+            most[inside] = np.maximum(most[inside], agree)
+            if not whole:
+                most[~inside] = self.min_words
+        return most
+
+    def windows(self, i: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(l, 64 bits, 64 more) of the min_words words that begin l before each suffix i."""
+        word = lambda side, at, salt: mix(side[i, at].astype(np.uint64) ^ salt)
+        last = [np.uint64(pow(int(b), self.min_words - 1, 1 << 64)) for b in (_A, _B)]
+        hashes = []
+        for base in (_A, _B):
+            h = np.zeros(len(i), np.uint64)
+            for at in range(self.min_words - 1, -1, -1):
+                h = h * base + word(self.right, at, base)
+            hashes.append(h)
+        for before in range(self.min_words - self.k + 1):
+            yield before, *hashes
+            if before < self.min_words - self.k:
+                hashes = [(h - word(self.right, self.min_words - 1 - before, base) * top) * base + word(self.left, before, base) for h, base, top in zip(hashes, (_A, _B), last, strict=True)]
+
+    def exact(self, neighbours: int, far_left: np.ndarray, far_right: np.ndarray, whole: bool) -> Iterator[tuple]:
+        """What the neighbours of suffixes do not show, given how far their matches reach.
+
+        Yields (l, suffix, wanted, 64 bits, 64 more) of windows that may have equals in other ranges (none if this range is the
+        whole), and at the end (suffix, left, right, other): how far the windows shared within the range reach.
+        """
+        outer = np.zeros(len(self.key), bool) if whole else (self.key == self.key[0]) | (self.key == self.key[-1])
+        at = self.unsure(neighbours, outer)
+        at = at[(most := self.shared(at, whole)) >= self.k]
+        most, row, outer = most[most >= self.k], self.row[at], outer[at]
+        far_left, far_right, has_left, has_right = far_left[at], far_right[at], self.has_left[at], self.has_right[at]
+        least, longest, partner = np.full(len(at), self.min_words), np.full(len(at), -1), np.zeros(len(at), np.int64)
+        for before, h1, h2 in self.windows(at):
+            behind = self.min_words - before
+            o = np.flatnonzero((before <= has_left) & (behind <= np.minimum(has_right, most)))
+            if not len(o):
+                continue
+            o = o[np.lexsort((row[o], h1[o]))]
+            new = np.append(True, (h1[o[1:]] != h1[o[:-1]]) | (h2[o[1:]] != h2[o[:-1]]))
+            group, heads = np.cumsum(new) - 1, np.flatnonzero(new)
+            first, last = o[heads][group], o[np.append(heads[1:], len(o)) - 1][group]
+            several = row[first] != row[last]
+            wanted = (before > far_left[o]) | (behind > far_right[o])
+            hit = several & wanted
+            i = o[hit]
+            least[i], longest[i] = np.minimum(least[i], before), before
+            partner[i] = np.where(row[first] == row[o], last, first)[hit]
+            sent = outer[o] & np.where(several, (o == first) | (o == last), wanted | (o == first))
+            if sent.any():
+                yield before, at[o[sent]], (wanted & ~several)[sent], h1[o[sent]].view(np.int64), h2[o[sent]].view(np.int64)
+        i = np.flatnonzero(longest >= 0)
+        yield at[i], longest[i], self.min_words - least[i], at[partner[i]]
+
+
+MATCH_DDL = "row long, doc_id long, start int, end int, other_row long, other_id long, other_start int, w1 long, w2 long, wanted boolean"
+MATCH = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("other_row", pa.int64()), ("other_id", pa.int64()), ("other_start", pa.int32()), ("w1", pa.int64()), ("w2", pa.int64()), ("wanted", pa.bool_())])
+FOUND = ("row", "doc_id", "start", "end", "other_row", "other_id", "other_start")
 
 
 def sort_and_compare(found: DataFrame, parts: int, k: int, min_words: int, neighbours: int) -> DataFrame:
-    """Matches (kind 0) within each range, and the suffixes at the ends of ranges (kind 1) where there are several."""
+    """Matches within each range (w1 is null), and, where there are several ranges, windows that may have equals in others (w1, w2)."""
 
     def run(batches):
         t = pa.Table.from_batches(batches, SUFFIX)
         if not len(t):
             return
         s = Sorted(t, k, min_words)
-        i, left, right, j, back = s.matches(neighbours)
         places = t.column("places").combine_chunks()
         values, heads = places.values.to_numpy(), places.offsets.to_numpy()
-        count = np.diff(heads)[i]
-        each = np.repeat(np.arange(len(i)), count)  # a suffix with several places is found at each of them
-        place = values[ranges(heads[i].astype(np.int64), count.astype(np.int64))]
-        none = lambda f: pa.nulls(len(each), f.type)
-        pick, other = pa.array(i[each]), pa.array(j[each])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.zeros(len(each), np.int32)), *(none(f) if f.name not in ("row", "doc_id") else t.column(f.name).combine_chunks().take(pick) for f in SUFFIX), pa.array((place - left[each]).astype(np.int32)), pa.array((place + right[each]).astype(np.int32)), pa.array(s.row[j[each]]), s.doc_id.take(other), pa.array((values[heads[j[each]]] - back[each]).astype(np.int32))],
-            schema=MATCH,
-        )
-        if parts > 1:
-            edge = t.filter(pa.array(s.edge(neighbours))).combine_chunks()
-            for b in edge.to_batches():
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(b), np.int32)), *b.columns, *(pa.nulls(len(b), MATCH.field(x).type) for x in FOUND)], schema=MATCH)
+
+        def at_places(i, all_places=True):
+            """For suffixes i: the number of each in i, and its place; a suffix with several places is found at each of them."""
+            count = np.where(all_places, np.diff(heads)[i], 1)
+            return np.repeat(np.arange(len(i)), count), values[ranges(heads[i].astype(np.int64), count.astype(np.int64))]
+
+        def batch(i, start, end, other=None, other_start=None, w1=None, w2=None, wanted=None):
+            given = {"row": s.row[i], "doc_id": s.doc_id.take(pa.array(i)), "start": start, "end": end, "other_start": other_start, "w1": w1, "w2": w2, "wanted": wanted}
+            if other is not None:
+                given |= {"other_row": s.row[other], "other_id": s.doc_id.take(pa.array(other))}
+            return pa.RecordBatch.from_arrays([pa.nulls(len(i), f.type) if given.get(f.name) is None else x.cast(f.type) if isinstance(x := given[f.name], pa.Array) else pa.array(x.astype(f.type.to_pandas_dtype())) for f in MATCH], schema=MATCH)
+
+        def spans(i, left, right, j, back):
+            each, place = at_places(i)
+            return batch(i[each], place - left[each], place + right[each], j[each], values[heads[j[each]]] - back[each])
+
+        i, left, right, j, back = s.matches(neighbours)
+        yield spans(i, left, right, j, back)
+        far_left, far_right = np.zeros(len(t), np.int64), np.zeros(len(t), np.int64)
+        far_left[i], far_right[i] = left, right
+        for out in s.exact(neighbours, far_left, far_right, parts == 1):
+            if len(out) == 5:
+                before, i, wanted, w1, w2 = out
+                each, place = at_places(i, wanted)
+                yield batch(i[each], place - before, place - before + min_words, w1=w1[each], w2=w2[each], wanted=wanted[each])
+            else:
+                i, left, right, j = out
+                yield spans(i, left, right, j, left)
 
     order = ["key", "right", "left", "row"]
     if parts > 1:
@@ -247,6 +326,15 @@ def sort_and_compare(found: DataFrame, parts: int, k: int, min_words: int, neigh
     return found.sortWithinPartitions(*order).mapInArrow(tidy(run), MATCH_DDL)
 
 
+def across(windows: DataFrame) -> DataFrame:
+    """Matches of wanted windows with equal ones of other documents."""
+    place = F.struct("row", "doc_id", "start")
+    groups = windows.groupBy("w1", "w2").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.max("wanted").alias("any")).where("any and a.row <> b.row").select("w1", "w2", "a", "b")
+    other = F.when(F.col("row") == F.col("a.row"), F.col("b")).otherwise(F.col("a"))
+    met = windows.where("wanted").join(merge(groups), ["w1", "w2"])
+    return met.select("row", "doc_id", "start", "end", other["row"].alias("other_row"), other["doc_id"].alias("other_id"), other["start"].alias("other_start"))
+
+
 def merged(batches):
     """Spans of each document joined where they overlap; the partner is that of the longest part."""
     schema = pa.schema([("doc_id", pa.int64()), ("start_word", pa.int64()), ("end_word", pa.int64()), ("n_words", pa.int64()), ("other_id", pa.int64()), ("other_start", pa.int64())])
@@ -286,16 +374,13 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, k: int = K, w
     often = anchors.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     wanted = anchors.join(often, "key").groupBy("row", "doc_id", "f1", "f2").agg(F.collect_list("key").alias("keys"))
     todo = materialize(suffixes(docs, materialize(wanted, "wanted"), k, window, min_words), "suffixes")
-    while True:
-        n = todo.count()
-        if not n:
-            break
+    n = todo.count()
+    if n:
         parts = max(1, round(n / RANGE_ROWS))
         done = materialize(sort_and_compare(todo, parts, k, min_words, neighbours), "matches")
-        spans.append(done.where("kind = 0").select("row", "doc_id", "start", "end", "other_row", "other_id", "other_start"))
-        todo = done.where("kind = 1").select(*SUFFIX.names)
-        if parts == 1:
-            break
+        spans.append(done.where("w1 is null").select(*FOUND))
+        if parts > 1:
+            spans.append(across(done.where("w1 is not null")))
     every = spans[0]
     for s in spans[1:]:
         every = every.unionByName(s)

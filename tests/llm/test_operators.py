@@ -169,6 +169,28 @@ def test_repeats_over_many_ranges(spark, docs, monkeypatch):
     assert sorted(map(str, repeats.repeated_passages(docs).select("doc_id", "start_word", "end_word").collect())) == whole
 
 
+def same_repeats(spark, rows):
+    """Whether the repeats of (doc_id, text) rows cover the words that plain ones do."""
+    d = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], DOCS).repartition(3)
+    cover = {}
+    for r in repeats.repeated_passages(d).collect():
+        cover.setdefault(r["doc_id"], set()).update(range(r["start_word"], r["end_word"]))
+    want = plain.repeated(rows)
+    return len(want) > 0 and cover == {rows[i][0]: places for i, places in want.items()}
+
+
+@pytest.mark.parametrize("range_rows", [60_000, 40])
+def test_repeats_ending_in_a_line_of_many_documents(spark, monkeypatch, range_rows):
+    monkeypatch.setattr(repeats, "RANGE_ROWS", range_rows)
+    rng, v = random.Random(21), vocabulary(21)
+    line = prose(rng, v, 35)
+    rows = [(i, f"{prose(rng, v, 40)} {line} {prose(rng, v, 40)}") for i in range(300)]
+    for i in range(20):
+        own = prose(rng, v, 15)
+        rows += [(1000 + 2 * i + k, f"{prose(rng, v, 40)} {own} {line} {prose(rng, v, 40)}") for k in range(2)]
+    assert same_repeats(spark, rows)
+
+
 def test_packing(spark, docs, texts):
     items = packing.best_fit_packing(docs).toPandas()
     e = packing.Encoder()
