@@ -191,6 +191,24 @@ def test_repeats_ending_in_a_line_of_many_documents(spark, monkeypatch, range_ro
     assert same_repeats(spark, rows)
 
 
+def test_repeats_of_long_runs_over_range_ends(spark, monkeypatch):
+    """Each document holds a line many times, and then a word of its own, so that its suffixes make runs longer than a range."""
+    rng, v = random.Random(22), vocabulary(22)
+
+    def key(text):
+        _, _, h, bounds = next(repeats.word_runs(pa.array([text])))
+        return int(repeats.shingles(h, bounds, repeats.K)[0][0])
+
+    # a line that every window takes for its minimiser, among words that most often come later
+    line = f"{min((prose(rng, v, 12) for _ in range(3000)), key=key)} {prose(rng, v, 18)}"
+    own = {(i, k): prose(rng, v, 20) for i in range(6) for k in range(90)}
+    for i in range(6):
+        own[i, 45] = own[i // 2 * 2, 45]
+    rows = [(i, " ".join(f"{own[i, k]} {line} mark{i} {prose(rng, v, 15)}" for k in range(90))) for i in range(6)]
+    monkeypatch.setattr(repeats, "RANGE_ROWS", 80)
+    assert same_repeats(spark, rows)
+
+
 def test_packing(spark, docs, texts):
     items = packing.best_fit_packing(docs).toPandas()
     e = packing.Encoder()
