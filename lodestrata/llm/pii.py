@@ -12,9 +12,11 @@ follows, and by the number of different ones; an instance by the noisy-or of the
 High-confidence patterns make new instances known, which score patterns in the next round. Tokens of accepted instances
 become spans of kind `id` wherever they stand, unless they overlap a base span.
 
+The rounds end when one accepts nothing new; every pattern counts in each round in which it has MIN_KNOWN known instances,
+be they seeds or instances that earlier rounds accepted.
+
 Nothing is grouped by document in the bootstrap, only counted by pattern and instance (partial sums on the map side, and
-joins that can split a hot key); the pool of patterns is a model of at most pool patterns, which is the size bound of
-the only broadcast.
+joins that can split a hot key); occurrences are counted by word before they meet the patterns.
 
 Defined cases: a null or empty text has no spans; repeated rows each get their own result; further columns are ignored;
 an empty table gives no rows.
@@ -38,7 +40,7 @@ PATTERNS = {
 TOKEN = r"(?<![A-Za-z0-9._@/+-])(?=[A-Za-z._@/+-]*+[0-9])[A-Za-z0-9._@/+-]{5,}+"
 OCTETS = r"^0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])?(?:\.0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])?){3}$"
 BLOCK, CONTEXT = 128, 80
-ROUNDS, POOL, MIN_KNOWN, MIN_PATTERN, MIN_INSTANCE = 2, 1024, 3, 0.5, 0.8
+MIN_KNOWN, MIN_PATTERN, MIN_INSTANCE = 3, 0.5, 0.8
 
 
 def running_sums(a: Column) -> Column:
@@ -114,32 +116,28 @@ def scan(docs: DataFrame) -> DataFrame:
     return rows.withColumn("token", free).select("row", "doc_id", *KINDS, "token")
 
 
-def bootstrap(docs: DataFrame, scanned: DataFrame, rounds: int = ROUNDS, pool: int = POOL) -> DataFrame:
+def bootstrap(docs: DataFrame, scanned: DataFrame) -> DataFrame:
     """Accepted instances: a column instance."""
     spark = docs.sparkSession
     mention = lambda c, seed: scanned.select(F.explode(c).alias("s")).select(F.col("s.front").alias("pattern"), F.col("s.match").alias("instance"), F.lit(seed).alias("seed"))
     mentions = mention(F.concat(*KINDS), True).unionByName(mention(F.col("token"), False)).where("pattern <> ''")
     graph = materialize(mentions.groupBy("pattern", "instance").agg(F.count("*").alias("n"), F.max("seed").alias("known")), "graph")
 
-    def patterns(g: DataFrame) -> DataFrame:
-        per = g.groupBy("pattern").agg(F.count(F.when(F.col("known"), 1)).alias("known"), F.sum(F.when(F.col("known"), F.col("n")).otherwise(0)).alias("hits"), F.count("*").alias("instances"))
-        return per.where(F.col("known") >= MIN_KNOWN)
-
-    # the pool: the best patterns by the share of known instances times the log of their number
-    score = F.col("known") / F.col("instances") * F.log2("known")
-    chosen = materialize(patterns(graph).orderBy(score.desc(), "pattern").limit(pool).select("pattern"), "pool")
+    # a pattern of fewer instances can never have MIN_KNOWN known ones; one without occurrences as a word of its own has no share
+    able = graph.groupBy("pattern").agg(F.count("*").alias("c")).where(F.col("c") >= MIN_KNOWN).select("pattern")
     words = docs.select(F.explode(F.split(F.lower("text"), r"\s+")).alias("pattern"))
-    total = materialize(words.join(F.broadcast(chosen), "pattern").groupBy("pattern").agg(F.count("*").alias("total")), "occurrences")
-    graph = graph.join(F.broadcast(total), "pattern")
-    accepted = spark.createDataFrame([], "instance string")
-    for k in range(rounds):
-        trusted = patterns(graph).join(F.broadcast(total), "pattern").withColumn("p", F.least(F.lit(1.0), F.col("hits") / F.col("total"))).where(F.col("p") >= MIN_PATTERN).select("pattern", "p")
-        belief = graph.join(F.broadcast(trusted), "pattern").where("not known").groupBy("instance").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("p"), F.lit(1e-6)))))).alias("belief"))
+    total = materialize(words.groupBy("pattern").agg(F.count("*").alias("total")).join(able, "pattern"), "occurrences")
+    graph = materialize(graph.join(total, "pattern"), "graph0")
+    accepted, k = spark.createDataFrame([], "instance string"), 0
+    while True:
+        known = graph.where("known").groupBy("pattern", "total").agg(F.count("*").alias("known"), F.sum("n").alias("hits"))
+        trusted = known.where(F.col("known") >= MIN_KNOWN).withColumn("p", F.least(F.lit(1.0), F.col("hits") / F.col("total"))).where(F.col("p") >= MIN_PATTERN).select("pattern", "p")
+        belief = graph.where("not known").join(trusted, "pattern").groupBy("instance").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("p"), F.lit(1e-6)))))).alias("belief"))
         new = materialize(belief.where(F.col("belief") >= MIN_INSTANCE).select("instance"), f"accepted{k}")
-        accepted = accepted.unionByName(new)
-        if k + 1 < rounds:
-            graph = graph.join(new.withColumn("new", F.lit(True)), "instance", "left").withColumn("known", F.col("known") | F.col("new").isNotNull()).drop("new")
-    return accepted.distinct()
+        if new.isEmpty():
+            return accepted.distinct()
+        accepted, k = accepted.unionByName(new), k + 1
+        graph = materialize(graph.join(new.withColumn("new", F.lit(True)), "instance", "left").withColumn("known", F.col("known") | F.col("new").isNotNull()).drop("new"), f"graph{k}")
 
 
 def joined(spans: Column) -> Column:

@@ -131,6 +131,25 @@ def test_pii_discovers_identifiers_in_trusted_contexts(spark):
     assert spans[9] == [("id", 17, 28)] and not spans[0]
 
 
+def discovered(spark, rows):
+    d = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(rows)], DOCS)
+    return {rows[r["doc_id"]][s["start"] : s["end"]] for r in pii.find_pii(d).collect() for s in r["added"]}
+
+
+def test_pii_bootstrap_goes_on_over_generations(spark):
+    """Each generation of identifiers makes the pattern of the next one trusted; the fourth pattern is too often followed by others."""
+    seeds = [f"write to: u{i}@x.org now" for i in range(40)]
+    chain = [f"{word} {name}{j} then" for word, name, n in (("to:", "first", 1), ("ref:", "first", 9), ("ref:", "second", 1), ("see:", "second", 9), ("see:", "third", 1)) for j in range(10, 14) for _ in range(n)]
+    noise = [f"per third{j} then" for j in range(10, 14)] + ["per year"] * 20 + ["per other77 then"]
+    assert discovered(spark, seeds + chain + noise) == {f"{name}{j}" for name in ("first", "second", "third") for j in range(10, 14)}
+
+
+def test_pii_rare_pattern_beside_many_common_ones(spark):
+    common = [" ".join(f"word{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}{chr(97 + i // 676)} u{i}x{j}@x.org" for j in range(4)) for i in range(1100)]
+    rare = [f"badge: r{j}@x.org" for j in range(3) for _ in range(4)] + ["badge: AB12345"]
+    assert discovered(spark, common + rare) == {"AB12345"}
+
+
 def test_pii_plan_is_native(spark, docs):
     plan = pii.find_pii(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "MapInArrow" not in plan
