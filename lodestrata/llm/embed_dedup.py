@@ -3,10 +3,10 @@
 Equal vectors are one vector with a multiplicity. Centroids are fitted on a sample of at most
 about SAMPLE_FLOATS components and thinned until no two are closer
 than MERGE, so that a crowd of near-copies has one cell rather than many overlapping ones. Every vector lives in the cell of
-its nearest centroid and also visits each cell whose boundary is nearer than MARGIN. If x lives in a and y in b, their
+its nearest centroid and also visits each cell whose boundary is nearer than a margin. If x lives in a and y in b, their
 distances beyond the boundary of a and b add up to at most |x - y|, so at least one of the two visits the other's cell
-whenever the part of x - y across the boundary is at most 2 * MARGIN. A margin of sqrt(2 - 2 * 0.95) / 2 = 0.158 would make the
-search exact; MARGIN is three standard deviations for a pair at the threshold in 64 dimensions (recall is measured in tests/llm).
+whenever |x - y| is at most twice the margin. Vectors at the threshold are sqrt(2 - 2 * threshold) apart, so half of that (0.158 at
+0.95) loses no link, whatever the vectors: the search is exact.
 
 Vectors within half the threshold's angle of their centroid (the core) are all linked with one another by the triangle
 inequality, so a cell's core counts as a whole and is never compared with itself. The rest of a cell is compared in blocks
@@ -30,11 +30,16 @@ from pyspark.sql import functions as F
 from lodestrata.llm.common import materialize, table
 from lodestrata.llm.graph import components
 
-THRESHOLD, MARGIN, MERGE = 0.95, 0.06, 0.7
+THRESHOLD, MERGE = 0.95, 0.7
 CELL_VECTORS, MAX_CELLS, SAMPLE_PER_CELL, SAMPLE_FLOATS, ROUNDS = 400, 8192, 32, 1 << 23, 8
 ROW_BLOCK, COLUMN_BLOCK = 1024, 4096
 
 
+def exact_margin(threshold: float) -> float:
+    """Half the distance of vectors at the threshold, and a little for rounding."""
+    return math.sqrt(2 - 2 * threshold) / 2 + 1e-6
+
+
 def unit(x: np.ndarray) -> np.ndarray:
     """Rows in double precision, of length 1 (scaled by the largest component first, against overflow)."""
     x = x.astype(np.float64)
@@ -178,8 +183,9 @@ def blocks(placed: DataFrame) -> DataFrame:
     return rows.select("side", "i", "j", *placed.columns).unionByName(columns.select("side", "i", "j", *placed.columns))
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, margin: float = MARGIN) -> DataFrame:
-    """vec_id, n_links, component_id, kept for each row of (vec_id, embedding)."""
+def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, margin: float | None = None) -> DataFrame:
+    """vec_id, n_links, component_id, kept for each row of (vec_id, embedding); with no margin given, the exact one."""
+    margin = exact_margin(threshold) if margin is None else margin
     spark = vectors.sparkSession
     rows = materialize(vectors.select(F.monotonically_increasing_id().alias("row"), "vec_id", "embedding"), "vectors")
     fine = F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)

@@ -381,6 +381,15 @@ def test_embeddings(spark, monkeypatch, row_block, cells):
     assert found >= 0.95 * sum(map(len, adj.values()))
 
 
+def test_embeddings_of_two_dimensions(spark, monkeypatch):
+    """Directions on a circle, so that every difference lies across the boundaries of cells: no link may be lost."""
+    monkeypatch.setattr(embed_dedup, "CELL_VECTORS", 40)
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(np.float32(np.cos(a))), float(np.float32(np.sin(a)))]) for i, a in enumerate(rng.uniform(0, 2 * np.pi, 400))]
+    got = embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).toPandas()
+    assert dict(zip(got.vec_id, got.n_links, strict=True)) == {i: len(x) for i, x in truth(rows).items()}
+
+
 def test_empty_tables(spark, empty):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     bench = spark.createDataFrame([], "item_id long, text string")
