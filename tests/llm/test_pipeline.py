@@ -53,3 +53,21 @@ def test_one_of_equal_rows_stays(spark, tmp_path):
     for docs in (d, spark.read.parquet(str(tmp_path / "d"))):
         assert sorted(map(str, [r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()])) == ["1", "2", "3"]
     assert corpus_pipeline.near_duplicates(spark, d.limit(0), SF).count() == 0
+
+
+def linked(a, b, shingle=5, percent=80):
+    a, b = plain.shingle_set(a, shingle), plain.shingle_set(b, shingle)
+    return 100 * len(a & b) >= percent * len(a | b)
+
+
+def test_near_duplicates_at_five_words_and_four_fifths(spark):
+    """Against brute force: texts of distinct words with more and more words appended, on either side of the threshold."""
+    rows = []
+    for group in range(12):
+        text = [f"g{group}w{i}" for i in range(100)]
+        rows += [(10 * group, " ".join(text)), (10 * group + 1, " ".join(text + [f"g{group}x{i}" for i in range(15 + group)]))]
+    gone = {b[0] for a, b in zip(rows[::2], rows[1::2], strict=True) if linked(a[1], b[1])}
+    between = {b[0] for a, b in zip(rows[::2], rows[1::2], strict=True) if linked(a[1], b[1]) and not linked(a[1], b[1], 4, 85)}
+    assert between and len(gone) < 12
+    d = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, d, SF).collect()} == {i for i, _ in rows} - gone
