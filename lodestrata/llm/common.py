@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import itertools
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -11,7 +12,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -20,48 +21,93 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Temporary folders of applications that have no shared one, as in tests.
+#: Temporary folders of local applications that have no shared one, as in tests.
 _OWN: dict[str, str] = {}
+#: Applications whose scratch folder is marked to be deleted when they end.
+_MARKED: set[str] = set()
+#: Python gets whole texts in batches of about this many bytes, so that a worker's memory is bounded.
+BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset in local mode.
+
+    On a cluster it has to be set: a folder of the driver's machine would be another one on each executor.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         path = _OWN[app] = _OWN.get(app) or "file://" + tempfile.mkdtemp(prefix="lodestrata-")
     return path.rstrip("/")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/lodestrata/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, in a folder of this application that is deleted when it ends."""
+    app = spark.sparkContext.applicationId
+    root = f"{shared_dir(spark)}/lodestrata/{app}"
+    if app not in _MARKED:
+        fs, p = _hadoop(spark, root)
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
+        _MARKED.add(app)
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession):
+    """Actions inside hand Python batches of about BATCH_BYTES; the session's own setting is put back afterwards."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: lineage ends at files that outlive any executor."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = scratch(spark, name)
+    with small_batches(spark):
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
 
+def forget(df: DataFrame) -> None:
+    """Delete the files of a materialized table that no later plan reads."""
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        fs, p = _hadoop(df.sparkSession, path)
+        fs.delete(p, True)
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a path of the shared folder."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
+def _hadoop(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
-def with_row_key(df: DataFrame, name: str = "_key") -> DataFrame:
-    """df with a long that stands for each row and is the same in every scan.
+
+def unused(df: DataFrame, stem: str) -> str:
+    """A column name that df does not have, in any case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    return next(n for n in itertools.chain([stem], (f"{stem}{k}" for k in itertools.count(1))) if n.lower() not in taken)
+
+
+def with_row_key(df: DataFrame) -> tuple[DataFrame, str]:
+    """df with a long that stands for each row and is the same in every scan, and the name of that column.
 
     For files it is a 64-bit hash of the file and the row's place in it, so nothing is copied; other tables are written down
     once with a number.
     """
+    name = unused(df, "_key")
     try:
-        return df.withColumn(name, F.xxhash64(F.col("_metadata.file_path"), F.col("_metadata.row_index")))
+        return df.withColumn(name, F.xxhash64(F.col("_metadata.file_path"), F.col("_metadata.row_index"))), name
     except AnalysisException:
-        return materialize(df.withColumn(name, F.monotonically_increasing_id()), "keyed")
+        return materialize(df.withColumn(name, F.monotonically_increasing_id()), "keyed"), name
 
 
 def tidy(run):
@@ -76,17 +122,28 @@ def tidy(run):
     return tidied
 
 
-def small_batches(df: DataFrame) -> DataFrame:
-    """df, in a session that hands Python whole texts in batches of about 4 MB, so that a worker's memory is bounded."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
-    return df
-
-
 def merge(df: DataFrame) -> DataFrame:
     """df as a side of a sort-merge join: for sides that grow with the input, so that a plan is the same at every size."""
     return df.hint("merge")
 
 
+SALTS = 16
+
+
+def joined_back(df: DataFrame, keys: list[str], by: str, partial: dict[str, Column], final: dict[str, Column], where: str = "true") -> DataFrame:
+    """df with aggregates of its groups, of the groups that meet `where`; the rows of one group are dealt to SALTS tasks.
+
+    partial: aggregates over rows, final: over the partial ones. A group's row is copied once for each of its salts that
+    occur, so the joined side never has more rows than df, and no key brings all its rows to one task.
+    """
+    salt = unused(df, "_salt")
+    salted = df.withColumn(salt, F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    part = salted.groupBy(*keys, salt).agg(*(c.alias(n) for n, c in partial.items()))
+    whole = part.groupBy(*keys).agg(*(c.alias(n) for n, c in final.items()), F.collect_list(salt).alias("_salts")).where(where)
+    spread = whole.select(*keys, *final, F.explode("_salts").alias(salt))
+    return salted.join(merge(spread), [*keys, salt]).drop(salt)
+
+
 class Bloom:
     """A Bloom filter of longs (a null is one of them) with at most MOST_BITS bits: past its capacity it lets more pass, never less."""
 

@@ -1,9 +1,8 @@
 """Connected components of an edge table, by alternating large-star and small-star rounds.
 
-Each round takes every node's smallest neighbour with partial minima and joins it back to the edges; the side of the
-minima has one row for each node, so Spark can split the edges of a hub on the other side. Every round is a table in the
-shared folder. Edges only ever point to smaller nodes, and the rounds end when none changes, with each node of a component
-pointing to its smallest.
+Each round takes every node's smallest neighbour with partial minima and joins it back to the edges, with the edges of a hub
+dealt to several tasks. Every round is a table in the shared folder, and the one before it is deleted. Edges only ever point to
+smaller nodes, and the rounds end when none changes, with each node of a component pointing to its smallest.
 """
 
 from __future__ import annotations
@@ -11,24 +10,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import materialize, merge
+from lodestrata.llm.common import forget, joined_back, materialize
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Edges (a, b) of longs, in any direction, to (node, root) for every node that is not the smallest of its component."""
-    now = materialize(_directed(edges), "edges")
-    before = None
-    for k in range(rounds):
-        large = _star(now, large=True)
-        small = materialize(_star(large, large=False), f"star{k}")
-        seen = small.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        now = small
-        if tuple(seen) == before:
-            break
-        before = tuple(seen)
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    now, before = materialize(_directed(edges), "edges"), None
+    while True:
+        after = materialize(_star(_star(now, large=True), large=False), "star")
+        seen = tuple(after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        forget(now)
+        now = after
+        if seen == before:
+            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        before = seen
 
 
 def _directed(edges: DataFrame) -> DataFrame:
@@ -43,9 +38,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     """
     if large:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        out = both.where("b > a").join(merge(low), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        out = joined_back(both, ["a"], "b", {"p": F.min("b")}, {"m": F.least(F.min("p"), F.first("a"))}).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
-        low = edges.groupBy("a").agg(F.min("b").alias("m"))
-        out = edges.join(merge(low), "a").select("b", "m").where("b <> m").toDF("a", "b").unionByName(low.toDF("a", "b"))
+        out = joined_back(edges, ["a"], "b", {"p": F.min("b")}, {"m": F.min("p")})
+        out = out.select("b", "m").where("b <> m").toDF("a", "b").unionByName(out.select("a", "m").toDF("a", "b"))
     return out.where("a <> b").distinct()
