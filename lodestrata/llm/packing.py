@@ -1,23 +1,29 @@
-"""Best-fit packing of documents into fixed-length sequences by a grouping genetic algorithm on islands.
+"""Best-fit packing of documents into fixed-length sequences by a grouping genetic algorithm on islands that exchange elites.
 
-Every island holds about island_items documents (dealt by a hash, so no source or length is hot) and evolves a small
-population of packings. A crossover injects whole well-filled bins of one parent into the other, takes out the bins that
-hold a document twice, and puts the displaced documents back best fit, longest first. After each epoch the bins that
-are full to within slack tokens are settled; the others migrate whole to the fewer islands of the next epoch, where they
-enter the first population as groups that crossovers can use. The rows left shrink by a large factor each epoch, so the
-last, single island is small at any corpus size, and an epoch is a table in the shared folder.
+Documents are dealt by a hash to shards of about shard_items, so no source or length is hot. Each shard is evolved on ISLANDS
+islands, each with a population of packings of its own. A crossover injects whole well-filled bins of one parent into the
+other, takes out the bins that hold a document twice, and puts the displaced documents back best fit, longest first. Every island
+runs at least MIN_GENERATIONS in each of EPOCHS epochs, and up to MAX_GENERATIONS while it has more bins than its lower bound. After
+an epoch each island sends its elite, its best packing, to the next island of its shard, where it joins the population.
 
-Token ids are those of the byte-level BPE file byte_bpe_50k.json. They are made by tiktoken from the same vocabulary
-(byte_bpe_50k.tiktoken), four times as fast as the tokenizers library and with equal ids (tests/llm holds both against
+The best elite of a shard is kept: its bins that are full to within slack tokens are settled, and the documents of the others
+go, with their bins as a first individual, to the fewer shards of the next level. The rows left shrink by a large factor each
+level, so the last, single shard is small at any corpus size. Every epoch is a table in the shared folder.
+
+Token ids are those of the byte-level BPE file byte_bpe_50k.json as the tokenizers library gives them with its default settings,
+so the text of an added token (<|endoftext|>) in a document is that token. They are made by tiktoken from the same vocabulary
+(byte_bpe_50k.tiktoken and the added tokens of the file), four times as fast and with equal ids (tests/llm holds both against
 each other); a text that tiktoken refuses is encoded by tokenizers.
 
 Defined cases: a null or empty text is the separator alone; repeated rows are packed as often as they occur; a text longer
-than a sequence is cut into whole sequences after a first piece that takes the remainder; an empty table gives no rows.
+than a sequence is cut into whole sequences after a first piece that takes the remainder; an empty table gives no rows; further
+columns are ignored. A text is encoded whole, in memory of about ten times its bytes; batches hold about 4 MB of other texts.
 """
 
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from random import Random
 
@@ -27,14 +33,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import materialize, small_batches, table, tidy
+from lodestrata.llm.common import materialize, table, tidy
 
 CAPACITY, SEPARATOR = 2048, 0
+SHARD_ITEMS, SLACK, LEVELS = 2048, 2, 8
+ISLANDS, EPOCHS, POPULATION, MIN_GENERATIONS, MAX_GENERATIONS = 2, 2, 4, 3, 10
 VOCABULARY, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 
 
 class Encoder:
-    """Texts to token ids, without special tokens."""
+    """Texts to token ids, without the special tokens that a model would add."""
 
     def __init__(self, vocabulary: str = VOCABULARY, ranks: str = RANKS):
         import public_tokenizers as P
@@ -42,12 +50,14 @@ class Encoder:
 
         with open(P.path(ranks), "rb") as f:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.fast = tiktoken.Encoding("packing", pat_str=P.PATTERN, mergeable_ranks=table, special_tokens={})
         self.file, self.slow = P.path(vocabulary), None
+        with open(self.file, encoding="utf-8") as f:
+            added = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+        self.fast = tiktoken.Encoding("packing", pat_str=P.PATTERN, mergeable_ranks=table, special_tokens=added)
 
     def encode(self, text: str) -> np.ndarray:
         try:
-            return self.fast.encode_to_numpy(text, disallowed_special=())
+            return self.fast.encode_to_numpy(text, allowed_special="all")
         except Exception:  # a text beyond the regex engine's stack
             return self.encode_slow(text)
 
@@ -56,7 +66,6 @@ class Encoder:
             from tokenizers import Tokenizer
 
             self.slow = Tokenizer.from_file(self.file)
-            self.slow.encode_special_tokens = True
         return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
@@ -88,7 +97,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, with_ids: bool = False) ->
                     number += 1
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
-    out = small_batches(docs).select("doc_id", "text").mapInArrow(tidy(encode), PIECES_DDL + (", ids array<int>" if with_ids else ""))
+    out = docs.select("doc_id", "text").mapInArrow(tidy(encode), PIECES_DDL + (", ids array<int>" if with_ids else ""))
     return out.withColumn("item", F.spark_partition_id() * F.lit(1 << 33) + F.col("item"))
 
 
@@ -181,83 +190,118 @@ def mutate(p: Packing, rng: Random, share: float = 0.05) -> Packing:
     return p
 
 
-def evolve(sizes: list[int], groups: list[int] | None = None, capacity: int = CAPACITY, seed: int = 0, population: int = 5, generations: int = 12) -> Packing:
-    """Pack one island. groups: the bin that each document arrived in (-1: none), as one individual of the first population."""
+def arrived(sizes: list[int], groups: list[int], capacity: int) -> Packing:
+    """The packing that rows came with: the bin of each document, or -1 for a loose one."""
+    bins: dict[int, list[int]] = {}
+    for i, g in enumerate(groups):
+        bins.setdefault(g, []).append(i)
+    p, loose = Packing(sizes, capacity), bins.pop(-1, [])
+    for items in bins.values():
+        if sum(sizes[i] for i in items) <= capacity:
+            p.open(items)
+        else:
+            loose += items
+    p.best_fit(longest_first(sizes, loose))
+    return p
+
+
+def evolve(sizes: list[int], immigrants: list[list[int]] = (), capacity: int = CAPACITY, seed: int = 0, population: int = POPULATION, least: int = MIN_GENERATIONS, most: int = MAX_GENERATIONS) -> Packing:
+    """One epoch of an island: the best packing of a population that starts with the immigrants (a bin for each document)."""
     rng, n = Random(seed), len(sizes)
     bound = -(-sum(sizes) // capacity)
-    first = Packing(sizes, capacity)
-    first.best_fit(longest_first(sizes, range(n)))
-    pool = [first]
-    if groups is not None and any(g >= 0 for g in groups):
-        arrived: dict[int, list[int]] = {}
-        for i, g in enumerate(groups):
-            arrived.setdefault(g, []).append(i)
+    pool = [arrived(sizes, g, capacity) for g in immigrants]
+    if len(pool) < population:
         p = Packing(sizes, capacity)
-        loose = arrived.pop(-1, [])
-        for items in arrived.values():
-            if sum(sizes[i] for i in items) <= capacity:
-                p.open(items)
-            else:
-                loose += items
-        p.best_fit(longest_first(sizes, loose))
+        p.best_fit(longest_first(sizes, range(n)))
         pool.append(p)
-    if len(first.bins) > bound:
-        while len(pool) < population:
-            p = Packing(sizes, capacity)
-            p.best_fit(sorted(range(n), key=lambda i: -sizes[i] * (0.7 + 0.3 * rng.random())))
-            pool.append(p)
-        for _ in range(generations):
-            pool.sort(key=Packing.fitness, reverse=True)
-            if len(pool[0].bins) <= bound:
-                break
-            children = []
-            for _ in range(population - 1):
-                a, b = rng.sample(range(len(pool)), 2) if len(pool) > 1 else (0, 0)
-                children.append(mutate(crossover(pool[a], pool[b], rng), rng))
-            pool = sorted(pool + children, key=Packing.fitness, reverse=True)[:population]
-    return max(pool, key=Packing.fitness)
-
-
-def island(names: list[str], capacity: int, slack: int, epoch: int, last: bool):
-    """The function that packs the rows of one island."""
+    while len(pool) < population:
+        p = Packing(sizes, capacity)
+        p.best_fit(sorted(range(n), key=lambda i: -sizes[i] * (0.7 + 0.3 * rng.random())))
+        pool.append(p)
+    pool.sort(key=Packing.fitness, reverse=True)
+    for generation in range(most):
+        if generation >= least and len(pool[0].bins) <= bound:
+            break
+        children = []
+        for _ in range(population - 1):
+            a, b = rng.sample(range(len(pool)), 2) if len(pool) > 1 else (0, 0)
+            children.append(mutate(crossover(pool[a], pool[b], rng), rng))
+        pool = sorted(pool + children, key=Packing.fitness, reverse=True)[:population]
+    return pool[0]
+
+
+#: What a row of an island carries besides the item: where it is, and the bins of the individuals that start there (-1: none).
+STATE = {"shard": "long", "island": "int", "role": "int", "bin": "long"}
+
+
+def individuals(pdf: pd.DataFrame) -> tuple[pd.DataFrame, list[list[int]]]:
+    """The items of a group, in order, and the bins of each individual that arrived (own elite, the neighbour's)."""
+    parts = [p.sort_values("item", kind="stable") for _, p in pdf.groupby("role", sort=True)]
+    return parts[0].reset_index(drop=True), [p["bin"].tolist() for p in parts]
+
+
+def epoch(capacity: int, number: int, islands: int):
+    """The function of one island for one epoch: its elite stays and a copy of it goes to the next island."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("item", kind="stable").reset_index(drop=True)
-        sizes, number = pdf["length"].tolist(), int(pdf["island"].iloc[0])
-        best = evolve(sizes, pdf["bin"].tolist(), capacity, seed=number * 1009 + epoch)
-        sequence, offset, settled = np.zeros(len(pdf), np.int64), np.zeros(len(pdf), np.int64), np.zeros(len(pdf), bool)
+        items, came = individuals(pdf)
+        shard, island = int(items["shard"].iloc[0]), int(items["island"].iloc[0])
+        best = evolve(items["length"].tolist(), [g for g in came if any(b >= 0 for b in g)], capacity, seed=(shard * islands + island) * 1009 + number)
+        bins = np.empty(len(items), np.int64)
+        for k, members in enumerate(best.bins.values()):
+            bins[members] = k
+        stay = items.assign(bin=bins, role=0)
+        return pd.concat([stay, stay.assign(island=(island + 1) % islands, role=1)]) if islands > 1 else stay
+
+    return run
+
+
+def settle(names: list[str], capacity: int, slack: int, level: int, last: bool):
+    """The function of one shard: the best elite of its islands, with the places of its documents."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rivals = []
+        for _, p in pdf.groupby("island", sort=True):
+            p = p.sort_values("item", kind="stable").reset_index(drop=True)
+            rivals.append((p, arrived(p["length"].tolist(), p["bin"].tolist(), capacity)))
+        items, best = max(rivals, key=lambda r: r[1].fitness())
+        shard, sizes = int(items["shard"].iloc[0]), items["length"].tolist()
+        sequence, offset, settled = np.zeros(len(items), np.int64), np.zeros(len(items), np.int64), np.zeros(len(items), bool)
         for k, members in enumerate(best.bins.values()):
             at = 0
             for i in sorted(members):
-                sequence[i], offset[i] = (epoch << 56) | (number << 16) | k, at
+                sequence[i], offset[i] = (level << 56) | (shard << 16) | k, at
                 at += sizes[i]
             settled[members] = last or capacity - at <= slack
-        return pdf[names].assign(bin=sequence, sequence_id=sequence, offset=offset, settled=settled)
+        return items[names].assign(bin=sequence, sequence_id=sequence, offset=offset, settled=settled)
 
     return run
 
 
-def pack(items: DataFrame, capacity: int = CAPACITY, island_items: int = 2048, slack: int = 2, epochs: int = 8) -> DataFrame:
+def pack(items: DataFrame, capacity: int = CAPACITY, shard_items: int = SHARD_ITEMS, slack: int = SLACK, levels: int = LEVELS, islands: int = ISLANDS, epochs: int = EPOCHS) -> DataFrame:
     """Add sequence_id and offset to rows of (item, length, ...); item is unique, lengths are 1 to capacity."""
     full = items.where(F.col("length") >= capacity).withColumns({"sequence_id": F.lit(1 << 62) + F.col("item"), "offset": F.lit(0).cast("long")})
     done, left = [full], items.where(F.col("length") < capacity).withColumn("bin", F.lit(-1).cast("long"))
     names = items.columns
-    schema = items.withColumns({"bin": F.lit(0).cast("long"), "sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long"), "settled": F.lit(True)}).schema
+    state_schema = items.withColumns({n: F.lit(0).cast(t) for n, t in STATE.items()}).schema
+    out_schema = items.withColumns({"bin": F.lit(0).cast("long"), "sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long"), "settled": F.lit(True)}).schema
     before = None
-    for epoch in range(epochs):
+    for level in range(levels):
         n = left.count()
         if not n:
             break
-        islands = max(1, round(n / island_items))
-        last = epoch == epochs - 1 or n == before or islands == 1
+        shards = max(1, round(n / shard_items))
+        last = level == levels - 1 or n == before or shards == 1
         before = n
-        # a migrating bin moves whole: it is dealt by its own number, a single document by its item
+        # the documents of a bin move together: they are dealt by its number, a loose one by its item
         key = F.when(F.col("bin") < 0, F.col("item")).otherwise(F.col("bin"))
-
-        dealt = left.withColumn("island", F.pmod(F.xxhash64(key, F.lit(epoch)), F.lit(islands)))
-        state = materialize(dealt.groupBy("island").applyInPandas(island(names, capacity, slack, epoch, last), schema), f"epoch{epoch}")
-        done.append(state.where("settled").select(*names, "sequence_id", "offset"))
-        left = state.where("not settled").select(*names, "bin")
+        dealt = left.withColumn("shard", F.pmod(F.xxhash64(key, F.lit(level)), F.lit(shards)))
+        state = dealt.withColumn("island", F.explode(F.array(*(F.lit(k) for k in range(islands))))).withColumn("role", F.lit(0)).select(*names, *STATE)
+        for number in range(epochs):
+            state = materialize(state.groupBy("shard", "island").applyInPandas(epoch(capacity, level * epochs + number, islands), state_schema), f"level{level}")
+        found = materialize(state.where("role = 0").groupBy("shard").applyInPandas(settle(names, capacity, slack, level, last), out_schema), f"settled{level}")
+        done.append(found.where("settled").select(*names, "sequence_id", "offset"))
+        left = found.where("not settled").select(*names, "bin")
         if last:
             break
     out = done[0]

@@ -246,8 +246,13 @@ def test_packing(spark, docs, texts):
 def test_token_ids_are_those_of_the_tokenizers_library(texts):
     e = packing.Encoder()
     odd = ["", " ", "\n\n  x", "don't   stop", "<|endoftext|>", "日本語 текст", "a" * 5000, " x y", "1234567 ½ ²", "\x00\x01", *(t for _, t in texts if t)]
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    plain_ids = Tokenizer.from_file(P.path("byte_bpe_50k.json"))  # with its default settings
     for t in odd:
-        assert e.encode(t).tolist() == e.encode_slow(t).tolist()
+        assert e.encode(t).tolist() == e.encode_slow(t).tolist() == plain_ids.encode(t, add_special_tokens=False).ids
+    assert 50256 in e.encode("a <|endoftext|> b")
 
 
 def test_genetic_packing_beats_or_meets_best_fit():
@@ -257,6 +262,7 @@ def test_genetic_packing_beats_or_meets_best_fit():
     plain_fit = packing.Packing(sizes, 2048)
     plain_fit.best_fit(packing.longest_first(sizes, range(len(sizes))))
     assert sorted(i for b in p.bins.values() for i in b) == list(range(300)) and len(p.bins) <= len(plain_fit.bins)
+    assert len(packing.evolve(sizes, capacity=2048, seed=1, least=12, most=12).bins) <= len(plain_fit.bins) - 1
     child = packing.crossover(p, plain_fit, random.Random(1))
     assert sorted(i for b in child.bins.values() for i in b) == list(range(300))
 
