@@ -10,7 +10,8 @@ reads every whole text and nothing but the text.
 
 Defined cases: a null text is empty and gets a score like any other; without labels, or with labels of one kind only, every
 score is their mean (0.5 without any); null labels are left out, and several labels of a document count as their mean;
-repeated documents each get their own result; further columns are ignored.
+repeated documents each get their own result; further columns are ignored. A text is read whole, in memory of about forty times
+its bytes; batches hold about 4 MB of other texts.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import crc_mod, small_batches, table, text_slices, tidy
+from lodestrata.llm.common import crc_mod, materialize, table, text_slices, tidy
 from lodestrata.llm.langid import sums
 from lodestrata.llm.words import SPACED, find_words, shingles, word_hashes
 
@@ -118,10 +119,7 @@ class Forest:
         rows = np.arange(len(x))
         for r in self.root:
             at = np.full(len(x), r)
-            for _ in range(DEPTH):
-                inner = self.left[at] > 0
-                if not inner.any():
-                    break
+            while (inner := self.left[at] > 0).any():
                 right = x[rows, self.feature[at]] > self.threshold[at]
                 at = np.where(inner, self.left[at] + right, at)
             total += self.value[at]
@@ -184,7 +182,7 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", rows: int =
     known = labels.where(F.col(target).isin(0, 1)).groupBy("doc_id").agg(F.avg(F.col(target).cast("double")).alias("label"))
     rate = min(1.0, rows / max(1, known.count()))
     chosen = known.where(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1_000_000)) < rate * 1e6)
-    found = small_batches(docs).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label").mapInArrow(tidy(_stats), "label double, x array<double>")
+    found = materialize(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label").mapInArrow(tidy(_stats), "label double, x array<double>"), "statistics")
     x, y = [], []
     for r in found.toLocalIterator():
         if len(x) >= 2 * rows:  # only where an id stands for very many rows
@@ -207,7 +205,7 @@ def score_quality(docs: DataFrame, forest: Forest, threshold: float = THRESHOLD)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[lo:hi], batch.column("held_out")[lo:hi], pa.array(p), pa.array((p >= threshold).astype(np.int32))], schema=schema)
 
     rows = docs.select("doc_id", "text", F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False)).alias("held_out"))
-    return small_batches(rows).mapInArrow(tidy(predict), "doc_id long, held_out boolean, score double, predicted int")
+    return materialize(rows.mapInArrow(tidy(predict), "doc_id long, held_out boolean, score double, predicted int"), "scores")
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
