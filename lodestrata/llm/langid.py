@@ -1,15 +1,18 @@
 """Language identification by multilingual mixture inference.
 
 A text is cut into segments of segment_bytes. Each language gives a segment a likelihood by its byte trigrams;
-expectation-maximisation estimates the proportions of the languages in the document, and the set of languages is the one
-of highest likelihood less penalty * log(segments) for every language after the first, among the best single language and
-the best 2..max_set of the full mixture. The language with the largest share is predicted, its share is the score.
+expectation-maximisation estimates the proportions of the languages in the document. The set of languages is the one of highest
+likelihood less penalty * log(segments) for every language after the first: from the mixture of all, the language of the smallest
+share is left out and the others are estimated again, down to one, and every set on the way competes, as does the single language
+of the highest likelihood. A document may so have any number of languages. The language with the largest share is predicted, its
+share is the score.
 
 Fitting uses a sample of at most about per_language labelled documents of each language, drawn by a hash of the id at a
 rate that the counts of the languages fix; prediction reads whole texts and nothing but the text.
 
 Defined cases: `und` with score 0 where the text is null or has no letter, or where no language was learned; equal
-proportions go to the language that sorts first; repeated rows each get their own result; further columns are ignored.
+proportions go to the language that sorts first; repeated rows each get their own result; further columns are ignored. A text is
+read whole, in memory of about forty times its bytes; batches hold about 4 MB of other texts.
 """
 
 from __future__ import annotations
@@ -19,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import crc_mod, small_batches, table, text_slices, tidy
+from lodestrata.llm.common import crc_mod, materialize, table, text_slices, tidy
 
 BUCKET_BITS = 16
-PER_LANGUAGE, SEGMENT_BYTES, MAX_SET, PENALTY, TEMPER = 3000, 48, 4, 1.0, 0.5
+PER_LANGUAGE, SEGMENT_BYTES, PENALTY, TEMPER, ROUNDS = 3000, 48, 1.0, 0.5, 8
 FIT_PARTITIONS = 8
 
 _FOLD = np.full(256, 32, np.uint8)
@@ -54,7 +57,7 @@ class Model:
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """Learn from docs with text and lang; at most about per_language documents of each language are read."""
-    known = small_batches(docs).where("text is not null and lang is not null").select("doc_id", "text", "lang")
+    known = docs.where("text is not null and lang is not null").select("doc_id", "text", "lang")
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     languages = sorted(counts)
     if not languages:
@@ -73,7 +76,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
         yield pa.RecordBatch.from_arrays([pa.array([x.astype("<f8").tobytes() for x in held], pa.binary()), pa.array(range(len(languages)), pa.int32())], ["counts", "k"])
 
     total = np.zeros((len(languages), 1 << BUCKET_BITS))
-    for r in chosen.repartition(FIT_PARTITIONS).mapInArrow(tidy(count), "counts binary, k int").toLocalIterator():
+    for r in materialize(chosen.repartition(FIT_PARTITIONS).mapInArrow(tidy(count), "counts binary, k int"), "grams").toLocalIterator():
         total[r["k"]] += np.frombuffer(r["counts"], "<f8")
     return Model(languages, total)
 
@@ -98,7 +101,7 @@ def mixture(lik: np.ndarray, weight: np.ndarray, bounds: np.ndarray, share: np.n
     return share, sums(np.log(np.maximum((lik * share[doc]).sum(axis=1), 1e-300)), bounds)
 
 
-def infer(model: Model, raw: np.ndarray, offsets: np.ndarray, segment: int = SEGMENT_BYTES, max_set: int = MAX_SET, penalty: float = PENALTY, rounds: int = 8) -> np.ndarray:
+def infer(model: Model, raw: np.ndarray, offsets: np.ndarray, segment: int = SEGMENT_BYTES, penalty: float = PENALTY, rounds: int = ROUNDS) -> np.ndarray:
     """Language shares of each text of a run: zero outside the chosen set, all zero without a letter."""
     n, k = len(offsets) - 1, len(model.languages)
     if not k or not len(raw):
@@ -113,22 +116,22 @@ def infer(model: Model, raw: np.ndarray, offsets: np.ndarray, segment: int = SEG
     top = score.max(axis=1, keepdims=True)
     lik = np.exp(score - top)
     share, _ = mixture(lik, weight, bounds, np.full((n, k), 1 / k), rounds)
-    rank = np.argsort(-share, axis=1, kind="stable")
-    segments = np.maximum(per, 2)
+    cost = penalty * np.log(np.maximum(per, 2))
     single = sums(score - top, bounds)
-    best = np.argmax(single, axis=1)
-    value = single[np.arange(n), best]
+    best, rows = np.argmax(single, axis=1), np.arange(n)
+    value = single[rows, best]
     out = np.zeros((n, k))
-    out[np.arange(n), best] = 1
-    for size in range(2, min(k, max_set) + 1):
-        start = np.zeros((n, k))
-        rows = np.arange(n)[:, None]
-        start[rows, rank[:, :size]] = share[rows, rank[:, :size]] + 1e-6
-        start /= start.sum(axis=1, keepdims=True)
-        pi, ll = mixture(lik, weight, bounds, start, max(2, rounds // 2))
-        ll -= penalty * (size - 1) * np.log(segments)
-        better = ll > value
-        value[better], out[better] = ll[better], pi[better]
+    out[rows, best] = 1
+    inside = np.ones((n, k), bool)
+    for size in range(k, 1, -1):
+        start = np.where(inside, share + 1e-6, 0)
+        share, likelihood = mixture(lik, weight, bounds, start / start.sum(axis=1, keepdims=True), max(2, rounds // 2))
+        likelihood -= cost * (size - 1)
+        better = likelihood > value
+        value[better], out[better] = likelihood[better], share[better]
+        # the smallest share goes, of equal ones the language that sorts last
+        gone = k - 1 - np.argmin(np.where(inside, share, np.inf)[:, ::-1], axis=1)
+        inside[rows, gone] = False
     out[sums(letter.astype(np.int64), offsets) == 0] = 0
     return out
 
@@ -168,7 +171,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(cols, OUT, strict=True)], schema=OUT)
 
     rows = docs.select("doc_id", "text", F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False)).alias("held_out"))
-    return small_batches(rows).mapInArrow(tidy(predict), "doc_id long, held_out boolean, lang_pred string, score double, languages array<string>, shares array<double>")
+    return materialize(rows.mapInArrow(tidy(predict), "doc_id long, held_out boolean, lang_pred string, score double, languages array<string>, shares array<double>"), "languages")
 
 
 def keep_identified(docs: DataFrame, model: Model, least: float = 1 / 3) -> DataFrame:
