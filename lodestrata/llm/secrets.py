@@ -9,10 +9,12 @@ for what plain rules can't tell from noise, and only reports what decodes:
 * `ssh`: base64 of an openssh-key-v1 container whose length-prefixed fields parse;
 * `pem`: a private key armour around one of these.
 
-A candidate is decoded whole; a text is searched whole. Each row is handled on its own, so there is no shuffle and nothing
-grows but the row itself.
+A candidate is decoded whole; a text is searched whole. Of dotted fields the first three or five are tried, so a token may end a
+sentence. An armour may have header lines (Proc-Type, DEK-Info) and its line breaks may be escaped, as in JSON. Each row is handled
+on its own, so there is no shuffle and nothing grows but the row itself; spans become code points in one pass over the text.
 
-Defined cases: a null text is empty; repeated rows each get their own result; further columns are ignored.
+Defined cases: a null or empty text has no spans; repeated rows each get their own result; further columns are ignored; a very long
+text takes memory of a few times its bytes, beside batches of about 4 MB of other texts.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.llm.common import small_batches, table, tidy
+from lodestrata.llm.common import materialize, table, tidy
 
 
 def _any_case(word: str) -> str:
@@ -40,10 +42,13 @@ ACCESS, HEX = re.compile(r"AKIA[A-Z0-9]+"), re.compile(r"[0-9a-f]+")
 LONG_HEX = re.compile(rb"[0-9a-f]{24}")
 MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 6, 20, 24
 
-SIGNED = re.compile(rb"(?<![A-Za-z0-9_.-])[A-Za-z0-9_-]{8,}+(?:\.[A-Za-z0-9_-]*+){2,4}")
+SIGNED = re.compile(rb"(?<![A-Za-z0-9_.-])ey[A-Za-z0-9_-]{6,}+(?:\.[A-Za-z0-9_-]*+){2,4}")
 #: A candidate of at least this many characters of base64 or hex of either case.
 ENCODED = re.compile(rb"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}+={0,2}")
-ARMOUR = re.compile(rb"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+?)-----END \1-----")
+#: An armour's body: header lines of a name and a value, then base64; line breaks may be escaped.
+_BREAK = rb"(?:\s|\\r|\\n)"
+ARMOUR = re.compile(rb"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----" + _BREAK + rb"*((?:[A-Z][A-Za-z-]*: [^\r\n\\]*" + _BREAK + rb"+)*)((?:[A-Za-z0-9+/=]|" + _BREAK + rb")+?)-----END \1-----")
+BREAKS = re.compile(_BREAK)
 KINDS = ("assign", "access", "hex", "jwt", "der", "ssh", "pem")
 
 
@@ -170,18 +175,49 @@ def base_spans(raw: bytes, low: bytes) -> list[tuple[str, int, int]]:
     return out
 
 
+def signed_end(s: bytes) -> int | None:
+    """How much of a run of dotted fields is a signed token: its first five fields or its first three."""
+    parts = s.split(b".")
+    for n in (5, 3):
+        if len(parts) >= n and is_signed_token(head := b".".join(parts[:n])):
+            return len(head)
+    return None
+
+
+def armoured_key(headers: bytes, body: bytes) -> bool:
+    """Whether an armour's body decodes to a private key; with headers that say it is encrypted, to whole blocks."""
+    data = BREAKS.sub(b"", body)
+    if b"ENCRYPTED" in headers and b"DEK-Info" in headers:
+        plain = base64_bytes(data)
+        return bool(plain) and len(plain) >= 32 and len(plain) % 8 == 0
+    return key_kind(data) is not None
+
+
+def code_points(raw: bytes, places: list[int]) -> dict[int, int]:
+    """The number of code points before each of the byte places."""
+    if raw.isascii():
+        return {p: p for p in places}
+    out, at, n = {}, 0, 0
+    for p in sorted(set(places)):
+        n += len(raw[at:p].decode("utf-8", "surrogatepass"))
+        out[p], at = n, p
+    return out
+
+
 def confirmed_spans(raw: bytes) -> list[tuple[str, int, int]]:
     """Spans that decode to a key or a signed token, in code points."""
-    found = [("pem", *m.span()) for m in ARMOUR.finditer(raw) if key_kind(b"".join(m[2].split()))] if b"PRIVATE KEY-----" in raw else []
-    if b"eyJ" in raw or b"ey" in raw and b"." in raw:
-        found += [("jwt", *m.span()) for m in SIGNED.finditer(raw) if m[0].startswith(b"ey") and is_signed_token(m[0])]
+    found = [("pem", *m.span()) for m in ARMOUR.finditer(raw) if armoured_key(m[2], m[3])] if b"PRIVATE KEY-----" in raw else []
+    if b"ey" in raw and b"." in raw:
+        found += [("jwt", m.start(), m.start() + n) for m in SIGNED.finditer(raw) if (n := signed_end(m[0]))]
+    covered = sorted((s, e) for _, s, e in found)
+    k = reach = 0
     for m in ENCODED.finditer(raw):
-        if (kind := key_kind(m[0])) and not any(s <= m.start() < e for _, s, e in found):
+        while k < len(covered) and covered[k][0] <= m.start():
+            reach, k = max(reach, covered[k][1]), k + 1
+        if m.start() >= reach and (kind := key_kind(m[0])):
             found.append((kind, *m.span()))
-    if not found or raw.isascii():
-        return found
-    point = lambda at: len(raw[:at].decode("utf-8", "surrogatepass"))
-    return [(k, point(s), point(e)) for k, s, e in found]
+    point = code_points(raw, [p for _, s, e in found for p in (s, e)])
+    return [(k, point[s], point[e]) for k, s, e in found]
 
 
 def ordered(spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
@@ -209,7 +245,8 @@ def find_secrets(docs: DataFrame) -> DataFrame:
                     c.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, OUT, strict=True)], schema=OUT)
 
-    return small_batches(docs).select("doc_id", "text").mapInArrow(tidy(scan), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_confirmed long")
+    ddl = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_confirmed long"
+    return materialize(docs.select("doc_id", "text").mapInArrow(tidy(scan), ddl), "secrets")
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
