@@ -3,23 +3,27 @@
 A document is the set of its distinct 4-word shingles; two link when their Jaccard similarity is at least 0.85. Equal sets are
 one set. The join goes from cheap to dear, and every step is exact:
 
-1. Index lists. A set is listed under the tokens of its prefix, which any partner must share one of. Tokens with lists
-   of more than HOT sets go to the end of the token order, so a passage that many documents hold lists none of them
-   unless a set has little else. A list is cut into blocks by size class, and a set only meets blocks of sizes that it can link with.
+1. Index lists. A set is listed under the tokens of its prefix, which any partner must share one of, with its position there.
+   Tokens with lists of more than HOT sets go to the end of the token order, so a passage that many documents hold lists none of
+   them unless a set has little else. A list is cut into blocks by size class and position: a set meets the sets of its own class,
+   and those of the next larger class only from positions that leave enough tokens for an overlap with the smallest of them;
+   the block of its later positions is skipped there.
 2. Relations. All sets of a list block relate to one leader, the member with the smallest hash. A pair that shares a
    listed token shares its leader, so the groups of leaders hold every pair, and lists that repeat a relation are skipped.
-3. Positions. Within a group, prefixes alone bound the overlap: tokens of one prefix below the other's last position that
+3. Positions again. Within a group, prefixes alone bound the overlap: tokens of one prefix below the other's last position that
    the other lacks are lost for good. Pairs that lose too much are dropped before any set is fetched.
-4. Answers. Whole sets are compared within blocks of a group. What a set's component has already answered is not asked again:
-   in groups of more than one block, only sets outside the largest component are compared across blocks, with sets of other
-   components, and only if their distances from the leader (a metric) differ by no more than a link allows.
+4. Answers. Within a block of a group, a set's overlaps with all others are derived from those of the most similar set that has
+   been answered already: only the index lists of the tokens in which the two differ are read (`answers`). What a
+   component has already answered is not asked again: in groups of more than one block, only sets outside the largest component are
+   compared across blocks, with sets of other components, and only if their distances from the leader (a metric) differ by
+   no more than a link allows.
 
 No step emits pairs or gathers a list: lists are counted and reduced by partial aggregation, groups are dealt in blocks of at
 most BLOCK_SETS sets and BLOCK_BYTES bytes, and blocks return spanning forests. Connected components run as tables.
 
 Defined cases: a text without words (or null) is an empty set and links with nothing; with fewer words than a shingle the whole
 sequence is one shingle; rows with equal ids are documents of their own; a null id counts as larger than any other; further
-columns are ignored.
+columns are ignored. A text is read whole, in memory of about forty times its bytes; batches hold about 4 MB of other texts.
 """
 
 from __future__ import annotations
@@ -29,12 +33,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import bloom_of, materialize, merge, small_batches, table, text_slices, tidy
+from lodestrata.llm.common import SALTS, bloom_of, joined_back, materialize, merge, table, text_slices, tidy
 from lodestrata.llm.graph import components
-from lodestrata.llm.words import SPACED, find_words, mix, shingles, word_hashes
+from lodestrata.llm.words import SPACED, find_words, mix, ranges, shingles, word_hashes
 
 SHINGLE, PERCENT = 4, 85
 HOT, HOT_CHUNK = 32, 1 << 20
@@ -189,13 +193,21 @@ def chain(steps: list) -> Callable:
 
 
 def postings(sets: DataFrame) -> DataFrame:
-    return sets.select(F.explode("prefix").alias("t"), "rep", "cls")
+    """(t, rep, n, cls, pos): a row for each token of the prefixes of sets, with its position."""
+    return sets.select("rep", "n", "cls", F.posexplode("prefix").alias("pos", "t"))
 
 
-def relations(lists: DataFrame) -> DataFrame:
-    """(leader, band, rep): the groups. lists: (t, rep, cls) of all sets."""
+def last_position(percent: int) -> Column:
+    """The last position from which a set of n tokens can overlap enough with the smallest set of the next size class."""
+    smallest = F.floor(F.exp((F.col("cls") + 1) * -math.log(percent / 100 - 1e-4)) - 1e-6)
+    return F.col("n") - F.ceil(percent * (F.col("n") + smallest) / (100 + percent) - 1e-9)
+
+
+def relations(lists: DataFrame, percent: int) -> DataFrame:
+    """(leader, band, rep): the groups. lists: the postings of all sets."""
     shared = lists.groupBy("t").agg(F.count("*").alias("c")).where("c > 1").select("t")
-    banded = materialize(lists.join(merge(shared), "t").select("t", "rep", "cls", F.explode(F.array(F.col("cls"), F.col("cls") + 1)).alias("band")), "lists")
+    bands = F.when(F.col("pos") <= last_position(percent), F.array(F.col("cls"), F.col("cls") + 1)).otherwise(F.array("cls"))
+    banded = materialize(lists.join(merge(shared), "t").select("t", "rep", "cls", F.explode(bands).alias("band")), "lists")
     leaders = banded.groupBy("t", "band").agg(F.min(F.struct(F.xxhash64("rep").alias("h"), F.col("rep"))).alias("m"), F.count("*").alias("c"), F.max(F.col("cls") == F.col("band")).alias("own")).where("c > 1 and own").select("t", "band", F.col("m.rep").alias("leader"))
     return banded.join(merge(leaders), ["t", "band"]).select("leader", "band", "rep").distinct()
 
@@ -222,28 +234,66 @@ def by_block(df: DataFrame, key: list[str], run: Callable, ddl: str) -> DataFram
     return df.repartition(*key).sortWithinPartitions(*key).mapInArrow(tidy(run), ddl)
 
 
-def overlaps(a: list[np.ndarray], b: list[np.ndarray] | None = None) -> np.ndarray:
-    """Sizes of all intersections of sets of a with sets of b (or a), by products of 0/1 matrices over shared tokens."""
-    both = a if b is None else a + b
-    lens = np.array([len(x) for x in both])
-    _, token, count = np.unique(np.concatenate(both), return_inverse=True, return_counts=True)
-    owner = np.repeat(np.arange(len(both)), lens)
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of short sets, by products of 0/1 matrices over shared tokens."""
+    lens = np.array([len(x) for x in sets])
+    _, token, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), lens)
     shared = count[token] > 1
     number = np.cumsum(count > 1) - 1
     token, owner = number[token[shared]], owner[shared]
-    m, width = len(a), int((count > 1).sum())
-    out = np.zeros((m, len(both) - m if b is not None else m), np.float32)
+    m, width = len(sets), int((count > 1).sum())
+    out = np.zeros((m, m), np.float32)
     order = np.argsort(token, kind="stable")
     token, owner = token[order], owner[order]
-    step = max(256, (4 << 20) // max(len(both), 1))
+    step = max(256, (4 << 20) // max(m, 1))
     for lo in range(0, width, step):
         i, j = np.searchsorted(token, [lo, lo + step])
-        x = np.zeros((len(both), min(step, width - lo)), np.float32)
+        x = np.zeros((m, min(step, width - lo)), np.float32)
         x[owner[i:j], token[i:j] - lo] = 1
-        out += x[:m] @ (x[m:] if b is not None else x).T
+        out += x @ x.T
     out = np.rint(out).astype(np.int64)
-    if b is None:
-        np.fill_diagonal(out, lens)
+    np.fill_diagonal(out, lens)
+    return out
+
+
+def answers(sets: list[np.ndarray], rows: int | None = None) -> np.ndarray:
+    """Sizes of the intersections of the first `rows` sets (of all, if None) with every set, one set's answers from another's.
+
+    The next set is the one that differs least from a set that has been answered. Its overlaps are that set's, plus the index lists
+    of the tokens that it has beside, less those of the tokens that it lacks; a set that is like none starts from nothing.
+    """
+    m, rows = len(sets), len(sets) if rows is None else rows
+    size = np.array([len(x) for x in sets])
+    _, token, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(m), size)
+    order = np.argsort(token, kind="stable")
+    lists, head = owner[order], np.concatenate([[0], np.cumsum(count)])
+    tokens = np.split(token, np.cumsum(size)[:-1])
+    mark = np.zeros(len(count), bool)
+    out = np.zeros((rows, m), np.int64)
+    differ, like = size[:rows].copy(), np.full(rows, -1)
+    open_ = np.ones(rows, bool)
+    for _ in range(rows):
+        i = int(np.where(open_, differ, np.iinfo(np.int64).max).argmin())
+        mine, r = tokens[i], like[i]
+        if r >= 0:
+            mark[tokens[r]] = True
+            more = mine[~mark[mine]]
+            mark[tokens[r]] = False
+            mark[mine] = True
+            less = tokens[r][~mark[tokens[r]]]
+            mark[mine] = False
+            at = np.concatenate([more, less])
+            n = count[at]
+            sign = np.repeat(np.where(np.arange(len(at)) < len(more), 1.0, -1.0), n)
+            out[i] = out[r] + np.rint(np.bincount(lists[ranges(head[at], n)], sign, m)).astype(np.int64)
+        else:
+            out[i] = np.bincount(lists[ranges(head[mine], count[mine])], minlength=m)
+        open_[i] = False
+        apart = size[i] + size[:rows] - 2 * out[i, :rows]
+        closer = open_ & (apart < differ)
+        differ[closer], like[closer] = apart[closer], i
     return out
 
 
@@ -308,7 +358,7 @@ def compare_within(blocks: DataFrame, percent: int) -> DataFrame:
                 continue
             s = [np.frombuffer(rows["tokens"][i], np.uint64) for i in at]
             n = np.array([len(x) for x in s])
-            label = forest(links(overlaps(s), n, n, percent))
+            label = forest(links(answers(s), n, n, percent))
             held += [(rows["rep"][at[k]], rows["rep"][at[label[k]]]) for k in range(len(at)) if label[k] != k]
             if len(held) > 10_000:
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in held], pa.int64()) for i in range(2)], schema=EDGES)
@@ -335,7 +385,8 @@ def compare_across(blocks: DataFrame, percent: int) -> DataFrame:
             if not len(r):
                 continue
             n = [np.array([len(x) for x in p]) for p in s]
-            ok = links(overlaps([s[0][i] for i in r], [s[1][i] for i in c]), n[0][r], n[1][c], percent) & open_pairs[np.ix_(r, c)]
+            inter = answers([s[0][i] for i in r] + [s[1][i] for i in c], len(r))[:, len(r) :]
+            ok = links(inter, n[0][r], n[1][c], percent) & open_pairs[np.ix_(r, c)]
             a, b = (np.array([rows["rep"][i] for i in p]) for p in pick)
             # one link for each pair of components joins them
             x, y = np.nonzero(ok)
@@ -367,8 +418,10 @@ def big_group_links(big: DataFrame, sets: DataFrame, edges: DataFrame, percent:
     roots = components(edges)
     known = big.join(merge(roots.withColumnRenamed("node", "rep")), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     parts = known.groupBy("leader", "band", "root").agg(F.count("*").alias("c"))
-    largest = parts.groupBy("leader", "band").agg(F.max(F.struct("c", "root")).alias("m"), F.count("*").alias("parts")).where("parts > 1").select("leader", "band", F.col("m.root").alias("giant"))
-    left = materialize(known.join(merge(largest), ["leader", "band"]), "open")
+    # a few rows for each group of several blocks, so that its members join from several tasks
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    largest = parts.groupBy("leader", "band").agg(F.max(F.struct("c", "root")).alias("m"), F.count("*").alias("parts")).where("parts > 1").select("leader", "band", F.col("m.root").alias("giant"), salts)
+    left = materialize(known.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int")).join(merge(largest), ["leader", "band", "salt"]).drop("salt"), "open")
     if left.isEmpty():
         return big.sparkSession.createDataFrame([], "a long, b long")
     full = left.join(merge(sets.select("rep", "tokens")), "rep")
@@ -381,13 +434,12 @@ def big_group_links(big: DataFrame, sets: DataFrame, edges: DataFrame, percent:
     return compare_across(rows.select(names).unionByName(columns.select(names)), percent)
 
 
-def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, key: str | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id and kept (one row of each component, that of the smallest id) for each document row.
 
-    A column key of docs, if there is one, is handed through.
+    key: a column of longs of docs that is handed through.
     """
-    keyed = "key" in docs.columns
-    docs = small_batches(docs.select("doc_id", "text", F.col("key") if keyed else F.lit(None).cast("long").alias("key")))
+    docs = docs.select("doc_id", "text", (F.lit(None).cast("long") if key is None else F.col(f"`{key}`")).alias("key"))
     all_sets = materialize(describe(docs, shingle, percent), "sets")
     # a null id comes after all others
     low = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), F.col("row"))
@@ -400,12 +452,12 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
         warm = materialize(lists.join(merge(hot), "t").select("rep").distinct(), "warm")
         cooler = materialize(cooler_prefixes(docs, materialize(distinct.join(merge(warm), "rep").select("rep", "doc_id", "f1", "f2"), "wanted"), hot, shingle, percent), "cooler")
         lists = lists.join(merge(warm), "rep", "left_anti").unionByName(postings(cooler))
-    groups = materialize(relations(lists), "groups")
+    groups = materialize(relations(lists, percent), "groups")
     # a block holds at most BLOCK_SETS sets and BLOCK_BYTES bytes; sets of a band are of one or two size classes
     most = F.pow(F.lit(1 / (percent / 100 - 1e-4)), F.col("band") + 1) * 8
     fits = F.greatest(F.lit(2), F.least(F.lit(BLOCK_SETS), F.floor(BLOCK_BYTES / most)))
-    sizes = groups.groupBy("leader", "band").agg(F.count("*").alias("c")).withColumn("nb", F.ceil(F.col("c") / fits)).select("leader", "band", "nb")
-    groups = materialize(groups.join(merge(sizes), ["leader", "band"]), "sized")
+    sized = joined_back(groups, ["leader", "band"], "rep", {"p": F.count("*")}, {"c": F.sum("p")})
+    groups = materialize(sized.select("leader", "band", "rep", F.ceil(F.col("c") / fits).alias("nb")), "sized")
     small = groups.where("nb = 1").join(merge(distinct.select("rep", "n", "prefix")), "rep").select("leader", "band", "rep", "n", "prefix")
     parts = materialize(survivors(small, percent), "parts")
     big = groups.where("nb > 1")
@@ -423,7 +475,7 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
     out = all_sets.select("row", "key", "doc_id", "n", "f1", "f2").join(merge(found), ["f1", "f2"], "left")
     component = F.when((F.col("n") > 0) & (F.col("low.id") < (1 << 63) - 1), F.col("low.id")).otherwise(F.col("doc_id"))
     kept = (F.col("n") == 0) | (F.col("low.row") == F.col("row"))
-    return out.select(*["key"] * keyed, "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), kept.alias("kept"))
+    return out.select(*([] if key is None else [F.col("key").alias(key)]), "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), kept.alias("kept"))
 
 
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
