@@ -18,8 +18,12 @@ every repeat is found whole, whatever the number of suffixes of a key and wherev
 The sort is a range partitioning by words and document, so suffixes of one passage spread over as many tasks as their number asks
 for. Documents of equal words are one document for the sort, and each of them repeats the others whole.
 
+With `within`, stretches of MIN_WORDS words that stand at several places of one document are repeats too: they are found where the
+document is scanned, and other_id is then the document itself.
+
 Defined cases: words are those of the Jaccard join (A-Z folded, split at white space); a null or shorter text has no repeats; rows
-with equal ids are documents of their own; further columns are ignored; documents without repeats have no row.
+with equal or null ids are documents of their own, told apart by a key of the row; further columns are ignored; documents without
+repeats have no row. A text is read whole, in memory of about forty times its bytes; batches hold about 4 MB of other texts.
 """
 
 from __future__ import annotations
@@ -31,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import materialize, merge, small_batches, table, text_slices, tidy
+from lodestrata.llm.common import materialize, merge, table, text_slices, tidy, with_row_key
 from lodestrata.llm.words import SPACED, find_words, mix, ranges, shingles, word_hashes
 
 MIN_WORDS, K, WINDOW, NEIGHBOURS = 50, 12, 25, 8
@@ -76,14 +80,30 @@ def fingerprints(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndar
     return out[0], out[1]
 
 
-SCAN = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("keys", pa.list_(pa.int64()))])
+INNER = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("other_start", pa.int32())])
+SCAN = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("keys", pa.list_(pa.int64())), ("inner", pa.list_(INNER))])
+
+
+def inner_repeats(h: np.ndarray, min_words: int) -> list[tuple[int, int, int]]:
+    """(start, end, start elsewhere) of the stretches of min_words words that a document holds at several places."""
+    if len(h) <= min_words:
+        return []
+    g, _ = shingles(h, np.array([0, len(h)]), min_words)
+    _, first, group, count = np.unique(g, return_index=True, return_inverse=True, return_counts=True)
+    at = np.flatnonzero(count[group] > 1)
+    order = np.lexsort((-np.arange(len(g)), group))
+    last = order[np.searchsorted(group[order], np.arange(len(count)))]
+    other = np.where(first[group[at]] == at, last[group[at]], first[group[at]])
+    return list(zip(at.tolist(), (at + min_words).tolist(), other.tolist(), strict=True))
 
 
-def scan(docs: DataFrame, k: int, window: int, min_words: int) -> DataFrame:
-    """row, doc_id, number of words, fingerprint, and the distinct minimisers (hashes of k words) of each document of min_words and more."""
+def scan(docs: DataFrame, k: int, window: int, min_words: int, within: bool = False) -> DataFrame:
+    """row, doc_id, number of words, fingerprint, and the distinct minimisers (hashes of k words) of each document of min_words and more.
+
+    docs: row, doc_id, text. inner: the document's repeats within itself, if within.
+    """
 
     def run(batches):
-        number = 0
         for batch in batches:
             for lo, hi, h, bounds in word_runs(batch.column("text")):
                 f1, f2 = fingerprints(h, bounds)
@@ -94,11 +114,10 @@ def scan(docs: DataFrame, k: int, window: int, min_words: int) -> DataFrame:
                 at, doc = at[counts[doc] >= min_words], doc[counts[doc] >= min_words]
                 heads = np.searchsorted(doc, np.arange(hi - lo + 1))
                 keys = [np.unique(g[at[heads[i] : heads[i + 1]]]).view(np.int64) for i in range(hi - lo)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(number, number + hi - lo)), batch.column("doc_id")[lo:hi], pa.array(counts.astype(np.int64)), pa.array(f1), pa.array(f2), pa.array(keys, pa.list_(pa.int64()))], schema=SCAN)
-                number += hi - lo
+                inner = [[dict(zip(INNER.names, r, strict=True)) for r in inner_repeats(h[a:b], min_words)] if within else [] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("row")[lo:hi], batch.column("doc_id")[lo:hi], pa.array(counts.astype(np.int64)), pa.array(f1), pa.array(f2), pa.array(keys, pa.list_(pa.int64())), pa.array(inner, pa.list_(INNER))], schema=SCAN)
 
-    out = docs.select("doc_id", "text").mapInArrow(tidy(run), "row long, doc_id long, n long, f1 long, f2 long, keys array<long>")
-    return out.withColumn("row", F.spark_partition_id() * F.lit(1 << 33) + F.col("row"))
+    return docs.mapInArrow(tidy(run), "row long, doc_id long, n long, f1 long, f2 long, keys array<long>, inner array<struct<start:int,end:int,other_start:int>>")
 
 
 SUFFIX_DDL = "key long, right binary, left binary, row long, doc_id long, has_left int, has_right int, places array<int>"
@@ -106,7 +125,7 @@ SUFFIX = pa.schema([("key", pa.int64()), ("right", pa.binary()), ("left", pa.bin
 
 
 def suffixes(docs: DataFrame, wanted: DataFrame, k: int, window: int, min_words: int) -> DataFrame:
-    """The suffixes of wanted keys (row, doc_id, f1, f2, keys) with their words as 32-bit hashes: right from the place, left backwards.
+    """The suffixes of wanted keys (row, keys) with their words as 32-bit hashes: right from the place, left backwards.
 
     Places of a document with equal words around them are one suffix with several places.
     """
@@ -115,14 +134,12 @@ def suffixes(docs: DataFrame, wanted: DataFrame, k: int, window: int, min_words:
     def run(batches):
         for batch in batches:
             for lo, hi, h, bounds in word_runs(batch.column("text")):
-                f1, f2 = fingerprints(h, bounds)
-                fits = (f1 == batch.column("f1")[lo:hi].to_numpy()) & (f2 == batch.column("f2")[lo:hi].to_numpy())
                 g, cut = shingles(h, bounds, k)
                 every = minimisers(g, cut, window)
                 heads = np.searchsorted(every, cut)
                 # padded so that every context is whole; the lengths say how much of it is the document's
                 w = np.concatenate([np.zeros(reach, np.uint32), (h >> np.uint64(32)).astype(np.uint32), np.zeros(min_words, np.uint32)])
-                for i in np.flatnonzero(fits):
+                for i in range(hi - lo):
                     at = every[heads[i] : heads[i + 1]]
                     at = at[np.isin(g[at], batch.column("keys")[lo + i].values.to_numpy().view(np.uint64))]
                     if not len(at):
@@ -138,9 +155,9 @@ def suffixes(docs: DataFrame, wanted: DataFrame, k: int, window: int, min_words:
                     same_for_all = lambda c, i=i, lo=lo, m=len(first), batch=batch: batch.column(c)[lo + i : lo + i + 1].take(pa.array(np.zeros(m, np.int64)))
                     yield pa.RecordBatch.from_arrays([pa.array(g[at[first]].view(np.int64)), fixed(one[:, :min_words]), fixed(one[:, min_words:-2]), same_for_all("row"), same_for_all("doc_id"), pa.array(one[:, -2].astype(np.int32)), pa.array(one[:, -1].astype(np.int32)), lists], schema=SUFFIX)
 
-    w = wanted.select(F.col("doc_id").alias("id"), "row", "f1", "f2", "keys")
-    joined = docs.select("doc_id", "text").join(w, F.col("doc_id").eqNullSafe(F.col("id")))
-    return joined.select("row", "doc_id", "f1", "f2", "keys", "text").mapInArrow(tidy(gathered(run, SUFFIX)), SUFFIX_DDL)
+    # both sides have a row for each document at most, and both grow with the input
+    joined = docs.join(merge(wanted.select("row", "keys")), "row")
+    return joined.select("row", "doc_id", "keys", "text").mapInArrow(tidy(gathered(run, SUFFIX)), SUFFIX_DDL)
 
 
 def gathered(run, schema: pa.Schema, rows: int = 5000):
@@ -356,23 +373,27 @@ def merged(batches):
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(schema)], schema=schema)
 
 
-def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, k: int = K, window: int = WINDOW, neighbours: int = NEIGHBOURS) -> DataFrame:
+def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, k: int = K, window: int = WINDOW, neighbours: int = NEIGHBOURS, within: bool = False) -> DataFrame:
     """A row for each repeat: doc_id, start_word, end_word, n_words, and other_id, other_start of a document that shares it."""
-    docs = small_batches(docs.select("doc_id", "text"))
-    scanned = materialize(scan(docs, k, window, min_words).where(F.col("n") >= min_words), "scanned")
+    docs, key = with_row_key(docs.select("doc_id", "text"))
+    docs = docs.select(F.col(key).alias("row"), "doc_id", "text")
+    scanned = materialize(scan(docs, k, window, min_words, within).where(F.col("n") >= min_words), "scanned")
     first = F.min(F.struct("row", "doc_id"))
     copies = scanned.groupBy("f1", "f2").agg(first.alias("a"), F.max(F.struct("row", "doc_id")).alias("b"), F.count("*").alias("c"))
     same = materialize(copies.where("c > 1").select("f1", "f2", "a", "b"), "copies")
     # every copy repeats the first one, and the first one the last
-    whole = scanned.select("row", "doc_id", "n", "f1", "f2").join(same, ["f1", "f2"])
+    whole = scanned.select("row", "doc_id", "n", "f1", "f2").join(merge(same), ["f1", "f2"])
     later = whole.where(F.col("row") != F.col("a.row")).select("row")
     other = F.when(F.col("row") == F.col("a.row"), F.col("b")).otherwise(F.col("a"))
     spans = [whole.select("row", "doc_id", F.lit(0).alias("start"), F.col("n").cast("int").alias("end"), other["row"].alias("other_row"), other["doc_id"].alias("other_id"), F.lit(0).alias("other_start"))]
-    single = scanned.join(later, "row", "left_anti")
-    anchors = single.select("row", "doc_id", "f1", "f2", F.explode("keys").alias("key"))
+    if within:
+        inner = scanned.select("row", "doc_id", F.explode("inner").alias("i"))
+        spans.append(inner.select("row", "doc_id", "i.start", "i.end", F.col("row").alias("other_row"), F.col("doc_id").alias("other_id"), "i.other_start"))
+    single = scanned.join(merge(later), "row", "left_anti")
+    anchors = single.select("row", F.explode("keys").alias("key"))
     # a document has each of its keys once
     often = anchors.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    wanted = anchors.join(often, "key").groupBy("row", "doc_id", "f1", "f2").agg(F.collect_list("key").alias("keys"))
+    wanted = anchors.join(merge(often), "key").groupBy("row").agg(F.collect_list("key").alias("keys"))
     todo = materialize(suffixes(docs, materialize(wanted, "wanted"), k, window, min_words), "suffixes")
     n = todo.count()
     if n:
@@ -385,7 +406,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, k: int = K, w
     for s in spans[1:]:
         every = every.unionByName(s)
     per = every.groupBy("row", "doc_id").agg(F.collect_list(F.struct("start", "end", "other_row", "other_id", "other_start")).alias("spans"))
-    return per.select("doc_id", "spans").mapInArrow(merged, "doc_id long, start_word long, end_word long, n_words long, other_id long, other_start long")
+    return materialize(per.select("doc_id", "spans").mapInArrow(merged, "doc_id long, start_word long, end_word long, n_words long, other_id long, other_start long"), "repeats")
 
 
 def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
