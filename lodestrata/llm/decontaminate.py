@@ -1,16 +1,17 @@
 """Benchmark decontamination by a distributed positional inverted index.
 
 The index is partitioned by document: each block holds the texts of a few megabytes of documents as one row, with the
-flat positions of every indexed term in ascending order. A search intersects, for each phrase, the posting lists of its
-terms after taking off each term's offset in the phrase, starting from the term that is rarest in the block; what is
-left are the exact phrase matches. Proximity search intersects windows of positions in the same way.
+flat positions of every term in ascending order. It is stored once, whatever is searched for later. A search intersects, for each
+phrase, the posting lists of its terms after taking off each term's offset in the phrase, starting from the term that is rarest in
+the block; what is left are the exact phrase matches. Proximity search intersects windows of positions in the same way.
 
 Blocks never meet in a shuffle, so no term, source or group of copies can be hot, and a lost executor costs its blocks
 alone. Test items are taken in chunks of a bounded number of bytes (chunk_bytes, broadcast one by one), so that the size
-of the benchmark is no limit; with a single chunk the index keeps the terms of that chunk only, as others can't match.
+of the benchmark is no limit; only phrases all of whose terms a block holds are looked at there.
 
-Defined cases: a null text has no words; an item without words, or without an id, matches nothing; repeated rows each
-get their own result; several items with one id count once; other columns of the inputs are ignored.
+Defined cases: a null or empty text has no words; an item without words, or without an id, matches nothing; repeated rows each
+get their own result; several items with one id count once; other columns of the inputs are ignored. A text is indexed whole, in
+memory of about thirty times its bytes; other texts share blocks of block_bytes.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import materialize, small_batches, table, text_slices, tidy
+from lodestrata.llm.common import materialize, table, text_slices, tidy
 from lodestrata.llm.words import ALNUM, find_words, ranges, word_hashes
 
 WINDOW, CHUNK_BYTES, BLOCK_BYTES = 10, 8 << 20, 2 << 20
@@ -36,23 +37,6 @@ INDEX = pa.schema([
 INDEX_DDL = "block long, doc_ids array<long>, bounds array<int>, terms array<long>, heads array<int>, postings array<int>"
 
 
-class Terms:
-    """A sorted vocabulary of term hashes with a bit table in front, since most words are not in it."""
-
-    def __init__(self, hashes: np.ndarray):
-        self.sorted = np.unique(hashes)
-        self.bits = np.zeros(1 << 20, bool)
-        self.bits[(self.sorted >> np.uint64(44)).astype(np.int64)] = True
-
-    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where in h a word of the vocabulary stands, and its number there."""
-        at = np.flatnonzero(self.bits[(h >> np.uint64(44)).astype(np.int64)])
-        k = np.searchsorted(self.sorted, h[at])
-        k[k == len(self.sorted)] = 0
-        ok = self.sorted[k] == h[at] if len(self.sorted) else np.zeros(len(at), bool)
-        return at[ok], k[ok]
-
-
 def item_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of all texts and bounds by text."""
     _, _, raw, offsets = next(text_slices(pa.array(texts, pa.string()), 1 << 62))
@@ -84,12 +68,10 @@ def windows(h: np.ndarray, bounds: np.ndarray, window: int):
     return ranges(bounds[:-1], n), np.repeat(np.minimum(counts, window), n), np.repeat(np.arange(len(n)), n)
 
 
-def build_index(docs: DataFrame, terms: np.ndarray | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """A row for each block of documents; terms: the only hashes to keep postings of (all if None)."""
-    held = docs.sparkSession.sparkContext.broadcast(terms)
+def build_index(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """A row for each block of documents, with the postings of all terms; stored in the shared folder."""
 
     def index(batches):
-        keep = None if held.value is None else Terms(held.value)
         number = 0
         for batch in batches:
             ids = batch.column("doc_id")
@@ -97,20 +79,16 @@ def build_index(docs: DataFrame, terms: np.ndarray | None = None, block_bytes: i
                 b, starts, lengths, bounds = find_words(raw, offsets, ALNUM)
                 h = word_hashes(b, starts, lengths)
                 # a gap of one position after each document keeps phrases from crossing into the next
-                place = np.arange(len(h)) + np.repeat(np.arange(hi - lo), np.diff(bounds))
-                if keep is None:
-                    vocabulary, k = np.unique(h, return_inverse=True)
-                else:
-                    at, k = keep.find(h)
-                    vocabulary, place = keep.sorted, place[at]
-                order = np.argsort(k, kind="stable")
-                heads = np.searchsorted(k[order], np.arange(len(vocabulary) + 1))
-                full = np.flatnonzero(np.diff(heads))
-                row = [[number], [ids[lo:hi].to_pylist()], [(bounds + np.arange(hi - lo + 1)).astype(np.int32)], [vocabulary[full].view(np.int64)], [np.append(heads[full], heads[-1]).astype(np.int32)], [place[order].astype(np.int32)]]
+                place = (np.arange(len(h)) + np.repeat(np.arange(hi - lo), np.diff(bounds))).astype(np.int32)
+                order = np.argsort(h, kind="stable")
+                h = h[order]
+                heads = np.append(np.flatnonzero(np.append(True, h[1:] != h[:-1])), len(h)) if len(h) else np.zeros(1, np.int64)
+                row = [[number], [ids[lo:hi].to_pylist()], [(bounds + np.arange(hi - lo + 1)).astype(np.int32)], [h[heads[:-1]].view(np.int64)], [heads.astype(np.int32)], [place[order]]]
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(row, INDEX, strict=True)], schema=INDEX)
                 number += 1
 
-    return small_batches(docs).select("doc_id", "text").mapInArrow(tidy(index), INDEX_DDL).withColumn("block", F.spark_partition_id() * F.lit(1 << 33) + F.col("block"))
+    rows = docs.select("doc_id", "text").mapInArrow(tidy(index), INDEX_DDL)
+    return materialize(rows.withColumn("block", F.spark_partition_id() * F.lit(1 << 33) + F.col("block")), "postings")
 
 
 class Block:
@@ -133,16 +111,19 @@ class Block:
     def phrases(self, h: np.ndarray, first: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Exact matches of the phrases h[first:first+words]: (phrase, position of its first word)."""
         lists = self.lists(h)
-        freq = np.where(lists >= 0, np.diff(self.heads)[lists] if len(self.terms) else 0, 0)
-        width = int(words.max(initial=0))
-        inside = np.arange(width)[None, :] < words[:, None]
-        at = np.minimum(first[:, None] + np.arange(width)[None, :], max(len(h) - 1, 0))
-        f = np.where(inside, freq[at] if len(h) else 0, np.iinfo(np.int64).max)
-        alive = np.flatnonzero((f > 0).all(axis=1)) if width else np.zeros(0, np.int64)
-        rarest = np.argsort(f[alive], axis=1, kind="stable")
-        phrase = np.repeat(np.arange(len(alive)), f[alive, rarest[:, 0]]) if len(alive) else alive
-        lead = lists[first[alive] + rarest[:, 0]] if len(alive) else alive
-        start = self.postings[ranges(self.heads[lead], np.diff(self.heads)[lead])] - rarest[phrase, 0] if len(alive) else alive
+        # phrases all of whose terms the block holds, by running counts of missing terms; only those are laid out
+        gaps = np.concatenate([[0], np.cumsum(lists < 0)])
+        alive = np.flatnonzero((gaps[first + words] == gaps[first]) & (words > 0))
+        width = int(words[alive].max(initial=0))
+        if not width:
+            return alive, alive
+        at = np.minimum(first[alive, None] + np.arange(width)[None, :], len(h) - 1)
+        inside = np.arange(width)[None, :] < words[alive, None]
+        f = np.where(inside, np.diff(self.heads)[lists[at]], np.iinfo(np.int64).max)
+        rarest = np.argsort(f, axis=1, kind="stable")
+        phrase = np.repeat(np.arange(len(alive)), f[np.arange(len(alive)), rarest[:, 0]])
+        lead = lists[first[alive] + rarest[:, 0]]
+        start = self.postings[ranges(self.heads[lead], np.diff(self.heads)[lead])] - rarest[phrase, 0]
         for step in range(1, width):  # intersect with the next rarest list, shifted by its term's offset
             off = rarest[phrase, step]
             more = step < words[alive[phrase]]
@@ -244,38 +225,40 @@ def _digest(batches):
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """For each document row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+    index = build_index(docs)
     chunks = item_chunks(benchmark, chunk_bytes)
     chunk, second = next(chunks, ([], np.zeros(0, np.uint64), np.zeros(1, np.int64))), next(chunks, None)
-    index = materialize(build_index(docs, np.unique(chunk[1]) if second is None else None), "postings")
     if second is None:
-        return search(index, chunk, window, digest=True)
+        return materialize(search(index, chunk, window, digest=True), "hits")
     hits = None
     for part in itertools.chain([chunk, second], chunks):
         found = materialize(search(index, part, window), "hits")
         hits = found if hits is None else hits.unionByName(found)
     hits = hits.groupBy("block", "ordinal", "doc_id", "n_words").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "ends", "items")))
-    return hits.select("doc_id", "n_words", "starts", "ends", "items").mapInArrow(_digest, DIGEST_DDL)
+    return materialize(hits.select("doc_id", "n_words", "starts", "ends", "items").mapInArrow(_digest, DIGEST_DDL), "digests")
+
+
+NEAR = pa.schema([("doc_id", pa.int64()), ("item_id", pa.string()), ("position", pa.int64())])
 
 
 def near_matches(docs: DataFrame, items: DataFrame, slop: int, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Proximity matches: for each document and item the first words of spans of at most slop words that hold all the item's words."""
-    chunks = list(item_chunks(items, chunk_bytes))
-    index = build_index(docs, np.unique(np.concatenate([c[1] for c in chunks])) if len(chunks) == 1 else None)
-    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.string()), ("position", pa.int64())])
-    out = None
-    for chunk in chunks:
-        held = docs.sparkSession.sparkContext.broadcast(chunk)
-
-        def find(batches, held=held):
+    index, out = build_index(docs), None
+
+    def finder(held):
+        def find(batches):
             names, h, bounds = held.value
             for _, b in blocks_of(batches):
                 for k, name in enumerate(names):
                     start = b.near(h[bounds[k] : bounds[k + 1]], slop)
                     d = np.searchsorted(b.bounds, start, "right") - 1
                     if len(start):
-                        yield pa.RecordBatch.from_arrays([b.doc_ids.take(pa.array(d)), pa.array([name] * len(start)), pa.array(start - b.bounds[d])], schema=schema)
+                        yield pa.RecordBatch.from_arrays([b.doc_ids.take(pa.array(d)), pa.array([name] * len(start)), pa.array(start - b.bounds[d])], schema=NEAR)
+
+        return find
 
-        found = index.mapInArrow(find, "doc_id long, item_id string, position long")
+    for chunk in item_chunks(items, chunk_bytes):
+        found = materialize(index.mapInArrow(finder(docs.sparkSession.sparkContext.broadcast(chunk)), "doc_id long, item_id string, position long"), "near")
         out = found if out is None else out.unionByName(found)
     return docs.sparkSession.createDataFrame([], "doc_id long, item_id string, position long") if out is None else out
 
