@@ -5,8 +5,8 @@ of the matches, summed up, are the starts and ends (code points). The patterns m
 runs anchored at their first character (or where the last match ended, \G) and possessive quantifiers, so that a long
 run of one character class costs time in proportion to its length and no stack.
 
-The base spans seed a bootstrap over the whole corpus. A lexical pattern is the word in front of a span; its instances
-are the seeds and the other identifier-like tokens (with a digit, 5 characters or more) that follow it. Each round
+The base spans seed a bootstrap over the whole corpus. A lexical pattern is the word in front of a span, or the two words; its
+instances are the seeds and the other identifier-like tokens (with a digit, 5 characters or more) that follow it. Each round
 scores the pattern-instance graph: a pattern by the share of all its occurrences in the corpus that a known instance
 follows, and by the number of different ones; an instance by the noisy-or of the patterns that accepted ones give it.
 High-confidence patterns make new instances known, which score patterns in the next round. Tokens of accepted instances
@@ -16,10 +16,12 @@ The rounds end when one accepts nothing new; every pattern counts in each round
 be they seeds or instances that earlier rounds accepted.
 
 Nothing is grouped by document in the bootstrap, only counted by pattern and instance (partial sums on the map side, and
-joins that can split a hot key); occurrences are counted by word before they meet the patterns.
+joins that can split a hot key). Occurrences are counted in one pass over the texts, of the words that end a pattern alone; Spark
+decides by the size of that list whether it is broadcast. What is done within a text takes time in proportion to its length:
+prefix sums and running maxima run in blocks, overlaps come from one sorted list.
 
-Defined cases: a null or empty text has no spans; repeated rows each get their own result; further columns are ignored;
-an empty table gives no rows.
+Defined cases: a null or empty text has no spans; repeated rows each get their own result; further columns are ignored (redact keeps
+them, whatever their names); an empty table gives no rows; a very long text is scanned whole, in the memory of its task.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import materialize, table, with_row_key
+from lodestrata.llm.common import forget, materialize, table, unused, with_row_key
 
 KINDS = ("email", "ip", "card", "phone")
 PATTERNS = {
@@ -39,22 +41,35 @@ PATTERNS = {
 #: An identifier-like token: a whole run of these characters with a digit in it.
 TOKEN = r"(?<![A-Za-z0-9._@/+-])(?=[A-Za-z._@/+-]*+[0-9])[A-Za-z0-9._@/+-]{5,}+"
 OCTETS = r"^0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])?(?:\.0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])?){3}$"
-BLOCK, CONTEXT = 128, 80
+BLOCK, PIECE = 128, 4096
 MIN_KNOWN, MIN_PATTERN, MIN_INSTANCE = 3, 0.5, 0.8
 
 
-def running_sums(a: Column) -> Column:
-    """Inclusive prefix sums of an array of longs, in blocks, so that the copying done by concat stays linear."""
+def running(a: Column, combine, zero: int) -> Column:
+    """Inclusive running combination of an array of longs, in blocks, so that the copying done by concat stays linear."""
 
-    def scan(x: Column, start: Column) -> Column:
-        zero = F.struct(start.alias("at"), F.array().cast("array<bigint>").alias("out"))
-        step = lambda s, v: F.struct((s["at"] + v).alias("at"), F.concat(s["out"], F.array(s["at"] + v)).alias("out"))
-        return F.aggregate(x, zero, step, lambda s: s["out"])
+    def along(x: Column, start: Column) -> Column:
+        first = F.struct(start.alias("at"), F.array().cast("array<bigint>").alias("out"))
+        step = lambda s, v: F.struct(combine(s["at"], v).alias("at"), F.concat(s["out"], F.array(combine(s["at"], v))).alias("out"))
+        return F.aggregate(x, first, step, lambda s: s["out"])
 
+    none = F.lit(zero).cast("bigint")
     blocks = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(a) / BLOCK).cast("int") - 1, F.lit(0)))
     part = lambda b: F.slice(a, b * BLOCK + 1, BLOCK)
-    sums = F.transform(blocks, lambda b: F.aggregate(part(b), F.lit(0).cast("bigint"), lambda s, v: s + v))
-    return F.flatten(F.transform(F.arrays_zip(blocks.alias("b"), scan(sums, F.lit(0).cast("bigint")).alias("e"), sums.alias("s")), lambda z: scan(part(z["b"]), z["e"] - z["s"])))
+    whole = along(F.transform(blocks, lambda b: F.aggregate(part(b), none, combine)), none)
+    return F.flatten(F.transform(F.arrays_zip(blocks.alias("b"), F.concat(F.array(none), whole).alias("before")), lambda z: F.when(z["b"].isNotNull(), along(part(z["b"]), z["before"])).otherwise(F.array().cast("array<bigint>"))))
+
+
+def running_sums(a: Column) -> Column:
+    return running(a, lambda x, y: x + y, 0)
+
+
+def larger(x: Column, y: Column) -> Column:
+    return F.greatest(x, y)
+
+
+def running_maxima(a: Column) -> Column:
+    return running(a, larger, 0)
 
 
 def digits(x: Column) -> Column:
@@ -81,11 +96,28 @@ def valid(kind: str, x: Column) -> Column:
 
 
 def front(piece: Column) -> Column:
-    """The last word of the text in front of a span, in lower case ('' if there is none near)."""
-    return F.lower(F.regexp_extract(F.substring(piece, -CONTEXT, CONTEXT), r"(\S++)\s*+$", 1))
+    """The last word and the last two words of the text in front of a span, in lower case ('' where there are none).
+
+    The piece is turned round, so that the search begins at the span and ends after two words.
+    """
+    back = F.reverse(piece)
+    one, two = (F.lower(F.reverse(F.regexp_extract(back, r"^\s*+(\S++)(?:\s++(\S++))?", k))) for k in (1, 2))
+    return F.filter(F.array(one, F.when(two != "", F.concat_ws(" ", two, one))), lambda w: w.isNotNull() & (w != ""))
 
 
-SPAN = "array<struct<start:bigint,end:bigint,match:string,front:string>>"
+def free(tokens: Column, spans: Column) -> Column:
+    """The tokens that overlap none of the spans: both in one sorted list, with the furthest end before and the next start behind."""
+    event = lambda s, own: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(own).alias("own"), s["match"].alias("match"), s["front"].alias("front"))
+    events = F.array_sort(F.concat(F.transform(spans, lambda s: event(s, 0)), F.transform(tokens, lambda t: event(t, 1))))
+    reach = running_maxima(F.transform(events, lambda e: F.when(e["own"] == 0, e["end"]).otherwise(F.lit(0).cast("bigint"))))
+    # starts are not negative: the largest of -1 - start from the right is the next start
+    ahead = F.reverse(running(F.reverse(F.transform(events, lambda e: F.when(e["own"] == 0, -1 - e["start"]).otherwise(F.lit(-(1 << 62)).cast("bigint")))), larger, -(1 << 62)))
+    marked = F.arrays_zip(events.alias("e"), reach.alias("reach"), ahead.alias("ahead"))
+    kept = F.filter(marked, lambda z: (z["e"]["own"] == 1) & (z["reach"] <= z["e"]["start"]) & (-1 - z["ahead"] >= z["e"]["end"]))
+    return F.transform(kept, lambda z: F.struct(z["e"]["start"].alias("start"), z["e"]["end"].alias("end"), z["e"]["match"].alias("match"), z["e"]["front"].alias("front")))
+
+
+SPAN = "array<struct<start:bigint,end:bigint,match:string,front:array<string>>>"
 
 
 def spans_of(docs: DataFrame, kind: str, pattern: str, present: Column) -> DataFrame:
@@ -112,22 +144,27 @@ def scan(docs: DataFrame) -> DataFrame:
     # a full stop or dash behind a token is not part of it
     trimmed = F.transform("token", lambda s: F.struct(s["start"].alias("start"), (s["start"] + F.length(F.rtrim(s["match"], F.lit("._-/+")))).alias("end"), F.rtrim(s["match"], F.lit("._-/+")).alias("match"), s["front"].alias("front")))
     rows = rows.withColumn("token", trimmed)
-    free = F.filter("token", lambda t: (F.length(t["match"]) >= 5) & ~F.exists("_all", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
-    return rows.withColumn("token", free).select("row", "doc_id", *KINDS, "token")
+    rows = rows.withColumn("token", F.filter("token", lambda t: F.length(t["match"]) >= 5))
+    rows = rows.withColumn("token", F.when((F.size("token") > 0) & (F.size("_all") > 0), free(F.col("token"), F.col("_all"))).otherwise(F.col("token")))
+    return rows.select("row", "doc_id", *KINDS, "token")
 
 
 def bootstrap(docs: DataFrame, scanned: DataFrame) -> DataFrame:
     """Accepted instances: a column instance."""
     spark = docs.sparkSession
-    mention = lambda c, seed: scanned.select(F.explode(c).alias("s")).select(F.col("s.front").alias("pattern"), F.col("s.match").alias("instance"), F.lit(seed).alias("seed"))
-    mentions = mention(F.concat(*KINDS), True).unionByName(mention(F.col("token"), False)).where("pattern <> ''")
-    graph = materialize(mentions.groupBy("pattern", "instance").agg(F.count("*").alias("n"), F.max("seed").alias("known")), "graph")
-
-    # a pattern of fewer instances can never have MIN_KNOWN known ones; one without occurrences as a word of its own has no share
-    able = graph.groupBy("pattern").agg(F.count("*").alias("c")).where(F.col("c") >= MIN_KNOWN).select("pattern")
-    words = docs.select(F.explode(F.split(F.lower("text"), r"\s+")).alias("pattern"))
-    total = materialize(words.groupBy("pattern").agg(F.count("*").alias("total")).join(able, "pattern"), "occurrences")
-    graph = materialize(graph.join(total, "pattern"), "graph0")
+    mention = lambda c, seed: scanned.select(F.explode(c).alias("s")).select(F.explode("s.front").alias("pattern"), F.col("s.match").alias("instance"), F.lit(seed).alias("seed"))
+    mentions = mention(F.concat(*KINDS), True).unionByName(mention(F.col("token"), False))
+    found = materialize(mentions.groupBy("pattern", "instance").agg(F.count("*").alias("n"), F.max("seed").alias("known")), "mentions")
+
+    # a pattern of fewer instances can never have MIN_KNOWN known ones; one that never stands as words of its own has no share
+    able = materialize(found.groupBy("pattern").agg(F.count("*").alias("c")).where(F.col("c") >= MIN_KNOWN).select("pattern"), "patterns")
+    last = able.select(F.substring_index("pattern", " ", -1).alias("one")).distinct()
+    words = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")
+    pairs = docs.select(words.alias("w")).select(F.explode(F.transform("w", lambda w, i: F.struct(w.alias("one"), F.coalesce(F.get("w", i - 1), F.lit("")).alias("two")))).alias("p")).select("p.one", "p.two")
+    met = pairs.join(last, "one").groupBy("one", "two").agg(F.count("*").alias("n"))
+    counted = met.select(F.col("one").alias("pattern"), "n").unionByName(met.where("two <> ''").select(F.concat_ws(" ", "two", "one").alias("pattern"), "n"))
+    total = materialize(counted.groupBy("pattern").agg(F.sum("n").alias("total")).join(able, "pattern"), "occurrences")
+    graph = materialize(found.join(total, "pattern"), "graph0")
     accepted, k = spark.createDataFrame([], "instance string"), 0
     while True:
         known = graph.where("known").groupBy("pattern", "total").agg(F.count("*").alias("known"), F.sum("n").alias("hits"))
@@ -137,7 +174,9 @@ def bootstrap(docs: DataFrame, scanned: DataFrame) -> DataFrame:
         if new.isEmpty():
             return accepted.distinct()
         accepted, k = accepted.unionByName(new), k + 1
-        graph = materialize(graph.join(new.withColumn("new", F.lit(True)), "instance", "left").withColumn("known", F.col("known") | F.col("new").isNotNull()).drop("new"), f"graph{k}")
+        after = materialize(graph.join(new.withColumn("new", F.lit(True)), "instance", "left").withColumn("known", F.col("known") | F.col("new").isNotNull()).drop("new"), f"graph{k}")
+        forget(graph)
+        graph = after
 
 
 def joined(spans: Column) -> Column:
@@ -159,20 +198,38 @@ def find_pii(docs: DataFrame) -> DataFrame:
     return scanned.select("row", "doc_id", base.alias("base")).join(added, "row", "left").select("row", "doc_id", "base", F.coalesce(labelled("id", "extra"), F.array()).cast("array<struct<kind:string,start:bigint,end:bigint>>").alias("added"))
 
 
+def cut_out(blocks: Column, start: Column, end: Column) -> Column:
+    """Code points start to end of a text that is cut into blocks of PIECE code points."""
+    each = F.sequence(F.floor(start / PIECE), F.greatest(F.floor((end - 1) / PIECE), F.floor(start / PIECE)))
+    inside = lambda b: F.substring(F.get(blocks, b.cast("int")), (F.greatest(start - b * PIECE, F.lit(0)) + 1).cast("int"), (F.least(end - b * PIECE, F.lit(PIECE)) - F.greatest(start - b * PIECE, F.lit(0))).cast("int"))
+    return F.when(end > start, F.array_join(F.transform(each, inside), "")).otherwise("")
+
+
+def redacted(text: Column, spans: Column) -> Column:
+    """text with each span (start, end, kind; sorted) replaced by its kind; where two overlap, the later covers what the earlier left."""
+    ends = F.concat(F.array(F.lit(0).cast("bigint")), running_maxima(F.transform(spans, lambda s: s["end"])))
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    packed = F.struct(blocks.alias("blocks"), ends.alias("ends"))
+
+    def pieces(p: Column) -> Column:
+        part = lambda s, i: F.when(s["end"] > F.get(p["ends"], i), F.concat(cut_out(p["blocks"], F.get(p["ends"], i), F.greatest(s["start"], F.get(p["ends"], i))), F.lit("["), s["kind"], F.lit("]"))).otherwise("")
+        return F.concat(F.array_join(F.transform(spans, part), ""), cut_out(p["blocks"], F.element_at(p["ends"], -1), F.length(text).cast("bigint")))
+
+    # by way of an array of one, so that blocks and ends are worked out once
+    return F.transform(F.array(packed), pieces)[0]
+
+
 def redact(docs: DataFrame) -> DataFrame:
     """The documents with every span replaced by its kind in square brackets, and n_chars brought up to date."""
-    keyed = with_row_key(docs, "_row")
-    body = keyed.select(F.col("_row").alias("doc_id"), "text")
-    found = find_pii(body).select(F.col("doc_id").alias("_row"), F.array_sort(F.transform(F.concat("base", "added"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))).alias("_s")).where(F.size("_s") > 0)
-    # spans in order; where two overlap, the later one only covers what the earlier one left
-    piece = "struct<at:bigint,out:array<string>>"
-    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out")).cast(piece)
-    step = lambda a, s: F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(s["end"] <= a["at"], a["out"]).otherwise(F.concat(a["out"], F.array(F.substring("text", (a["at"] + 1).cast("int"), F.greatest(s["start"] - a["at"], F.lit(0)).cast("int")), F.concat(F.lit("["), s["kind"], F.lit("]"))))).alias("out")).cast(piece)
-    clean = F.aggregate("_s", zero, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring("text", (a["at"] + 1).cast("int"), F.length("text"))))
-    both = keyed.join(found, "_row", "left").withColumn("text", F.when(F.col("_s").isNull(), F.col("text")).otherwise(clean))
+    keyed, key = with_row_key(docs)
+    ordered = F.array_sort(F.transform(F.concat("base", "added"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    spans, row = unused(keyed, "_spans"), unused(keyed, "_row")
+    found = find_pii(keyed.select(F.col(key).alias("doc_id"), "text")).select(F.col("doc_id").alias(row), ordered.alias(spans)).where(F.size(spans) > 0)
+    clean = F.when(F.col(spans).isNull(), F.col("text")).otherwise(redacted(F.col("text"), F.col(spans)))
+    both = keyed.join(found, F.col(key) == F.col(row), "left").withColumn("text", clean)
     if "n_chars" in docs.columns:
-        both = both.withColumn("n_chars", F.when(F.col("_s").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return both.select(*docs.columns)
+        both = both.withColumn("n_chars", F.when(F.col(spans).isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+    return both.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
