@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import crc_mod, materialize, small_batches, table, with_row_key
+from lodestrata.llm.common import crc_mod, materialize, table, with_row_key
 from lodestrata.llm.decontaminate import decontaminate
 from lodestrata.llm.jaccard import jaccard_components
 from lodestrata.llm.langid import fit, keep_identified
@@ -15,40 +15,53 @@ from lodestrata.llm.pii import redact
 NEAR_SHINGLE, NEAR_PERCENT = 5, 80
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """Rows of docs (with _key) whose key is not in gone (key)."""
-    return docs.join(gone, docs["_key"] == gone["key"], "left_anti").drop("_key")
+def _without(docs: DataFrame, key: str, gone: DataFrame) -> DataFrame:
+    """Rows of docs, without their key, whose key is not in gone (of one column)."""
+    return docs.join(gone.toDF("gone"), F.col(f"`{key}`") == F.col("gone"), "left_anti").drop(key)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language go: no text, no letter, or no language with a third of the text (mixtures of two stay)."""
-    return keep_identified(small_batches(docs), fit(docs.where(crc_mod("doc_id", 4) != 2)))
+    """Documents without a language go: no text, no letter, or no language with a third of the text (mixtures of two stay).
+
+    Null and empty texts go; other null columns, repeated rows, very long texts and further columns stay as they are.
+    """
+    return keep_identified(docs, fit(docs.where(crc_mod("doc_id", 4) != 2)))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked ones stays, that of the smallest id.
+    """One document of each group of linked ones stays, that of the smallest id (a null id counts as larger than any other).
 
     Documents are linked at a Jaccard similarity of 0.8 on shingles of five words; four words and 0.85 bind op5_jaccard alone.
+    Of repeated rows one stays; null and empty texts link with nothing and stay; further columns, of any name, are kept.
     """
-    keyed = with_row_key(docs)
-    found = jaccard_components(keyed.select(F.col("_key").alias("key"), "doc_id", "text"), shingle=NEAR_SHINGLE, percent=NEAR_PERCENT)
-    return _without(keyed, materialize(found.where("not kept").select("key"), "dropped"))
+    keyed, key = with_row_key(docs)
+    found = jaccard_components(keyed, shingle=NEAR_SHINGLE, percent=NEAR_PERCENT, key=key)
+    return _without(keyed, key, materialize(found.where("not kept").select(key), "dropped"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
-    keyed = with_row_key(docs)
-    found = decontaminate(keyed.select(F.col("_key").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
-    return _without(keyed, materialize(found.where("contaminated").select(F.col("doc_id").alias("key")), "leaks"))
+    """Documents that hold a window of a benchmark item go.
+
+    Null and empty texts stay, each repeated row is judged alike; further columns, of any name, are kept.
+    """
+    keyed, key = with_row_key(docs)
+    found = decontaminate(keyed.select(F.col(key).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    return _without(keyed, key, materialize(found.where("contaminated").select("doc_id"), "leaks"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is replaced by its kind; no document goes."""
+    """Personal data is replaced by its kind; no document goes.
+
+    Null and empty texts stay as they are, repeated rows are treated alike; further columns, of any name, are kept.
+    """
     return redact(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document stands in the packed sequences."""
+    """Where each piece of each document stands in the packed sequences.
+
+    A null or empty text is its separator alone, repeated rows are packed as often as they occur; further columns are left out.
+    """
     return best_fit_packing(docs)
 
 
