@@ -16,8 +16,8 @@ The rounds end when one accepts nothing new; every pattern counts in each round
 be they seeds or instances that earlier rounds accepted.
 
 Nothing is grouped by document in the bootstrap, only counted by pattern and instance (partial sums on the map side, and
-joins that can split a hot key). Occurrences are counted in one pass over the texts, of the words that end a pattern alone: up to
-MOST_WORDS of them are broadcast, a longer list is joined to the counts of all pairs of words. What is done within a text takes time in proportion to its length:
+joins that can split a hot key). Occurrences are counted in one pass over the texts, of words and of the pairs that are patterns: up
+to MOST_PAIRS of those are broadcast, a longer list is joined to the counts of all pairs of words. What is done within a text takes time in proportion to its length:
 prefix sums and running maxima run in blocks, overlaps come from one sorted list.
 
 Defined cases: a null or empty text has no spans; repeated rows each get their own result; further columns are ignored (redact keeps
@@ -41,7 +41,7 @@ PATTERNS = {
 #: An identifier-like token: a whole run of these characters with a digit in it.
 TOKEN = r"(?<![A-Za-z0-9._@/+-])(?=[A-Za-z._@/+-]*+[0-9])[A-Za-z0-9._@/+-]{5,}+"
 OCTETS = r"^0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])?(?:\.0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])?){3}$"
-BLOCK, PIECE, MOST_WORDS = 128, 4096, 1 << 18
+BLOCK, PIECE, MOST_PAIRS = 128, 4096, 1 << 18
 MIN_KNOWN, MIN_PATTERN, MIN_INSTANCE = 3, 0.5, 0.8
 
 
@@ -158,13 +158,16 @@ def bootstrap(docs: DataFrame, scanned: DataFrame) -> DataFrame:
 
     # a pattern of fewer instances can never have MIN_KNOWN known ones; one that never stands as words of its own has no share
     able = materialize(found.groupBy("pattern").agg(F.count("*").alias("c")).where(F.col("c") >= MIN_KNOWN).select("pattern"), "patterns")
-    last = materialize(able.select(F.substring_index("pattern", " ", -1).alias("one")).distinct(), "words")
+    # one pass counts every word, and the pairs that are patterns beside the word alone
+    pair = able.where("pattern like '% %'").select(F.substring_index("pattern", " ", 1).alias("two"), F.substring_index("pattern", " ", -1).alias("one"), F.lit(True).alias("able"))
     words = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")
-    pairs = docs.select(words.alias("w")).select(F.explode(F.transform("w", lambda w, i: F.struct(w.alias("one"), F.coalesce(F.get("w", i - 1), F.lit("")).alias("two")))).alias("p")).select("p.one", "p.two")
-    # a short list of words is broadcast; a longer one meets the pairs of words once they are counted
-    met = pairs.join(F.broadcast(last), "one") if last.count() <= MOST_WORDS else pairs
-    met = met.groupBy("one", "two").agg(F.count("*").alias("n")).join(merge(last), "one", "left_semi")
-    counted = met.select(F.col("one").alias("pattern"), "n").unionByName(met.where("two <> ''").select(F.concat_ws(" ", "two", "one").alias("pattern"), "n"))
+    pairs = docs.select(words.alias("w")).select(F.explode(F.transform("w", lambda w, i: F.struct(w.alias("one"), F.coalesce(F.get("w", i - 1), F.lit("")).alias("two")))).alias("p")).select("p.one", "p.two", F.lit(1).cast("long").alias("n"))
+    if pair.count() <= MOST_PAIRS:
+        met = pairs.join(F.broadcast(pair), ["one", "two"], "left")
+    else:
+        met = pairs.groupBy("one", "two").agg(F.sum("n").alias("n")).join(merge(pair), ["one", "two"], "left")
+    met = materialize(met.groupBy("one", F.when(F.col("able"), F.col("two")).alias("two")).agg(F.sum("n").alias("n")), "words")
+    counted = met.select(F.col("one").alias("pattern"), "n").unionByName(met.where("two is not null").select(F.concat_ws(" ", "two", "one").alias("pattern"), "n"))
     total = materialize(counted.groupBy("pattern").agg(F.sum("n").alias("total")).join(able, "pattern"), "occurrences")
     graph = materialize(found.join(total, "pattern"), "graph0")
     accepted, k = spark.createDataFrame([], "instance string"), 0
