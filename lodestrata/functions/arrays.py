@@ -83,3 +83,15 @@ def chord(correlation) -> Column:
 def root(x) -> Column:
     """Square root of max(x, 0)."""
     return F.sqrt(F.greatest(_c(x), F.lit(0.0)))
+
+
+def register(spark) -> None:
+    """The vector expressions as SQL functions of the session: vector_dot, vector_norm, vector_euclidean, vector_cosine."""
+    bodies = {
+        "dot": "aggregate(zip_with(x, y, (a, b) -> a * b), 0D, (s, v) -> s + v)",
+        "euclidean": "sqrt(aggregate(zip_with(x, y, (a, b) -> (a - b) * (a - b)), 0D, (s, v) -> s + v))",
+    }
+    for name, body in bodies.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION vector_{name}(x ARRAY<DOUBLE>, y ARRAY<DOUBLE>) RETURNS DOUBLE RETURN {body}")
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION vector_norm(x ARRAY<DOUBLE>) RETURNS DOUBLE RETURN sqrt(vector_dot(x, x))")
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION vector_cosine(x ARRAY<DOUBLE>, y ARRAY<DOUBLE>) RETURNS DOUBLE RETURN 1 - vector_dot(x, y) / (vector_norm(x) * vector_norm(y))")

@@ -19,6 +19,8 @@ from lodestrata.operators.transport import balanced_assignment
 from lodestrata.sources.contracts import none, require, unique
 
 BLOCK = 512
+#: Differences that a block holds at once: 64 MB of doubles, whatever the width.
+DIFFERENCES = 1 << 23
 
 
 def first_rows(clouds: DataFrame, m: int) -> DataFrame:
@@ -66,7 +68,8 @@ def _block_sum(kernel: str, bandwidth: float, alpha: float):
             k = x @ y.T
         else:
             # direct differences: exact zeros for equal points, which the Gram form would lose
-            d2 = np.concatenate([((x[i : i + 64, None, :] - y[None, :, :]) ** 2).sum(axis=2) for i in range(0, len(x), 64)])
+            step = max(1, DIFFERENCES // max(1, y.size))
+            d2 = np.concatenate([((x[i : i + step, None, :] - y[None, :, :]) ** 2).sum(axis=2) for i in range(0, len(x), step)])
             k = KERNELS[kernel](d2, bandwidth, alpha)
         names_i, code_i = np.unique(left["item"].to_numpy(), return_inverse=True)
         names_j, code_j = np.unique(right["item"].to_numpy(), return_inverse=True)
@@ -150,12 +153,19 @@ def mmd(clouds: DataFrame, kernel: str = "linear", bandwidth: float = 1.0, norma
 
 def median_bandwidth(clouds: DataFrame, cap: int = 512) -> float:
     """Median positive distance among at most cap rows, evenly spaced in the order of item and key."""
-    n = clouds.count()
-    w = Window.orderBy("item", "key")
-    chosen = clouds.withColumn("p", F.row_number().over(w) - 1)
-    if n > cap:
-        picks = sorted({int(x) for x in np.linspace(0, n - 1, cap)})
-        chosen = chosen.join(F.broadcast(clouds.sparkSession.createDataFrame([(p,) for p in picks], "p int")), "p")
+    # a row's place is its item's offset (a row for each item) and its rank among that item's keys, so no task sees all rows
+    sizes = sorted((r["item"], r["n"]) for r in clouds.groupBy("item").agg(F.count(F.lit(1)).alias("n")).collect())
+    n, starts = 0, []
+    for item, k in sizes:
+        starts.append((item, n))
+        n += k
+    picks = sorted({int(x) for x in np.linspace(0, n - 1, min(n, cap))}) if n else []
+    kind = clouds.schema["item"].dataType.simpleString()
+    spark = clouds.sparkSession
+    offset = F.broadcast(spark.createDataFrame(starts, f"item {kind}, _start long"))
+    place = clouds.select("item", "key").withColumn("_r", F.row_number().over(Window.partitionBy("item").orderBy("key")) - 1).join(offset, "item").select("item", "key", (F.col("_start") + F.col("_r")).alias("p"))
+    wanted = place.join(F.broadcast(spark.createDataFrame([(p,) for p in picks], "p long")), "p")
+    chosen = clouds.join(F.broadcast(wanted), ["item", "key"])
     a, b = chosen.select("p", A.doubles("v").alias("x")), chosen.select(F.col("p").alias("q"), A.doubles("v").alias("y"))
     d = a.join(F.broadcast(b), F.col("p") < F.col("q")).select(A.euclidean("x", "y").alias("d")).where("d > 0")
     return d.agg(F.median("d")).first()[0]

@@ -11,6 +11,7 @@ from lodestrata.functions.ranks import spearman, top_k
 from lodestrata.operators.pairs import row_normalized, set_overlap
 from lodestrata.operators.quadratic import affine_qp, free_qp, simplex_qp
 from lodestrata.operators.transport import assignment, balanced_assignment, costs, second_best_gap
+from lodestrata.sources.contracts import ContractError
 
 
 def median_off_diagonal(pairs: DataFrame, value: str = "value") -> DataFrame:
@@ -134,6 +135,8 @@ def support_null(first: DataFrame, second: DataFrame, draws: int, seed: int) ->
     return met.groupBy("draw").agg(F.avg(F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))).alias("jaccard"))
 
 
+#: Numbers of all clouds together that a projection may hold in each task (512 MB of doubles).
+MOST_NUMBERS = 1 << 26
 PROJECTION = "target string, candidate string, weight double, gap double, value double"
 
 
@@ -179,6 +182,9 @@ def wasserstein_projections(clouds: DataFrame, order: int = 2) -> DataFrame:
 
     Couplings are fixed to the target. gap is the smallest cost of moving off any coupling: 0 marks a matching that is not unique.
     """
+    size = clouds.agg(F.sum(F.size("v")).alias("s")).first()["s"] or 0
+    if size > MOST_NUMBERS:
+        raise ContractError(f"{size} numbers are too many to hold in a task: take fewer rows of each item (first_rows), or anchored_couplings")
     whole = clouds.groupBy(F.col("item").cast("string").alias("item")).agg(F.transform(F.array_sort(F.collect_list(F.struct("key", "v"))), lambda s: s["v"].cast("array<double>")).alias("points"))
     spark = clouds.sparkSession
     held = {r["item"]: np.array(r["points"]) for r in whole.orderBy("item").collect()}

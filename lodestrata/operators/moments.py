@@ -5,7 +5,7 @@ Cells: year, target, reference, distance, financial; target = reference cells ar
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions.ranks import linear_quantiles
@@ -147,8 +147,25 @@ def stage_costs(runs: DataFrame) -> DataFrame:
     return runs.groupBy("stage").agg(F.count(F.lit(1)).alias("n"), F.median("wall_s").alias("median_s"), F.max("wall_s").alias("max_s"), F.round(F.avg("wall_s"), 3).alias("mean_s")).orderBy(F.desc("median_s"), "stage")
 
 
-def quantile_bins(df: DataFrame, x: str, y: str, bins: int) -> DataFrame:
-    """Means of x and y over bins of equal counts in the order of x."""
-    from pyspark.sql import Window
+def quantile_bins(df: DataFrame, x: str, y: str, bins: int, ranges: int = 64) -> DataFrame:
+    """Means of x and y over bins of equal counts in the order of x, then y; the first bins take the remainder.
 
-    return df.withColumn("bin", F.ntile(bins).over(Window.partitionBy().orderBy(x, y))).groupBy("bin").agg(F.avg(x).alias("x"), F.avg(y).alias("y"), F.count(F.lit(1)).alias("n"))
+    Rows are numbered without one task that sees them all: approximate quantiles of x cut them into ranges, whose counts (a row for
+    each range) give the number that each range begins with.
+    """
+    cuts = sorted(set(df.approxQuantile(x, [k / ranges for k in range(1, ranges)], 0.001)))
+    part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(x))) if cuts else F.lit(0)
+    ranged = df.select(F.col(x).alias("_x"), F.col(y).alias("_y"), part.alias("_p"))
+    counts = sorted((r["_p"], r["n"]) for r in ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).collect())
+    total = sum(n for _, n in counts)
+    before, at = [], 0
+    for p, n in counts:
+        before += [F.lit(p), F.lit(at)]
+        at += n
+    if not total:
+        return df.sparkSession.createDataFrame([], "bin int, x double, y double, n long")
+    number = F.create_map(*before)[F.col("_p")] + F.row_number().over(Window.partitionBy("_p").orderBy("_x", "_y")) - 1
+    each, more = divmod(total, bins)
+    large = more * (each + 1)
+    k = F.when(number < large, F.floor(number / (each + 1))).otherwise(more + F.floor((number - large) / max(each, 1))) + 1
+    return ranged.withColumn("bin", k.cast("int")).groupBy("bin").agg(F.avg("_x").alias("x"), F.avg("_y").alias("y"), F.count(F.lit(1)).alias("n"))

@@ -131,9 +131,12 @@ def count_tails(counts: DataFrame, news: DataFrame) -> DataFrame:
     """
     total = counts.groupBy("target").agg(F.sum("n").alias("_s"))
     mass = counts.join(total, "target").select("target", "date", (F.col("n") / F.col("_s")).alias("mass"))
-    day = mass.select("target", "date", "mass").groupBy("target", "date").agg(F.sum("mass").alias("mass"))
-    after = news.join(day.withColumnRenamed("date", "article"), F.col("article") > F.col("date"))
-    out = after.groupBy("target", "reference").agg(F.sum(F.col("mass") * F.col("value")).alias("readout"))
+    # the mass of later dates, for every target at every date of the calendar: a running sum, then a join on the date
+    calendar = news.select("date").distinct().join(total.select("target"), F.lit(True)).withColumn("mass", F.lit(0.0))
+    day = mass.unionByName(calendar.select("target", "date", "mass")).groupBy("target", "date").agg(F.sum("mass").alias("mass"))
+    later = F.sum("mass").over(Window.partitionBy("target").orderBy(F.desc("date")).rowsBetween(Window.unboundedPreceding, -1))
+    seen = day.withColumn("later", later).where("later > 0").select("target", "date", "later")
+    out = news.groupBy("reference", "date").agg(F.sum("value").alias("value")).join(seen, "date").groupBy("target", "reference").agg(F.sum(F.col("later") * F.col("value")).alias("readout"))
     return out.withColumn("readout", F.when(F.col("target") != F.col("reference"), F.col("readout")))
 
 

@@ -91,6 +91,9 @@ def dyadic_regression(dyads: DataFrame, y: str, x: list[str], i: str = "item_i",
     return {"beta": {c: (float(beta[kept.index(q)]) if q in kept else None) for q, c in enumerate(x)}, "sse": sse, "within_r2": 1 - sse / left[0, 0] if left[0, 0] > 0 else None, "r2": 1 - sse / sst if sst > 0 else None, "n": n, "nodes": len(nodes)}
 
 
+#: Pairs that may come to the driver as a matrix.
+MOST_CELLS = 1 << 24
+#: The regressors of the published specifications, in order.
 LADDER = (("w2",), ("w2", "same_sector"), ("w2", "same_sector", "size_gap", "crisis"), ("w2", "same_sector", "size_gap", "crisis", "abs_log_n_diff", "min_log_n"), ("w2", "same_sector", "size_gap", "crisis", "abs_log_n_diff", "min_log_n", "disp_sum", "disp_gap"))
 
 
@@ -151,7 +154,9 @@ def influence(dyads: DataFrame, y: str, x: list[str]) -> tuple[dict[str, float],
 
 def matrix_of(pairs: DataFrame, value: str = "value", i: str = "item_i", j: str = "item_j") -> tuple[list, np.ndarray]:
     """A symmetric matrix from i < j (or all) pairs, for statistics whose data are the n^2 cells; a missing cell is an error."""
-    rows = pairs.select(i, j, value).collect()
+    rows = pairs.select(i, j, value).limit(MOST_CELLS + 1).collect()
+    if len(rows) > MOST_CELLS:
+        raise ValueError(f"more than {MOST_CELLS} pairs: not a roster")
     names = sorted({r[0] for r in rows} | {r[1] for r in rows})
     at = {n: k for k, n in enumerate(names)}
     out = np.full((len(names), len(names)), np.nan)

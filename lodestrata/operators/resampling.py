@@ -120,6 +120,48 @@ def nested_archive(archive: np.ndarray, history: int, outer: int, inner: int, se
     return out
 
 
+def outer_inner(spark: SparkSession, archives: dict[int, np.ndarray], outer: int, inner: int, seed: int, statistic: Callable[[np.ndarray], float]) -> DataFrame:
+    """(history, outer, estimate, se, draws): the statistic of each outer redraw of a history, and the spread of its inner redraws.
+
+    archives: counts (dates x atoms) of each history. A task holds one (history, outer) and runs its inner redraws, so a lost one
+    costs those alone; the statistic is null where it is not finite, and se where fewer than two inner ones are.
+    """
+    held = spark.sparkContext.broadcast(archives)
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for h, o in zip(pdf["history"], pdf["outer"], strict=True):
+                values = [statistic(nested_archive(held.value[int(h)], int(h), int(o), k, seed)) for k in range(inner + 1)]
+                finite = [v for v in values[1:] if np.isfinite(v)]
+                rows.append((int(h), int(o), values[0] if np.isfinite(values[0]) else None, float(np.std(finite, ddof=1)) if len(finite) > 1 else None, len(finite)))
+            yield pd.DataFrame(rows, columns=["history", "outer", "estimate", "se", "draws"])
+
+    keys = spark.createDataFrame([(h,) for h in sorted(archives)], "history int").crossJoin(spark.range(outer).select(F.col("id").cast("int").alias("outer")))
+    return keys.repartition(max(1, min(200, outer * len(archives))), "history", "outer").mapInPandas(run, "history int, outer int, estimate double, se double, draws long")
+
+
+def article_panels(laws: DataFrame, counts: DataFrame, redraws: int, budgets: list[int], seed: int) -> DataFrame:
+    """(history, redraw, budget, date, atom, n): multinomial articles of each dated law, for each budget times the date's count.
+
+    laws (history, date, atom, mass), counts (date, n). One (history, date) is a task's unit; an atom that is not drawn has no row.
+    """
+    packed = laws.groupBy("history", "date").agg(F.array_sort(F.collect_list(F.struct("atom", "mass"))).alias("law")).join(counts.select("date", F.col("n").alias("articles")), "date")
+    grid = packed.withColumn("redraw", F.explode(F.sequence(F.lit(0), F.lit(redraws - 1)))).withColumn("budget", F.explode(F.array(*map(F.lit, budgets))))
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for h, d, law, n, k, b in zip(*(pdf[c] for c in ("history", "date", "law", "articles", "redraw", "budget")), strict=True):
+                p = np.array([r["mass"] for r in law], float)
+                drawn = np.random.default_rng([seed, int(h), int(k), int(b), int(d)]).multinomial(int(n) * int(b), p / p.sum())
+                rows += [(int(h), int(k), int(b), int(d), law[i]["atom"], int(drawn[i])) for i in np.flatnonzero(drawn)]
+            yield pd.DataFrame(rows, columns=["history", "redraw", "budget", "date", "atom", "n"])
+
+    kind = laws.schema["atom"].dataType.simpleString()
+    return grid.mapInPandas(run, f"history int, redraw int, budget int, date int, atom {kind}, n long")
+
+
 def quantile_band(draws: DataFrame, value: str, by: list[str], confidence: float = 0.95) -> DataFrame:
     """Count, mean and exact quantile band of finite draws."""
     from lodestrata.functions.ranks import linear_quantiles

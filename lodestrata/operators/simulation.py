@@ -97,6 +97,86 @@ def linear_response(e: dict[str, np.ndarray], q: np.ndarray, direction: np.ndarr
     return out.reshape(q.shape)
 
 
+def gmres(apply: Callable[[np.ndarray], np.ndarray], b: np.ndarray, tolerance: float = 1e-12, rounds: int | None = None) -> tuple[np.ndarray, float]:
+    """Solve A x = b from products with A alone: (x, relative residual). Exact after as many steps as b is long."""
+    size = np.linalg.norm(b)
+    if not size:
+        return np.zeros_like(b), 0.0
+    basis, h = [b / size], np.zeros((len(b) + 1, len(b)))
+    for k in range(min(rounds or len(b), len(b))):
+        w = apply(basis[k])
+        for i, q in enumerate(basis):
+            h[i, k] = q @ w
+            w = w - h[i, k] * q
+        h[k + 1, k] = np.linalg.norm(w)
+        rhs = np.zeros(k + 2)
+        rhs[0] = size
+        y = np.linalg.lstsq(h[: k + 2, : k + 1], rhs, rcond=None)[0]
+        left = np.linalg.norm(rhs - h[: k + 2, : k + 1] @ y) / size
+        if left <= tolerance or h[k + 1, k] <= 1e-14 * size:
+            break
+        basis.append(w / h[k + 1, k])
+    return np.stack(basis[: len(y)], axis=1) @ y, float(left)
+
+
+def local_model(e: dict[str, np.ndarray], q: np.ndarray, directions: np.ndarray, anchor: float = 0.5) -> tuple[np.ndarray, np.ndarray, float]:
+    """Values at an equilibrium and their response to directions of opportunity: (values by firm, responses, worst residual).
+
+    A firm's value is its opportunity less its costs at the intensities q. Intensities respond on the active set, by GMRES with
+    the operator restricted to it; inactive ones stay at zero. responses: (direction, firm), the derivative of the values.
+    """
+    c, g, k = float(e["curvature"]), float(e["interaction"]), e["kernel"]
+    on = (q > 0).ravel()
+
+    def restricted(x: np.ndarray) -> np.ndarray:
+        full = np.zeros(q.size)
+        full[on] = x
+        z = full.reshape(q.shape)
+        return ((c + anchor) * z + g * (z.sum(axis=0, keepdims=True) @ k)).ravel()[on]
+
+    presence = q.sum(axis=0, keepdims=True) @ k
+    values = (e["level"] * q - c * q * q / 2 - g * q * presence).sum(axis=1)
+    slope = e["level"] - c * q - g * presence
+    out, worst = np.zeros((len(directions), len(q))), 0.0
+    for r, d in enumerate(directions):
+        move = np.zeros(q.size)
+        if on.any():
+            move[on], left = gmres(restricted, d.ravel()[on])
+            worst = max(worst, left)
+        dq = move.reshape(q.shape)
+        out[r] = (d * q + slope * dq - g * q * (dq.sum(axis=0, keepdims=True) @ k)).sum(axis=1)
+    return values, out, worst
+
+
+class Firm:
+    """One firm of the lifecycle: it reads what all have committed, stages its own move, and commits it when told to."""
+
+    def __init__(self, number: int, intensity: np.ndarray):
+        self.number, self.intensity, self.staged = number, intensity, None
+
+    def stage(self, proposal: np.ndarray) -> None:
+        self.staged = proposal[self.number]
+
+    def commit(self) -> None:
+        self.intensity, self.staged = self.staged, None
+
+
+def lifecycle(e: dict[str, np.ndarray], innovations: np.ndarray, persistence: float = 0.8, spread: float = 0.1) -> np.ndarray:
+    """The path of the economy by firms that all stage before any commits, so no firm sees another's move of the same period."""
+    firms = [Firm(k, np.zeros(e["level"].shape[1])) for k in range(len(e["level"]))]
+    shock, out = np.zeros_like(e["level"]), []
+    for z in innovations:
+        shock = persistence * shock + spread * z
+        committed = np.stack([f.intensity for f in firms])
+        proposal, _ = advance(e, committed, np.maximum(e["level"] + shock, 0.0))
+        for f in firms:
+            f.stage(proposal)
+        for f in firms:
+            f.commit()
+        out.append(np.stack([f.intensity for f in firms]))
+    return np.stack(out)
+
+
 def reported_law(activities: DataFrame) -> DataFrame:
     """(firm, atom, sign, mass): intensity times share, normalised by firm (null where not positive), half on each antipodal point."""
     w = activities.withColumn("w", F.col("intensity") * F.col("share"))

@@ -114,6 +114,41 @@ def tfidf(documents: DataFrame) -> DataFrame:
     return x.join(norm, "doc").groupBy("doc").agg(F.map_from_entries(F.collect_list(F.struct("term", (F.col("x") / F.col("n")).alias("x")))).alias("weights"))
 
 
+def document_transport(vectors: DataFrame) -> DataFrame:
+    """(item_i, item_j, value), i < j: order-2 distance of two items' documents as sparse vectors, each document of equal weight.
+
+    vectors: (item, doc, weights map<string,double>). Each pair is a task's unit: its two clouds meet on the terms that they hold.
+    """
+    packed = vectors.groupBy("item").agg(F.array_sort(F.collect_list(F.struct("doc", F.map_keys("weights").alias("terms"), F.map_values("weights").alias("values")))).alias("docs"))
+    pairs = packed.toDF("item_i", "x").join(packed.toDF("item_j", "y"), F.col("item_i") < F.col("item_j"))
+
+    def cloud(docs, at: dict) -> np.ndarray:
+        out = np.zeros((len(docs), len(at)))
+        for k, d in enumerate(docs):
+            out[k, [at[t] for t in d["terms"]]] = d["values"]
+        return out
+
+    def solve(batches):
+        for pdf in batches:
+            values = []
+            for x, y in zip(pdf["x"], pdf["y"], strict=True):
+                at = {t: k for k, t in enumerate(sorted({t for d in (*x, *y) for t in d["terms"]}))}
+                c = costs(cloud(x, at), cloud(y, at), 2)
+                values.append(float(np.sqrt(max(transport(c, np.full(len(x), 1 / len(x)), np.full(len(y), 1 / len(y)))[0], 0.0))))
+            yield pd.DataFrame({"item_i": pdf["item_i"], "item_j": pdf["item_j"], "value": values})
+
+    kind = vectors.schema["item"].dataType.simpleString()
+    return pairs.repartition("item_i", "item_j").mapInPandas(solve, f"item_i {kind}, item_j {kind}, value double")
+
+
+def pair_costs(clouds: DataFrame, width: int | None = None) -> DataFrame:
+    """(item_i, item_j, costs): squared costs of the rows of two clouds (item, key, v), by key, for i <= j; costs is row by row."""
+    whole = D.representation(clouds, width, unit_rows=False).groupBy("item").agg(F.transform(F.array_sort(F.collect_list(F.struct("key", "v"))), lambda s: s["v"]).alias("p"))
+    pairs = whole.toDF("item_i", "x").join(whole.toDF("item_j", "y"), F.col("item_i") <= F.col("item_j"))
+    square = lambda a, b: F.aggregate(F.zip_with(a, b, lambda u, v: (u - v) * (u - v)), F.lit(0.0), lambda s, z: s + z)
+    return pairs.select("item_i", "item_j", F.transform("x", lambda a: F.transform("y", lambda b: square(a, b))).alias("costs"))
+
+
 def dimension_ladder(clouds: DataFrame, widths: list[int], m: int) -> DataFrame:
     """(width, pairs, same_share, switched_1, switched_2, sd): how matchings of order 1 and 2 differ at each prefix width.
 

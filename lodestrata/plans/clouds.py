@@ -22,7 +22,7 @@ R = Registry(
     field="SELECT item_i AS target, item_j AS candidate, w / sum(w) OVER (PARTITION BY item_i) AS weight FROM (SELECT item_i, item_j, exp(-value / (SELECT median(value) FROM nrg WHERE item_i <> item_j)) AS w FROM nrg WHERE item_i <> item_j)",
     top="SELECT target, candidate, weight, row_number() OVER (PARTITION BY target ORDER BY weight DESC, candidate) AS rank FROM field QUALIFY row_number() OVER (PARTITION BY target ORDER BY weight DESC, candidate) <= 3",
     lagged="SELECT target, \"Date\", sum(weight * x) AS lag FROM (SELECT CAST(user_id % 10 AS INTEGER) AS ticker, CAST(ts AS DATE) AS \"Date\", sum(value) AS x FROM events GROUP BY 1, 2) JOIN field ON candidate = ticker GROUP BY 1, 2",
-    cls="SELECT s_suppkey AS t, CASE WHEN s_suppkey % 7 <> 0 THEN CAST(s_nationkey AS VARCHAR) END AS f, CASE WHEN s_suppkey % 11 <> 0 THEN CAST(n_regionkey AS VARCHAR) END AS c FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE s_suppkey <= 60",
+    cls="SELECT s_suppkey AS t, CASE WHEN s_suppkey % 7 <> 0 THEN CAST(s_nationkey AS VARCHAR) END AS f, CASE WHEN s_suppkey % 11 <> 0 THEN CAST(n_regionkey AS VARCHAR) END AS c FROM supplier JOIN nation ON n_nationkey = s_nationkey",
 )
 QUERIES, ORACLE_SQL = R.queries, R.sql
 
@@ -72,17 +72,21 @@ def prototypes(spark, sf_dir):
     return rounded(D.prototypes(clouds(spark, sf_dir)).select("item", F.posexplode("v").alias("k", "x")), "x")
 
 
-@R.query("SELECT a.key AS i, b.key AS j, [[list_distance(a.v, b.v)]] AS euclidean, [[1 - list_dot_product(a.v, b.v)]] AS cosine, [[acos(greatest(least(list_dot_product(a.v, b.v), 1), -1))]] AS angular FROM u a, u b WHERE a.key % 100 = 0 AND b.item = 3")
+@R.query("SELECT a.key AS i, b.key AS j, [[list_distance(a.v, b.v)]] AS euclidean, [[1 - list_dot_product(a.v, b.v)]] AS cosine, [[acos(greatest(least(list_dot_product(a.v, b.v), 1), -1))]] AS angular FROM u a, u b WHERE a.key % 100 = 0 AND a.key <> b.key")
 def point_distances(spark, sf_dir):
+    """Every hundredth vector as a query against all others, in blocks of queries that each row meets in turn."""
     c = clouds(spark, sf_dir)
-    a, b = c.where("key % 100 = 0").select(F.col("key").alias("i"), F.col("v").alias("x")), c.where("item = 3").select(F.col("key").alias("j"), F.col("v").alias("y"))
-    met = a.join(F.broadcast(b), F.lit(True))
+    queries = c.where("key % 100 = 0")
+    blocks = max(1, -(-queries.count() // 256))
+    packed = queries.groupBy(F.pmod(F.xxhash64("key"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct(F.col("key").alias("i"), F.col("v").alias("x"))).alias("q"))
+    rows = c.select(F.col("key").alias("j"), F.col("v").alias("y"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
+    met = rows.join(packed, "block").select("j", "y", F.explode("q").alias("q")).select("j", "y", "q.i", "q.x").where("i <> j")
     return rounded(met.select("i", "j", *(m("x", "y").alias(n) for n, m in A.POINT_METRICS.items())), *A.POINT_METRICS)
 
 
-@R.query("SELECT [[median(list_distance(a.v, b.v))]] AS h FROM u a, u b WHERE (a.item, a.key) < (b.item, b.key) AND a.key < 200 AND b.key < 200 AND a.v <> b.v")
+@R.query("WITH n AS (SELECT item, key, v, row_number() OVER (ORDER BY item, key) - 1 AS p, count(*) OVER () AS n FROM u), s AS (SELECT * FROM n WHERE n <= 512 OR p IN (SELECT CAST(floor(k * (n - 1) / 511.0) AS BIGINT) FROM range(512) t(k))) SELECT [[median(list_distance(a.v, b.v))]] AS h FROM s a JOIN s b ON a.p < b.p WHERE a.v <> b.v")
 def median_bandwidth(spark, sf_dir):
-    h = D.median_bandwidth(clouds(spark, sf_dir).where("key < 200"))
+    h = D.median_bandwidth(clouds(spark, sf_dir))
     return spark.createDataFrame([(h,)], "h double").select(r6(F.col("h")).alias("h"))
 
 
@@ -112,7 +116,7 @@ SELECT target, candidate, [[1.0 / count(*) OVER (PARTITION BY target)]] AS weigh
 """)
 def industry_fallback_field(spark, sf_dir):
     s, n = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation")
-    u = s.where("s_suppkey <= 60").join(F.broadcast(n), F.col("n_nationkey") == F.col("s_nationkey"))
+    u = s.join(F.broadcast(n), F.col("n_nationkey") == F.col("s_nationkey"))
     u = u.select(F.col("s_suppkey").alias("ticker"), F.when(F.col("s_suppkey") % 7 != 0, F.col("s_nationkey").cast("string")).alias("industry"), F.when(F.col("s_suppkey") % 11 != 0, F.col("n_regionkey").cast("string")).alias("sector"))
     return rounded(fields.class_field(u), "weight")
 
@@ -166,13 +170,19 @@ def prefix_preservation(spark, sf_dir):
 
 @R.query()
 def wasserstein_w2(spark, sf_dir):
-    """Order-2 Wasserstein distance of the first 12 rows of each item."""
-    return rounded(D.wasserstein(clouds(spark, sf_dir), 2, 12), "value")
+    """Order-2 Wasserstein distance of the first 128 rows of each item (of as many as the smallest item has)."""
+    return rounded(D.wasserstein(*balanced(spark, sf_dir, 2)), "value")
+
+
+def balanced(spark, sf_dir, order: int) -> tuple[DataFrame, int, int]:
+    """The clouds, the order and the number of rows that a balanced problem takes of each."""
+    c = clouds(spark, sf_dir)
+    return c, order, min(128, c.groupBy("item").count().agg(F.min("count")).first()[0])
 
 
 @R.query()
 def wasserstein_w1(spark, sf_dir):
-    return rounded(D.wasserstein(clouds(spark, sf_dir), 1, 12), "value")
+    return rounded(D.wasserstein(*balanced(spark, sf_dir, 1)), "value")
 
 
 @R.query()
@@ -187,10 +197,11 @@ def mmd_affine_weights(spark, sf_dir):
 
 @R.query()
 def wasserstein_simplex_weights(spark, sf_dir):
-    return rounded(fields.wasserstein_projections(D.first_rows(clouds(spark, sf_dir), 12)), "weight", "gap", "value")
+    c, _, m = balanced(spark, sf_dir, 2)
+    return rounded(fields.wasserstein_projections(D.first_rows(c, m)), "weight", "gap", "value")
 
 
 @R.query()
 def random_support_null(spark, sf_dir):
-    w = rbf(spark, sf_dir)
-    return rounded(fields.support_null(fields.equal_support_field(w, 0.1), fields.equal_support_field(w, 0.11), 50, 7), "jaccard")
+    w = rbf(spark, sf_dir).persist()
+    return rounded(fields.support_null(fields.equal_support_field(w, 0.1), fields.equal_support_field(w, 0.11), 1000, 7), "jaccard")

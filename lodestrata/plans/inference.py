@@ -191,7 +191,7 @@ def dyadic_node_effects(spark, sf_dir):
 @R.query()
 def mantel_test(spark, sf_dir):
     c = clouds(spark, sf_dir)
-    r = G.mantel(D.energy(c), D.mmd(c, "linear"), "spearman", draws=199)
+    r = G.mantel(D.energy(c), D.mmd(c, "linear"), "spearman", draws=9999)
     return rounded(spark.createDataFrame([r], "statistic double, p double, draws long"), "statistic", "p")
 
 
@@ -199,7 +199,7 @@ def mantel_test(spark, sf_dir):
 def permanova_test(spark, sf_dir):
     e = D.energy_metric(D.energy(clouds(spark, sf_dir)))
     labels = e.select(F.col("item_i").alias("item")).distinct().withColumn("label", F.col("item") % 3)
-    return rounded(spark.createDataFrame([G.permanova(e, labels, draws=199)], "pseudo_f double, r2 double, p double"), "pseudo_f", "r2", "p")
+    return rounded(spark.createDataFrame([G.permanova(e, labels, draws=9999)], "pseudo_f double, r2 double, p double"), "pseudo_f", "r2", "p")
 
 
 @R.query()
@@ -214,14 +214,14 @@ def bootstrap_slope_band(spark, sf_dir):
     """Slope of y on w2 under multinomial node draws, and its quantile band."""
     d = dyads(spark, sf_dir)
     nodes = sorted(r["item"] for r in brand_labels(d).select("item").collect())
-    slopes = S.bootstrap_slopes(d, S.node_counts(spark, nodes, 100, 3), "y", "w2").withColumn("cell", F.lit("w2"))
+    slopes = S.bootstrap_slopes(d, S.node_counts(spark, nodes, 2000, 3), "y", "w2").withColumn("cell", F.lit("w2"))
     return rounded(S.quantile_band(slopes, "slope", ["cell"]), "mean", "low", "high")
 
 
 @R.query()
 def sar_qmle(spark, sf_dir):
     """Spatial autoregression of ten assets on the energy field."""
-    panel, w = group_daily(spark, sf_dir), rbf(spark, sf_dir)
+    panel, w = group_daily(spark, sf_dir), rbf(spark, sf_dir).persist()  # the field is made once, not for every sum
     roster = sorted(r[0] for r in w.select("target").distinct().collect())
     mean = panel.groupBy("ticker").agg(F.avg("return").alias("m"))
     centred = panel.join(mean, "ticker").withColumn("return", F.col("return") - F.col("m")).drop("m")
@@ -233,7 +233,7 @@ def sar_qmle(spark, sf_dir):
 def two_field_qmle(spark, sf_dir):
     from lodestrata.operators.fields import equal_support_field
 
-    w = rbf(spark, sf_dir)
+    w = rbf(spark, sf_dir).persist()
     e = equal_support_field(w, 0.1)
     roster = sorted(r[0] for r in w.select("target").distinct().collect())
     fit = X.two_field_qmle(X.two_field_gram(group_daily(spark, sf_dir), w, e), X.matrix(w, roster), X.matrix(e, roster))
@@ -242,12 +242,12 @@ def two_field_qmle(spark, sf_dir):
 
 @R.query()
 def stationary_bootstrap(spark, sf_dir):
-    """Mean daily total under 200 stationary paths."""
+    """Mean daily total under 2,000 stationary paths."""
     from pyspark.sql import Window
 
     e = table(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("Date")).agg(F.sum("value").alias("x")).withColumn("position", (F.row_number().over(Window.partitionBy().orderBy("Date")) - 1).cast("long"))
     n = e.count()
-    draws = S.resampled(e.select("position", "x"), S.index_table(spark, n, 200, 5, 9)).groupBy("draw").agg(F.avg("x").alias("mean")).withColumn("cell", F.lit("all"))
+    draws = S.resampled(e.select("position", "x"), S.index_table(spark, n, 2000, 5, 9)).groupBy("draw").agg(F.avg("x").alias("mean")).withColumn("cell", F.lit("all"))
     return rounded(S.quantile_band(draws, "mean", ["cell"]), "mean", "low", "high")
 
 

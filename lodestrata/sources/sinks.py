@@ -6,12 +6,12 @@ import json
 import os
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.sources.documents import table_digest, write_manifest
 
-__all__ = ["append_json", "pending", "values_latex", "write_csv", "write_checkpoint", "write_stable", "write_tables", "write_manifest"]
+__all__ = ["append_json", "pending", "cached", "format_value", "values_latex", "write_coverage", "write_csv", "write_checkpoint", "write_stable", "write_tables", "write_manifest"]
 
 
 def write_tables(folder: str, tables: dict[str, DataFrame], summary: dict[str, Any] | None = None, metadata: dict[str, dict[str, Any]] | None = None) -> dict[str, str]:
@@ -41,6 +41,39 @@ def write_csv(df: DataFrame, path: str, columns: list[str]) -> None:
     df.select(*columns).write.mode("overwrite").option("header", True).csv(path)
 
 
+def write_coverage(df: DataFrame, folder: str, columns: list[str], summary: dict[str, Any]) -> None:
+    """The coverage table as CSV in a fixed order of columns, and its summary as a YAML document of scalars."""
+    write_csv(df, f"{folder}/coverage", columns)
+    lines = [(f"{k}: {json.dumps(v)}",) for k, v in sorted(summary.items())]
+    df.sparkSession.createDataFrame(lines, "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/summary")
+
+
+def cached(spark: SparkSession, path: str, identity: str, build) -> DataFrame:
+    """The table at path if it was made under this identity; built and written if there is none; a different identity is an error.
+
+    build: a function without arguments that gives the DataFrame. The identity is a column of the written table, so it appears
+    with the rows or not at all.
+    """
+    from pyspark.errors import AnalysisException
+
+    from lodestrata.sources.contracts import ContractError
+
+    try:
+        held = spark.read.parquet(path)
+    except AnalysisException:
+        build().withColumn("_identity", F.lit(identity)).write.parquet(path)
+        held = spark.read.parquet(path)
+    if not held.where(F.col("_identity") != identity).isEmpty():
+        raise ContractError(f"{path} was made under another identity")
+    return held.drop("_identity")
+
+
+def format_value(value: Any, precision: int = 6):
+    """A column of numbers as text with a fixed number of decimals and no separators; a null is shown as a dash."""
+    c = F.col(value) if isinstance(value, str) else value
+    return F.coalesce(F.format_string(f"%.{precision}f", c.cast("double")), F.lit("--"))
+
+
 def append_json(df: DataFrame, path: str) -> None:
     """JSON lines added to what is there."""
     df.write.mode("append").json(path)
