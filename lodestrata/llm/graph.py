@@ -1,7 +1,7 @@
 """Connected components of an edge table, by alternating large-star and small-star rounds.
 
-Each round takes every node's smallest neighbour with partial minima and joins it back to the edges, with the edges of a hub
-dealt to several tasks. Every round is a table in the shared folder, and the one before it is deleted. Edges only ever point to
+Each round takes every node's smallest neighbour with partial minima and joins it back to the edges; the side of the
+minima has one row for each node, so Spark can split the edges of a hub on the other side. Every round is a table in the shared folder, and the one before it is deleted. Edges only ever point to
 smaller nodes, and the rounds end when none changes, with each node of a component pointing to its smallest.
 """
 
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import forget, joined_back, materialize
+from lodestrata.llm.common import forget, materialize, merge
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -38,8 +38,9 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     """
     if large:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        out = joined_back(both, ["a"], "b", {"p": F.min("b")}, {"m": F.least(F.min("p"), F.first("a"))}).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        out = both.where("b > a").join(merge(low), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
-        out = joined_back(edges, ["a"], "b", {"p": F.min("b")}, {"m": F.min("p")})
-        out = out.select("b", "m").where("b <> m").toDF("a", "b").unionByName(out.select("a", "m").toDF("a", "b"))
+        low = edges.groupBy("a").agg(F.min("b").alias("m"))
+        out = edges.join(merge(low), "a").select("b", "m").where("b <> m").toDF("a", "b").unionByName(low.toDF("a", "b"))
     return out.where("a <> b").distinct()

@@ -34,15 +34,17 @@ _FOLD[97:123] = np.arange(97, 123)
 _FOLD[65:91] = np.arange(97, 123)
 
 
-def grams(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The bucket of the trigram around each byte of a run of texts, and whether that byte is of a letter."""
-    b = _FOLD[raw]
+def grams(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bucket of the trigram around each byte of a run of texts, and whether that byte is of a letter; a text ends in spaces."""
+    b = _FOLD[raw].astype(np.uint32)
     if len(b) > 1:  # U+00C0..U+00DE are the capitals of U+00E0..U+00FE
         upper = (raw[:-1] == 0xC3) & (raw[1:] >= 0x80) & (raw[1:] <= 0x9E) & (raw[1:] != 0x97)
         b[1:][upper] += 0x20
-    padded = np.full(len(b) + 2, 32, np.uint32)
-    padded[1:-1] = b
-    key = (padded[:-2] << np.uint32(16)) | (padded[1:-1] << np.uint32(8)) | padded[2:]
+    before, behind = np.full(len(b), 32, np.uint32), np.full(len(b), 32, np.uint32)
+    before[1:], behind[:-1] = b[:-1], b[1:]
+    full = np.flatnonzero(np.diff(offsets))
+    before[offsets[full]], behind[offsets[full + 1] - 1] = 32, 32
+    key = (before << np.uint32(16)) | (b << np.uint32(8)) | behind
     return (key * np.uint32(0x9E3779B1)) >> np.uint32(32 - BUCKET_BITS), b != 32
 
 
@@ -70,7 +72,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
         for batch in batches:
             lang = np.array([languages.index(x) for x in batch.column("lang").to_pylist()], np.int64)
             for lo, hi, raw, offsets in text_slices(batch.column("text")):
-                bucket, letter = grams(raw)
+                bucket, letter = grams(raw, offsets)
                 which = np.repeat(lang[lo:hi], np.diff(offsets))
                 held += np.bincount((which[letter] << BUCKET_BITS) + bucket[letter], minlength=held.size).reshape(held.shape)
         yield pa.RecordBatch.from_arrays([pa.array([x.astype("<f8").tobytes() for x in held], pa.binary()), pa.array(range(len(languages)), pa.int32())], ["counts", "k"])
@@ -106,7 +108,7 @@ def infer(model: Model, raw: np.ndarray, offsets: np.ndarray, segment: int = SEG
     n, k = len(offsets) - 1, len(model.languages)
     if not k or not len(raw):
         return np.zeros((n, k))
-    bucket, letter = grams(raw)
+    bucket, letter = grams(raw, offsets)
     lens = np.diff(offsets)
     per = -(-lens // segment)
     bounds = np.concatenate([[0], np.cumsum(per)])

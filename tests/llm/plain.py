@@ -1,6 +1,7 @@
 """Plain versions of the corpus operators' results, one document at a time."""
 
 import hashlib
+import math
 import re
 
 SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -119,3 +120,106 @@ def repeated(docs, length=50):
             for i, k in places:
                 out.setdefault(i, set()).update(range(k, k + length))
     return out
+
+
+def trigrams(text, bits=16):
+    """[(bucket, whether the byte is of a letter)] of each byte of a text."""
+    raw, b = text.encode(), []
+    for k, c in enumerate(raw):
+        if 65 <= c <= 90:
+            c += 32
+        elif not (97 <= c <= 122 or c >= 128):
+            c = 32
+        elif k and raw[k - 1] == 0xC3 and 0x80 <= c <= 0x9E and c != 0x97:
+            c += 32
+        b.append(c)
+    at = lambda k: b[k] if 0 <= k < len(b) else 32
+    return [((((at(k - 1) << 16 | c << 8 | at(k + 1)) * 0x9E3779B1) & 0xFFFFFFFF) >> (32 - bits), c != 32) for k, c in enumerate(b)]
+
+
+def em(lik, weight, share, rounds):
+    total = max(sum(weight), 1e-9)
+    for _ in range(rounds):
+        new = [0.0] * len(share)
+        for row, w in zip(lik, weight, strict=True):
+            r = [x * s for x, s in zip(row, share, strict=True)]
+            z = max(sum(r), 1e-300)
+            for k, x in enumerate(r):
+                new[k] += w * x / z
+        share = [x / total for x in new]
+    return share, sum(math.log(max(sum(x * s for x, s in zip(row, share, strict=True)), 1e-300)) for row in lik)
+
+
+def language_shares(text, log_p, segment, penalty, temper, rounds):
+    """Shares of the languages of one text by the mixture with the best penalised likelihood; log_p[language][bucket]."""
+    grams, k = trigrams(text), len(log_p)
+    parts = [grams[i : i + segment] for i in range(0, len(grams), segment)]
+    weight = [float(sum(letter for _, letter in p)) for p in parts]
+    score = [[temper * sum(float(row[g]) for g, letter in p if letter) for row in log_p] for p in parts]
+    tops = [max(s) for s in score]
+    lik = [[math.exp(x - t) for x in s] for s, t in zip(score, tops, strict=True)]
+    share, _ = em(lik, weight, [1 / k] * k, rounds)
+    single = [sum(s[j] - t for s, t in zip(score, tops, strict=True)) for j in range(k)]
+    best = max(range(k), key=lambda j: single[j])
+    value, out = single[best], [float(j == best) for j in range(k)]
+    inside = set(range(k))
+    for size in range(k, 1, -1):
+        start = [share[j] + 1e-6 if j in inside else 0.0 for j in range(k)]
+        share, likelihood = em(lik, weight, [x / sum(start) for x in start], max(2, rounds // 2))
+        likelihood -= penalty * (size - 1) * math.log(max(len(parts), 2))
+        if likelihood > value:
+            value, out = likelihood, share
+        inside.discard(min(inside, key=lambda j: (share[j], -j)))
+    return out
+
+
+def boosted(x, y, cuts, trees, depth, rate, ridge, least):
+    """Scores of the rows x by boosted trees on the given cuts of each feature, grown one node at a time."""
+    mean = sum(y) / len(y)
+    margin = [math.log(mean / (1 - mean))] * len(x)
+
+    def grow(rows, g, h, level):
+        G, H = sum(g[i] for i in rows), sum(h[i] for i in rows)
+        best = (1e-6, None, None)
+        if level < depth and len(rows) >= 2 * least:
+            for j, c in enumerate(cuts):
+                for t in c:
+                    left = [i for i in rows if x[i][j] <= t]
+                    if least <= len(left) <= len(rows) - least:
+                        a, b = sum(g[i] for i in left), sum(h[i] for i in left)
+                        gain = a * a / (b + ridge) + (G - a) ** 2 / (H - b + ridge) - G * G / (H + ridge)
+                        if gain > best[0] + 1e-12:
+                            best = (gain, j, t)
+        if best[1] is None:
+            for i in rows:
+                margin[i] += -rate * G / (H + ridge)
+            return
+        _, j, t = best
+        grow([i for i in rows if x[i][j] <= t], g, h, level + 1)
+        grow([i for i in rows if x[i][j] > t], g, h, level + 1)
+
+    for _ in range(trees):
+        p = [1 / (1 + math.exp(-m)) for m in margin]
+        grow(list(range(len(x))), [a - b for a, b in zip(p, y, strict=True)], [a * (1 - a) for a in p], 0)
+    return [1 / (1 + math.exp(-m)) for m in margin]
+
+
+def fewest_bins(sizes, capacity):
+    """The least number of bins, by exhaustive search."""
+    best = len(sizes)
+    order = sorted(sizes, reverse=True)
+
+    def place(k, free):
+        nonlocal best
+        if len(free) >= best:
+            return
+        if k == len(order):
+            best = len(free)
+            return
+        for i in {f: i for i, f in enumerate(free)}.values():
+            if free[i] >= order[k]:
+                place(k + 1, free[:i] + [free[i] - order[k]] + free[i + 1 :])
+        place(k + 1, [*free, capacity - order[k]])
+
+    place(0, [])
+    return best

@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lodestrata.llm.common import materialize
@@ -71,3 +72,44 @@ def test_near_duplicates_at_five_words_and_four_fifths(spark):
     assert between and len(gone) < 12
     d = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, d, SF).collect()} == {i for i, _ in rows} - gone
+
+
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    from tests.llm.test_operators import INTERNAL
+
+    rows = [(i, f"the quick brown fox number {i} jumps over a lazy dog by the river {i * 7} times", "en", "s", 70) for i in range(40)]
+    rows += [(50, None, None, None, None), (51, "", "en", "s", 0), (52, "mail a@b.org now please and tell the others about it soon", "en", "s", 50)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns({c: F.lit("x") for c in INTERNAL})
+    d.write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns and {r["_key"] for r in out.select("_key").collect()} == {"x"}, name
+    assert corpus_pipeline.packing(spark, docs, SF).where("piece = 0").count() == len(rows)
+
+
+def test_language_stage_matches_plain(stages, spark):
+    """Documents stay whose largest share reaches a third, by the inference written plainly."""
+    from lodestrata.llm import langid
+    from lodestrata.llm.common import crc_mod
+
+    before, after = stages["language"]
+    model = langid.fit(before.where(crc_mod("doc_id", 4) != 2))
+    keep = set()
+    for r in before.collect():
+        text = r["text"] or ""
+        if any(c.isalpha() for c in text) and max(plain.language_shares(text, model.log_p, langid.SEGMENT_BYTES, langid.PENALTY, langid.TEMPER, langid.ROUNDS)) >= 1 / 3:
+            keep.add(r["doc_id"])
+    assert {r["doc_id"] for r in after.collect()} == keep
+
+
+def test_packing_stage_holds_every_token_once(stages):
+    before, after = stages["packing"]
+    from lodestrata.llm.packing import Encoder
+
+    e = Encoder()
+    want = sorted((r["doc_id"], len(e.encode(r["text"] or "")) + 1) for r in before.collect())
+    got = {}
+    for r in after.collect():
+        got[r["doc_id"]] = got.get(r["doc_id"], 0) + r["length"]
+    assert sorted(got.items()) == want
