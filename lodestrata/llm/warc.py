@@ -6,14 +6,16 @@ bounded sample of the pages (TRAIN_ROWS pages by smallest hash of the id, TRAIN_
 compressed size.
 
 Pages with equal payloads (of min_bytes or more) are one response, that of the largest page_id, and revisits that refer
-to it. The group of a payload is found by its digest with partial maxima before the shuffle, and the join that brings the
-response's id back has one row for each digest on one side, so that Spark can split a hot payload on the other.
+to it. The groups are found by digests alone, with partial maxima before the shuffle. A Bloom filter of the payloads that occur
+more than once then parts the pages: those it does not hold are written where they are read, and only the others go through the
+join that brings the response's id to them. That has one row for each digest on one side, so Spark can split a hot payload.
 
 A task writes its files under a name of its own attempt, in the shared folder, renames each when it is whole, and returns
 the names; the table of names is written by Spark's committer, so files of lost attempts are never read.
 
 Defined cases: a null html is an empty payload; pages with equal ids and payloads are all responses if theirs is the largest
-id; a null page_id ranks below all others and stays null; an empty table gives no file and no rows.
+id; a null page_id ranks below all others and stays null; an empty table gives no file and no rows; further columns are ignored.
+A record is built whole, in memory of a few times its payload; batches hold about 4 MB of other pages.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import batches_of, materialize, scratch, table
+from lodestrata.llm.common import batches_of, bloom_of, materialize, merge, scratch, table, tidy
 
 SKIPPABLE = 0x184D2A5D
 DICTIONARY_BYTES, TRAIN_ROWS, TRAIN_BYTES = 64 << 10, 1000, 8 << 20
@@ -176,12 +178,16 @@ def read_archive(source, chunk: int = 1 << 20) -> Iterator[tuple[dict[str, str],
 FILES = pa.schema([("file", pa.string()), ("records", pa.int64()), ("bytes", pa.int64())])
 
 
-def plan_records(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
-    """page_id, url, html, rep: the page whose record holds the payload (for payloads of min_bytes and more)."""
+def payloads(pages: DataFrame) -> DataFrame:
+    """page_id, url, html, and the payload's 64-bit key, digest and size."""
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    keyed = pages.select("page_id", "url", "html", F.sha2(payload, 256).alias("digest"), F.octet_length(payload).alias("size"))
-    reps = keyed.groupBy("digest", "size").agg(F.max("page_id").alias("rep"))
-    return keyed.join(reps.hint("merge"), ["digest", "size"]).withColumn("rep", F.when(F.col("size") >= min_bytes, F.col("rep")).otherwise(F.col("page_id"))).select("page_id", "url", "html", "rep")
+    return pages.select("page_id", "url", "html", F.xxhash64(payload).alias("key"), F.sha2(payload, 256).alias("digest"), F.octet_length(payload).alias("size"))
+
+
+def repeated(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
+    """key, digest, size and rep, the page whose record holds the payload, of payloads of min_bytes and more that occur more than once."""
+    groups = payloads(pages).where(F.col("size") >= min_bytes).groupBy("digest", "size").agg(F.first("key").alias("key"), F.max("page_id").alias("rep"), F.count("*").alias("n"))
+    return groups.where("n > 1").select("key", "digest", "size", "rep")
 
 
 def write_archives(pages: DataFrame, folder: str, min_bytes: int = MIN_REVISIT_BYTES, file_bytes: int = FILE_BYTES) -> DataFrame:
@@ -190,17 +196,34 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = MIN_REVISIT_B
     fs, path = filesystem(folder)
     fs.create_dir(path, recursive=True)
     held = spark.sparkContext.broadcast(train(pages))
+    groups = materialize(repeated(pages, min_bytes), "repeated")
+    bloom = bloom_of(groups, "key")
+
+    def records(batch, rep) -> Iterator[bytes]:
+        for page_id, url, html, rep in zip(batch.column("page_id").to_pylist(), batch.column("url").to_pylist(), batch.column("html"), rep, strict=True):
+            yield page_record(page_id, url, (html.as_py() or "").encode(), rep, rep != page_id)
 
-    def write(batches):
+    def write(batches, alone: bool):
         writer = Writer(folder, held.value, file_bytes=file_bytes)
         for batch in batches:
-            for page_id, url, html, rep in zip(*(batch.column(c) for c in ("page_id", "url", "html", "rep")), strict=True):
-                page_id, rep = page_id.as_py(), rep.as_py()
-                writer.add(page_record(page_id, url.as_py(), (html.as_py() or "").encode(), rep, rep != page_id))
+            if alone:
+                batch = batch.filter(pa.array(~bloom.value.may_hold(batch.column("key"))))
+            for record in records(batch, batch.column("page_id" if alone else "rep").to_pylist()):
+                writer.add(record)
         writer.close()
         yield from batches_of(writer.done, FILES)
 
-    return materialize(plan_records(pages, min_bytes).mapInArrow(write, "file string, records long, bytes long"), "archives")
+    def may_repeat(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(bloom.value.may_hold(batch.column("key"))))
+
+    ddl = "file string, records long, bytes long"
+    keyed = payloads(pages)
+    alone = keyed.select("page_id", "url", "html", "key").mapInArrow(tidy(lambda batches: write(batches, True)), ddl)
+    some = keyed.mapInArrow(tidy(may_repeat), keyed.schema)
+    met = some.join(merge(groups.select("digest", "size", "rep", F.lit(True).alias("met"))), ["digest", "size"], "left")
+    met = met.select("page_id", "url", "html", F.when(F.col("met"), F.col("rep")).otherwise(F.col("page_id")).alias("rep"))
+    return materialize(alone.unionByName(met.mapInArrow(tidy(lambda batches: write(batches, False)), ddl)), "archives")
 
 
 ROWS = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string())])
@@ -234,7 +257,7 @@ def read_archives(files: DataFrame, folder: str) -> DataFrame:
             yield from batches_of(rows(batch.column("file").to_pylist()), ROWS)
 
     n = max(1, files.count())
-    return files.select("file").repartition(n, "file").mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string")
+    return files.select("file").repartition(n, "file").mapInArrow(tidy(read), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string")
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
