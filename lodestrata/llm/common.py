@@ -153,8 +153,8 @@ class Bloom:
         self.bits = bits
         self.data = np.zeros(bits // 8, np.uint8) if data is None else data
 
-    def places(self, ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        x = np.asarray(ids.fill_null(-(1 << 63)), np.int64).view(np.uint64)
+    def places(self, ids: pa.Array | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        x = (ids if isinstance(ids, np.ndarray) else np.asarray(ids.fill_null(-(1 << 63)), np.int64)).view(np.uint64)
         from lodestrata.llm.words import mix
 
         h = mix(x ^ np.uint64(0x2545F4914F6CDD1D))
@@ -165,7 +165,7 @@ class Bloom:
         for p in self.places(ids):
             np.bitwise_or.at(self.data, p >> 3, (1 << (p & 7)).astype(np.uint8))
 
-    def may_hold(self, ids: pa.Array) -> np.ndarray:
+    def may_hold(self, ids: pa.Array | np.ndarray) -> np.ndarray:
         a, b = self.places(ids)
         return ((self.data[a >> 3] >> (a & 7)) & (self.data[b >> 3] >> (b & 7)) & 1).astype(bool)
 

@@ -4,8 +4,8 @@ A document is the set of its distinct 4-word shingles; two link when their Jacca
 one set. The join goes from cheap to dear, and every step is exact:
 
 1. Index lists. A set is listed under the tokens of its prefix, which any partner must share one of, with its position there.
-   Tokens with lists of more than HOT sets go to the end of the token order, so a passage that many documents hold lists none of
-   them unless a set has little else. A list is cut into blocks by size class and position: a set meets the sets of its own class,
+   Tokens with lists of more than HOT sets (by a Bloom filter of a bounded size, broadcast) go to the end of the token order, so a
+   passage that many documents hold lists none of them unless a set has little else. A list is cut into blocks by size class and position: a set meets the sets of its own class,
    and those of the next larger class only from positions that leave enough tokens for an overlap with the smallest of them;
    the block of its later positions is skipped there.
 2. Relations. All sets of a list block relate to one leader, the member with the smallest hash. A pair that shares a
@@ -41,7 +41,7 @@ from lodestrata.llm.graph import components
 from lodestrata.llm.words import SPACED, find_words, mix, ranges, shingles, word_hashes
 
 SHINGLE, PERCENT = 4, 85
-HOT, HOT_CHUNK = 32, 1 << 20
+HOT = 32
 BLOCK_SETS, BLOCK_BYTES = 512, 8 << 20
 _SALT = np.uint64(0x5851F42D4C957F2D)
 
@@ -129,67 +129,47 @@ def fetch(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     return claimed(found, wanted, "n", "tokens")
 
 
-def token_chunks(hot: DataFrame, size: int) -> Iterator[np.ndarray]:
-    """The tokens of hot, sorted, in chunks of a bounded size."""
-    held: list[int] = []
-    for r in hot.select("t").toLocalIterator():
-        held.append(r["t"])
-        if len(held) == size:
-            yield np.sort(np.array(held, np.int64))
-            held = []
-    if held:
-        yield np.sort(np.array(held, np.int64))
+WANTED = pa.schema([("rep", pa.int64()), ("doc_id", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64())])
 
 
-def cooler_prefixes(docs: DataFrame, wanted: DataFrame, hot: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Prefixes (rep, n, cls, prefix) of the wanted sets in the token order that has hot tokens last."""
-    spark = docs.sparkSession
-    marked_schema = TOKENS.append(pa.field("hot", pa.binary()))
-    out_schema = pa.schema([("doc_id", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("n", pa.int64()), ("cls", pa.int32()), ("prefix", pa.list_(pa.int64()))])
-
-    def mark(held):
-        def run(batches):
-            for batch in batches:
-                masks = batch.column("hot").to_pylist() if "hot" in batch.schema.names else [b""] * batch.num_rows
-                out = []
-                for tokens, mask in zip(batch.column("tokens").to_pylist(), masks, strict=True):
-                    t = np.frombuffer(tokens, np.int64)
-                    m = np.frombuffer(mask, bool) if mask else np.zeros(len(t), bool)
-                    k = np.minimum(np.searchsorted(held.value, t), len(held.value) - 1)
-                    out.append((m | (held.value[k] == t)).tobytes())
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in TOKENS.names), pa.array(out, pa.binary())], schema=marked_schema)
-
-        return run
-
-    def first(batches):
+def warm_sets(distinct: DataFrame, hot) -> DataFrame:
+    """rep, doc_id, f1, f2 of the sets with a hot token in their prefix. hot: a broadcast filter of tokens.
+
+    The filter may take other tokens for hot ones. That only moves them to the end of the order as well, and since it says the
+    same of a token in every set, the order stays one order.
+    """
+
+    def run(batches):
         for batch in batches:
-            out = []
-            for doc_id, f1, f2, n, tokens, mask in zip(*(batch.column(c).to_pylist() for c in (*TOKENS.names, "hot")), strict=True):
-                t, m = np.frombuffer(tokens, np.int64), np.frombuffer(mask, bool)
-                out.append((doc_id, f1, f2, n, size_class(n, percent), np.concatenate([t[~m], t[m]])[: prefix_length(n, percent)]))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(out_schema)], schema=out_schema)
-
-    # a chunk of hot tokens is broadcast at a time; one worker does all steps of the last chunk, and of the only one all
-    chunks = token_chunks(hot, HOT_CHUNK)
-    now, state, ddl = next(chunks), docs.select("doc_id", "text"), "doc_id long, f1 long, f2 long, n long, cls int, prefix array<long>"
-    steps: list = [sets_of(shingle, bloom_of(wanted, "doc_id"))]
-    for following in chunks:
-        steps.append(mark(spark.sparkContext.broadcast(now)))
-        state = materialize(state.mapInArrow(chain(steps), "doc_id long, f1 long, f2 long, n long, tokens binary, hot binary"), "marked")
-        steps, now = [], following
-    steps += [mark(spark.sparkContext.broadcast(now)), first]
-    return claimed(state.mapInArrow(tidy(chain(steps)), ddl), wanted, "n", "cls", "prefix")
-
-
-def chain(steps: list) -> Callable:
-    """Functions of batches as one, for one Python worker."""
+            lists = batch.column("prefix")
+            hit = np.concatenate([[0], np.cumsum(hot.value.may_hold(np.asarray(lists.values, np.int64)))])
+            offsets = np.asarray(lists.offsets)
+            warm = hit[offsets[1:]] > hit[offsets[:-1]]
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(warm)) for c in WANTED.names], schema=WANTED)
+
+    return distinct.select(*WANTED.names, "prefix").mapInArrow(run, "rep long, doc_id long, f1 long, f2 long")
+
+
+COOLER = pa.schema([("doc_id", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("n", pa.int64()), ("cls", pa.int32()), ("prefix", pa.list_(pa.int64()))])
+
+
+def cooler_prefixes(docs: DataFrame, wanted: DataFrame, hot, shingle: int, percent: int) -> DataFrame:
+    """Prefixes (rep, n, cls, prefix) of the wanted sets in the token order that has hot tokens last."""
+    held = bloom_of(wanted, "doc_id")
 
     def run(batches):
-        for step in steps:
-            batches = step(batches)
-        yield from batches
+        for batch in batches:
+            batch = batch.filter(pa.array(held.value.may_hold(batch.column("doc_id"))))
+            cols: list[list] = [[] for _ in COOLER]
+            for doc_id, s in zip(batch.column("doc_id").to_pylist(), token_sets(batch.column("text"), shingle), strict=True):
+                t, m = s.view(np.int64), hot.value.may_hold(s.view(np.int64))
+                row = (doc_id, *fingerprint(s), len(s), size_class(len(s), percent), np.concatenate([t[~m], t[m]])[: prefix_length(len(s), percent)])
+                for c, x in zip(cols, row, strict=True):
+                    c.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, COOLER, strict=True)], schema=COOLER)
 
-    return run
+    found = docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, f1 long, f2 long, n long, cls int, prefix array<long>")
+    return claimed(found, wanted, "n", "cls", "prefix")
 
 
 def postings(sets: DataFrame) -> DataFrame:
@@ -446,12 +426,11 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
     # one row for each distinct set: the copy with the smallest row number stands for it
     best = all_sets.where("n > 0").groupBy("f1", "f2").agg(F.min("row").alias("rep"), F.min(low).alias("low"), F.min_by(F.struct("doc_id", "n", "cls", "prefix"), "row").alias("x"))
     distinct = materialize(best.select("f1", "f2", "rep", "low", "x.*"), "distinct")
-    lists = postings(distinct)
-    hot = materialize(lists.groupBy("t").agg(F.count("*").alias("c")).where(F.col("c") > HOT).select("t"), "hot")
-    if not hot.isEmpty():
-        warm = materialize(lists.join(merge(hot), "t").select("rep").distinct(), "warm")
-        cooler = materialize(cooler_prefixes(docs, materialize(distinct.join(merge(warm), "rep").select("rep", "doc_id", "f1", "f2"), "wanted"), hot, shingle, percent), "cooler")
-        lists = lists.join(merge(warm), "rep", "left_anti").unionByName(postings(cooler))
+    counted = postings(distinct).groupBy("t").agg(F.count("*").alias("c"))
+    hot = bloom_of(materialize(counted.where(F.col("c") > HOT).select("t"), "hot"), "t")
+    warm = materialize(warm_sets(distinct, hot), "warm")
+    cooler = materialize(cooler_prefixes(docs, warm, hot, shingle, percent), "cooler")
+    lists = postings(distinct.join(merge(warm.select("rep")), "rep", "left_anti").select("rep", "n", "cls", "prefix").unionByName(cooler))
     groups = materialize(relations(lists, percent), "groups")
     # a block holds at most BLOCK_SETS sets and BLOCK_BYTES bytes; sets of a band are of one or two size classes
     most = F.pow(F.lit(1 / (percent / 100 - 1e-4)), F.col("band") + 1) * 8

@@ -78,7 +78,7 @@ def test_jaccard_matches_plain(spark, docs, texts):
 @pytest.mark.parametrize("hot,block", [(2, 512), (32, 4), (2, 3)])
 def test_jaccard_with_hot_lists_and_many_blocks(spark, docs, texts, monkeypatch, hot, block):
     monkeypatch.setattr(jaccard, "HOT", hot)
-    monkeypatch.setattr(jaccard, "HOT_CHUNK", 50)
+    monkeypatch.setattr(common.Bloom, "MOST_BITS", 1 << 12)  # a filter that is nearly full: more tokens go last, results stay
     monkeypatch.setattr(jaccard, "BLOCK_SETS", block)
     got = jaccard.jaccard_components(docs).where("doc_id is not null").toPandas()
     want = sorted((i, *x) for (i, _), x in zip(texts, plain.jaccard(texts).values(), strict=True) if i is not None)
@@ -493,7 +493,7 @@ def test_empty_tables(spark, empty):
     vec = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     for df in (repeats.repeated_passages(empty), langid.identify(empty, langid.fit(empty)), quality.score_quality(empty, quality.fit(empty, labels)), jaccard.jaccard_components(empty), secrets.find_secrets(empty), embed_dedup.near_duplicates(vec), decontaminate.decontaminate(empty, bench), packing.best_fit_packing(empty), pii.find_pii(empty), pii.redact(empty)):
         assert df.count() == 0
-    assert warc.plan_records(pages).count() == 0
+    assert warc.repeated(pages).count() == 0
 
 
 INTERNAL = (
