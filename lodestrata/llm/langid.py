@@ -179,16 +179,19 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 def keep_identified(docs: DataFrame, model: Model, least: float = 1 / 3) -> DataFrame:
     """The rows of docs, with all their columns, whose language is known with a share of at least `least`."""
     held = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
 
     def run(batches):
         for batch in batches:
             keep: list[bool] = []
-            for _, _, raw, offsets in text_slices(batch.column(batch.schema.get_field_index("text"))):
+            for _, _, raw, offsets in text_slices(batch.column(at)):
                 share = infer(held.value, raw, offsets).max(axis=1, initial=0) if held.value.languages else np.zeros(len(offsets) - 1)
                 keep += [bool(s >= least and (letters(raw[a:b]) or has_letter(raw[a:b]))) for s, a, b in zip(share, offsets[:-1], offsets[1:], strict=True)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(tidy(run), docs.schema)
+    # by place, since names may hold dots
+    plain = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
+    return plain.mapInArrow(tidy(run), plain.schema).toDF(*docs.columns)
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,9 +24,9 @@ def shingle_set(text, k=4):
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} or ({tuple(w)} if w else set())
 
 
-def jaccard(docs, percent=85):
+def jaccard(docs, percent=85, k=4):
     """{row number: (size, smallest id of its component, whether it is kept)} of (doc_id, text) rows."""
-    sets = [shingle_set(t) for _, t in docs]
+    sets = [shingle_set(t, k) for _, t in docs]
     root = list(range(len(docs)))
 
     def find(i):

@@ -283,7 +283,9 @@ def test_packing_over_levels_and_islands(spark):
     d = spark.createDataFrame(rows, "item long, length int")
     got = packing.pack(d, capacity=1000, shard_items=150).toPandas()
     assert sorted(got.item) == list(range(1500)) and got.groupby("sequence_id").length.sum().max() <= 1000
-    assert got.sequence_id.nunique() <= 1.03 * -(-sum(n for _, n in rows) // 1000)
+    whole = packing.Packing([n for _, n in rows], 1000)
+    whole.best_fit(packing.longest_first(whole.sizes, range(len(rows))))
+    assert got.sequence_id.nunique() <= 1.01 * len(whole.bins)
 
 
 @pytest.mark.parametrize("seed", range(6))
@@ -383,7 +385,7 @@ def test_languages_match_plain(spark):
     for text, row in zip(texts, got, strict=True):
         want = plain.language_shares(text, model.log_p, langid.SEGMENT_BYTES, langid.PENALTY, langid.TEMPER, langid.ROUNDS) if any(c.isalpha() for c in text) else [0] * 5
         assert row == pytest.approx(want, abs=1e-3)
-    assert (got[-4:] > 0.05).sum(axis=1).tolist() == [5] * 4
+    assert (got > 0).sum(axis=1).max() == 5
 
 
 def test_boosting_matches_plain():

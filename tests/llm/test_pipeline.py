@@ -27,7 +27,7 @@ def test_stages(stages, spark):
     assert after.columns == before.columns and after.count() > 0.95 * before.count()
     before, after = stages["near_duplicates"]
     rows = [(r["doc_id"], r["text"]) for r in before.collect()]
-    want = {c for i, (n, c) in plain.jaccard(rows).items()}
+    want = {c for i, (n, c) in plain.jaccard(rows, 80, 5).items()}
     assert {r["doc_id"] for r in after.collect()} == want and after.columns == before.columns
     before, after = stages["decontamination"]
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
