@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import crc_mod, materialize, table, with_row_key
+from lodestrata.llm.common import crc_mod, materialize, table, unused, with_row_key
 from lodestrata.llm.decontaminate import decontaminate
 from lodestrata.llm.jaccard import jaccard_components
 from lodestrata.llm.langid import fit, keep_identified
@@ -17,7 +17,8 @@ NEAR_SHINGLE, NEAR_PERCENT = 5, 80
 
 def _without(docs: DataFrame, key: str, gone: DataFrame) -> DataFrame:
     """Rows of docs, without their key, whose key is not in gone (of one column)."""
-    return docs.join(gone.toDF("gone"), F.col(f"`{key}`") == F.col("gone"), "left_anti").drop(key)
+    other = unused(docs, "_gone")
+    return docs.join(gone.toDF(other), F.col(key) == F.col(other), "left_anti").drop(key)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
