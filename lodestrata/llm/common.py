@@ -7,7 +7,7 @@ import ctypes
 import itertools
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +26,9 @@ _OWN: dict[str, str] = {}
 #: Applications whose scratch folder is marked to be deleted when they end.
 _MARKED: set[str] = set()
 #: Python gets whole texts in batches of about this many bytes, so that a worker's memory is bounded.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
+#: Paths of the tables that are materialized inside last_only(), innermost last.
+_SCOPES: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -76,9 +78,27 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch(spark, name)
     with small_batches(spark):
         df.write.parquet(path)
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def last_only(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """make(), materialized; the tables that were materialized on the way are deleted once it is written."""
+    made: list[str] = []
+    _SCOPES.append(made)
+    try:
+        out = materialize(make(), name)
+    finally:
+        _SCOPES.pop()
+    for path in made[:-1]:
+        fs, p = _hadoop(spark, path)
+        fs.delete(p, True)
+    if _SCOPES:
+        _SCOPES[-1].append(made[-1])
+    return out
+
+
 def forget(df: DataFrame) -> None:
     """Delete the files of a materialized table that no later plan reads."""
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
@@ -191,7 +211,7 @@ def crc_mod(column: str, divisor: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % divisor
 
 
-def text_slices(column: pa.Array, max_bytes: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_slices(column: pa.Array, max_bytes: int = 512 << 10) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cut a string column into runs of rows of about max_bytes (one longer text makes a run of its own).
 
     Yields (first row, end row, bytes of the run, len+1 offsets into them). A null counts as empty.

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from lodestrata.llm.common import materialize, table, text_slices, tidy
 from lodestrata.llm.words import ALNUM, find_words, ranges, word_hashes
 
-WINDOW, CHUNK_BYTES, BLOCK_BYTES = 10, 8 << 20, 2 << 20
+WINDOW, CHUNK_BYTES, BLOCK_BYTES = 10, 8 << 20, 1 << 20
 
 INDEX = pa.schema([
     ("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("bounds", pa.list_(pa.int32())),

@@ -23,7 +23,7 @@ most BLOCK_SETS sets and BLOCK_BYTES bytes, and blocks return spanning forests.
 
 Defined cases: a text without words (or null) is an empty set and links with nothing; with fewer words than a shingle the whole
 sequence is one shingle; rows with equal ids are documents of their own; a null id counts as larger than any other; further
-columns are ignored. A text is read whole, in memory of about forty times its bytes; batches hold about 4 MB of other texts.
+columns are ignored. A text is read whole, in memory of about forty times its bytes; batches hold about 2 MB of other texts.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import SALTS, bloom_of, joined_back, materialize, merge, table, text_slices, tidy
+from lodestrata.llm.common import SALTS, bloom_of, joined_back, last_only, materialize, merge, table, text_slices, tidy
 from lodestrata.llm.graph import components
 from lodestrata.llm.words import SPACED, find_words, mix, ranges, shingles, word_hashes
 
@@ -458,7 +458,7 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
 
 
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(table(spark, sf_dir, "documents")).drop("kept")
+    return last_only(spark, lambda: jaccard_components(table(spark, sf_dir, "documents")).drop("kept"), "components")
 
 
 ORACLE_SQL = r"""

@@ -12,7 +12,7 @@ rate that the counts of the languages fix; prediction reads whole texts and noth
 
 Defined cases: `und` with score 0 where the text is null or has no letter, or where no language was learned; equal
 proportions go to the language that sorts first; repeated rows each get their own result; further columns are ignored. A text is
-read whole, in memory of about forty times its bytes; batches hold about 4 MB of other texts.
+read whole, in memory of about forty times its bytes; batches hold about 2 MB of other texts.
 """
 
 from __future__ import annotations

@@ -17,7 +17,7 @@ each other); a text that tiktoken refuses is encoded by tokenizers.
 
 Defined cases: a null or empty text is the separator alone; repeated rows are packed as often as they occur; a text longer
 than a sequence is cut into whole sequences after a first piece that takes the remainder; an empty table gives no rows; further
-columns are ignored. A text is encoded whole, in memory of about ten times its bytes; batches hold about 4 MB of other texts.
+columns are ignored. A text is encoded whole, in memory of about ten times its bytes; batches hold about 2 MB of other texts.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import materialize, table, tidy
+from lodestrata.llm.common import last_only, materialize, table, tidy
 
 CAPACITY, SEPARATOR = 2048, 0
 SHARD_ITEMS, SLACK, LEVELS = 2048, 2, 8
@@ -312,7 +312,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, shard_items: int = SHARD_IT
 
 def best_fit_packing(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    return pack(materialize(pieces(docs, capacity), "pieces"), capacity).drop("item")
+    return last_only(docs.sparkSession, lambda: pack(materialize(pieces(docs, capacity), "pieces"), capacity).drop("item"), "packed")
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

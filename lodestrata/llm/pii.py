@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import forget, materialize, merge, table, unused, with_row_key
+from lodestrata.llm.common import forget, last_only, materialize, merge, table, unused, with_row_key
 
 KINDS = ("email", "ip", "card", "phone")
 PATTERNS = {
@@ -229,7 +229,8 @@ def redact(docs: DataFrame) -> DataFrame:
     keyed, key = with_row_key(docs)
     ordered = F.array_sort(F.transform(F.concat("base", "added"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     spans, row = unused(keyed, "_spans"), unused(keyed, "_row")
-    found = find_pii(keyed.select(F.col(key).alias("doc_id"), "text")).select(F.col("doc_id").alias(row), ordered.alias(spans)).where(F.size(spans) > 0)
+    body = keyed.select(F.col(key).alias("doc_id"), "text")
+    found = last_only(docs.sparkSession, lambda: find_pii(body).select(F.col("doc_id").alias(row), ordered.alias(spans)).where(F.size(spans) > 0), "spans")
     clean = F.when(F.col(spans).isNull(), F.col("text")).otherwise(redacted(F.col("text"), F.col(spans)))
     both = keyed.join(found, F.col(key) == F.col(row), "left").withColumn("text", clean)
     if "n_chars" in docs.columns:
@@ -238,7 +239,6 @@ def redact(docs: DataFrame) -> DataFrame:
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find_pii(table(spark, sf_dir, "documents"))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
-    counts = [count(k).alias(f"n_{k}") for k in KINDS]
-    return found.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.concat("base", "added")).alias("spans"))
+    columns = ["doc_id", *(count(k).alias(f"n_{k}") for k in KINDS), F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.concat("base", "added")).alias("spans")]
+    return last_only(spark, lambda: find_pii(table(spark, sf_dir, "documents")).select(*columns), "personal")

@@ -11,7 +11,7 @@ reads every whole text and nothing but the text.
 Defined cases: a null text is empty and gets a score like any other; without labels, or with labels of one kind only, every
 score is their mean (0.5 without any); null labels are left out, and several labels of a document count as their mean;
 repeated documents each get their own result; further columns are ignored. A text is read whole, in memory of about forty times
-its bytes; batches hold about 4 MB of other texts.
+its bytes; batches hold about 2 MB of other texts.
 """
 
 from __future__ import annotations

@@ -23,7 +23,7 @@ document is scanned, and other_id is then the document itself.
 
 Defined cases: words are those of the Jaccard join (A-Z folded, split at white space); a null or shorter text has no repeats; rows
 with equal or null ids are documents of their own, told apart by a key of the row; further columns are ignored; documents without
-repeats have no row. A text is read whole, in memory of about forty times its bytes; batches hold about 4 MB of other texts.
+repeats have no row. A text is read whole, in memory of about forty times its bytes; batches hold about 2 MB of other texts.
 """
 
 from __future__ import annotations

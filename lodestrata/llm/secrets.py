@@ -14,7 +14,7 @@ sentence. An armour may have header lines (Proc-Type, DEK-Info) and its line bre
 on its own, so there is no shuffle and nothing grows but the row itself; spans become code points in one pass over the text.
 
 Defined cases: a null or empty text has no spans; repeated rows each get their own result; further columns are ignored; a very long
-text takes memory of a few times its bytes, beside batches of about 4 MB of other texts.
+text takes memory of a few times its bytes, beside batches of about 2 MB of other texts.
 """
 
 from __future__ import annotations

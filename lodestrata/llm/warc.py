@@ -15,7 +15,7 @@ the names; the table of names is written by Spark's committer, so files of lost
 
 Defined cases: a null html is an empty payload; pages with equal ids and payloads are all responses if theirs is the largest
 id; a null page_id ranks below all others and stays null; an empty table gives no file and no rows; further columns are ignored.
-A record is built whole, in memory of a few times its payload; batches hold about 4 MB of other pages.
+A record is built whole, in memory of a few times its payload; batches hold about 2 MB of other pages.
 """
 
 from __future__ import annotations
