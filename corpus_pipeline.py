@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import crc_mod, materialize, table, unused, with_row_key
+from lodestrata.llm.common import crc_mod, last_only, materialize, table, unused, with_row_key
 from lodestrata.llm.decontaminate import decontaminate
 from lodestrata.llm.jaccard import jaccard_components
 from lodestrata.llm.langid import fit, keep_identified
@@ -36,8 +36,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Of repeated rows one stays; null and empty texts link with nothing and stay; further columns, of any name, are kept.
     """
     keyed, key = with_row_key(docs)
-    found = jaccard_components(keyed, shingle=NEAR_SHINGLE, percent=NEAR_PERCENT, key=key)
-    return _without(keyed, key, materialize(found.where("not kept").select(key), "dropped"))
+    gone = lambda: jaccard_components(keyed, shingle=NEAR_SHINGLE, percent=NEAR_PERCENT, key=key).where("not kept").select(key)
+    return _without(keyed, key, last_only(spark, gone, "dropped"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,8 +46,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Null and empty texts stay, each repeated row is judged alike; further columns, of any name, are kept.
     """
     keyed, key = with_row_key(docs)
-    found = decontaminate(keyed.select(F.col(key).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
-    return _without(keyed, key, materialize(found.where("contaminated").select("doc_id"), "leaks"))
+    body = keyed.select(F.col(key).alias("doc_id"), "text")
+    return _without(keyed, key, last_only(spark, lambda: decontaminate(body, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id"), "leaks"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
