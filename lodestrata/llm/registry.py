@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestrata.llm import decontaminate, embed_dedup, jaccard, langid, packing, pii, quality, repeats, secrets, warc
+from lodestrata.llm import decontaminate, embed_dedup, jaccard, langid, merkle, packing, pii, quality, repeats, secrets, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_packing": packing.op9_packing,
     "op10_pii": pii.op10_pii,
+    "op11_merkle": merkle.op11_merkle,
 }
 ORACLE_SQL = {
     "op1_warc": warc.ORACLE_SQL,
     "op5_jaccard": jaccard.ORACLE_SQL,
     "op7_embeddings": embed_dedup.ORACLE_SQL,
     "op8_decontaminate": decontaminate.ORACLE_SQL,
+    "op11_merkle": merkle.ORACLE_SQL,
 }
