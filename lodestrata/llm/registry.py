@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestrata.llm import decontaminate, embed_dedup, jaccard, langid, merkle, packing, pii, quality, repeats, secrets, warc
+from lodestrata.llm import decontaminate, embed_dedup, jaccard, langid, merkle, mixing, negatives, packing, pii, quality, repeats, secrets, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_packing": packing.op9_packing,
     "op10_pii": pii.op10_pii,
     "op11_merkle": merkle.op11_merkle,
+    "op12_negatives": negatives.op12_negatives,
+    "op13_mixing": mixing.op13_mixing,
 }
 ORACLE_SQL = {
     "op1_warc": warc.ORACLE_SQL,
@@ -23,4 +25,6 @@ ORACLE_SQL = {
     "op7_embeddings": embed_dedup.ORACLE_SQL,
     "op8_decontaminate": decontaminate.ORACLE_SQL,
     "op11_merkle": merkle.ORACLE_SQL,
+    "op12_negatives": negatives.ORACLE_SQL,
+    "op13_mixing": mixing.ORACLE_SQL,
 }
