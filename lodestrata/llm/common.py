@@ -117,17 +117,30 @@ def unused(df: DataFrame, stem: str) -> str:
     return next(n for n in itertools.chain([stem], (f"{stem}{k}" for k in itertools.count(1))) if n.lower() not in taken)
 
 
+#: Keys of rows of files have so many bits for the row; a table of at most so many files is broadcast.
+ROW_BITS, MOST_FILES = 40, 1 << 20
+
+
 def with_row_key(df: DataFrame) -> tuple[DataFrame, str]:
-    """df with a long that stands for each row and is the same in every scan, and the name of that column.
+    """df with a long that no other row has and that is the same in every scan, and the name of that column.
 
-    For files it is a 64-bit hash of the file and the row's place in it, so nothing is copied; other tables are written down
-    once with a number.
+    Where every row of df stems from another row of a file, which is counted, its key is the number of the file and the row's place
+    in it, and nothing is copied. Other tables (a file that is read twice, exploded rows, rows in memory) are written down once
+    with a number.
     """
-    name = unused(df, "_key")
+    name, spark = unused(df, "_key"), df.sparkSession
     try:
-        return df.withColumn(name, F.xxhash64(F.col("_metadata.file_path"), F.col("_metadata.row_index"))), name
+        places = df.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place"))
     except AnalysisException:
         return materialize(df.withColumn(name, F.monotonically_increasing_id()), "keyed"), name
+    shared = places.groupBy("file", "place").agg(F.count("*").alias("n")).where("n > 1 or file is null or place is null")
+    files = materialize(places.groupBy("file").agg(F.max("place").alias("last")).coalesce(1).withColumn("number", F.monotonically_increasing_id()), "files")
+    if not shared.isEmpty() or not files.where((F.col("number") >= MOST_FILES) | (F.col("last") >= 1 << ROW_BITS)).isEmpty():
+        return materialize(df.withColumn(name, F.monotonically_increasing_id()), "keyed"), name
+    file, number = unused(df, "_file"), unused(df, "_number")
+    keyed = df.withColumns({name: F.col("_metadata.row_index"), file: F.col("_metadata.file_path")})
+    keyed = keyed.join(F.broadcast(files.select(F.col("file").alias(file), F.col("number").alias(number))), file)
+    return keyed.withColumn(name, F.col(number) * F.lit(1 << ROW_BITS) + F.col(name)).select(*(F.col(f"`{c}`") for c in df.columns), name), name
 
 
 def tidy(run):

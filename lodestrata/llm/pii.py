@@ -5,10 +5,12 @@ of the matches, summed up, are the starts and ends (code points). The patterns m
 runs anchored at their first character (or where the last match ended, \G) and possessive quantifiers, so that a long
 run of one character class costs time in proportion to its length and no stack.
 
-The base spans seed a bootstrap over the whole corpus. A lexical pattern is the word in front of a span, or the two words; its
-instances are the seeds and the other identifier-like tokens (with a digit, 5 characters or more) that follow it. Each round
+The base spans seed a bootstrap over the whole corpus. A lexical pattern is the word in front of a span, or the two words, or
+the word or two words behind it; its
+instances are the seeds and the other identifier-like tokens (with a digit, 5 characters or more) that stand beside it. Words end
+at white space and after punctuation, so that a label written against its value (`id:AB-1234`) is a word as well. Each round
 scores the pattern-instance graph: a pattern by the share of all its occurrences in the corpus that a known instance
-follows, and by the number of different ones; an instance by the noisy-or of the patterns that accepted ones give it.
+stands beside, and by the number of different ones; an instance by the noisy-or of the patterns that accepted ones give it.
 High-confidence patterns make new instances known, which score patterns in the next round. Tokens of accepted instances
 become spans of kind `id` wherever they stand, unless they overlap a base span.
 
@@ -41,6 +43,9 @@ PATTERNS = {
 #: An identifier-like token: a whole run of these characters with a digit in it.
 TOKEN = r"(?<![A-Za-z0-9._@/+-])(?=[A-Za-z._@/+-]*+[0-9])[A-Za-z0-9._@/+-]{5,}+"
 OCTETS = r"^0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])?(?:\.0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])?){3}$"
+#: Punctuation that ends a word, what words are made of, and a word.
+LABEL, BODY = r"[\p{P}\p{S}&&[^._@/+%-]]", r"[[^\s\p{P}\p{S}]._@/+%-]"
+UNIT = f"{BODY}++{LABEL}*+|{LABEL}++"
 BLOCK, PIECE, MOST_PAIRS = 128, 4096, 1 << 18
 MIN_KNOWN, MIN_PATTERN, MIN_INSTANCE = 3, 0.5, 0.8
 
@@ -95,29 +100,32 @@ def valid(kind: str, x: Column) -> Column:
     return F.lit(True)
 
 
-def front(piece: Column) -> Column:
-    """The last word and the last two words of the text in front of a span, in lower case ('' where there are none).
+def contexts(before: Column, behind: Column) -> Column:
+    """Patterns of a span: the last word and the last two of the text before it (<), the first and the first two behind it (>).
 
-    The piece is turned round, so that the search begins at the span and ends after two words.
+    In lower case; the text before is turned round, so that the search begins at the span and ends after two words.
     """
-    back = F.reverse(piece)
-    one, two = (F.lower(F.reverse(F.regexp_extract(back, r"^\s*+(\S++)(?:\s++(\S++))?", k))) for k in (1, 2))
-    return F.filter(F.array(one, F.when(two != "", F.concat_ws(" ", two, one))), lambda w: w.isNotNull() & (w != ""))
+    back = F.reverse(before)
+    back_unit = f"(?:{LABEL}*+{BODY}++|{LABEL}++)"
+    one, two = (F.lower(F.reverse(F.regexp_extract(back, rf"^\s*+({back_unit})(?:\s*+({back_unit}))?", k))) for k in (1, 2))
+    next_, over = (F.lower(F.regexp_extract(behind, rf"^(?:\s|{LABEL})*+({BODY}++{LABEL}*+)(?:\s*+({UNIT}))?", k)) for k in (1, 2))
+    side = lambda mark, first, both, more: F.array(F.when(first != "", F.concat(F.lit(mark), first)), F.when(more != "", F.concat(F.lit(mark), both)))
+    return F.filter(F.concat(side("<", one, F.concat_ws(" ", two, one), two), side(">", next_, F.concat_ws(" ", next_, over), over)), lambda w: w.isNotNull())
 
 
 def free(tokens: Column, spans: Column) -> Column:
     """The tokens that overlap none of the spans: both in one sorted list, with the furthest end before and the next start behind."""
-    event = lambda s, own: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(own).alias("own"), s["match"].alias("match"), s["front"].alias("front"))
+    event = lambda s, own: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(own).alias("own"), s["match"].alias("match"), s["context"].alias("context"))
     events = F.array_sort(F.concat(F.transform(spans, lambda s: event(s, 0)), F.transform(tokens, lambda t: event(t, 1))))
     reach = running_maxima(F.transform(events, lambda e: F.when(e["own"] == 0, e["end"]).otherwise(F.lit(0).cast("bigint"))))
     # starts are not negative: the largest of -1 - start from the right is the next start
     ahead = F.reverse(running(F.reverse(F.transform(events, lambda e: F.when(e["own"] == 0, -1 - e["start"]).otherwise(F.lit(-(1 << 62)).cast("bigint")))), larger, -(1 << 62)))
     marked = F.arrays_zip(events.alias("e"), reach.alias("reach"), ahead.alias("ahead"))
     kept = F.filter(marked, lambda z: (z["e"]["own"] == 1) & (z["reach"] <= z["e"]["start"]) & (-1 - z["ahead"] >= z["e"]["end"]))
-    return F.transform(kept, lambda z: F.struct(z["e"]["start"].alias("start"), z["e"]["end"].alias("end"), z["e"]["match"].alias("match"), z["e"]["front"].alias("front")))
+    return F.transform(kept, lambda z: F.struct(z["e"]["start"].alias("start"), z["e"]["end"].alias("end"), z["e"]["match"].alias("match"), z["e"]["context"].alias("context")))
 
 
-SPAN = "array<struct<start:bigint,end:bigint,match:string,front:array<string>>>"
+SPAN = "array<struct<start:bigint,end:bigint,match:string,context:array<string>>>"
 
 
 def spans_of(docs: DataFrame, kind: str, pattern: str, present: Column) -> DataFrame:
@@ -127,7 +135,7 @@ def spans_of(docs: DataFrame, kind: str, pattern: str, present: Column) -> DataF
         "_p": F.when(present, F.split("text", pattern, -1)),
     })
     docs = docs.withColumn("_e", F.when(F.size("_m") > 0, running_sums(F.transform("_m", lambda x, i: (F.length(x) + F.length(F.get("_p", i))).cast("bigint")))))
-    found = F.transform("_m", lambda x, i: F.struct((F.get("_e", i) - F.length(x)).alias("start"), F.get("_e", i).alias("end"), x.alias("match"), front(F.get("_p", i)).alias("front")))
+    found = F.transform("_m", lambda x, i: F.struct((F.get("_e", i) - F.length(x)).alias("start"), F.get("_e", i).alias("end"), x.alias("match"), contexts(F.get("_p", i), F.get("_p", i + 1)).alias("context")))
     return docs.withColumn(kind, F.coalesce(F.when(F.size("_m") > 0, found), F.array()).cast(SPAN)).drop("_m", "_p", "_e")
 
 
@@ -142,7 +150,7 @@ def scan(docs: DataFrame) -> DataFrame:
     checked = lambda k: F.filter(k, lambda s: valid(k, s["match"]))
     rows = rows.withColumns({k: checked(k) for k in KINDS}).withColumn("_all", F.concat(*KINDS))
     # a full stop or dash behind a token is not part of it
-    trimmed = F.transform("token", lambda s: F.struct(s["start"].alias("start"), (s["start"] + F.length(F.rtrim(s["match"], F.lit("._-/+")))).alias("end"), F.rtrim(s["match"], F.lit("._-/+")).alias("match"), s["front"].alias("front")))
+    trimmed = F.transform("token", lambda s: F.struct(s["start"].alias("start"), (s["start"] + F.length(F.rtrim(s["match"], F.lit("._-/+")))).alias("end"), F.rtrim(s["match"], F.lit("._-/+")).alias("match"), s["context"].alias("context")))
     rows = rows.withColumn("token", trimmed)
     rows = rows.withColumn("token", F.filter("token", lambda t: F.length(t["match"]) >= 5))
     rows = rows.withColumn("token", F.when((F.size("token") > 0) & (F.size("_all") > 0), free(F.col("token"), F.col("_all"))).otherwise(F.col("token")))
@@ -152,23 +160,23 @@ def scan(docs: DataFrame) -> DataFrame:
 def bootstrap(docs: DataFrame, scanned: DataFrame) -> DataFrame:
     """Accepted instances: a column instance."""
     spark = docs.sparkSession
-    mention = lambda c, seed: scanned.select(F.explode(c).alias("s")).select(F.explode("s.front").alias("pattern"), F.col("s.match").alias("instance"), F.lit(seed).alias("seed"))
+    mention = lambda c, seed: scanned.select(F.explode(c).alias("s")).select(F.explode("s.context").alias("pattern"), F.col("s.match").alias("instance"), F.lit(seed).alias("seed"))
     mentions = mention(F.concat(*KINDS), True).unionByName(mention(F.col("token"), False))
     found = materialize(mentions.groupBy("pattern", "instance").agg(F.count("*").alias("n"), F.max("seed").alias("known")), "mentions")
 
     # a pattern of fewer instances can never have MIN_KNOWN known ones; one that never stands as words of its own has no share
-    able = materialize(found.groupBy("pattern").agg(F.count("*").alias("c")).where(F.col("c") >= MIN_KNOWN).select("pattern"), "patterns")
+    able = materialize(found.groupBy("pattern").agg(F.count("*").alias("c")).where(F.col("c") >= MIN_KNOWN).select("pattern", F.substring("pattern", 2, (1 << 31) - 1).alias("said")), "patterns")
     # one pass counts every word, and the pairs that are patterns beside the word alone
-    pair = able.where("pattern like '% %'").select(F.substring_index("pattern", " ", 1).alias("two"), F.substring_index("pattern", " ", -1).alias("one"), F.lit(True).alias("able"))
-    words = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")
+    pair = able.where("said like '% %'").select(F.substring_index("said", " ", 1).alias("two"), F.substring_index("said", " ", -1).alias("one"), F.lit(True).alias("able")).distinct()
+    words = F.regexp_extract_all(F.lower("text"), F.lit(UNIT), F.lit(0))
     pairs = docs.select(words.alias("w")).select(F.explode(F.transform("w", lambda w, i: F.struct(w.alias("one"), F.coalesce(F.get("w", i - 1), F.lit("")).alias("two")))).alias("p")).select("p.one", "p.two", F.lit(1).cast("long").alias("n"))
     if pair.count() <= MOST_PAIRS:
         met = pairs.join(F.broadcast(pair), ["one", "two"], "left")
     else:
         met = pairs.groupBy("one", "two").agg(F.sum("n").alias("n")).join(merge(pair), ["one", "two"], "left")
     met = materialize(met.groupBy("one", F.when(F.col("able"), F.col("two")).alias("two")).agg(F.sum("n").alias("n")), "words")
-    counted = met.select(F.col("one").alias("pattern"), "n").unionByName(met.where("two is not null").select(F.concat_ws(" ", "two", "one").alias("pattern"), "n"))
-    total = materialize(counted.groupBy("pattern").agg(F.sum("n").alias("total")).join(able, "pattern"), "occurrences")
+    counted = met.select(F.col("one").alias("said"), "n").unionByName(met.where("two is not null").select(F.concat_ws(" ", "two", "one").alias("said"), "n"))
+    total = materialize(counted.groupBy("said").agg(F.sum("n").alias("total")).join(able, "said").drop("said"), "occurrences")
     graph = materialize(found.join(total, "pattern"), "graph0")
     accepted, k = spark.createDataFrame([], "instance string"), 0
     while True:

@@ -97,7 +97,7 @@ def der_items(b: bytes, depth: int = 0) -> list[tuple[int, bytes | list]] | None
 
 
 def is_private_key(b: bytes) -> bool:
-    """PKCS #1, DSA, SEC 1 or PKCS #8 (plain or encrypted)."""
+    """PKCS #1, DSA, SEC 1 or PKCS #8 (plain, or encrypted by a scheme that takes a password)."""
     top = der_items(b) if b[:1] == b"\x30" else None
     if not top or len(top) != 1 or not isinstance(top[0][1], list):
         return False
@@ -109,11 +109,16 @@ def is_private_key(b: bytes) -> bool:
         if tags[:2] == [2, 4] and version == b"\x01" and 16 <= len(top[0][1][1][1]) <= 72:  # EC
             return True
         return tags[:3] == [2, 0x30, 4] and _algorithm(top[0][1][1][1])
-    return tags == [0x30, 4] and _algorithm(top[0][1][0][1]) and len(top[0][1][1][1]) >= 32
+    return tags == [0x30, 4] and _algorithm(top[0][1][0][1], PASSWORD_ARCS) and len(top[0][1][1][1]) >= 8
 
 
-def _algorithm(items: list) -> bool:
-    return bool(items) and items[0][0] == 6
+#: The object identifiers of PKCS #5 (1.2.840.113549.1.5) and PKCS #12 (1.2.840.113549.1.12.1) schemes, without their last number.
+PASSWORD_ARCS = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
+
+
+def _algorithm(items: list, arcs: tuple[bytes, ...] = (b"",)) -> bool:
+    """Whether items begin with an object identifier, one number below one of the arcs where such are given."""
+    return bool(items) and items[0][0] == 6 and any(items[0][1].startswith(a) and (not a or len(items[0][1]) == len(a) + 1) for a in arcs)
 
 
 def is_ssh_key(b: bytes) -> bool:

@@ -1,8 +1,10 @@
 """Plain versions of the corpus operators' results, one document at a time."""
 
 import hashlib
+import collections
 import math
 import re
+import unicodedata
 
 SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 
@@ -92,6 +94,77 @@ def pii(text):
     return out
 
 
+TOKEN = r"(?<![A-Za-z0-9._@/+-])(?=[A-Za-z._@/+-]*[0-9])[A-Za-z0-9._@/+-]{5,}"
+
+
+def ends_word(c):
+    return unicodedata.category(c)[0] in "PS" and c not in "._@/+%-"
+
+
+def units(text):
+    """Words that end at white space, or after punctuation that something else follows."""
+    out, now = [], ""
+    for c in text:
+        if c in " \t\n\x0b\f\r":
+            out, now = [*out, now], ""
+        else:
+            if now and ends_word(now[-1]) and not ends_word(c):
+                out, now = [*out, now], ""
+            now += c
+    return [u.lower() for u in [*out, now] if u]
+
+
+def identifiers(texts, least_known=3, least_pattern=0.5, least_instance=0.8):
+    """(kind, start, end) of each text, base spans and then those of instances that the bootstrap accepts."""
+    edges, total, where, bases = collections.Counter(), collections.Counter(), [], []
+    seeds = set()
+    for t in texts:
+        base = pii(t)
+        bases.append(base)
+        words = units(t)
+        total.update(words)
+        total.update(f"{a} {b}" for a, b in zip(words, words[1:], strict=False))
+        own = []
+        for kind, p in [*PII.items(), ("token", TOKEN)]:
+            found = [m.span() for m in re.finditer(p, t)]
+            for k, (lo, hi) in enumerate(found):
+                before, behind = t[found[k - 1][1] if k else 0 : lo], t[hi : found[k + 1][0] if k + 1 < len(found) else len(t)]
+                instance = t[lo:hi]
+                if kind == "token":
+                    instance = instance.rstrip("._-/+")
+                    if len(instance) < 5 or any(lo < e and s < lo + len(instance) for _, s, e in base):
+                        continue
+                    own.append((instance, lo, lo + len(instance)))
+                elif (kind, lo, hi) not in base:
+                    continue
+                a, b = units(before), units(behind.lstrip("".join({" ", "\t", "\n", *(c for c in behind if ends_word(c))})))
+                patterns = ["<" + " ".join(a[-n:]) for n in (1, 2) if len(a) >= n] + [">" + " ".join(b[:n]) for n in (1, 2) if len(b) >= n]
+                for x in patterns:
+                    edges[x, instance] += 1
+                    if kind != "token":
+                        seeds.add((x, instance))
+        where.append(own)
+    graph = collections.defaultdict(dict)
+    for (x, instance), n in edges.items():
+        if total[x[1:]]:
+            graph[x][instance] = n
+    known, accepted = set(seeds), set()
+    while True:
+        doubt = collections.defaultdict(lambda: 1.0)
+        for x, instances in graph.items():
+            hits = [n for i, n in instances.items() if (x, i) in known]
+            p = min(1.0, sum(hits) / total[x[1:]])
+            if len(hits) >= least_known and p >= least_pattern:
+                for i in instances:
+                    if (x, i) not in known:
+                        doubt[i] *= max(1 - p, 1e-6)
+        new = {i for i, d in doubt.items() if 1 - d >= least_instance}
+        if not new:
+            return [base + sorted(("id", lo, hi) for i, lo, hi in own if i in accepted) for base, own in zip(bases, where, strict=True)]
+        accepted |= new
+        known |= {(x, i) for x, instances in graph.items() for i in instances if i in new}
+
+
 NAMES = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token")) + "|[aA][pP][iI]_?[kK][eE][yY]"
 
 

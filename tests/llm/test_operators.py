@@ -140,7 +140,7 @@ def test_pii_bootstrap_goes_on_over_generations(spark):
     """Each generation of identifiers makes the pattern of the next one trusted; the fourth pattern is too often followed by others."""
     seeds = [f"write to: u{i}@x.org now" for i in range(40)]
     chain = [f"{word} {name}{j} then" for word, name, n in (("to:", "first", 1), ("ref:", "first", 9), ("ref:", "second", 1), ("see:", "second", 9), ("see:", "third", 1)) for j in range(10, 14) for _ in range(n)]
-    noise = [f"per third{j} then" for j in range(10, 14)] + ["per year"] * 20 + ["per other77 then"]
+    noise = [f"per third{j} then" for j in range(10, 14)] + ["per year"] * 20 + ["per other77"]
     assert discovered(spark, seeds + chain + noise) == {f"{name}{j}" for name in ("first", "second", "third") for j in range(10, 14)}
 
 
@@ -150,9 +150,59 @@ def test_pii_rare_pattern_beside_many_common_ones(spark):
     assert discovered(spark, common + rare) == {"AB12345"}
 
 
-def test_pii_plan_is_native(spark, docs):
-    plan = pii.find_pii(docs)._jdf.queryExecution().toString()
-    assert "Python" not in plan and "MapInArrow" not in plan
+@pytest.mark.parametrize("label", ["contact:", "contact: ", "contact=", 'data-id="', "Kontakt： ", "(id) ", "see "])
+def test_pii_labels_before_their_values(spark, label):
+    """Attached or not: seeds make the label trusted, and what else follows it is found."""
+    close = '"' if label.endswith('"') else ""
+    seeds = [f"{'and so' if i % 2 else 'then'} {label}u{i}@x.org{close} here" for i in range(60)]
+    assert discovered(spark, [*seeds, *(f"then {label}AB-12{i}4{close} here" for i in range(10)), "see nothing"]) == {f"AB-12{i}4" for i in range(10)}
+
+
+def test_pii_words_behind_their_values(spark):
+    seeds = [f"{w} u{i}@x.org, holder of it" for i, w in enumerate("abcdefghij")]
+    assert discovered(spark, [*seeds, "qq AB-1234 holder of", "rr CD-5678 stands alone"]) == {"AB-1234"}
+
+
+def test_pii_bootstrap_matches_plain(spark):
+    """Scores, rounds and spans on texts whose contexts are trusted, half trusted and not, attached and behind."""
+    rng, labels = random.Random(4), ["id:", "id: ", "user=", "ref ", "no. ", "(key) ", "Passport： ", "é", '{"a":"', "to "]
+    behind = ["", ".", ", holder", " holder", " (owner)", '"}', " or"]
+    texts = []
+    for i in range(220):
+        parts = []
+        for _ in range(rng.randint(1, 6)):
+            label = rng.choice(labels)
+            kinds = {"id:": [8, 2, 0, 0, 0], "id: ": [8, 2, 0, 0, 0], "user=": [1, 8, 0, 2, 0], "ref ": [0, 0, 0, 3, 1], "no. ": [3, 3, 3, 3, 9]}.get(label, [2, 1, 4, 0, 1])
+            value = rng.choices([f"u{rng.randint(0, 30)}@x.org", f"AB-{rng.randint(100, 130)}", f"10.0.0.{rng.randint(1, 9)}", f"z{rng.randint(10000, 10020)}.", "word"], kinds)[0]
+            parts.append(rng.choice(["", "so ", "Then, "]) + label + value + rng.choice(behind))
+        texts.append(" ".join(parts) + rng.choice(["", "\nid: none", " ref", " holder of"]))
+    d = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], DOCS)
+    got = {r["doc_id"]: r["spans"] for r in pii.find_pii(d).select("doc_id", pii.joined(F.concat("base", "added")).alias("spans")).collect()}
+    want = plain.identifiers(texts)
+    assert got == {i: ",".join(f"{k}:{s}:{e}" for k, s, e in w) for i, w in enumerate(want)}
+    found = sum(k == "id" for w in want for k, *_ in w)
+    assert 20 < found < sum(t.count("AB-") + t.count("z100") for t in texts)
+
+
+def test_pii_plan_is_native(spark, docs, monkeypatch):
+    """The plan of each table that is written down on the way, and of the result."""
+    plans, keep = [], common.materialize
+    monkeypatch.setattr(pii, "materialize", lambda df, name: (plans.append(df._jdf.queryExecution().toString()), keep(df, name))[1])
+    plans.append(pii.find_pii(docs)._jdf.queryExecution().toString())
+    assert len(plans) > 6 and not any("Python" in p or "MapInArrow" in p or "Pandas" in p for p in plans)
+
+
+def test_row_keys_are_unique_and_stable(spark, tmp_path):
+    """For files as they are, and where rows of a table share a row of a file."""
+    path = str(tmp_path / "rows")
+    spark.createDataFrame([(i, f"text {i}") for i in range(30)], "doc_id long, text string").repartition(3).write.parquet(path)
+    d = spark.read.parquet(path)
+    tables = {"bare": d, "filtered": d.where("doc_id > 4"), "exploded": d.withColumn("x", F.explode(F.array(F.lit(1), F.lit(2)))), "twice": spark.read.parquet(path, path), "union": d.union(d), "joined": d.join(spark.range(3).withColumnRenamed("id", "y"), F.col("doc_id") % 3 <= F.col("y")), "memory": spark.createDataFrame([(1, "a"), (1, "a")], "doc_id long, text string")}
+    for name, t in tables.items():
+        keyed, key = common.with_row_key(t)
+        rows = keyed.collect()
+        assert len(rows) == t.count() == len({r[key] for r in rows}), name
+        assert {(r[key], r["doc_id"]) for r in keyed.collect()} == {(r[key], r["doc_id"]) for r in rows} and [c for c in keyed.columns if c != key] == t.columns, name
 
 
 def test_secrets_match_plain(spark, docs, texts):
@@ -165,6 +215,11 @@ def test_secrets_match_plain(spark, docs, texts):
     assert sorted((str(r["doc_id"]), r["base_sha256"]) for r in got) == want
     spans = {r["doc_id"]: r["spans"] for r in got}
     assert f"jwt:2:{2 + len(jwt)}" in spans[1005] and "der:" in spans[1005] and "jwt" not in spans[1007]
+    digest_info = bytes.fromhex("3031300d060960864801650304020105000420") + bytes(32)
+    assert not secrets.is_private_key(digest_info) and secrets.key_kind(digest_info.hex().encode()) is None
+    encrypted = lambda oid: bytes([0x30, 0x1F, 0x30, len(oid) + 2, 6, len(oid)]) + oid + bytes([4, 25 - len(oid)]) + bytes(25 - len(oid))
+    assert all(secrets.is_private_key(encrypted(bytes.fromhex(x))) for x in ("2a864886f70d01050d", "2a864886f70d010c0103"))
+    assert not secrets.is_private_key(encrypted(bytes.fromhex("2a864886f70d010101")))
     assert not secrets.is_private_key(b"\x30\x03\x02\x01") and secrets.der_items(b"\x30\x82\x00\x03\x02\x01\x00") == [(0x30, [(2, b"\x00")])]
 
 

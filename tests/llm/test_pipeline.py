@@ -56,6 +56,23 @@ def test_one_of_equal_rows_stays(spark, tmp_path):
     assert corpus_pipeline.near_duplicates(spark, d.limit(0), SF).count() == 0
 
 
+def test_rows_that_share_a_row_of_a_file(spark, tmp_path):
+    """Two texts and a null, each twice, by a file that is read twice and by exploded rows: no document is lost, none is doubled."""
+    path = str(tmp_path / "d")
+    spark.createDataFrame([(1, "mail a@b.org now a b c d e", "en", "s", 26), (2, "other words stand here in this text", "en", "s", 35), (3, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(path)
+    d = spark.read.parquet(path)
+    for docs in (spark.read.parquet(path, path), d.withColumn("n", F.explode(F.array(F.lit(0), F.lit(1)))).drop("n"), d.union(d)):
+        assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()) == [1, 2, 3, 3]
+        assert sorted(r["doc_id"] for r in corpus_pipeline.decontamination(spark, docs, SF).collect()) == [1, 1, 2, 2, 3, 3]
+        assert sorted((r["doc_id"], r["text"] or "") for r in corpus_pipeline.personal_data(spark, docs, SF).collect()) == [(1, "mail [email] now a b c d e")] * 2 + [(2, "other words stand here in this text")] * 2 + [(3, "")] * 2
+
+
+def test_stages_of_empty_tables(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, SF).count() == 0, name
+
+
 def linked(a, b, shingle=5, percent=80):
     a, b = plain.shingle_set(a, shingle), plain.shingle_set(b, shingle)
     return 100 * len(a & b) >= percent * len(a | b)
