@@ -1,8 +1,8 @@
 """Distances between clouds of vectors.
 
 A cloud is the rows of one item: (item, key, v). The point-pair means behind energy and MMD distances are sums over pairs of
-rows, so they are computed in blocks: rows are dealt to blocks of at most BLOCK points, every pair of blocks meets once, and
-NumPy products give the partial sums, which Spark adds up. A plain DataFrame form of the same sums (pair_means_sql) serves small
+rows, so they are computed in blocks: rows are dealt to blocks of about BLOCK_BYTES, each packed into one row, every pair of blocks
+meets once, and NumPy products give the partial sums, which Spark adds up. A plain DataFrame form of the same sums (pair_means_sql) serves small
 clouds and as a check.
 """
 
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,7 +19,8 @@ from lodestrata.functions.ranks import top_k
 from lodestrata.operators.transport import balanced_assignment
 from lodestrata.sources.contracts import none, require, unique
 
-BLOCK = 512
+#: A block of points; smaller where there would be fewer than LEAST_BLOCKS of them, so that a small problem has several tasks.
+BLOCK_BYTES, LEAST_BLOCKS = 1 << 21, 6
 #: Differences that a block holds at once: 64 MB of doubles, whatever the width.
 DIFFERENCES = 1 << 23
 
@@ -58,63 +60,74 @@ KERNELS = {
 }
 
 
-def _block_sum(kernel: str, bandwidth: float, alpha: float):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-        if not len(left) or not len(right):
-            return left.iloc[:0].assign(item_i=left["item"][:0], item_j=left["item"][:0], total=0.0)[["item_i", "item_j", "total"]]
-        x, y = np.stack(left["v"].to_numpy()), np.stack(right["v"].to_numpy())
+def _block_sums(kernel: str, bandwidth: float, alpha: float):
+    """The sums of one pair of packed blocks, by items, for each row of a batch."""
+
+    def kernel_of(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         if kernel == "linear":
-            k = x @ y.T
-        else:
-            # direct differences: exact zeros for equal points, which the Gram form would lose
-            step = max(1, DIFFERENCES // max(1, y.size))
-            d2 = np.concatenate([((x[i : i + step, None, :] - y[None, :, :]) ** 2).sum(axis=2) for i in range(0, len(x), step)])
-            k = KERNELS[kernel](d2, bandwidth, alpha)
-        names_i, code_i = np.unique(left["item"].to_numpy(), return_inverse=True)
-        names_j, code_j = np.unique(right["item"].to_numpy(), return_inverse=True)
-        by_i = np.zeros((len(names_i), k.shape[1]))
-        np.add.at(by_i, code_i, k)
-        total = np.zeros((len(names_i), len(names_j)))
-        np.add.at(total.T, code_j, by_i.T)
-        return pd.DataFrame({"item_i": list(np.repeat(names_i, len(names_j))), "item_j": list(np.tile(names_j, len(names_i))), "total": total.ravel()})
+            return x @ y.T
+        # direct differences: exact zeros for equal points, which the Gram form would lose
+        step = max(1, DIFFERENCES // max(1, y.size))
+        d2 = [((x[i : i + step, None, :] - y[None, :, :]) ** 2).sum(axis=2) for i in range(0, len(x), step)]
+        return KERNELS[kernel](np.concatenate(d2), bandwidth, alpha)
+
+    def run(batches):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                own = {n: batch.column(n)[r] for n in ("items_a", "items_b", "vecs_a", "vecs_b")}
+                (code_i, names_i), (code_j, names_j) = (pd.factorize(np.array(own[n].as_py(), object)) for n in ("items_a", "items_b"))
+                x, y = (np.frombuffer(own[v].as_py(), np.float64).reshape(len(c), -1) for v, c in (("vecs_a", code_i), ("vecs_b", code_j)))
+                rows = kernel_of(x, y)
+                by_i = np.zeros((len(names_i), len(y)))
+                np.add.at(by_i, code_i, rows)
+                total = np.zeros((len(names_j), len(names_i)))
+                np.add.at(total, code_j, by_i.T)
+                i, j = np.meshgrid(np.arange(len(names_i)), np.arange(len(names_j)))
+                kind = batch.schema.field("items_a").type.value_type
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(i.size, batch.column("apart")[r].as_py())), pa.array(list(names_i[i.ravel()]), kind), pa.array(list(names_j[j.ravel()]), kind), pa.array(total.ravel())], names=["apart", "item_i", "item_j", "total"])
 
     return run
 
 
+def packed_blocks(clouds: DataFrame, blocks: int) -> DataFrame:
+    """(own, items, vecs): the points of each block in one row, vectors as bytes."""
+    item = clouds.schema["item"].dataType.simpleString()
+    dealt = clouds.select("item", A.doubles("v").alias("v"), F.pmod(F.xxhash64("item", "key"), F.lit(blocks)).cast("int").alias("own"))
+
+    def pack(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        v = group.column("v").combine_chunks()
+        kinds = [pa.int32(), pa.list_(group.schema.field("item").type), pa.binary()]
+        columns = [[group.column("own")[0].as_py()], [group.column("item").to_pylist()], [np.asarray(v.flatten(), np.float64).tobytes()]]
+        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["own", "items", "vecs"])
+
+    return dealt.groupBy("own").applyInArrow(pack, f"own int, items array<{item}>, vecs binary")
+
+
 def pair_means(clouds: DataFrame, kernel: str = "energy", bandwidth: float = 1.0, alpha: float = 1.0) -> DataFrame:
     """(item_i, item_j, mean) over all ordered point pairs, self pairs included: |x - y|^alpha, x.y, or exp(-|x - y|^2 / 2h^2).
 
-    Blocks mix items, so many small clouds share a block and a large one spreads over several; only blocks a <= b meet.
+    Blocks mix items, so many small clouds share a block and a large one spreads over several; only blocks a <= b meet. A join
+    carries n / block rows for each block, so a point travels as often as there are blocks, never as a row of its own.
     """
-    n = clouds.count()
-    blocks = max(1, -(-n // BLOCK))
-    dealt = clouds.select("item", A.doubles("v").alias("v"), F.pmod(F.xxhash64("item", "key"), F.lit(blocks)).cast("int").alias("own"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = dealt.withColumn("a", F.col("own")).withColumn("b", every).where("a <= b").withColumn("side", F.lit(0))
-    right = dealt.withColumn("b", F.col("own")).withColumn("a", every).where("a <= b").withColumn("side", F.lit(1))
-    names = ["a", "b", "side", "item", "v"]
+    size = clouds.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).first()
+    blocks = min(max(1, -(-size["n"] * 8 * max(size["d"] or 1, 1) // BLOCK_BYTES), LEAST_BLOCKS), max(size["n"], 1))
+    spark = clouds.sparkSession
+    packed = packed_blocks(clouds, blocks)
+    tasks = max(1, min(blocks * (blocks + 1) // 2, 4 * spark.sparkContext.defaultParallelism))
+    every = spark.range(blocks * blocks, numPartitions=tasks).select(F.expr(f"cast(id div {blocks} as int)").alias("a"), (F.col("id") % blocks).cast("int").alias("b")).where("a <= b")
+    met = every.join(packed.toDF("a", "items_a", "vecs_a"), "a").join(packed.toDF("b", "items_b", "vecs_b"), "b").withColumn("apart", F.col("a") != F.col("b"))
     item = clouds.schema["item"].dataType.simpleString()
-    found = left.select(names).unionByName(right.select(names)).groupBy("a", "b")
-    sums = found.applyInPandas(_keyed(_block_sum(kernel, bandwidth, alpha)), f"a int, b int, item_i {item}, item_j {item}, total double")
+    sums = met.select("apart", "items_a", "vecs_a", "items_b", "vecs_b").mapInArrow(_block_sums(kernel, bandwidth, alpha), f"apart boolean, item_i {item}, item_j {item}, total double")
     # a pair of different blocks stands for both orders
-    both = sums.select("item_i", "item_j", "total").unionByName(sums.where("a <> b").select(F.col("item_j").alias("item_i"), F.col("item_i").alias("item_j"), "total"))
+    turned = F.struct(F.col("item_j").alias("item_i"), F.col("item_i").alias("item_j"))
+    both = sums.select(F.explode(F.when(F.col("apart"), F.array(F.struct("item_i", "item_j"), turned)).otherwise(F.array(F.struct("item_i", "item_j")))).alias("p"), "total").select("p.*", "total")
     sizes = clouds.groupBy("item").agg(F.count(F.lit(1)).alias("n"))
     total = both.groupBy("item_i", "item_j").agg(F.sum("total").alias("total"))
     met = total.join(sizes.select(F.col("item").alias("item_i"), F.col("n").alias("n_i")), "item_i").join(sizes.select(F.col("item").alias("item_j"), F.col("n").alias("n_j")), "item_j")
     return met.select("item_i", "item_j", (F.col("total") / (F.col("n_i") * F.col("n_j"))).alias("mean"), "n_i", "n_j")
 
 
-def _keyed(run):
-    def with_key(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        out = run(pdf)
-        out.insert(0, "a", np.int32(key[0]))
-        out.insert(1, "b", np.int32(key[1]))
-        return out
-
-    return with_key
-
-
 def pair_means_sql(clouds: DataFrame, point: Column | None = None, limit: int = 4000) -> DataFrame:
     """The same means by DataFrame expressions over all point pairs, for at most limit rows. point: an expression of x and y."""
     if clouds.limit(limit + 1).count() > limit:

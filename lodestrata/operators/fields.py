@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions.ranks import spearman, top_k
 from lodestrata.operators.pairs import row_normalized, set_overlap
-from lodestrata.operators.quadratic import affine_qp, free_qp, simplex_qp
-from lodestrata.operators.transport import assignment, balanced_assignment, costs, second_best_gap
+from lodestrata.operators.quadratic import affine_qp, free_qp, mean_norm_simplex, simplex_qp, tangent_curvature
+from lodestrata.operators.transport import balanced_assignment, costs, matched, second_best_gap
 from lodestrata.sources.contracts import ContractError
 
 
@@ -137,14 +137,17 @@ def support_null(first: DataFrame, second: DataFrame, draws: int, seed: int) ->
 
 #: Numbers of all clouds together that a projection may hold in each task (512 MB of doubles).
 MOST_NUMBERS = 1 << 26
-PROJECTION = "target string, candidate string, weight double, gap double, value double"
+PROJECTION = "target string, candidate string, weight double, gap double, value double, curvature double"
+#: Relative to the largest entry: a least curvature below minus this is no rounding.
+CURVATURE_TOLERANCE = 1e-8
 
 
 def target_projections(component: DataFrame, kind: str = "energy", feasible: str = "simplex") -> DataFrame:
-    """(target, candidate, weight, gap, value): each item as a mixture of the others, from a component of pair means.
+    """(target, candidate, weight, gap, value, curvature): each item as a mixture of the others, from a component of pair means.
 
     Energy: minimise 2 sum w_j A_tj - w'Aw - A_tt; MMD: w'Kw - 2 sum w_j K_tj + K_tt. simplex, affine (sum one) or free weights.
-    gap: the linear-oracle certificate of the simplex; value: the distance reached. The component is the problem's data, n^2
+    gap: the linear-oracle certificate of the simplex; value: the distance reached; curvature: the least one among directions that keep
+    the sum of weights (of all for free ones), which must not be negative: the problem would not be convex. The component is the problem's data, n^2
     means; each target is solved in a task of its own.
     """
     rows = component.select(F.col("item_i").cast("string").alias("i"), F.col("item_j").cast("string").alias("j"), "mean")
@@ -166,69 +169,113 @@ def target_projections(component: DataFrame, kind: str = "energy", feasible: str
                 rest = [x for x in range(len(names)) if x != k]
                 q, c = 2 * a[np.ix_(rest, rest)], -2 * a[k, rest]
                 gap = np.nan
+                curvature = float(np.linalg.eigvalsh(q).min()) if feasible == "free" else tangent_curvature(q)
+                if curvature < -CURVATURE_TOLERANCE * max(1.0, np.abs(q).max()):
+                    raise ContractError(f"the {kind} problem of {t} is not convex: curvature {curvature}")
                 if feasible == "simplex":
                     w, gap = simplex_qp(q, c)
                 else:
                     w = affine_qp(q, c) if feasible == "affine" else free_qp(q, c)
                 value = float(w @ q @ w / 2 + c @ w + a[k, k])
-                out += [(t, names[x], float(y), float(gap), value) for x, y in zip(rest, w, strict=True)]
-            yield pd.DataFrame(out, columns=["target", "candidate", "weight", "gap", "value"])
+                out += [(t, names[x], float(y), float(gap), value, curvature) for x, y in zip(rest, w, strict=True)]
+            yield pd.DataFrame(out, columns=["target", "candidate", "weight", "gap", "value", "curvature"])
 
     return targets.repartition(max(1, min(n, 200)), "target").mapInPandas(solve, PROJECTION)
 
 
 def wasserstein_projections(clouds: DataFrame, order: int = 2) -> DataFrame:
-    """(target, candidate, weight, gap, value): for order 2, weights on the others whose points, matched to the target's, best average to it.
+    """(target, candidate, weight, gap, value, assignment_gap): weights on the others whose points, matched to the target's, best average to it.
 
-    Couplings are fixed to the target. gap is the smallest cost of moving off any coupling: 0 marks a matching that is not unique.
+    Couplings are fixed to the target; each pair of clouds is matched once, in a task of its own. Order 2 minimises the mean square of
+    what is left at the points, order 1 its mean length. gap is the linear oracle's certificate of the weights; assignment_gap the
+    least amount by which any of the target's couplings beats every other matching: 0 marks one that is not unique.
     """
+    if order not in (1, 2):
+        raise ContractError(f"order {order}: 1 or 2")
     size = clouds.agg(F.sum(F.size("v")).alias("s")).first()["s"] or 0
     if size > MOST_NUMBERS:
         raise ContractError(f"{size} numbers are too many to hold in a task: take fewer rows of each item (first_rows), or anchored_couplings")
-    whole = clouds.groupBy(F.col("item").cast("string").alias("item")).agg(F.transform(F.array_sort(F.collect_list(F.struct("key", "v"))), lambda s: s["v"].cast("array<double>")).alias("points"))
-    spark = clouds.sparkSession
-    held = {r["item"]: np.array(r["points"]) for r in whole.orderBy("item").collect()}
-    names = sorted(held)
-    data = spark.sparkContext.broadcast(held)
+    named = clouds.withColumn("item", F.col("item").cast("string"))
+    whole = named.groupBy("item").agg(F.transform(F.array_sort(F.collect_list(F.struct("key", "v"))), lambda s: s["v"].cast("array<double>")).alias("points"))
+    data = clouds.sparkSession.sparkContext.broadcast({r["item"]: np.array(r["points"]) for r in whole.toLocalIterator()})
+    couplings = anchored_couplings(named, order)
+    # the couplings of one target: a row of permutations for each other item
+    own = couplings.groupBy(F.col("item_i").alias("target")).agg(F.array_sort(F.collect_list(F.struct("item_j", "coupling"))).alias("moved"), F.min("gap").alias("assignment_gap"))
 
     def solve(batches):
         clouds = data.value
         for pdf in batches:
             out = []
-            for t in pdf["target"]:
+            for t, moved, apart in zip(pdf["target"], pdf["moved"], pdf["assignment_gap"], strict=True):
                 x = clouds[t]
-                rest = [c for c in names if c != t]
-                moved, gap = [], np.inf
-                for c in rest:
-                    cost = costs(x, clouds[c], order)
-                    match = assignment(cost)
-                    moved.append(clouds[c][match].ravel())
-                    gap = min(gap, second_best_gap(cost, match) if len(x) <= 12 else np.nan)
-                z = np.stack(moved)
-                q, lin = 2 * z @ z.T / len(x), -2 * z @ x.ravel() / len(x)
-                w, _ = simplex_qp(q, lin)
-                value = float(w @ q @ w / 2 + lin @ w + (x * x).sum() / len(x))
-                out += [(t, c, float(y), float(gap), value) for c, y in zip(rest, w, strict=True)]
-            yield pd.DataFrame(out, columns=["target", "candidate", "weight", "gap", "value"])
-
-    return spark.createDataFrame([(n,) for n in names], "target string").repartition(max(1, min(len(names), 200)), "target").mapInPandas(solve, PROJECTION)
+                z = np.stack([clouds[m["item_j"]][np.asarray(m["coupling"])] for m in moved])
+                if order == 1:
+                    w, value, gap = mean_norm_simplex(x, z)
+                else:
+                    flat = (z - x).reshape(len(z), -1)  # weights sum to one: what is left is a mixture of differences
+                    q = 2 * flat @ flat.T / len(x)
+                    w, gap = simplex_qp(q, np.zeros(len(z)))
+                    value = float(w @ q @ w / 2)
+                out += [(t, m["item_j"], float(y), float(gap), value, float(apart)) for m, y in zip(moved, w, strict=True)]
+            yield pd.DataFrame(out, columns=["target", "candidate", "weight", "gap", "value", "assignment_gap"])
 
+    return own.repartition("target").mapInPandas(solve, "target string, candidate string, weight double, gap double, value double, assignment_gap double")
 
-def anchored_couplings(clouds: DataFrame, order: int = 2) -> DataFrame:
-    """(item_i, item_j, coupling): the matching of every ordered pair of clouds; each unordered pair is solved once and inverted."""
+
+def pairs_of_clouds(clouds: DataFrame) -> DataFrame:
+    """(item_i, item_j, x, y): the points, by key, of every unordered pair of clouds; roster squared rows."""
     whole = clouds.groupBy("item").agg(F.transform(F.array_sort(F.collect_list(F.struct("key", "v"))), lambda s: s["v"].cast("array<double>")).alias("p"))
+    return whole.toDF("item_i", "x").join(whole.toDF("item_j", "y"), F.col("item_i") < F.col("item_j")).repartition("item_i", "item_j")
+
+
+def anchored_couplings(clouds: DataFrame, order: int = 2) -> DataFrame:
+    """(item_i, item_j, coupling, gap): the matching of every ordered pair of clouds; each unordered pair is solved once and inverted.
+
+    gap: how much dearer the best other matching is, in total cost.
+    """
+    kind = clouds.schema["item"].dataType.simpleString()
+
+    def solve(batches):
+        for pdf in batches:
+            rows = []
+            for i, j, x, y in zip(pdf["item_i"], pdf["item_j"], pdf["x"], pdf["y"], strict=True):
+                x, y = np.stack([*x]), np.stack([*y])
+                if len(x) != len(y):
+                    raise ContractError("clouds of unequal size")
+                cost = costs(x, y, order)
+                m, u, v = matched(cost)
+                gap = second_best_gap(cost, m, u, v)
+                rows += [(i, j, m.tolist(), gap), (j, i, np.argsort(m).tolist(), gap)]
+            yield pd.DataFrame(rows, columns=["item_i", "item_j", "coupling", "gap"])
+
+    return pairs_of_clouds(clouds).mapInPandas(solve, f"item_i {kind}, item_j {kind}, coupling array<int>, gap double")
+
+
+def measure_barycentres(clouds: DataFrame, first_weight: float, order: int = 2) -> DataFrame:
+    """(item_i, item_j, points, objective): the barycentre of every pair of clouds of equal size, by interpolation along matched segments.
+
+    With weights w on i and 1 - w on j a point stands at w x + (1 - w) y of its segment, which is exact at order 2. At order 1 the
+    objective is linear along the segments: only equal weights make a point between them a minimiser, others are refused.
+    objective: w W(b, i) + (1 - w) W(b, j), with W squared at order 2.
+    """
+    w = float(first_weight)
+    if not 0 <= w <= 1 or order not in (1, 2):
+        raise ContractError("weights lie between 0 and 1, and the order is 1 or 2")
+    if order == 1 and abs(w - 0.5) > 1e-12:
+        raise ContractError("at order 1 the barycentre of unequal weights is the heavier source, not a point between")
     kind = clouds.schema["item"].dataType.simpleString()
-    pairs = whole.toDF("item_i", "x").join(whole.toDF("item_j", "y"), F.col("item_i") < F.col("item_j"))
 
     def solve(batches):
         for pdf in batches:
             rows = []
             for i, j, x, y in zip(pdf["item_i"], pdf["item_j"], pdf["x"], pdf["y"], strict=True):
-                _, m = balanced_assignment(np.stack([*x]), np.stack([*y]), order)
-                rows += [(i, j, m.tolist()), (j, i, np.argsort(m).tolist())]
-            yield pd.DataFrame(rows, columns=["item_i", "item_j", "coupling"])
+                x, y = np.stack([*x]), np.stack([*y])
+                distance, m = balanced_assignment(x, y, order)
+                scale = w * (1 - w) * (distance**2 if order == 2 else 2 * distance)
+                rows.append((i, j, (w * x + (1 - w) * y[m]).tolist(), float(scale)))
+            yield pd.DataFrame(rows, columns=["item_i", "item_j", "points", "objective"])
 
-    return pairs.mapInPandas(solve, f"item_i {kind}, item_j {kind}, coupling array<int>")
+    return pairs_of_clouds(clouds).mapInPandas(solve, f"item_i {kind}, item_j {kind}, points array<array<double>>, objective double")
 
 
 def free_support_barycentre(clouds: list[np.ndarray], weights: np.ndarray, start: np.ndarray | None = None, rounds: int = 100) -> tuple[np.ndarray, bool]:
@@ -244,30 +291,6 @@ def free_support_barycentre(clouds: list[np.ndarray], weights: np.ndarray, start
     return x, False
 
 
-def fixed_support_barycentre(clouds: list[np.ndarray], weights: np.ndarray, support: np.ndarray, rounds: int = 2000, sharpness: float = 200.0) -> np.ndarray:
-    """Masses on a given support that minimise the weighted transport cost to the clouds, by mirror descent on exact dual prices."""
-    from lodestrata.operators.transport import transport
-
-    n = len(support)
-    mass = np.full(n, 1 / n)
-    best, value = mass, np.inf
-    cost = [costs(support, c, 2) for c in clouds]
-    scale = max(c.max() for c in cost) or 1.0
-    for k in range(min(rounds, 200)):
-        grad, total = np.zeros(n), 0.0
-        for w, c in zip(weights, cost, strict=True):
-            v, plan, _ = transport(c, mass, np.full(c.shape[1], 1 / c.shape[1]))
-            price = np.where(plan > 0, c, np.inf).min(axis=1)
-            grad += w * np.where(np.isfinite(price), price, c.min(axis=1))
-            total += w * v
-        if total < value:
-            best, value = mass, total
-        mass = mass * np.exp(-grad / scale * sharpness / (n * (k + 1) ** 0.5))
-        mass = np.maximum(mass / mass.sum(), 1e-12)
-        mass /= mass.sum()
-    return best
-
-
 def centroid_field(centroids: DataFrame) -> DataFrame:
     """Simplex least squares of each centroid (item, v) on the others: an MMD projection with the linear kernel."""
     from lodestrata.operators.distances import pair_means

@@ -6,7 +6,12 @@ import numpy as np
 
 
 def assignment(cost: np.ndarray) -> np.ndarray:
-    """The column of each row in a matching of least total cost (square; shortest augmenting paths with potentials)."""
+    """The column of each row in a matching of least total cost."""
+    return matched(cost)[0]
+
+
+def matched(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A matching of least total cost (square; shortest augmenting paths), and prices u, v: cost >= u + v, equal where matched."""
     n = len(cost)
     u, v = np.zeros(n + 1), np.zeros(n + 1)
     row_of = np.zeros(n + 1, np.int64)  # of each column, 1-based; column 0 is the root of a search
@@ -31,7 +36,7 @@ def assignment(cost: np.ndarray) -> np.ndarray:
             row_of[at], at = row_of[back[at]], back[at]
     out = np.zeros(n, np.int64)
     out[row_of[1:] - 1] = np.arange(n)
-    return out
+    return out, u[1:], v[1:]
 
 
 def costs(x: np.ndarray, y: np.ndarray, order: int) -> np.ndarray:
@@ -51,16 +56,20 @@ def balanced_assignment(x: np.ndarray, y: np.ndarray, order: int = 2) -> tuple[f
     return float((d**order).mean() ** (1 / order)), match
 
 
-def second_best_gap(cost: np.ndarray, match: np.ndarray) -> float:
-    """How much dearer the matching gets when its cheapest edge to avoid is forbidden: 0 means it is not unique."""
-    best = cost[np.arange(len(cost)), match].sum()
-    gap = np.inf
-    for i, j in enumerate(match):
-        other = cost.copy()
-        other[i, j] = np.abs(cost).sum() + 1
-        m = assignment(other)
-        gap = min(gap, cost[np.arange(len(cost)), m].sum() - best if m[i] != j else np.inf)
-    return float(gap)
+def second_best_gap(cost: np.ndarray, match: np.ndarray, u: np.ndarray, v: np.ndarray) -> float:
+    """How much dearer the best other matching is: 0 means that match is not unique.
+
+    Another matching differs by cycles of rows, each of which takes the column of the next. At the prices a matched edge costs
+    nothing and no other less, so the cheapest such cycle, found by one pass of shortest paths between all rows, is the gap.
+    """
+    n = len(cost)
+    if n < 2:
+        return float("inf")
+    near = np.maximum(cost - u[:, None] - v[None, :], 0)[:, match]
+    np.fill_diagonal(near, np.inf)
+    for k in range(n):
+        np.minimum(near, near[:, k, None] + near[None, k, :], out=near)
+    return float(near.diagonal().min())
 
 
 def transport(cost: np.ndarray, source: np.ndarray, destination: np.ndarray, tolerance: float = 1e-12) -> tuple[float, np.ndarray, float]:

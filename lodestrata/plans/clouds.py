@@ -187,18 +187,24 @@ def wasserstein_w1(spark, sf_dir):
 
 @R.query()
 def energy_simplex_weights(spark, sf_dir):
-    return rounded(fields.target_projections(D.pair_means(clouds(spark, sf_dir))), "weight", "gap", "value")
+    return rounded(fields.target_projections(D.pair_means(clouds(spark, sf_dir))), "weight", "gap", "value", "curvature")
 
 
 @R.query()
 def mmd_affine_weights(spark, sf_dir):
-    return rounded(fields.target_projections(D.pair_means(clouds(spark, sf_dir), "linear"), "mmd", "affine"), "weight", "value")
+    return rounded(fields.target_projections(D.pair_means(clouds(spark, sf_dir), "linear"), "mmd", "affine"), "weight", "value", "curvature")
 
 
 @R.query()
 def wasserstein_simplex_weights(spark, sf_dir):
     c, _, m = balanced(spark, sf_dir, 2)
-    return rounded(fields.wasserstein_projections(D.first_rows(c, m)), "weight", "gap", "value")
+    return rounded(fields.wasserstein_projections(D.first_rows(c, m)), "weight", "gap", "value", "assignment_gap")
+
+
+@R.query()
+def wasserstein_simplex_weights_order_one(spark, sf_dir):
+    c, _, m = balanced(spark, sf_dir, 1)
+    return rounded(fields.wasserstein_projections(D.first_rows(c, m), 1), "weight", "gap", "value", "assignment_gap")
 
 
 @R.query()

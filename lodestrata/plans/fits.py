@@ -204,10 +204,32 @@ def wasserstein_w1_of_four(spark, sf_dir):
 @R.query("WITH b AS (SELECT i, j, arg_min([a, b, c, d], two) AS m FROM m4 GROUP BY 1, 2) SELECT i AS item_i, j AS item_j, CAST(k - 1 AS INTEGER) AS place, CAST(m[k] - 1 AS INTEGER) AS matched FROM b, range(1, 5) t(k) UNION ALL SELECT j, i, CAST(k - 1 AS INTEGER), CAST(list_position(m, k) - 1 AS INTEGER) FROM b, range(1, 5) t(k)")
 def anchored_couplings_of_four(spark, sf_dir):
     """The matching of every ordered pair, each unordered one solved once and inverted."""
-    c = fields.anchored_couplings(D.first_rows(clouds(spark, sf_dir), 4))
+    c = fields.anchored_couplings(D.first_rows(clouds(spark, sf_dir), 4)).drop("gap")
     return c.select("item_i", "item_j", F.posexplode("coupling").alias("place", "matched"))
 
 
+@R.query("WITH o AS (SELECT i, j, 4 * one AS one, 4 * two AS two, row_number() OVER (PARTITION BY i, j ORDER BY one) AS p, row_number() OVER (PARTITION BY i, j ORDER BY two) AS q FROM m4), g AS (SELECT i, j, sum(CASE p WHEN 1 THEN -one WHEN 2 THEN one END) AS first, sum(CASE q WHEN 1 THEN -two WHEN 2 THEN two END) AS second FROM o GROUP BY 1, 2) SELECT i AS item_i, j AS item_j, [[first]] AS first, [[second]] AS second FROM g UNION ALL SELECT j, i, [[first]], [[second]] FROM g")
+def coupling_gaps_of_four(spark, sf_dir):
+    """By how much the best matching beats every other, at both orders, for every ordered pair."""
+    c = D.first_rows(clouds(spark, sf_dir), 4)
+    one, two = (fields.anchored_couplings(c, k).select("item_i", "item_j", F.col("gap").alias(n)) for k, n in ((1, "first"), (2, "second")))
+    return rounded(one.join(two, ["item_i", "item_j"]), "first", "second")
+
+
+@R.query("""
+WITH b AS (SELECT i, j, arg_min([a, b, c, d], two) AS two, min(two) AS d2, arg_min([a, b, c, d], one) AS one, min(one) AS d1 FROM m4 GROUP BY 1, 2), s AS (SELECT 'quarter' AS arm, i, j, two AS m, 0.25 AS w, 0.1875 * d2 AS objective FROM b UNION ALL SELECT 'half', i, j, two, 0.5, 0.25 * d2 FROM b UNION ALL SELECT 'first order', i, j, one, 0.5, 0.5 * d1 FROM b)
+SELECT arm, i AS item_i, j AS item_j, CAST(x.p - 1 AS INTEGER) AS place, [[list_sum(list_transform(range(1, len(x.v) + 1), lambda k: k * (w * x.v[k] + (1 - w) * y.v[k])))]] AS point, [[objective]] AS objective FROM s JOIN r4 x ON x.item = i JOIN r4 y ON y.item = j AND y.p = m[x.p]
+""")
+def measure_barycentres_of_four(spark, sf_dir):
+    """Barycentres of all pairs at two weights of order 2 and at equal weights of order 1; a point's coordinates are summed up by their places."""
+    c, out = D.first_rows(clouds(spark, sf_dir), 4), None
+    for arm, w, order in (("quarter", 0.25, 2), ("half", 0.5, 2), ("first order", 0.5, 1)):
+        b = fields.measure_barycentres(c, w, order).select(F.lit(arm).alias("arm"), "item_i", "item_j", "objective", F.posexplode("points").alias("place", "v"))
+        out = b if out is None else out.unionByName(b)
+    point = F.aggregate(F.transform("v", lambda x, k: x * (k + 1)), F.lit(0.0), lambda a, x: a + x)
+    return rounded(out.select("arm", "item_i", "item_j", "place", point.alias("point"), "objective"), "point", "objective")
+
+
 @R.query("WITH h AS (SELECT item || '/' || key % 2 AS item, v FROM u), m AS (SELECT a.item AS i, b.item AS j, avg(list_distance(a.v, b.v)) AS m FROM h a, h b GROUP BY 1, 2), e AS (SELECT x.i, x.j, 2 * x.m - y.m - z.m AS value FROM m x JOIN m y ON y.i = x.i AND y.j = x.i JOIN m z ON z.i = x.j AND z.j = x.j WHERE x.i < x.j) SELECT split_part(i, '/', 1) = split_part(j, '/', 1) AS same, [[min(value)]] AS low, [[max(value)]] AS high FROM e GROUP BY 1")
 def split_halves(spark, sf_dir):
     """Energy distance of the two halves of each item beside that between items."""
@@ -216,9 +238,10 @@ def split_halves(spark, sf_dir):
     return rounded(d.groupBy("same").agg(F.min("value").alias("low"), F.max("value").alias("high")), "low", "high")
 
 
-@R.query("SELECT c_custkey, [[abs(c_acctbal / 1e4 - 0.5) + abs(c_nationkey / 25.0 - 0.1) + abs(0.25 - c_acctbal / 2e4)]] AS value FROM customer")
+@R.query("SELECT c_custkey, [[abs(c_acctbal / 7e3 - 0.5) + abs(c_nationkey / 25.0 - 0.1) + abs(0.25 - c_acctbal / 14e3)]] AS value FROM customer")
 def axis_transport(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").select("c_custkey", F.array(F.col("c_acctbal") / 1e4, F.col("c_nationkey") / 25.0, F.lit(0.25)).alias("p"), F.array(F.lit(0.5), F.lit(0.1), F.col("c_acctbal") / 2e4).alias("q"))
+    """Cents over sevens: no value lies half way between two of six decimals."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.array(F.col("c_acctbal") / 7e3, F.col("c_nationkey") / 25.0, F.lit(0.25)).alias("p"), F.array(F.lit(0.5), F.lit(0.1), F.col("c_acctbal") / 14e3).alias("q"))
     return rounded(c.select("c_custkey", D.axis_w2("p", "q").alias("value")), "value")
 
 

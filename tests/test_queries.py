@@ -38,9 +38,9 @@ def rows(df):
 
 
 def alike(x, y):
-    """Equal but for the last rounded decimal of a number."""
+    """Equal but for the last bits of a number."""
     if isinstance(x, (int, float)) and isinstance(y, (int, float)) and not isinstance(x, bool):
-        return abs(x - y) <= 2.1e-6 * max(1.0, abs(x))
+        return abs(x - y) <= 1e-9 * max(1.0, abs(x))
     return x == y
 
 
