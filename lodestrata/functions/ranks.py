@@ -1,10 +1,15 @@
-"""Ranks, quantiles and adjustments over windows; every order has a complete key."""
+"""Ranks, quantiles and adjustments; every order has a complete key.
+
+Ranks of a whole table, and the adjustments built on them, go by ranges of the order (operators.ordered); windows serve groups.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestrata.operators.ordered import average_ranks, running_maximum, running_totals
+
 
 def average_rank(value: str, *by: str) -> Column:
     """Rank within `by`, ties at the mean of their places (1-based)."""
@@ -36,7 +41,7 @@ def linear_quantiles(value: str, probabilities: list[float]) -> Column:
 
 def auc(df: DataFrame, score: str, label: str, by: tuple[str, ...] = ()) -> DataFrame:
     """Area under the ROC curve by average ranks (Mann-Whitney); null where a class is absent."""
-    r = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).withColumn("_r", average_rank(score, *by))
+    r = average_ranks(df.where(F.col(score).isNotNull() & F.col(label).isNotNull()), score, "_r", list(by))
     pos, neg = F.sum(F.when(F.col(label) == 1, 1).otherwise(0)), F.sum(F.when(F.col(label) == 1, 0).otherwise(1))
     area = (F.sum(F.when(F.col(label) == 1, F.col("_r")).otherwise(0.0)) - pos * (pos + 1) / 2) / F.nullif(pos * neg, F.lit(0))
     return r.groupBy(*by).agg(area.alias("auc"))
@@ -44,15 +49,18 @@ def auc(df: DataFrame, score: str, label: str, by: tuple[str, ...] = ()) -> Data
 
 def spearman(df: DataFrame, x: str, y: str, by: tuple[str, ...] = ()) -> DataFrame:
     """Rank correlation with average ranks."""
-    r = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumns({"_x": average_rank(x, *by), "_y": average_rank(y, *by)})
+    r = average_ranks(average_ranks(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()), x, "_x", list(by)), y, "_y", list(by))
     return r.groupBy(*by).agg(F.corr("_x", "_y").alias("spearman"), F.count(F.lit(1)).alias("n"))
 
 
-def holm(df: DataFrame, p: str, *order: str) -> DataFrame:
-    """Holm-adjusted p values as column p_holm; null p stays null. order breaks ties."""
-    known = Window.partitionBy(F.col(p).isNull())
-    run = known.orderBy(p, *order)
-    step = (F.count(F.lit(1)).over(known) - F.row_number().over(run) + 1) * F.col(p)
-    stepped = df.withColumn("_step", F.when(F.col(p).isNotNull(), step))
-    adjusted = F.least(F.lit(1.0), F.max("_step").over(run.rowsBetween(Window.unboundedPreceding, 0)))
-    return stepped.withColumn("p_holm", F.when(F.col(p).isNotNull(), adjusted)).drop("_step")
+def holm(df: DataFrame, p: str) -> DataFrame:
+    """Holm-adjusted p values as column p_holm; null p stays null.
+
+    Of equal p values the first has the largest step, so the adjusted value is one of the distinct p values' own: steps are taken,
+    and their running maximum, over those.
+    """
+    values = df.where(F.col(p).isNotNull()).groupBy(F.col(p).alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    m = values.agg(F.sum("_n")).first()[0] or 0
+    placed = running_totals(values, [], [F.col("_p")], {"_before": F.col("_n")})
+    stepped = running_maximum(placed, [F.col("_p")], (F.lit(m) - F.col("_before")) * F.col("_p"), "p_holm")
+    return df.join(stepped.select("_p", F.least(F.lit(1.0), "p_holm").alias("p_holm")), F.col(p) == F.col("_p"), "left").drop("_p")

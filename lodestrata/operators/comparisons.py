@@ -201,39 +201,41 @@ def grid_of(panel: DataFrame, roster: list, columns: list[str], date: str = "Dat
     return out
 
 
-def profiled(r: np.ndarray, lag: np.ndarray | None, design: np.ndarray, eigenvalues: np.ndarray | None) -> X.SpatialFit:
-    """Factor-conditioned fit of one panel: spatial, or factors alone (lag None)."""
+def profiled(r: np.ndarray, lag: np.ndarray | None, design: np.ndarray, eigenvalues: np.ndarray | None, diagonal: bool = False) -> X.SpatialFit:
+    """Factor-conditioned fit of one panel: spatial, or factors alone (lag None); diagonal: a variance for each asset."""
     project = lambda y: y - design @ np.linalg.lstsq(design, y, rcond=None)[0]
+    over = (lambda y: y.sum(axis=0)) if diagonal else (lambda y: float(y.sum()))
     e = project(r)
-    n, dates = r.size, len(r)
+    n, dates = (np.full(r.shape[1], len(r), float) if diagonal else r.size), len(r)
     if lag is None:
-        s2 = float((e * e).sum() / n)
-        return X.SpatialFit(0.0, -0.5 * n * (math.log(2 * math.pi * s2) + 1), s2, n, dates)
+        s2 = np.maximum(over(e * e) / n, 1e-300)
+        return X.SpatialFit(0.0, float(-0.5 * (n * (np.log(2 * math.pi * s2) + 1)).sum()), float(np.mean(s2)), r.size, dates, variances=s2 if diagonal else None)
     w = project(lag)
-    return X.sar_qmle({"n": n, "dates": dates, "rr": float((e * e).sum()), "rw": float((e * w).sum()), "ww": float((w * w).sum())}, eigenvalues, standard_error=False)
+    return X.sar_qmle({"n": n, "dates": dates, "rr": over(e * e), "rw": over(e * w), "ww": over(w * w)}, eigenvalues, standard_error=False)
 
 
-def spatial_value(spark: SparkSession, returns: np.ndarray, factors: np.ndarray, fields: dict[str, np.ndarray], draws: int, block: float, seed: int) -> tuple[DataFrame, DataFrame]:
+def spatial_value(spark: SparkSession, returns: np.ndarray, factors: np.ndarray, fields: dict[str, np.ndarray], draws: int, block: float, seed: int, diagonal: bool = False) -> tuple[DataFrame, DataFrame]:
     """Likelihood ratios of each field's spatial fit over factors alone: (operator, qlr, rho, p), and the null's (draw, operator, qlr, rho).
 
     The null panel is the factor fit plus its standardised residuals, resampled by a stationary path of each asset's own and
-    scaled back; every draw refits all models in a task. p counts draws at least as large, with one added.
+    scaled back (by one spread for all, or with diagonal each asset's own); every draw refits all models in a task. p counts draws at
+    least as large, with one added.
     """
     t, n = returns.shape
     small(t, n)
     design = np.column_stack([np.ones(t), factors])
     values = {k: np.linalg.eigvals(w) for k, w in fields.items()}
-    null = profiled(returns, None, design, None)
+    null = profiled(returns, None, design, None, diagonal)
     fitted = design @ np.linalg.lstsq(design, returns, rcond=None)[0]
     e = returns - fitted
     e = e - e.mean(axis=0)
     standard = e / np.sqrt(np.maximum((e * e).mean(axis=0), 1e-300))
-    held = spark.sparkContext.broadcast((fitted, standard, design, fields, values, math.sqrt(null.sigma2)))
+    held = spark.sparkContext.broadcast((fitted, standard, design, fields, values, np.sqrt(null.variances) if diagonal else math.sqrt(null.sigma2)))
 
     def ratios(r, design, fields, values):
-        alone = profiled(r, None, design, None)
+        alone = profiled(r, None, design, None, diagonal)
         for k, w in fields.items():
-            fit = profiled(r, r @ w.T, design, values[k])
+            fit = profiled(r, r @ w.T, design, values[k], diagonal)
             yield k, X.likelihood_ratio(fit.loglik, alone.loglik), fit.rho
 
     def run(batches):
@@ -252,7 +254,7 @@ def spatial_value(spark: SparkSession, returns: np.ndarray, factors: np.ndarray,
     return summary, table
 
 
-def spatial_value_draws(spark: SparkSession, calibration: tuple[np.ndarray, np.ndarray], evaluation: tuple[np.ndarray, np.ndarray], fields: dict[str, np.ndarray], draws: int, block: float, seed: int) -> DataFrame:
+def spatial_value_draws(spark: SparkSession, calibration: tuple[np.ndarray, np.ndarray], evaluation: tuple[np.ndarray, np.ndarray], fields: dict[str, np.ndarray], draws: int, block: float, seed: int, diagonal: bool = False) -> DataFrame:
     """(draw, operator, rho, score, gain): refits on paired date draws; score is the calibration fit's mean log density of the evaluation draw.
 
     Calibration and evaluation have schedules of their own, shared by all models, so gain, the score less that of factors alone, is
@@ -268,7 +270,8 @@ def spatial_value_draws(spark: SparkSession, calibration: tuple[np.ndarray, np.n
         beta = np.linalg.lstsq(design_fit, y, rcond=None)[0]
         e = (r if lag is None else r - fit.rho * lag) - design @ beta
         ld = 0.0 if ev is None else X.log_determinant(fit.rho, ev)
-        return float((ld - 0.5 * (r.shape[1] * math.log(2 * math.pi * fit.sigma2) + (e * e).sum(axis=1) / fit.sigma2)).mean())
+        s2 = fit.variances if diagonal else np.full(r.shape[1], fit.sigma2)
+        return float((ld - 0.5 * (np.log(2 * math.pi * s2) + e * e / s2).sum(axis=1)).mean())
 
     def run(batches):
         (rc, fc), (re, fe), fields, values = held.value
@@ -278,10 +281,10 @@ def spatial_value_draws(spark: SparkSession, calibration: tuple[np.ndarray, np.n
                 i = stationary_indices(len(rc), block, np.random.default_rng([seed, int(d), 0]))
                 j = stationary_indices(len(re), block, np.random.default_rng([seed, int(d), 1]))
                 dc, de = np.column_stack([np.ones(len(i)), fc[i]]), np.column_stack([np.ones(len(j)), fe[j]])
-                alone = density(profiled(rc[i], None, dc, None), dc, rc[i], None, re[j], None, de, None)
+                alone = density(profiled(rc[i], None, dc, None, diagonal), dc, rc[i], None, re[j], None, de, None)
                 rows.append((int(d), "none", 0.0, alone, 0.0))
                 for k, w in fields.items():
-                    fit = profiled(rc[i], rc[i] @ w.T, dc, values[k])
+                    fit = profiled(rc[i], rc[i] @ w.T, dc, values[k], diagonal)
                     score = density(fit, dc, rc[i], rc[i] @ w.T, re[j], re[j] @ w.T, de, values[k])
                     rows.append((int(d), k, fit.rho, score, score - alone))
             yield pd.DataFrame(rows, columns=["draw", "operator", "rho", "score", "gain"])

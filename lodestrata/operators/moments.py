@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions.ranks import linear_quantiles
+from lodestrata.sources.contracts import none, require
 
 
 def _off(cells: DataFrame) -> DataFrame:
@@ -42,6 +43,55 @@ def contributions(cells: DataFrame, axis: str) -> DataFrame:
     return part.join(F.broadcast(whole), F.lit(True)).select(axis, (F.col("numerator") / F.col("_d")).alias("contribution"), (F.col("denominator") / F.col("_d")).alias("share"))
 
 
+#: Fixed value: the normal quantile of a one-sided bound at 95 percent.
+ONE_SIDED_Z = 1.6448536269514722
+LEAST_FIRMS = 4
+
+
+def firm_projections(cells: DataFrame) -> DataFrame:
+    """(year, firm, numerator, denominator, n): each firm's first projection of the symmetric triple kernel of the centred products.
+
+    The kernel of a triple is a third of the sum, over its members as targets, of the products of differences of their two
+    references; every year has to hold all pairs of its firms. A firm's triples add up to ((n - 2) row + (n - 1) column + total) / 3 of the centred products' sums, so three
+    aggregations take the place of n^3 triples.
+    """
+    c = centred(cells, ["financial", "distance"])
+    terms = {"q": F.col("financial") * F.col("distance"), "d": F.col("distance") * F.col("distance")}
+    total = c.groupBy("year").agg(F.count_distinct("target").alias("n"), F.count(F.lit(1)).alias("_cells"), *(F.sum(t).alias(f"{k}_all") for k, t in terms.items()))
+    require(total, complete=none(F.col("_cells") != F.col("n") * (F.col("n") - 1)))
+    row = c.groupBy("year", F.col("target").alias("firm")).agg(*(F.sum(t).alias(f"{k}_row") for k, t in terms.items()))
+    column = c.groupBy("year", F.col("reference").alias("firm")).agg(*(F.sum(t).alias(f"{k}_col") for k, t in terms.items()))
+    met = row.join(column, ["year", "firm"], "full").join(F.broadcast(total), "year")  # a row for each year
+    n, none_ = F.col("n"), F.lit(0.0)
+
+    def phi(k: str) -> Column:
+        own = (n - 2) * F.coalesce(f"{k}_row", none_) + (n - 1) * F.coalesce(f"{k}_col", none_) + F.col(f"{k}_all")
+        return own / ((n - 1) * (n - 1)) - 3 * F.col(f"{k}_all") / (n * (n - 1))
+
+    return met.select("year", "firm", phi("q").alias("numerator"), phi("d").alias("denominator"), "n")
+
+
+def projection_audit(cells: DataFrame) -> DataFrame:
+    """One row: slope, numerator, denominator, se, lower, firms, status of the pooled slope under firms as independent histories.
+
+    status: defined; zero_denominator (no slope); degenerate_projection (no spread of the firms' influence, so no bound);
+    too_few_firms (fewer than four).
+    """
+    c = centred(cells, ["financial", "distance"])
+    x, y = F.col("distance"), F.col("financial")
+    year = c.groupBy("year").agg(F.avg(y * x).alias("q"), F.avg(x * x).alias("d"))
+    whole = year.agg(F.sum("q").alias("numerator"), F.sum("d").alias("denominator"))
+    whole = whole.withColumn("slope", F.col("numerator") / F.nullif(F.col("denominator"), F.lit(0.0)))
+    f = firm_projections(cells).withColumnsRenamed({"numerator": "phi_q", "denominator": "phi_d"}).join(F.broadcast(whole), F.lit(True))
+    influence = f.groupBy("firm").agg((F.sum(F.col("phi_q") - F.col("slope") * F.col("phi_d")) / F.nullif(F.first("denominator"), F.lit(0.0))).alias("i"))
+    spread = influence.agg(F.count(F.lit(1)).alias("firms"), F.sqrt(F.var_samp("i") / F.count(F.lit(1))).alias("se"), F.max(F.abs("i")).alias("_most"))
+    few = F.col("firms") < LEAST_FIRMS
+    status = F.when(few, "too_few_firms").when(F.col("slope").isNull(), "zero_denominator").when(F.col("se") <= 1e-14 * F.greatest(F.col("_most"), F.lit(1e-300)), "degenerate_projection").otherwise("defined")
+    out = whole.join(spread, F.lit(True), "left").withColumn("status", status)
+    known = F.col("status") == "defined"
+    return out.select("slope", "numerator", "denominator", F.when(known, F.col("se")).when(F.col("status") == "degenerate_projection", 0.0).alias("se"), F.when(known, F.col("slope") - ONE_SIDED_Z * F.col("se")).alias("lower"), F.coalesce("firms", F.lit(0)).alias("firms"), F.coalesce("status", F.lit("too_few_firms")).alias("status"))
+
+
 def leave_one_year(cells: DataFrame) -> DataFrame:
     """(year, slope) without each year: its centred sums are taken off the totals."""
     c = centred(cells, ["financial", "distance"])

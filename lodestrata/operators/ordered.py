@@ -33,17 +33,19 @@ def beside(df: DataFrame, other: DataFrame, on: list[str]) -> DataFrame:
 
 
 def running_totals(df: DataFrame, by: list[str], order: list[Column], amounts: dict[str, Column], keep: Callable[[DataFrame, str], DataFrame] = kept) -> DataFrame:
-    """df with, for each amount (of longs), its sum over the rows of the same group that come before; groups may hold nulls.
+    """df with, for each amount (longs, or doubles), its sum over the rows of the same group that come before; groups may hold nulls.
 
     order has to be total but for rows that are alike. keep writes the sorted table down, since range bounds of two runs may differ.
     """
     group, part = _free(df, "_group"), _free(df, "_part")
-    held = df.withColumn(group, F.to_json(F.struct(*by), {"ignoreNullFields": "false"}) if by else F.lit("")).withColumns({n: c.cast("long") for n, c in amounts.items()})
+    held = df.withColumn(group, F.to_json(F.struct(*by), {"ignoreNullFields": "false"}) if by else F.lit("")).withColumns(amounts)
+    kinds = {n: "double" if held.schema[n].dataType.simpleString() in ("double", "float") else "long" for n in amounts}
+    held = held.withColumns({n: F.col(n).cast(k) for n, k in kinds.items()})
     names = list(amounts)
 
     def inside(batches):
         """Running sums within the range; one group's last sums are all that is held between batches."""
-        number, last, sums = TaskContext.get().partitionId(), None, np.zeros(len(names), np.int64)
+        number, last, sums = TaskContext.get().partitionId(), None, [0 for _ in names]
         for batch in batches:
             n = batch.num_rows
             if not n:
@@ -55,9 +57,9 @@ def running_totals(df: DataFrame, by: list[str], order: list[Column], amounts: d
             starts = np.flatnonzero(first)
             place = np.cumsum(first)  # 0: rows that go on with the group of the batch before
             for k, name in enumerate(names):
-                own = np.asarray(batch.column(name).fill_null(0), np.int64)
+                own = np.asarray(batch.column(name).fill_null(0), np.float64 if kinds[name] == "double" else np.int64)
                 total = np.cumsum(own)
-                base = np.concatenate([[sums[k]], own[starts] - total[starts]])
+                base = np.concatenate([np.array([sums[k]], own.dtype), own[starts] - total[starts]])
                 before = total - own + base[place]
                 columns[batch.schema.get_field_index(name)] = pa.array(before)
                 sums[k] = before[-1] + own[-1]
@@ -75,6 +77,26 @@ def running_totals(df: DataFrame, by: list[str], order: list[Column], amounts: d
     return beside(table, totals, [group, part]).withColumns({n: F.col(n) + F.col(o) for n, o in offset.items()}).drop(group, part, *sized, *offset.values())
 
 
+def running_maximum(df: DataFrame, order: list[Column], value: Column, name: str, keep: Callable[[DataFrame, str], DataFrame] = kept) -> DataFrame:
+    """df with the largest value so far, this row's included, in a total order of the whole table."""
+    part = _free(df, "_part")
+    held = df.withColumn(name, value.cast("double"))
+
+    def inside(batches):
+        number, top = TaskContext.get().partitionId(), -np.inf
+        for batch in batches:
+            so_far = np.maximum.accumulate(np.concatenate([[top], np.asarray(batch.column(name).fill_null(-np.inf), np.float64)]))[1:]
+            top = so_far[-1] if len(so_far) else top
+            columns = list(batch.columns)
+            columns[batch.schema.get_field_index(name)] = pa.array(so_far)
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.full(batch.num_rows, number, np.int32))], names=[*batch.schema.names, part])
+
+    table = keep(held.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(inside, held.withColumn(part, F.lit(0)).schema), "maxima")
+    before = _free(table, "_before")
+    tops = table.groupBy(part).agg(F.max(name).alias(before)).withColumn(before, F.max(before).over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)))
+    return beside(table, tops, [part]).withColumn(name, F.greatest(name, before)).drop(part, before)
+
+
 def average_ranks(df: DataFrame, value: str, name: str, by: list[str] | None = None, keep: Callable[[DataFrame, str], DataFrame] = kept) -> DataFrame:
     """df with the rank of value, ties averaged, within each group; a null value has no rank and counts for none.
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestrata.functions.ranks import average_rank, percentile_rank, top_k
+from lodestrata.functions.ranks import top_k
+from lodestrata.operators.ordered import average_ranks, running_totals
 from lodestrata.sources.contracts import ContractError, none, require, unique, unique_pair
 
 
@@ -159,8 +160,9 @@ def nearest_in_group(pairs: DataFrame, group: str, value: str = "value", i: str
 
 def comparative_percentiles(pairs: DataFrame, value: str = "rms", i: str = "symbol1", j: str = "symbol2") -> DataFrame:
     """Rank and percentile of every pair, ordered by value and names."""
-    w = Window.partitionBy().orderBy(value, i, j)
-    return pairs.withColumns({"rank": F.row_number().over(w).cast("long"), "percentile": percentile_rank(value, i, j)})
+    n = pairs.count()
+    placed = running_totals(pairs, [], [F.col(value), F.col(i), F.col(j)], {"_place": F.lit(1)})
+    return placed.withColumns({"rank": F.col("_place") + 1, "percentile": F.when(F.lit(n > 1), 100.0 * F.col("_place") / max(n - 1, 1))}).drop("_place")
 
 
 def neighbours(distances: DataFrame, k: int, i: str = "item_i", j: str = "item_j", value: str = "value") -> DataFrame:
@@ -186,7 +188,7 @@ def pair_gaps(panel: DataFrame, pairs: DataFrame, value: str = "cumulative") ->
     """(symbol1, symbol2, rms, terminal): root mean square and last gap of two series on their common dates."""
     a = panel.select("Date", F.col("ticker").alias("symbol1"), F.col(value).alias("x"))
     b = panel.select("Date", F.col("ticker").alias("symbol2"), F.col(value).alias("y"))
-    met = a.join(b, (a["Date"] == b["Date"]) & (a["symbol1"] < b["symbol2"])).drop(b["Date"]).join(pairs, ["symbol1", "symbol2"], "left_semi")
+    met = pairs.select("symbol1", "symbol2").distinct().where("symbol1 < symbol2").join(a, "symbol1").join(b, ["symbol2", "Date"])
     gap = F.col("x") - F.col("y")
     return met.groupBy("symbol1", "symbol2").agg(F.sqrt(F.avg(gap * gap)).alias("rms"), F.abs(F.max_by(gap, "Date")).alias("terminal"))
 
@@ -202,7 +204,7 @@ def link_statistics(pairs: DataFrame) -> DataFrame:
 
 def rank_correlations(pairs: DataFrame, x: str, y: str) -> DataFrame:
     """pearson and spearman of two columns over pairs."""
-    r = unique_pair(pairs, "item_i", "item_j").withColumns({"_x": average_rank(x), "_y": average_rank(y)})
+    r = average_ranks(average_ranks(unique_pair(pairs, "item_i", "item_j"), x, "_x"), y, "_y")
     return r.agg(F.corr(x, y).alias("pearson"), F.corr("_x", "_y").alias("spearman"))
 
 

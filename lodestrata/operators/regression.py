@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions.ranks import linear_quantiles
+from lodestrata.operators.ordered import running_totals
 
 
 def normal_equations(df: DataFrame, y: str, x: list[str], weight: str | None = None) -> tuple[np.ndarray, np.ndarray, float, int]:
@@ -92,7 +93,7 @@ def dyadic_regression(dyads: DataFrame, y: str, x: list[str], i: str = "item_i",
 
 
 #: Pairs that may come to the driver as a matrix.
-MOST_CELLS = 1 << 24
+MOST_CELLS = 1 << 20
 #: The regressors of the published specifications, in order.
 LADDER = (("w2",), ("w2", "same_sector"), ("w2", "same_sector", "size_gap", "crisis"), ("w2", "same_sector", "size_gap", "crisis", "abs_log_n_diff", "min_log_n"), ("w2", "same_sector", "size_gap", "crisis", "abs_log_n_diff", "min_log_n", "disp_sum", "disp_gap"))
 
@@ -128,13 +129,99 @@ def leave_one_out(dyads: DataFrame, y: str, x: str, i: str = "item_i", j: str =
 
 
 def shared_endpoint_statistic(dyads: DataFrame, z: str, i: str = "item_i", j: str = "item_j") -> DataFrame:
-    """Mean product of centred z over dyad pairs that share an endpoint, less that over disjoint ones, from node sums alone."""
+    """Mean product of centred z over dyad pairs that share an endpoint, less that over disjoint ones, over the mean square; from node sums alone."""
     mean = dyads.agg(F.avg(z).alias("m"))
     c = dyads.join(F.broadcast(mean), F.lit(True)).withColumn("c", F.col(z) - F.col("m"))
     node = c.select(F.explode(F.array(i, j)).alias("node"), "c").groupBy("node").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"), F.count(F.lit(1)).alias("d"))
     a = node.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2).alias("shared"), F.sum(F.col("d") * (F.col("d") - 1) / 2).alias("n_shared"))
-    b = c.agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("every"), (F.count(F.lit(1)) * (F.count(F.lit(1)) - 1) / 2).alias("n_every"))
-    return a.crossJoin(b).select((F.col("shared") / F.col("n_shared") - (F.col("every") - F.col("shared")) / (F.col("n_every") - F.col("n_shared"))).alias("statistic"))
+    b = c.agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("every"), (F.count(F.lit(1)) * (F.count(F.lit(1)) - 1) / 2).alias("n_every"), F.avg(F.col("c") * F.col("c")).alias("scale"))
+    apart = F.col("shared") / F.col("n_shared") - (F.col("every") - F.col("shared")) / (F.col("n_every") - F.col("n_shared"))
+    return a.crossJoin(b).select(F.when(F.col("scale") > 0, apart / F.col("scale")).otherwise(0.0).alias("statistic"))
+
+
+def residual_scale(dyads: DataFrame, y: str, x: list[str], draws: int = 999, seed: int = 10_042, i: str = "item_i", j: str = "item_j") -> tuple[dict[str, object], DataFrame]:
+    """Whether squared studentised residuals go together at shared endpoints: the statistic of them less one, and its permutations.
+
+    Returns statistic, p (with one added), q95 and failure (above q95), and the draws (draw, statistic). The pairs of a roster are
+    shared with every task (MOST_CELLS bounds them); each permutation takes endpoint sums in a task of its own.
+    """
+    _, rows = influence(dyads, y, x)
+    z = rows.select(i, j, (F.col("studentised") * F.col("studentised") - 1).alias("z"))
+    observed = float(shared_endpoint_statistic(z, "z", i, j).first()["statistic"])
+    if z.count() > MOST_CELLS:
+        raise ValueError(f"more than {MOST_CELLS} pairs: not a roster")
+    held = z.orderBy(i, j).toPandas()
+    _, codes = np.unique(np.concatenate([held[i], held[j]]).astype(str), return_inverse=True)
+    spark = dyads.sparkSession
+    shared = spark.sparkContext.broadcast((held["z"].to_numpy(float), codes[: len(held)], codes[len(held) :]))
+
+    def run(batches):
+        z, a, b = shared.value
+        c = z - z.mean()
+        n, scale, ends = len(c), float((c * c).mean()), np.concatenate([a, b])
+        degree = np.bincount(ends)
+        n_shared, n_every = float((degree * (degree - 1) / 2).sum()), n * (n - 1) / 2
+        square = float((c * c).sum())
+        every = (c.sum() ** 2 - square) / 2
+        for pdf in batches:
+            out = []
+            for d in pdf["draw"]:
+                new = np.random.default_rng([seed, int(d)]).permutation(c)
+                # each dyad is at two nodes, so squares over nodes are twice the squares over dyads
+                together = ((np.bincount(ends, np.concatenate([new, new])) ** 2).sum() - 2 * square) / 2
+                out.append((together / n_shared - (every - together) / (n_every - n_shared)) / scale if scale > 0 else 0.0)
+            yield pd.DataFrame({"draw": pdf["draw"], "statistic": out})
+
+    table = spark.range(draws).select(F.col("id").alias("draw")).repartition(max(1, min(draws, 64)), "draw").mapInPandas(run, "draw long, statistic double")
+    row = table.agg(F.count_if(F.col("statistic") >= observed).alias("above"), F.percentile("statistic", F.lit(0.95)).alias("q95")).first()
+    return {"statistic": observed, "p": (1 + row["above"]) / (1 + draws), "q95": float(row["q95"]), "failure": bool(observed > row["q95"])}, table
+
+
+def endpoint_bootstrap(dyads: DataFrame, counts: DataFrame, y: str, x: list[str], i: str = "item_i", j: str = "item_j") -> DataFrame:
+    """(draw_id, slopes, within_r2, sse, nodes, dyads, rank, ok): the regression with endpoint effects under each draw of nodes.
+
+    counts (draw_id, ticker, multiplicity); a dyad weighs the product of its ends' multiplicities, and dyads of weight zero go. Each
+    draw solves its own weighted incidence system (one row and column for each node drawn) in a task; slopes follow x, null where
+    a regressor is collinear with the effects or those before it. Its rows are the pairs of a roster.
+    """
+    from lodestrata.operators.resampling import dyad_weights
+
+    drawn = dyad_weights(dyads.select(i, j, y, *x), counts, i, j)
+
+    def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        names, code = np.unique(np.concatenate([pdf[i], pdf[j]]), return_inverse=True)
+        a, b, w = code[: len(pdf)], code[len(pdf) :], pdf["weight"].to_numpy(float)
+        z = pdf[[y, *x]].to_numpy(float)
+        laplacian = np.zeros((len(names), len(names)))
+        np.add.at(laplacian, (a, b), w)
+        np.add.at(laplacian, (b, a), w)
+        laplacian[np.diag_indices(len(names))] = np.bincount(code, np.concatenate([w, w]), len(names))
+        at_nodes = np.stack([np.bincount(code, np.concatenate([w * c, w * c]), len(names)) for c in z.T], axis=1)
+        left = (z * w[:, None]).T @ z - at_nodes.T @ np.linalg.pinv(laplacian, hermitian=True) @ at_nodes
+        raw = np.maximum(((z * w[:, None]) * z).sum(axis=0), 1e-300)
+        # what is left of a column that the effects span is rounding of its own size
+        open_ = [q for q in range(1, len(left)) if left[q, q] > 1e-9 * raw[q]]
+        kept = [open_[q] for q in independent(left[np.ix_(open_, open_)])] if open_ else []
+        slopes: list[float | None] = [None] * len(x)
+        beta = np.linalg.solve(left[np.ix_(kept, kept)], left[kept, 0]) if kept else np.zeros(0)
+        for q, v in zip(kept, beta, strict=True):
+            slopes[q - 1] = float(v)
+        sse = float(left[0, 0] - beta @ left[kept, 0]) if kept else float(left[0, 0])
+        r2 = 1 - sse / left[0, 0] if left[0, 0] > 1e-12 * raw[0] else None
+        return pd.DataFrame({"draw_id": [key[0]], "slopes": [slopes], "within_r2": [r2], "sse": [sse], "nodes": [len(names)], "dyads": [len(pdf)], "rank": [len(kept)], "ok": [len(kept) == len(x)]})
+
+    return drawn.groupBy("draw_id").applyInPandas(solve, "draw_id long, slopes array<double>, within_r2 double, sse double, nodes long, dyads long, rank long, ok boolean")
+
+
+def bootstrap_summary(draws: DataFrame, estimate: float, place: int = 0, level: float = 0.95) -> DataFrame:
+    """One row: se, t, percentile interval and two-sided p of the slope at a place, over the draws that identify all slopes; valid and requested."""
+    from lodestrata.functions.ranks import linear_quantiles
+
+    s = draws.withColumn("_s", F.when(F.col("ok"), F.col("slopes")[place]))
+    q = linear_quantiles("_s", [(1 - level) / 2, (1 + level) / 2])
+    below, above, n = F.count_if(F.col("_s") <= 0), F.count_if(F.col("_s") >= 0), F.count("_s")
+    out = s.agg(F.lit(float(estimate)).alias("estimate"), F.stddev_samp("_s").alias("se"), q[0].alias("low"), q[1].alias("high"), F.least(F.lit(1.0), 2 * (1 + F.least(below, above)) / (1 + n)).alias("p"), n.alias("valid"), F.count(F.lit(1)).alias("requested"))
+    return out.withColumn("t", F.col("estimate") / F.nullif(F.col("se"), F.lit(0.0)))
 
 
 def influence(dyads: DataFrame, y: str, x: list[str]) -> tuple[dict[str, float], DataFrame]:
@@ -274,8 +361,8 @@ def pcoa(d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def inertia(spectrum: DataFrame) -> DataFrame:
     """Running share of positive inertia of (axis, eigenvalue)."""
     positive = F.greatest("eigenvalue", F.lit(0.0))
-    run = Window.partitionBy().orderBy("axis").rowsBetween(Window.unboundedPreceding, 0)
-    return spectrum.withColumn("cumulative", F.sum(positive).over(run) / F.sum(positive).over(Window.partitionBy()))
+    whole = spectrum.agg(F.sum(positive)).first()[0]
+    return running_totals(spectrum, [], [F.col("axis")], {"_before": positive}).withColumn("cumulative", (F.col("_before") + positive) / F.nullif(F.lit(whole), F.lit(0.0))).drop("_before")
 
 
 def permdisp(d: np.ndarray, code: np.ndarray, draws: int = 999, seed: int = 42) -> dict[str, float]:

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.operators.fields import spatial_lag
+from lodestrata.sources.contracts import require
 
 
 def lag_moments(panel: DataFrame, weights: DataFrame, value: str = "return") -> DataFrame:
@@ -68,6 +69,7 @@ class SpatialFit:
     n: int
     dates: int
     se: float | None = None
+    variances: np.ndarray | None = None
 
 
 def bounds(eigenvalues: np.ndarray, margin: float = 1e-3) -> tuple[float, float]:
@@ -77,17 +79,21 @@ def bounds(eigenvalues: np.ndarray, margin: float = 1e-3) -> tuple[float, float]
 
 
 def sar_qmle(moments, eigenvalues: np.ndarray, standard_error: bool = True) -> SpatialFit:
-    """Quasi-maximum likelihood of r = rho W r + e from lag_moments' row, profile over rho."""
-    n, dates = moments["n"], moments["dates"]
+    """Quasi-maximum likelihood of r = rho W r + e from lag_moments' row, profile over rho.
+
+    With arrays of moments, a number for each asset, every asset has an innovation variance of its own, profiled with the rest.
+    """
+    n, rr, rw, ww = (np.asarray(moments[k], float) for k in ("n", "rr", "rw", "ww"))
+    dates = moments["dates"]
+    variances = lambda rho: np.maximum((rr - 2 * rho * rw + rho * rho * ww) / n, 1e-300)
 
     def profile(rho: float) -> float:
-        s2 = (moments["rr"] - 2 * rho * moments["rw"] + rho * rho * moments["ww"]) / n
-        return -0.5 * n * (math.log(2 * math.pi * s2) + 1) + dates * log_determinant(rho, eigenvalues)
+        return float(-0.5 * (n * (np.log(2 * math.pi * variances(rho)) + 1)).sum()) + dates * log_determinant(rho, eigenvalues)
 
     low, high = bounds(eigenvalues)
     rho, value = maximise(profile, low, high)
-    s2 = (moments["rr"] - 2 * rho * moments["rw"] + rho * rho * moments["ww"]) / n
-    fit = SpatialFit(rho, value, s2, n, dates)
+    s2 = variances(rho)
+    fit = SpatialFit(rho, value, float(s2.mean()), int(n.sum()), dates, variances=s2 if s2.ndim else None)
     if standard_error:
         fit.se = curvature_error(profile, rho, low, high)
     return fit
@@ -133,15 +139,43 @@ def factor_residuals(panel: DataFrame, factors: list[str], value: str = "excess"
     return panel.join(beta, ticker).withColumn("residual", F.col(value) - fitted).drop("coefficients"), beta
 
 
-def sar_factor_qmle(panel: DataFrame, weights: DataFrame, factors: list[str], roster: list[str], value: str = "excess") -> tuple[SpatialFit, DataFrame]:
-    """SAR with factors: r and Wr are each taken off intercept and factors by asset, then the profile is that of the residuals."""
+def sar_factor_qmle(panel: DataFrame, weights: DataFrame, factors: list[str], roster: list[str], value: str = "excess", variance: str = "spherical") -> tuple[SpatialFit, DataFrame]:
+    """SAR with factors: r and Wr are each taken off intercept and factors by asset, then the profile is that of the residuals.
+
+    variance: spherical, one for all assets, or diagonal, one for each, in the order of the roster. Returns the fit and (ticker,
+    coefficients): intercept and loadings at the fitted rho.
+    """
+    if variance not in ("spherical", "diagonal"):
+        raise ValueError(f"variance {variance}: spherical or diagonal")
     lag = spatial_lag(panel, weights, value).withColumnRenamed("target", "ticker")
     both = panel.join(lag, ["ticker", "Date"])
     r, beta = factor_residuals(both, factors, value)
-    out, _ = factor_residuals(r.withColumnRenamed("residual", "_r"), factors, "lag")
+    out, lag_beta = factor_residuals(r.withColumnRenamed("residual", "_r"), factors, "lag")
     a, b = F.col("_r"), F.col("residual")
-    m = out.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("Date").alias("dates"), F.sum(a * a).alias("rr"), F.sum(a * b).alias("rw"), F.sum(b * b).alias("ww")).first()
-    return sar_qmle(m, np.linalg.eigvals(matrix(weights, roster))), beta
+    sums = [F.count(F.lit(1)).alias("n"), F.sum(a * a).alias("rr"), F.sum(a * b).alias("rw"), F.sum(b * b).alias("ww")]
+    eigenvalues = np.linalg.eigvals(matrix(weights, roster))
+    if variance == "spherical":
+        fit = sar_qmle(out.agg(*sums, F.count_distinct("Date").alias("dates")).first(), eigenvalues)
+    else:
+        rows = {x["ticker"]: x for x in out.groupBy("ticker").agg(*sums).collect()}  # a row for each asset of the roster
+        dates = out.select("Date").distinct().count()
+        fit = sar_qmle({"dates": dates} | {k: np.array([rows[t][k] for t in roster], float) for k in ("n", "rr", "rw", "ww")}, eigenvalues)
+    both = beta.join(lag_beta.withColumnRenamed("coefficients", "_l"), "ticker")
+    return fit, both.select("ticker", F.zip_with("coefficients", "_l", lambda x, y: x - fit.rho * y).alias("coefficients"))
+
+
+def factor_log_scores(panel: DataFrame, weights: DataFrame, factors: list[str], roster: list, fit: SpatialFit, coefficients: DataFrame, value: str = "excess") -> DataFrame:
+    """(Date, score): the held-out Gaussian log density of each date under a factor fit, with its own variance for each asset or one for all."""
+    spark = panel.sparkSession
+    kind = panel.schema["ticker"].dataType.simpleString()
+    own = fit.variances if fit.variances is not None else np.full(len(roster), fit.sigma2)
+    spread = F.broadcast(spark.createDataFrame([(t, float(v)) for t, v in zip(roster, own, strict=True)], f"ticker {kind}, _s2 double"))
+    lag = spatial_lag(panel, weights, value).withColumnRenamed("target", "ticker")
+    fitted = F.col("coefficients")[0] + sum((F.col("coefficients")[k + 1] * F.col(f) for k, f in enumerate(factors)), F.lit(0.0))
+    e = F.col(value) - F.lit(fit.rho) * F.col("lag") - fitted
+    ld = log_determinant(fit.rho, np.linalg.eigvals(matrix(weights, roster)))
+    met = panel.join(lag, ["ticker", "Date"]).join(coefficients, "ticker").join(spread, "ticker")
+    return met.groupBy("Date").agg((F.lit(ld) - 0.5 * F.sum(F.log(2 * math.pi * F.col("_s2")) + e * e / F.col("_s2"))).alias("score"))
 
 
 def daily_log_scores(panel: DataFrame, weights: DataFrame, fit: SpatialFit, eigenvalues: np.ndarray, value: str = "return") -> DataFrame:
@@ -159,12 +193,12 @@ def reduced_form(rho: float, weights: np.ndarray, coefficients: np.ndarray) -> n
 
 
 def two_field_gram(panel: DataFrame, first: DataFrame, second: DataFrame, value: str = "return") -> DataFrame:
-    """3 x 3 cross products of (r, W1 r, W2 r) by date: (Date, n, g11, g12, g13, g22, g23, g33)."""
+    """Sums and 3 x 3 cross products of (r, W1 r, W2 r) by date: (Date, n, s1, s2, s3, g11, g12, g13, g22, g23, g33)."""
     a = spatial_lag(panel, first, value).select(F.col("target").alias("ticker"), "Date", F.col("lag").alias("a"))
     b = spatial_lag(panel, second, value).select(F.col("target").alias("ticker"), "Date", F.col("lag").alias("b"))
     met = panel.join(a, ["ticker", "Date"]).join(b, ["ticker", "Date"])
     z = [F.col(value), F.col("a"), F.col("b")]
-    return met.groupBy("Date").agg(F.count(F.lit(1)).alias("n"), *(F.sum(z[i] * z[j]).alias(f"g{i + 1}{j + 1}") for i in range(3) for j in range(i, 3)))
+    return met.groupBy("Date").agg(F.count(F.lit(1)).alias("n"), *(F.sum(c).alias(f"s{i + 1}") for i, c in enumerate(z)), *(F.sum(z[i] * z[j]).alias(f"g{i + 1}{j + 1}") for i in range(3) for j in range(i, 3)))
 
 
 def two_field_qmle(gram: DataFrame, w1: np.ndarray, w2: np.ndarray, theta_grid: int = 21, pinned: float | None = None) -> dict[str, float]:
@@ -186,6 +220,103 @@ def two_field_qmle(gram: DataFrame, w1: np.ndarray, w2: np.ndarray, theta_grid:
     return best
 
 
+@dataclass
+class TwoFieldGrid:
+    """Profile points of r = a + rho (theta W1 + (1 - theta) W2) r + e, and log |det| at each, which no draw changes."""
+
+    thetas: np.ndarray
+    rhos: np.ndarray
+    w1: np.ndarray
+    w2: np.ndarray
+    table: np.ndarray
+
+    @classmethod
+    def of(cls, w1: np.ndarray, w2: np.ndarray, thetas: int = 21, rhos: int = 100, most: float = 0.99) -> TwoFieldGrid:
+        t, r = np.linspace(0, 1, thetas), np.linspace(0, most, rhos)
+        return cls(t, r, w1, w2, np.array([[log_determinant(x, v) for x in r] for v in (np.linalg.eigvals(a * w1 + (1 - a) * w2) for a in t)]))
+
+    def logdet(self, theta: float, rho: float) -> float:
+        sign, value = np.linalg.slogdet(np.eye(len(self.w1)) - rho * (theta * self.w1 + (1 - theta) * self.w2))
+        return float(value) if sign > 0 else -math.inf
+
+
+#: Weights and intensities within this of an end are at it.
+AT_END = 1e-6
+
+
+def two_field_point(m: dict, grid: TwoFieldGrid, refine: bool = True) -> dict[str, float]:
+    """The best point of one set of sums (n, dates, s1.., g11..): the grid's best, polished inside its own cell and at both ends of theta.
+
+    The common intercept is concentrated out. A polished point is taken only where it gains, so a joint fit is never below the
+    fits of one field on the same grid. at_first, at_second: all weight on one field (never where there is no feedback at all).
+    """
+    n, dates = float(m["n"]), float(m["dates"])
+    s = np.array([m["s1"], m["s2"], m["s3"]], float)
+    g = np.array([[m["g11"], m["g12"], m["g13"]], [m["g12"], m["g22"], m["g23"]], [m["g13"], m["g23"], m["g33"]]], float) - np.outer(s, s) / n
+
+    def value(theta, rho, logdet):
+        v = np.array([np.ones_like(rho * theta), -rho * theta, -rho * (1 - theta)])
+        s2 = np.maximum(np.einsum("i...,ij,j...->...", v, g, v) / n, 1e-300)
+        return -0.5 * n * (np.log(2 * math.pi * s2) + 1) + dates * logdet
+
+    exact = lambda theta, rho: float(value(theta, rho, grid.logdet(theta, rho)))
+    surface = value(grid.thetas[:, None], grid.rhos[None, :], grid.table)
+    a, b = np.unravel_index(int(np.argmax(surface)), surface.shape)
+    theta, rho, best = float(grid.thetas[a]), float(grid.rhos[b]), float(surface[a, b])
+    span = lambda x, k: (float(x[max(k - 1, 0)]), float(x[min(k + 1, len(x) - 1)]))
+    if refine:
+        x, y = theta, rho
+        for _ in range(6):  # one coordinate at a time, inside the cell
+            x = maximise(lambda t: exact(t, y), *span(grid.thetas, a), scan=5, rounds=30)[0]
+            y, found = maximise(lambda r: exact(x, r), *span(grid.rhos, b), scan=5, rounds=30)
+        if found >= best:
+            theta, rho, best = x, y, found
+        for k in (0, len(grid.thetas) - 1):
+            c = int(np.argmax(surface[k]))
+            r, found = maximise(lambda r: exact(grid.thetas[k], r), *span(grid.rhos, c), scan=5, rounds=40)  # noqa: B023
+            if found > best:
+                theta, rho, best = float(grid.thetas[k]), r, found
+    v = np.array([1, -rho * theta, -rho * (1 - theta)])
+    return {"theta": theta, "rho": rho, "rho_1": rho * theta, "rho_2": rho * (1 - theta), "loglik": best, "alpha": float(s @ v / n), "sigma2": max(float(v @ g @ v / n), 1e-300), "at_first": bool(rho > AT_END and theta >= 1 - AT_END), "at_second": bool(rho > AT_END and theta <= AT_END)}
+
+
+GRAM = ("n", "s1", "s2", "s3", "g11", "g12", "g13", "g22", "g23", "g33")
+REFIT = "draw long, theta double, rho double, rho_1 double, rho_2 double, loglik double, at_first boolean, at_second boolean"
+
+
+def two_field_refits(gram: DataFrame, grid: TwoFieldGrid, draws: int, block: float, seed: int, refine: bool = True) -> DataFrame:
+    """A fit for each draw of dates: (draw, theta, rho, rho_1, rho_2, loglik, at_first, at_second).
+
+    gram: two_field_gram. A draw is how often it takes each date, on one stationary path that all assets share; multiplied into the
+    dates' sums they give the draw's own, and each draw is fitted in a task with the one table of log-determinants.
+    """
+    from lodestrata.operators.ordered import running_totals
+    from lodestrata.operators.resampling import index_table
+
+    spark = gram.sparkSession
+    placed = running_totals(gram, [], [F.col("Date")], {"source": F.lit(1)})
+    taken = index_table(spark, placed.count(), draws, block, seed).groupBy("draw", "source").agg(F.count(F.lit(1)).alias("_k"))
+    sums = taken.join(placed, "source").groupBy("draw").agg(F.sum("_k").alias("dates"), *(F.sum(F.col("_k") * F.col(c)).alias(c) for c in GRAM))
+    held = spark.sparkContext.broadcast(grid)
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            rows = [{"draw": int(r["draw"])} | two_field_point(r, held.value, refine) for r in pdf.to_dict("records")]
+            yield pd.DataFrame(rows, columns=[c.split(" ")[0] for c in REFIT.split(", ")])
+
+    return sums.repartition(max(1, min(draws, 64)), "draw").mapInPandas(run, REFIT)
+
+
+def refit_intervals(refits: DataFrame, level: float = 0.95) -> DataFrame:
+    """One row: percentile intervals of both channels and of theta, and the shares of draws at either end."""
+    from lodestrata.functions.ranks import linear_quantiles
+
+    ends = lambda c: linear_quantiles(c, [(1 - level) / 2, (1 + level) / 2])
+    return refits.agg(*(ends(c)[k].alias(f"{c}_{side}") for c in ("rho_1", "rho_2", "theta") for k, side in ((0, "low"), (1, "high"))), F.avg(F.col("at_first").cast("double")).alias("at_first"), F.avg(F.col("at_second").cast("double")).alias("at_second"), F.count(F.lit(1)).alias("draws"))
+
+
 def likelihood_ratio(joint: float, restricted: float, tolerance: float = 1e-6) -> float:
     """Twice the gain; materially negative is an error, tiny negative is zero."""
     q = 2 * (joint - restricted)
@@ -238,6 +369,33 @@ def nested_bootstrap(returns: np.ndarray, w1: np.ndarray, w2: np.ndarray, pinned
     return observed, (1 + sum(x >= observed for x in rows)) / (1 + draws), table
 
 
+def shrunk_covariance(panel: DataFrame, value: str = "return") -> DataFrame:
+    """(ticker_i, ticker_j, value, intensity): covariance of a complete panel shrunk towards constant correlation (Ledoit-Wolf).
+
+    Second, and mixed fourth, moments of every pair of assets are sums over dates; target and intensity follow from sums over pairs,
+    so no matrix is ever held in one place.
+    """
+    n, dates = panel.select("ticker").distinct().count(), panel.select("Date").distinct().count()
+    require(panel, complete=(F.count(value) == n * dates) & (F.count(F.lit(1)) == n * dates))
+    mean = panel.groupBy("ticker").agg(F.avg(value).alias("_m"))
+    x = panel.join(mean, "ticker").select("ticker", "Date", (F.col(value) - F.col("_m")).alias("x"))
+    a, b = F.col("x"), F.col("y")
+    met = x.withColumnRenamed("ticker", "ticker_i").join(x.toDF("ticker_j", "Date", "y"), "Date")
+    pairs = met.groupBy("ticker_i", "ticker_j").agg(F.avg(a * b).alias("s"), F.avg(a * a * b * b).alias("p"), F.avg(a * a * a * b).alias("t"))
+    own = pairs.where("ticker_i = ticker_j")
+    pairs = pairs.join(own.select("ticker_i", F.col("s").alias("ii")), "ticker_i").join(own.select("ticker_j", F.col("s").alias("jj")), "ticker_j")
+    off, s, both = F.col("ticker_i") != F.col("ticker_j"), F.col("s"), F.sqrt(F.col("ii") * F.col("jj"))
+    phi, theta = F.col("p") - s * s, F.col("t") - F.col("ii") * s
+    bar = F.avg(F.when(off, s / both))
+    # gamma = sum (bar sd sd - s)^2 off the diagonal, opened up so that one pass gives it whatever bar is
+    sums = pairs.agg(bar.alias("bar"), F.sum(phi).alias("phi"), F.sum(F.when(~off, phi)).alias("own"), F.sum(F.when(off, F.sqrt(F.col("jj") / F.col("ii")) * theta)).alias("cross"), F.sum(F.when(off, both * both)).alias("g0"), F.sum(F.when(off, both * s)).alias("g1"), F.sum(F.when(off, s * s)).alias("g2"))
+    gamma = F.col("bar") * F.col("bar") * F.col("g0") - 2 * F.col("bar") * F.col("g1") + F.col("g2")
+    kappa = (F.col("phi") - F.col("own") - F.col("bar") * F.col("cross")) / F.nullif(gamma, F.lit(0.0))
+    scale = sums.select(F.coalesce("bar", F.lit(0.0)).alias("bar"), F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), kappa / dates)), F.lit(0.0)).alias("intensity"))
+    target = F.when(off, F.col("bar") * both).otherwise(s)
+    return pairs.join(F.broadcast(scale), F.lit(True)).select("ticker_i", "ticker_j", (F.col("intensity") * target + (1 - F.col("intensity")) * s).alias("value"), "intensity")
+
+
 def ledoit_wolf(x: np.ndarray) -> tuple[np.ndarray, float]:
     """Covariance of rows shrunk towards constant correlation, and the intensity."""
     t, n = x.shape

@@ -60,7 +60,7 @@ def leave_one_node_out(spark, sf_dir):
 
 @R.query("""
 WITH c AS (SELECT item_i, item_j, y - (SELECT avg(y) FROM dy) AS c FROM dy), p AS (SELECT a.c * b.c AS p, a.item_i IN (b.item_i, b.item_j) OR a.item_j IN (b.item_i, b.item_j) AS s FROM c a JOIN c b ON (a.item_i, a.item_j) < (b.item_i, b.item_j))
-SELECT [[avg(p) FILTER (s) - avg(p) FILTER (NOT s)]] AS statistic FROM p
+SELECT [[(avg(p) FILTER (s) - avg(p) FILTER (NOT s)) / (SELECT avg(c * c) FROM c)]] AS statistic FROM p
 """)
 def shared_endpoint_statistic(spark, sf_dir):
     return rounded(G.shared_endpoint_statistic(dyads(spark, sf_dir), "y"), "statistic")

@@ -230,4 +230,4 @@ def spearman_average_ranks(spark, sf_dir):
 @R.query("WITH p AS (SELECT p_partkey, CASE WHEN p_size % 5 <> 0 THEN (p_retailprice % 100) / 1e5 END AS p FROM part), s AS (SELECT *, (count(*) OVER (PARTITION BY p IS NULL) - row_number() OVER (PARTITION BY p IS NULL ORDER BY p, p_partkey) + 1) * p AS st FROM p) SELECT p_partkey, CASE WHEN p IS NOT NULL THEN [[least(1.0, max(st) OVER (PARTITION BY p IS NULL ORDER BY p, p_partkey ROWS UNBOUNDED PRECEDING))]] END AS p_holm FROM s")
 def holm_adjusted(spark, sf_dir):
     p = table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_size") % 5 != 0, (F.col("p_retailprice") % 100) / 1e5).alias("p"))
-    return ranks.holm(p, "p", "p_partkey").select("p_partkey", r6(F.col("p_holm")).alias("p_holm"))
+    return ranks.holm(p, "p").select("p_partkey", r6(F.col("p_holm")).alias("p_holm"))
