@@ -47,10 +47,15 @@ def auc(df: DataFrame, score: str, label: str, by: tuple[str, ...] = ()) -> Data
     return r.groupBy(*by).agg(area.alias("auc"))
 
 
+def correlation(x: str, y: str) -> Column:
+    """Pearson's correlation of columns without nulls; null where either is constant."""
+    return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
+
+
 def spearman(df: DataFrame, x: str, y: str, by: tuple[str, ...] = ()) -> DataFrame:
     """Rank correlation with average ranks."""
     r = average_ranks(average_ranks(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()), x, "_x", list(by)), y, "_y", list(by))
-    return r.groupBy(*by).agg(F.corr("_x", "_y").alias("spearman"), F.count(F.lit(1)).alias("n"))
+    return r.groupBy(*by).agg(correlation("_x", "_y").alias("spearman"), F.count(F.lit(1)).alias("n"))
 
 
 def holm(df: DataFrame, p: str) -> DataFrame:

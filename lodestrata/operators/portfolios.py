@@ -7,8 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestrata.operators.quadratic import project_capped, simplex_qp
-from lodestrata.sources.contracts import none, require
+from lodestrata.operators.quadratic import simplex_qp
+from lodestrata.sources.contracts import ContractError, none, require
 
 
 def equal_weights(roster: DataFrame, name: str = "equal") -> DataFrame:
@@ -101,16 +101,32 @@ def minimum_variance(covariance: np.ndarray, cap: float = 1.0) -> tuple[np.ndarr
     return simplex_qp(covariance / scale, np.zeros(len(covariance)), cap)
 
 
-def reference_draws(roster: list[str], draws: int, seed: int, cap: float = 1.0, spark=None) -> DataFrame:
-    """(draw, ticker, weight): Dirichlet(1) weights, brought under the cap."""
+#: Rounds of cutting and scaling a draw, and how far above the cap a weight may end.
+CAP_ROUNDS, CAP_TOLERANCE = 100, 1e-9
+
+
+def capped_draw(w: np.ndarray, cap: float) -> np.ndarray | None:
+    """Weights cut at the cap and scaled to sum one, again and again, as scaling lifts some above it; None if they never settle below."""
+    for _ in range(CAP_ROUNDS):
+        w = np.minimum(w, cap)
+        w = w / w.sum()
+        if w.max() <= cap + CAP_TOLERANCE:
+            return w
+    return None
+
+
+def reference_draws(roster: list[str], draws: int, seed: int, cap: float = 1.0, spark=None, concentration: float = 1.0) -> DataFrame:
+    """(draw, ticker, weight): symmetric Dirichlet weights brought under the cap; a draw that does not get there is dropped."""
+    if cap * len(roster) < 1:
+        raise ContractError(f"{len(roster)} weights of at most {cap} cannot sum to one")
 
     def draw(batches):
         for pdf in batches:
             rows = []
             for d in pdf["draw"]:
-                w = np.random.default_rng([seed, int(d)]).dirichlet(np.ones(len(roster)))
-                w = project_capped(w, cap) if cap < 1 else w
-                rows += [(int(d), t, float(x)) for t, x in zip(roster, w, strict=True)]
+                w = capped_draw(np.random.default_rng([seed, int(d)]).dirichlet(np.full(len(roster), concentration)), cap)
+                if w is not None:
+                    rows += [(int(d), t, float(x)) for t, x in zip(roster, w, strict=True)]
             yield pd.DataFrame(rows, columns=["draw", "ticker", "weight"])
 
     return spark.range(draws).select(F.col("id").alias("draw")).mapInPandas(draw, "draw long, ticker string, weight double")

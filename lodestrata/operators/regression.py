@@ -365,8 +365,8 @@ def inertia(spectrum: DataFrame) -> DataFrame:
     return running_totals(spectrum, [], [F.col("axis")], {"_before": positive}).withColumn("cumulative", (F.col("_before") + positive) / F.nullif(F.lit(whole), F.lit(0.0))).drop("_before")
 
 
-def permdisp(d: np.ndarray, code: np.ndarray, draws: int = 999, seed: int = 42) -> dict[str, float]:
-    """F of distances to group centres in principal coordinates (imaginary axes subtract), with permutation p."""
+def dispersions(d: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """Each item's distance to its group's spatial median in principal coordinates (imaginary axes subtract)."""
     sq = d * d
     b = -0.5 * (sq - sq.mean(axis=0)[None, :] - sq.mean(axis=1)[:, None] + sq.mean())
     values, vectors = np.linalg.eigh(b)
@@ -383,36 +383,31 @@ def permdisp(d: np.ndarray, code: np.ndarray, draws: int = 999, seed: int = 42)
     for g in np.unique(code):
         own = x[code == g]
         z[code == g] = np.sqrt(np.maximum((((own - median(own)) ** 2) * sign).sum(axis=1), 0))
+    return z
 
-    def f(labels: np.ndarray) -> float:
-        groups = [z[labels == g] for g in np.unique(labels)]
-        between = sum(len(v) * (v.mean() - z.mean()) ** 2 for v in groups) / (len(groups) - 1)
-        return between / (sum(((v - v.mean()) ** 2).sum() for v in groups) / (len(z) - len(groups)))
-
-    observed = f(code)
-    count = sum(f(np.random.default_rng([seed, k]).permutation(code)) >= observed - 1e-12 for k in range(draws))
-    return {"f": float(observed), "p": (1 + count) / (1 + draws)}
-
-
-def smacof(d: np.ndarray, dimensions: int = 2, starts: int = 10, rounds: int = 300, seed: int = 0) -> tuple[np.ndarray, float]:
-    """Metric scaling by majorisation: the best of several starts, with its raw stress."""
-    n, best = len(d), (None, np.inf)
-    for s in range(starts):
-        x = np.random.default_rng([seed, s]).normal(size=(n, dimensions))
-        before = np.inf
-        for _ in range(rounds):
-            e = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
-            stress = float(((d - e)[np.triu_indices(n, 1)] ** 2).sum())
-            if before - stress < 1e-10 * max(before if np.isfinite(before) else 1, 1):
-                break
-            before = stress
-            ratio = np.divide(d, e, out=np.zeros_like(d), where=e > 1e-12)
-            b = -ratio
-            b[np.diag_indices(n)] = ratio.sum(axis=1)
-            x = b @ x / n
-        if stress < best[1]:
-            best = (x, stress)
-    return best
+
+def dispersion_f(z: np.ndarray, labels: np.ndarray) -> float:
+    """F of a one-way layout of z by labels."""
+    groups = [z[labels == g] for g in np.unique(labels)]
+    between = sum(len(v) * (v.mean() - z.mean()) ** 2 for v in groups) / (len(groups) - 1)
+    return float(between / (sum(((v - v.mean()) ** 2).sum() for v in groups) / (len(z) - len(groups))))
+
+
+def smacof_start(d: np.ndarray, dimensions: int, rounds: int, seed: list[int]) -> tuple[np.ndarray, float, int]:
+    """One random start of metric scaling by majorisation: coordinates, raw stress and rounds."""
+    n = len(d)
+    x, before, k = np.random.default_rng(seed).normal(size=(n, dimensions)), np.inf, 0
+    for k in range(rounds):
+        e = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+        stress = float(((d - e)[np.triu_indices(n, 1)] ** 2).sum())
+        if before - stress < 1e-10 * max(before if np.isfinite(before) else 1, 1):
+            break
+        before = stress
+        ratio = np.divide(d, e, out=np.zeros_like(d), where=e > 1e-12)
+        b = -ratio
+        b[np.diag_indices(n)] = ratio.sum(axis=1)
+        x = b @ x / n
+    return x, stress, k
 
 
 def contrast_summary(draws: DataFrame, confidence: float = 0.95) -> DataFrame:

@@ -11,16 +11,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.operators import comparisons as C
+from lodestrata.operators import distances as D
 from lodestrata.operators import moments as M
+from lodestrata.operators import ordination as O  # noqa: E741
 from lodestrata.operators import panels
 from lodestrata.operators import regression as G
 from lodestrata.operators import resampling as B
 from lodestrata.operators import spatial as X
-from lodestrata.plans.clouds import group_daily
+from lodestrata.operators.ordered import running_totals
+from lodestrata.plans.clouds import clouds, group_daily
 from lodestrata.plans.fits import R as FITS
 from lodestrata.plans.fits import centred_groups, equal_field, factor_panel, roster_of
 from lodestrata.plans.inference import dyads
-from lodestrata.plans.register import Registry, rounded
+from lodestrata.plans.register import Registry, fresh, rounded
+from lodestrata.sources import archives
 from lodestrata.sources.tables import table
 
 THETAS, RHOS, MOST = 21, 100, 0.99
@@ -172,3 +176,77 @@ SELECT i AS ticker_i, j AS ticker_j, [[CASE WHEN i = j THEN s ELSE h * r * sqrt(
 def shrunk_covariance(spark, sf_dir):
     """Ledoit-Wolf shrinkage to constant correlation from sums over dates by pair."""
     return rounded(X.shrunk_covariance(panels.complete_case(group_daily(spark, sf_dir))), "value", "intensity")
+
+
+@R.query("""
+WITH s AS (SELECT item_i AS i, item_j AS j, greatest(value, 0) AS q FROM nrg), r AS (SELECT i, avg(q) AS m FROM s GROUP BY 1), b AS (SELECT s.i, s.j, -0.5 * (q - x.m - y.m + (SELECT avg(q) FROM s)) AS b FROM s JOIN r x ON x.i = s.i JOIN r y ON y.i = s.j), z AS (SELECT i, j, b / (SELECT sum(abs(b)) FROM b WHERE i = j) AS b FROM b),
+w2 AS (SELECT x.i, y.j, sum(x.b * y.b) * 20 AS b FROM z x JOIN z y ON x.j = y.i GROUP BY 1, 2), w4 AS (SELECT x.i, y.j, sum(x.b * y.b) * 20 AS b FROM w2 x JOIN w2 y ON x.j = y.i GROUP BY 1, 2), w8 AS (SELECT x.i, y.j, sum(x.b * y.b) * 20 AS b FROM w4 x JOIN w4 y ON x.j = y.i GROUP BY 1, 2), w16 AS (SELECT x.i, y.j, sum(x.b * y.b) * 20 AS b FROM w8 x JOIN w8 y ON x.j = y.i GROUP BY 1, 2),
+v AS (SELECT i, sum(b * (1 + i * i / 7.0)) AS x FROM w16 GROUP BY 1), v2 AS (SELECT p.i, sum(b * x) AS x FROM w16 p JOIN v ON v.i = p.j GROUP BY 1), v3 AS (SELECT p.i, sum(b * x) AS x FROM w16 p JOIN v2 v ON v.i = p.j GROUP BY 1), v4 AS (SELECT p.i, sum(b * x) AS x FROM w16 p JOIN v3 v ON v.i = p.j GROUP BY 1), v5 AS (SELECT p.i, sum(b * x) AS x FROM w16 p JOIN v4 v ON v.i = p.j GROUP BY 1)
+SELECT round((SELECT sum(b.b * x.x * y.x) FROM b JOIN v5 x ON x.i = b.i JOIN v5 y ON y.i = b.j) / (SELECT sum(x * x) FROM v5), 4) AS inertia
+""")
+def leading_inertia(spark, sf_dir):
+    """The largest value of the principal coordinates' spectrum, against powers of the doubly centred matrix."""
+    values, _ = O.principal_axes(D.energy_metric(D.energy(clouds(spark, sf_dir))), 2)
+    return spark.createDataFrame([(round(float(max(values, key=abs)), 4),)], "inertia double")
+
+
+@R.query("""
+WITH m AS (SELECT item, avg(v[1]) AS a, avg(v[2]) AS b FROM u GROUP BY 1), w AS (SELECT n.item_i AS i, n.item_j AS j, sqrt(greatest(value, 0)) AS o, sqrt((x.a - y.a) ** 2 + (x.b - y.b) ** 2) AS p FROM nrg n JOIN m x ON x.item = n.item_i JOIN m y ON y.item = n.item_j WHERE n.item_i <> n.item_j),
+h AS (SELECT *, rank() OVER (ORDER BY o) AS ro, rank() OVER (ORDER BY p) AS rp FROM w WHERE i < j), q AS (SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY o, j) AS a, row_number() OVER (PARTITION BY i ORDER BY p, j) AS b FROM w)
+SELECT [[sqrt(sum((o - p) ** 2) / sum(o * o))]] AS stress, [[sqrt((sum(o * o) - sum(o * p) ** 2 / sum(p * p)) / sum(o * o))]] AS fitted_stress, [[sum(o * p) / sum(p * p)]] AS scale, [[corr(o, p)]] AS pearson, [[corr(ro, rp)]] AS spearman, (SELECT [[count(*) FILTER (a <= 3 AND b <= 3) / 3.0 / (SELECT count(*) FROM m)]] FROM q) AS recall, (SELECT count(*) FILTER (a = 1 AND b = 1) FROM q) AS same_nearest FROM h
+""")
+def map_fidelity(spark, sf_dir):
+    """How well the first two coordinates of the items' means keep their energy distances."""
+    c = clouds(spark, sf_dir)
+    means = c.groupBy("item").agg(F.array(F.avg(F.col("v")[0]), F.avg(F.col("v")[1])).alias("x"))
+    return rounded(O.fidelity(D.energy_metric(D.energy(c)), means, 3), "stress", "fitted_stress", "scale", "pearson", "spearman", "recall")
+
+
+@R.query()
+def metric_scaling_fidelity(spark, sf_dir):
+    """The best of a hundred starts of metric scaling in the plane, with the fidelity of its map."""
+    e = D.energy_metric(D.energy(clouds(spark, sf_dir)))
+    x, _ = O.metric_scaling(e)
+    return rounded(O.fidelity(e, x), "stress", "fitted_stress", "scale", "pearson", "spearman", "recall")
+
+
+@R.query()
+def dispersion_test(spark, sf_dir):
+    """Whether three classes of items spread alike, by 9,999 permutations."""
+    e = D.energy_metric(D.energy(clouds(spark, sf_dir)))
+    labels = e.select(F.col("item_i").alias("item")).distinct().withColumn("label", F.col("item") % 3)
+    return rounded(O.dispersion_test(e, labels), "f", "p")
+
+
+def source_archives(spark, sf_dir) -> str:
+    """A folder of npz archives, one for each source: documents as rows, letters a to z as columns, counts as values."""
+    folder, letters = fresh(spark, "npz"), "abcdefghijklmnopqrstuvwxyz"
+    t = F.lower(F.coalesce("text", F.lit("")))
+    counts = F.array(*((F.length(t) - F.length(F.replace(t, F.lit(x), F.lit("")))).cast("double") for x in letters))
+    d = table(spark, sf_dir, "documents").select("source", "doc_id", F.filter(F.transform(counts, lambda v, i: F.struct(i.alias("c"), v.alias("v"))), lambda s: s["v"] > 0).alias("e"))
+    numbered = running_totals(d, ["source"], [F.col("doc_id")], {"row": F.lit(1)}).select("source", "row", F.transform("e", lambda s: s["c"]).alias("columns"), F.transform("e", lambda s: s["v"]).alias("values"))
+    archives.write_npz_sparse(numbered, folder, "source", len(letters)).count()
+    return folder
+
+
+@R.query("""
+WITH l AS (SELECT source || '.npz' AS name, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS row, lower(coalesce(text, '')) AS t FROM documents), c AS (SELECT name, row, k, length(t) - length(replace(t, chr(CAST(97 + k AS INTEGER)), '')) AS n FROM l, range(26) r(k))
+SELECT name, CAST(k AS INTEGER) AS letter, count(*) FILTER (n > 0) AS rows, CAST(sum(n) AS DOUBLE) AS total, CAST(sum(n * (row + 1)) AS DOUBLE) AS moment FROM c WHERE n > 0 GROUP BY 1, 2
+""")
+def npz_letters(spark, sf_dir):
+    """Counts of letters by source, from archives of sparse matrices that were written and read by tasks."""
+    rows = archives.npz_sparse_rows(spark, source_archives(spark, sf_dir))
+    each = rows.select(F.element_at(F.split("path", "/"), -1).alias("name"), "row", F.explode(F.arrays_zip("columns", "values")).alias("e"))
+    v = F.col("e.values")
+    return each.groupBy("name", F.col("e.columns").alias("letter")).agg(F.count("*").alias("rows"), F.sum(v).alias("total"), F.sum(v * (F.col("row") + 1)).alias("moment"))
+
+
+@R.query("""
+WITH l AS (SELECT source || '.npz' AS name, doc_id, lower(coalesce(text, '')) AS t FROM documents), c AS (SELECT name, doc_id, length(t) - length(replace(t, chr(CAST(97 + k AS INTEGER)), '')) AS n FROM l, range(26) r(k)), n AS (SELECT name, count(DISTINCT doc_id) AS docs, count(*) FILTER (n > 0) AS entries, CAST(sum(n) AS DOUBLE) AS total FROM c GROUP BY 1)
+SELECT name, 'data' AS member, entries AS numbers, total FROM n UNION ALL SELECT name, 'indptr', docs + 1, NULL FROM n UNION ALL SELECT name, 'indices', entries, NULL FROM n UNION ALL SELECT name, 'shape', 2, docs + 26.0 FROM n
+""")
+def npz_members(spark, sf_dir):
+    """Every member of the archives, by its numbers, and their sum for data and shape."""
+    m = archives.npz_members(spark, source_archives(spark, sf_dir))
+    whole = m.groupBy(F.element_at(F.split("path", "/"), -1).alias("name"), "member").agg(F.sum(F.size("values")).alias("numbers"), F.sum(F.aggregate("values", F.lit(0.0), lambda a, x: a + x)).alias("total"))
+    return whole.withColumn("total", F.when(F.col("member").isin("data", "shape"), F.col("total")))

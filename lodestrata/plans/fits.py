@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from lodestrata.operators import comparisons as C
 from lodestrata.operators import distances as D
 from lodestrata.operators import fields, panels
+from lodestrata.operators import ordination as O  # noqa: E741
 from lodestrata.operators import portfolios as P
 from lodestrata.operators import regression as G
 from lodestrata.operators import simulation as S
@@ -333,7 +334,7 @@ def cumulative_shares(spark, sf_dir):
 @R.query("WITH s AS (SELECT item_i AS i, item_j AS j, greatest(value, 0) AS q FROM nrg), r AS (SELECT i, avg(q) AS m FROM s GROUP BY 1), b AS (SELECT s.i, s.j, -0.5 * (q - x.m - y.m + (SELECT avg(q) FROM s)) AS b FROM s JOIN r x ON x.i = s.i JOIN r y ON y.i = s.j) SELECT [[sum(b) FILTER (i = j)]] AS trace, [[sum(b * b)]] AS squares FROM b")
 def pcoa_invariants(spark, sf_dir):
     """Sum and sum of squares of the principal coordinates' spectrum, which are those of the doubly centred matrix."""
-    values = G.pcoa(G.matrix_of(D.energy_metric(D.energy(clouds(spark, sf_dir))))[1])[1]
+    values, _ = O.principal_axes(D.energy_metric(D.energy(clouds(spark, sf_dir))), ITEMS)
     return rounded(spark.createDataFrame([(float(values.sum()), float((values * values).sum()))], "trace double, squares double"), "trace", "squares")
 
 

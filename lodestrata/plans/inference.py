@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.operators import distances as D
 from lodestrata.operators import moments as M
+from lodestrata.operators import ordination as O  # noqa: E741
 from lodestrata.operators import regression as G
 from lodestrata.operators import resampling as S
 from lodestrata.operators import simulation
@@ -204,8 +205,7 @@ def permanova_test(spark, sf_dir):
 
 @R.query()
 def pcoa_spectrum(spark, sf_dir):
-    _, d = G.matrix_of(D.energy_metric(D.energy(clouds(spark, sf_dir))))
-    values = G.pcoa(d)[1]
+    values, _ = O.principal_axes(D.energy_metric(D.energy(clouds(spark, sf_dir))), 10)
     return rounded(G.inertia(spark.createDataFrame([(k, float(v)) for k, v in enumerate(values)], "axis int, eigenvalue double")), "eigenvalue", "cumulative")
 
 
