@@ -153,6 +153,8 @@ def target_projections(component: DataFrame, kind: str = "energy", feasible: str
     rows = component.select(F.col("item_i").cast("string").alias("i"), F.col("item_j").cast("string").alias("j"), "mean")
     targets = rows.select(F.col("i").alias("target")).distinct()
     n = targets.count()
+    if n * n > MOST_NUMBERS:
+        raise ContractError(f"{n} items are too many for a dense problem in each task")
     matrix = rows.groupBy("i").agg(F.array_sort(F.collect_list(F.struct("j", "mean"))).alias("r"))
     packed = matrix.agg(F.array_sort(F.collect_list(F.struct("i", F.transform("r", lambda s: s["mean"]).alias("m")))).alias("m"))
     spark = component.sparkSession

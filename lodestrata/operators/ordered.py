@@ -27,9 +27,14 @@ def _free(df: DataFrame, stem: str) -> str:
     return f"{stem}{k}"
 
 
+def sized(df: DataFrame) -> DataFrame:
+    """df as the smaller side of a join: to be broadcast behind a count of its rows, beyond that to be sorted."""
+    return df.hint("broadcast" if df.count() <= BROADCAST_ROWS else "merge")
+
+
 def beside(df: DataFrame, other: DataFrame, on: list[str]) -> DataFrame:
-    """df joined with a table that usually is small: by broadcast behind a count, else by sorting."""
-    return df.join(other.hint("broadcast" if other.count() <= BROADCAST_ROWS else "merge"), on)
+    """df joined with a table that usually is small."""
+    return df.join(sized(other), on)
 
 
 def running_totals(df: DataFrame, by: list[str], order: list[Column], amounts: dict[str, Column], keep: Callable[[DataFrame, str], DataFrame] = kept) -> DataFrame:

@@ -59,11 +59,16 @@ def directed_years(scores: DataFrame) -> DataFrame:
     return scores.where(F.col("gvkey1") != F.col("gvkey2")).groupBy("gvkey1", "gvkey2").agg(F.count_distinct("year").alias("years"), F.avg("score").alias("score"))
 
 
+MOST_FIRM_YEARS = 1 << 18
+
+
 def complete_roster(years: DataFrame) -> list[int]:
     """Firms left when the one with the fewest years (smallest key on ties) goes until no pair has disjoint years.
 
-    years: (gvkey1, year). One row for each firm reaches the driver: the roster is a few hundred keys.
+    years: (gvkey1, year). One row for each firm reaches the driver: a roster, of at most MOST_FIRM_YEARS in all.
     """
+    if years.select("gvkey1", "year").distinct().count() > MOST_FIRM_YEARS:
+        raise ContractError(f"more than {MOST_FIRM_YEARS} firm years: not a roster")
     held = {r["gvkey1"]: set(r["y"]) for r in years.groupBy("gvkey1").agg(F.collect_set("year").alias("y")).collect()}
     while any(not held[a] & held[b] for a in held for b in held if a < b):
         del held[min(held, key=lambda k: (len(held[k]), k))]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions.ranks import keep_first
+from lodestrata.operators.ordered import sized
 from lodestrata.sources.contracts import ContractError, none, require, unique
 
 
@@ -89,8 +90,8 @@ def trailing_and_forward(panel: DataFrame, formations: DataFrame, calendar: Data
     """Rows of the lookback dates strictly before each formation (side trailing) and of the horizon dates from it (forward)."""
     numbered = calendar.select("Date").distinct().withColumn("p", F.row_number().over(Window.partitionBy().orderBy("Date")))
     spans = formations.select(F.col("Date").alias("formation"), F.col("position").alias("f")).withColumn("p", F.explode(F.sequence(F.col("f") - lookback, F.col("f") + (horizon - 1))))
-    keyed = spans.join(F.broadcast(numbered), "p").select("formation", "Date", F.when(F.col("p") < F.col("f"), "trailing").otherwise("forward").alias("side"))
-    return panel.join(F.broadcast(keyed), "Date")
+    keyed = spans.join(sized(numbered), "p").select("formation", "Date", F.when(F.col("p") < F.col("f"), "trailing").otherwise("forward").alias("side"))
+    return panel.join(sized(keyed), "Date")
 
 
 def covariance_long(panel: DataFrame, value: str = "return", ticker: str = "ticker", date: str = "Date") -> DataFrame:

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestrata.operators.ordered import sized
 from lodestrata.operators.quadratic import simplex_qp
 from lodestrata.sources.contracts import ContractError, none, require
 
@@ -75,7 +76,7 @@ def certificate_surface(distances: DataFrame, weights: DataFrame, scales: list[f
     a = weights.select("portfolio", F.col("ticker").alias("item_i"), F.col("weight").alias("q_i"))
     b = weights.select("portfolio", F.col("ticker").alias("item_j"), F.col("weight").alias("q_j"))
     floor = F.greatest(F.col("value") / F.col("scale") - 2 * F.col("slack"), F.lit(0.0))
-    return distances.join(a, "item_i").join(b, ["portfolio", "item_j"]).join(F.broadcast(grid), F.lit(True)).groupBy("portfolio", "scale", "slack").agg((0.5 * F.sum(F.col("q_i") * F.col("q_j") * floor * floor)).alias("credit"))
+    return distances.join(a, "item_i").join(b, ["portfolio", "item_j"]).join(sized(grid), F.lit(True)).groupBy("portfolio", "scale", "slack").agg((0.5 * F.sum(F.col("q_i") * F.col("q_j") * floor * floor)).alias("credit"))
 
 
 def select_cell(cells: DataFrame) -> DataFrame:
@@ -134,7 +135,7 @@ def reference_draws(roster: list[str], draws: int, seed: int, cap: float = 1.0,
 
 def reference_percentile(references: DataFrame, candidates: DataFrame) -> DataFrame:
     """(design, candidate, share): the share of reference variances at or below each candidate's."""
-    return references.join(F.broadcast(candidates), F.lit(True)).groupBy("design", "candidate").agg(F.avg(F.when(F.col("variance") <= F.col("candidate_variance"), 1.0).otherwise(0.0)).alias("share"))
+    return references.join(sized(candidates), F.lit(True)).groupBy("design", "candidate").agg(F.avg(F.when(F.col("variance") <= F.col("candidate_variance"), 1.0).otherwise(0.0)).alias("share"))
 
 
 def turnover(weights: DataFrame) -> DataFrame:
@@ -144,7 +145,7 @@ def turnover(weights: DataFrame) -> DataFrame:
     """
     vintages = weights.select("vintage").distinct()
     tickers = weights.select("ticker").distinct()
-    full = vintages.join(F.broadcast(tickers), F.lit(True)).join(weights, ["vintage", "ticker"], "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
+    full = vintages.join(sized(tickers), F.lit(True)).join(weights, ["vintage", "ticker"], "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
     w = Window.partitionBy("ticker").orderBy("vintage")
     return full.withColumn("d", F.abs(F.col("weight") - F.lag("weight").over(w))).groupBy("vintage").agg((0.5 * F.sum("d")).alias("turnover"))
 
@@ -162,7 +163,7 @@ def exposure_envelope(dyads: DataFrame, scales: list[float], slacks: list[float]
     lower = max(w2 / L - 2 tau, 0), upper = L w2 + 2 tau; covered if cost >= upper^2, violated if cost < lower^2. Draws of zero weight go.
     """
     grid = dyads.sparkSession.createDataFrame([(float(a), float(b)) for a in scales for b in slacks], "scale double, slack double")
-    g = dyads.join(F.broadcast(grid), F.lit(True))
+    g = dyads.join(sized(grid), F.lit(True))
     lower, upper = F.greatest(F.col("w2") / F.col("scale") - 2 * F.col("slack"), F.lit(0.0)), F.col("scale") * F.col("w2") + 2 * F.col("slack")
     covered, violated = F.col("cost") - upper * upper >= 0, F.col("cost") - lower * lower < 0
     share = lambda c: F.sum(F.when(c, F.col("weight")).otherwise(0.0)) / F.sum("weight")

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.operators.fields import spatial_lag
-from lodestrata.sources.contracts import require
+from lodestrata.sources.contracts import ContractError, require
 
 
 def lag_moments(panel: DataFrame, weights: DataFrame, value: str = "return") -> DataFrame:
@@ -25,11 +25,17 @@ def lag_moments(panel: DataFrame, weights: DataFrame, value: str = "return") ->
     return met.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("Date").alias("dates"), F.sum(r * r).alias("rr"), F.sum(r * w).alias("rw"), F.sum(w * w).alias("ww"))
 
 
+#: A dense field has at most this number squared of cells (128 MB).
+MOST_ASSETS = 4096
+
+
 def matrix(weights: DataFrame, roster: list[str]) -> np.ndarray:
     """The field as a dense matrix on the driver (roster squared cells)."""
+    if len(roster) > MOST_ASSETS:
+        raise ContractError(f"a roster of more than {MOST_ASSETS}")
     at = {t: k for k, t in enumerate(roster)}
     out = np.zeros((len(roster), len(roster)))
-    for r in weights.select("target", "candidate", "weight").collect():
+    for r in weights.select("target", "candidate", "weight").toLocalIterator():
         if r["target"] in at and r["candidate"] in at:
             out[at[r["target"]], at[r["candidate"]]] = r["weight"]
     return out
@@ -325,9 +331,12 @@ def likelihood_ratio(joint: float, restricted: float, tolerance: float = 1e-6) -
     return max(q, 0.0)
 
 
-def nested_bootstrap(returns: np.ndarray, w1: np.ndarray, w2: np.ndarray, pinned: float, draws: int, block: int, seed: int, spark) -> tuple[float, float, DataFrame]:
+def nested_bootstrap(returns: np.ndarray, w1: np.ndarray, w2: np.ndarray, pinned: float, draws: int, block: int, seed: int, spark, factors: np.ndarray | None = None) -> tuple[float, float, DataFrame]:
     """Likelihood ratio of theta free against pinned, and its p under the pinned null.
 
+    With factors (dates x factors) every asset's intercept and loadings are profiled out of returns and lags alike, and the null's
+    panels keep the fitted ones.
+
     Standardised null residuals are resampled by independent stationary paths for each asset; every draw refits both models
     in a task of its own. returns: dates x assets.
     """
@@ -335,8 +344,12 @@ def nested_bootstrap(returns: np.ndarray, w1: np.ndarray, w2: np.ndarray, pinned
 
     from lodestrata.operators.resampling import stationary_indices
 
+    design = None if factors is None else np.column_stack([np.ones(len(returns)), factors])
+    basis = None if design is None else np.linalg.qr(design)[0]
+    off = lambda y: y if basis is None else y - basis @ (basis.T @ y)
+
     def fit(r: np.ndarray, theta: float | None) -> dict[str, float]:
-        z = np.stack([r, r @ w1.T, r @ w2.T])
+        z = np.stack([off(r), off(r @ w1.T), off(r @ w2.T)])
         g = np.einsum("atn,btn->ab", z, z)
         best = {"loglik": -np.inf}
         for t in [theta] if theta is not None else np.linspace(0, 1, 11):
@@ -350,7 +363,9 @@ def nested_bootstrap(returns: np.ndarray, w1: np.ndarray, w2: np.ndarray, pinned
     null, free = fit(returns, pinned), fit(returns, None)
     observed = likelihood_ratio(free["loglik"], null["loglik"])
     a = np.eye(len(w1)) - null["rho"] * (pinned * w1 + (1 - pinned) * w2)
-    e = returns @ a.T
+    whole = returns @ a.T
+    e = off(whole)
+    fitted = whole - e if factors is not None else 0.0
     scale = e.std(axis=0, ddof=1)
     e = (e - e.mean(axis=0)) / scale
     back = np.linalg.inv(a)
@@ -360,7 +375,7 @@ def nested_bootstrap(returns: np.ndarray, w1: np.ndarray, w2: np.ndarray, pinned
             out = []
             for d in pdf["draw"]:
                 new = np.stack([e[stationary_indices(len(e), block, np.random.default_rng([seed, int(d), k])), k] for k in range(e.shape[1])], axis=1) * scale
-                r = new @ back.T
+                r = (fitted + new) @ back.T
                 out.append(likelihood_ratio(fit(r, None)["loglik"], fit(r, pinned)["loglik"]))
             yield pd.DataFrame({"draw": pdf["draw"], "statistic": out})
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.operators import distances as D
+from lodestrata.operators.ordered import sized
 from lodestrata.operators.panels import trailing_and_forward
 from lodestrata.operators.portfolios import minimum_variance, solve_certificate
 from lodestrata.operators.transport import balanced_assignment, costs, transport
@@ -54,7 +55,7 @@ def placebo(distances: DataFrame, roster: list[str], seed: int) -> DataFrame:
     moved = np.random.default_rng(seed).permutation(roster).tolist()
     names = distances.sparkSession.createDataFrame(list(zip(roster, map(str, moved), strict=True)), "old string, new string")
     a, b = names.toDF("item_i", "new_i"), names.toDF("item_j", "new_j")
-    return distances.join(F.broadcast(a), "item_i").join(F.broadcast(b), "item_j").select(F.col("new_i").alias("item_i"), F.col("new_j").alias("item_j"), "value")
+    return distances.join(sized(a), "item_i").join(sized(b), "item_j").select(F.col("new_i").alias("item_i"), F.col("new_j").alias("item_j"), "value")
 
 
 def weight_stability(matrices: DataFrame, cap: float = 1.0) -> DataFrame:

@@ -10,6 +10,7 @@ from lodestrata.operators import distances as D
 from lodestrata.operators import fields
 from lodestrata.operators import pairs as P
 from lodestrata.plans.register import Registry, r6, rounded
+from lodestrata.shared import kept
 from lodestrata.sources import tables as T
 from lodestrata.sources.tables import table
 
@@ -134,7 +135,7 @@ def group_daily(spark, sf_dir) -> DataFrame:
 
 @R.query("WITH e AS (SELECT target, candidate, 1.0 / count(*) OVER (PARTITION BY target) AS y FROM field WHERE weight > 0.1), b AS (SELECT target, candidate, coalesce(weight, 0) AS x, coalesce(y, 0) AS y FROM field LEFT JOIN e USING (target, candidate)), s AS (SELECT rank() OVER (ORDER BY x) AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS ry FROM b WHERE x > 0 AND y > 0) SELECT [[corr(x, y)]] AS pearson, [[sum(x * y) / sqrt(sum(x * x) * sum(y * y))]] AS cosine, (SELECT [[corr(rx, ry)]] FROM s) AS spearman, [[(SELECT avg(j) FROM (SELECT count(y) FILTER (y > 0) / count(*) AS j FROM b GROUP BY target))]] AS jaccard FROM b")
 def weight_similarity(spark, sf_dir):
-    w = rbf(spark, sf_dir).persist()
+    w = kept(rbf(spark, sf_dir), "field")
     return rounded(fields.weight_similarity(w, fields.equal_support_field(w, 0.1)), "pearson", "cosine", "spearman", "jaccard")
 
 
@@ -209,5 +210,5 @@ def wasserstein_simplex_weights_order_one(spark, sf_dir):
 
 @R.query()
 def random_support_null(spark, sf_dir):
-    w = rbf(spark, sf_dir).persist()
+    w = kept(rbf(spark, sf_dir), "field")
     return rounded(fields.support_null(fields.equal_support_field(w, 0.1), fields.equal_support_field(w, 0.11), 1000, 7), "jaccard")

@@ -26,6 +26,7 @@ from lodestrata.plans.inference import R as INFERENCE
 from lodestrata.plans.inference import dyads, replications
 from lodestrata.plans.panels import daily
 from lodestrata.plans.register import Registry, rounded
+from lodestrata.shared import kept
 from lodestrata.sources.tables import table
 
 ITEMS = 10
@@ -83,7 +84,7 @@ def equal_field(panel: DataFrame) -> DataFrame:
 def centred_groups(spark, sf_dir) -> DataFrame:
     p = group_daily(spark, sf_dir)
     mean = p.groupBy("ticker").agg(F.avg("return").alias("m"))
-    return p.join(mean, "ticker").select("ticker", "Date", (F.col("return") - F.col("m")).alias("return")).persist()
+    return p.join(mean, "ticker").select("ticker", "Date", (F.col("return") - F.col("m")).alias("return")).transform(lambda df: kept(df, "centred"))
 
 
 def roster_of(panel: DataFrame) -> list:
@@ -101,7 +102,7 @@ def sar_equal_field(spark, sf_dir):
 
 def factor_panel(spark, sf_dir) -> DataFrame:
     f = table(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("Date")).agg((F.count("*") / 100.0).alias("MKT"))
-    return group_daily(spark, sf_dir).withColumnRenamed("return", "excess").join(f, "Date").persist()
+    return group_daily(spark, sf_dir).withColumnRenamed("return", "excess").join(f, "Date").transform(lambda df: kept(df, "factors"))
 
 
 @R.query("SELECT round(rho, 4) AS rho FROM gz")
@@ -156,8 +157,7 @@ o AS (SELECT corr(x, y) AS weight_correlation, avg(abs(y - x)) AS mean_absolute_
 SELECT [[weight_correlation]] AS weight_correlation, [[mean_absolute_difference]] AS mean_absolute_difference, [[rms_difference]] AS rms_difference, [[support_jaccard]] AS support_jaccard, [[corr(p, q)]] AS signal_correlation, [[stddev_samp(q - p)]] AS signal_difference_sd, [[stddev_samp(q)]] AS signal_sd, [[stddev_samp(q - p) / stddev_samp(q)]] AS relative_difference_sd FROM z, o GROUP BY weight_correlation, mean_absolute_difference, rms_difference, support_jaccard
 """)
 def operator_separation(spark, sf_dir):
-    w = rbf(spark, sf_dir).persist()
-    w.count()  # the field is made before the branches that read it
+    w = kept(rbf(spark, sf_dir), "field")
     s = C.separation(group_daily(spark, sf_dir), w, fields.equal_support_field(w, 0.1), factors=None)
     names = ("weight_correlation", "mean_absolute_difference", "rms_difference", "support_jaccard", "signal_correlation", "signal_difference_sd", "signal_sd", "relative_difference_sd")
     return rounded(s.select(*names), *names)
@@ -166,7 +166,7 @@ def operator_separation(spark, sf_dir):
 @R.query("SELECT CAST(count(DISTINCT t) AS INTEGER) AS assets, (SELECT round(rho, 4) FROM gr) AS rho, (SELECT round(rho / (1 - rho), 3) FROM gr) AS lambda FROM gd")
 def universe_horizon_bridge(spark, sf_dir):
     """Cells of a small and a large universe over two horizons; the small one's long cell is reported here, the same as one fit."""
-    p = group_daily(spark, sf_dir).persist()
+    p = kept(group_daily(spark, sf_dir), "panel")
     w = equal_field(p)
     last = p.agg(F.date_sub(F.max("Date"), 5).alias("d")).first()["d"]
     cells = C.bridge(p, p, w, w, last)

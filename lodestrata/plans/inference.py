@@ -15,6 +15,7 @@ from lodestrata.operators import simulation
 from lodestrata.operators import spatial as X
 from lodestrata.plans.clouds import clouds, group_daily, rbf
 from lodestrata.plans.register import Registry, rounded
+from lodestrata.shared import kept
 from lodestrata.sources.tables import table
 
 R = Registry(
@@ -221,7 +222,7 @@ def bootstrap_slope_band(spark, sf_dir):
 @R.query()
 def sar_qmle(spark, sf_dir):
     """Spatial autoregression of ten assets on the energy field."""
-    panel, w = group_daily(spark, sf_dir), rbf(spark, sf_dir).persist()  # the field is made once, not for every sum
+    panel, w = group_daily(spark, sf_dir), kept(rbf(spark, sf_dir), "field")  # the field is made once, not for every sum
     roster = sorted(r[0] for r in w.select("target").distinct().collect())
     mean = panel.groupBy("ticker").agg(F.avg("return").alias("m"))
     centred = panel.join(mean, "ticker").withColumn("return", F.col("return") - F.col("m")).drop("m")
@@ -233,7 +234,7 @@ def sar_qmle(spark, sf_dir):
 def two_field_qmle(spark, sf_dir):
     from lodestrata.operators.fields import equal_support_field
 
-    w = rbf(spark, sf_dir).persist()
+    w = kept(rbf(spark, sf_dir), "field")
     e = equal_support_field(w, 0.1)
     roster = sorted(r[0] for r in w.select("target").distinct().collect())
     fit = X.two_field_qmle(X.two_field_gram(group_daily(spark, sf_dir), w, e), X.matrix(w, roster), X.matrix(e, roster))

@@ -7,12 +7,12 @@ from __future__ import annotations
 
 import functools
 import re
-import tempfile
-import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.shared import fresh
+
 
 class Registry:
     def __init__(self, **common: str):
@@ -71,20 +71,6 @@ def r6(x: Column) -> Column:
     return F.round(x, 6) + F.lit(0.0)
 
 
-_OWN: dict[str, str] = {}
-
-
-def fresh(spark: SparkSession, name: str) -> str:
-    """A path for files that a query writes and reads again: below spark.checkpoint.dir, or a temporary folder in local mode."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        app = spark.sparkContext.applicationId
-        folder = _OWN[app] = _OWN.get(app) or "file://" + tempfile.mkdtemp(prefix="lodestrata-")
-    return f"{folder.rstrip('/')}/lodestrata-plans/{name}-{uuid.uuid4().hex}"
-
-
 def stored(df: DataFrame, name: str) -> str:
     """The path of df written as Parquet."""
     path = fresh(df.sparkSession, name)

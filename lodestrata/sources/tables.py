@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestrata.functions import arrays as A
+from lodestrata.operators.ordered import sized
 from lodestrata.sources.contracts import ContractError, covers, none, require, row_stochastic, square, unique
 
 _f = T.StructField
@@ -112,7 +113,7 @@ def universe(spark: SparkSession, path: str, tickers: DataFrame | None = None) -
 
 def crosswalk(spark: SparkSession, path: str, of: DataFrame) -> DataFrame:
     """ticker, cik (as text), gvkey joined to the universe."""
-    return spark.read.option("header", True).schema(CROSSWALK).csv(path).join(F.broadcast(of), F.col("ticker") == F.col("Symbol"))
+    return spark.read.option("header", True).schema(CROSSWALK).csv(path).join(sized(of), F.col("ticker") == F.col("Symbol"))
 
 
 def json_numbers(spark: SparkSession, path: str) -> DataFrame:

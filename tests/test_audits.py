@@ -207,3 +207,17 @@ def test_shrinkage_from_sums_is_that_of_the_matrix(spark):
     assert all(r["value"] == pytest.approx(want[r["ticker_i"], r["ticker_j"]]) and r["intensity"] == pytest.approx(intensity) for r in got)
     with pytest.raises(ContractError):
         spatial.shrunk_covariance(p.where("ticker > 0 or Date > 0")).collect()
+
+
+def test_nested_bootstrap_with_factors(spark):
+    """Loadings do not move the ratio, and under the pinned null its p is no extreme."""
+    r, w1, _, _ = panel_of(spark, 0.4, 1.0, dates=80)
+    n = len(w1)
+    w2 = np.eye(n)[[1, 0, 3, 2, 5, 4]]
+    f = np.random.default_rng(9).normal(size=(80, 1))
+    loaded = (r @ (np.eye(n) - 0.4 * w1).T + f * np.linspace(-3, 3, n)) @ np.linalg.inv(np.eye(n) - 0.4 * w1).T
+    q, p, draws = spatial.nested_bootstrap(r, w1, w2, 1.0, 19, 5, 3, spark, factors=f)
+    other, _, _ = spatial.nested_bootstrap(loaded, w1, w2, 1.0, 19, 5, 3, spark, factors=f)
+    assert q == pytest.approx(other, abs=1e-6) and q >= 0 and draws.count() == 19 and p > 0.05
+    far, small, _ = spatial.nested_bootstrap(r, w1, w2, 0.0, 19, 5, 3, spark, factors=f)
+    assert far > q and small == pytest.approx(0.05)
