@@ -83,11 +83,11 @@ def test_energy_matches_definition_and_sql_form(spark):
     blocks = {(r[0], r[1]): r[2] for r in distances.pair_means(c).select("item_i", "item_j", "mean").collect()}
     sql = {(r[0], r[1]): r[2] for r in distances.pair_means_sql(c).collect()}
     assert blocks.keys() == sql.keys() and all(blocks[k] == pytest.approx(sql[k]) for k in sql)
-    distances.BLOCK, held = 3, distances.BLOCK
+    distances.BLOCK_BYTES, held = 64, distances.BLOCK_BYTES
     try:
         many = {(r[0], r[1]): r[2] for r in distances.pair_means(c).select("item_i", "item_j", "mean").collect()}
     finally:
-        distances.BLOCK = held
+        distances.BLOCK_BYTES = held
     assert all(many[k] == pytest.approx(sql[k]) for k in sql)
     with pytest.raises(Exception, match="non-finite|zero"):
         distances.representation(spark.createDataFrame([("a", 1, [0.0, 0.0])], "item string, key int, v array<double>")).collect()
