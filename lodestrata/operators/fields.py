@@ -11,6 +11,7 @@ from lodestrata.functions.ranks import spearman, top_k
 from lodestrata.operators.pairs import row_normalized, set_overlap
 from lodestrata.operators.quadratic import affine_qp, free_qp, mean_norm_simplex, simplex_qp, tangent_curvature
 from lodestrata.operators.transport import balanced_assignment, costs, matched, second_best_gap
+from lodestrata.shared import kept
 from lodestrata.sources.contracts import ContractError
 
 
@@ -21,6 +22,7 @@ def median_off_diagonal(pairs: DataFrame, value: str = "value") -> DataFrame:
 
 def rbf_field(squared: DataFrame, bandwidth: float | None = None) -> DataFrame:
     """exp(-D^2 / h) of squared distances (item_i, item_j, value), zero diagonal, rows normalised; h: the median off the diagonal."""
+    squared = kept(squared, "squared")  # the median and the weights read it
     h = median_off_diagonal(squared) if bandwidth is None else squared.sparkSession.createDataFrame([(float(bandwidth),)], "h double")
     w = squared.where("item_i <> item_j").join(F.broadcast(h), F.lit(True))
     return row_normalized(w.select(F.col("item_i").alias("target"), F.col("item_j").alias("candidate"), F.exp(-F.col("value") / F.col("h")).alias("weight")))
@@ -150,7 +152,8 @@ def target_projections(component: DataFrame, kind: str = "energy", feasible: str
     the sum of weights (of all for free ones), which must not be negative: the problem would not be convex. The component is the problem's data, n^2
     means; each target is solved in a task of its own.
     """
-    rows = component.select(F.col("item_i").cast("string").alias("i"), F.col("item_j").cast("string").alias("j"), "mean")
+    # read for the roster, its size and the matrix: worked out once
+    rows = kept(component.select(F.col("item_i").cast("string").alias("i"), F.col("item_j").cast("string").alias("j"), "mean"), "component")
     targets = rows.select(F.col("i").alias("target")).distinct()
     n = targets.count()
     if n * n > MOST_NUMBERS:
