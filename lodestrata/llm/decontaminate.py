@@ -7,7 +7,8 @@ the block; what is left are the exact phrase matches. Proximity search intersect
 
 Blocks never meet in a shuffle, so no term, source or group of copies can be hot, and a lost executor costs its blocks
 alone. Test items are taken in chunks of a bounded number of bytes (chunk_bytes, broadcast one by one), so that the size
-of the benchmark is no limit; only phrases all of whose terms a block holds are looked at there.
+of the benchmark is no limit. A block's terms lead the search: each phrase is filed under the term that is rarest in the
+benchmark, and a block looks only at the phrases that are filed under its own terms.
 
 Defined cases: a null or empty text has no words; an item without words, or without an id, matches nothing; repeated rows each
 get their own result; several items with one id count once; other columns of the inputs are ignored. A text is indexed whole, in
@@ -29,6 +30,7 @@ from lodestrata.llm.common import materialize, table, text_slices, tidy
 from lodestrata.llm.words import ALNUM, find_words, ranges, word_hashes
 
 WINDOW, CHUNK_BYTES, BLOCK_BYTES = 10, 8 << 20, 1 << 20
+SLICE = 1 << 20  # words of phrases looked up at once
 
 INDEX = pa.schema([
     ("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("bounds", pa.list_(pa.int32())),
@@ -68,6 +70,28 @@ def windows(h: np.ndarray, bounds: np.ndarray, window: int):
     return ranges(bounds[:-1], n), np.repeat(np.minimum(counts, window), n), np.repeat(np.arange(len(n)), n)
 
 
+class Phrases:
+    """Phrases h[first:first+words] to search for, each filed under the term of it that is rarest among all of them.
+
+    Made once for each task. A block then finds its phrases from its own terms, so that it costs its terms and the phrases
+    they lead to, and not the words of the benchmark.
+    """
+
+    def __init__(self, h: np.ndarray, first: np.ndarray, words: np.ndarray):
+        self.first, self.words = first, words
+        self.terms, self.code, count = np.unique(h, return_inverse=True, return_counts=True)
+        some = np.flatnonzero(words > 0)
+        if len(some):
+            key = np.append(count[self.code] * len(self.terms) + self.code, 0)
+            # least key of each phrase: every other segment is one, and phrases may overlap
+            lead = np.minimum.reduceat(key, np.stack([first[some], first[some] + words[some]], axis=1).ravel())[::2] % len(self.terms)
+            order = np.argsort(lead, kind="stable")
+            some, lead = some[order], lead[order]
+        else:
+            lead = some
+        self.led, self.heads = some, np.searchsorted(lead, np.arange(len(self.terms) + 1))
+
+
 def build_index(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """A row for each block of documents, with the postings of all terms; stored in the shared folder."""
 
@@ -101,33 +125,48 @@ class Block:
         # term by term ascending, so one sorted array holds all lists: list number * span + position
         self.keys = np.repeat(np.arange(len(self.terms)), np.diff(self.heads)) * self.span + self.postings
 
-    def lists(self, h: np.ndarray) -> np.ndarray:
-        """The number of the list of each hash, or -1."""
-        if not len(self.terms):
-            return np.full(len(h), -1)
-        k = np.minimum(np.searchsorted(self.terms, h), len(self.terms) - 1)
-        return np.where(self.terms[k] == h, k, -1)
-
-    def phrases(self, h: np.ndarray, first: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Exact matches of the phrases h[first:first+words]: (phrase, position of its first word)."""
-        lists = self.lists(h)
-        # phrases all of whose terms the block holds, by running counts of missing terms; only those are laid out
-        gaps = np.concatenate([[0], np.cumsum(lists < 0)])
-        alive = np.flatnonzero((gaps[first + words] == gaps[first]) & (words > 0))
+    def held(self, wanted: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Phrases all of whose terms the block holds, ascending; the terms of wanted that it holds, and their lists."""
+        none = np.zeros(0, np.int64)
+        if not len(self.terms) or not len(wanted.terms):
+            return none, none, none
+        k = np.minimum(np.searchsorted(wanted.terms, self.terms), len(wanted.terms) - 1)
+        lists = np.flatnonzero(wanted.terms[k] == self.terms)
+        codes = k[lists]
+        led = wanted.led[ranges(wanted.heads[codes], np.diff(wanted.heads)[codes])]
+        total, out = np.cumsum(wanted.words[led]), [none]
+        for part in np.split(led, np.searchsorted(total, np.arange(SLICE, total[-1] if len(led) else 0, SLICE))):
+            if len(part):
+                n = wanted.words[part]
+                c = wanted.code[ranges(wanted.first[part], n)]
+                ok = codes[np.minimum(np.searchsorted(codes, c), len(codes) - 1)] == c
+                out.append(part[np.logical_and.reduceat(ok, np.cumsum(n) - n)])
+        return np.sort(np.concatenate(out)), codes, lists
+
+    def phrases(self, wanted: Phrases) -> tuple[np.ndarray, np.ndarray]:
+        """Exact matches of the wanted phrases: (phrase, position of its first word)."""
+        alive, codes, numbers = self.held(wanted)
+        first, words = wanted.first, wanted.words
         width = int(words[alive].max(initial=0))
         if not width:
             return alive, alive
-        at = np.minimum(first[alive, None] + np.arange(width)[None, :], len(h) - 1)
+
+        def lists(at: np.ndarray) -> np.ndarray:
+            """The lists of the words at these places; any list for places behind the end of a phrase."""
+            c = wanted.code[np.minimum(at, len(wanted.code) - 1)]
+            return numbers[np.minimum(np.searchsorted(codes, c), len(codes) - 1)]
+
+        at = first[alive, None] + np.arange(width)[None, :]
         inside = np.arange(width)[None, :] < words[alive, None]
-        f = np.where(inside, np.diff(self.heads)[lists[at]], np.iinfo(np.int64).max)
+        f = np.where(inside, np.diff(self.heads)[lists(at)], np.iinfo(np.int64).max)
         rarest = np.argsort(f, axis=1, kind="stable")
         phrase = np.repeat(np.arange(len(alive)), f[np.arange(len(alive)), rarest[:, 0]])
-        lead = lists[first[alive] + rarest[:, 0]]
+        lead = lists(first[alive] + rarest[:, 0])
         start = self.postings[ranges(self.heads[lead], np.diff(self.heads)[lead])] - rarest[phrase, 0]
         for step in range(1, width):  # intersect with the next rarest list, shifted by its term's offset
             off = rarest[phrase, step]
             more = step < words[alive[phrase]]
-            key = lists[np.minimum(first[alive[phrase]] + off, len(h) - 1)] * self.span + start + off
+            key = lists(first[alive[phrase]] + off) * self.span + start + off
             k = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
             ok = ~more | ((self.keys[k] == key) & (start + off < self.span) & (start >= 0))
             phrase, start = phrase[ok], start[ok]
@@ -135,11 +174,8 @@ class Block:
                 break
         return alive[phrase], start
 
-    def near(self, h: np.ndarray, slop: int) -> np.ndarray:
-        """Positions from which all words of h, in any order, lie within slop words: proximity matches, by first position."""
-        lists = self.lists(h)
-        if (lists < 0).any() or not len(h):
-            return np.zeros(0, np.int64)
+    def near(self, lists: np.ndarray, slop: int) -> np.ndarray:
+        """Positions from which a word of each of these lists, in any order, lies within slop words: proximity matches, by first position."""
         wanted, times = np.unique(lists, return_counts=True)
         order = np.argsort(np.diff(self.heads)[wanted], kind="stable")
         lead = self.postings[self.heads[wanted[order[0]]] : self.heads[wanted[order[0]] + 1]]
@@ -186,8 +222,9 @@ def search(index: DataFrame, chunk: tuple[list, np.ndarray, np.ndarray], window:
     def find(batches):
         names, h, item_bounds = held.value
         first, words, item = windows(h, item_bounds, window)
+        wanted = Phrases(h, first, words)
         for block, b in blocks_of(batches):
-            phrase, start = b.phrases(h, first, words)
+            phrase, start = b.phrases(wanted)
             order = np.argsort(start, kind="stable")
             phrase, start = phrase[order], start[order]
             end = start + words[phrase]
@@ -241,19 +278,24 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, c
 NEAR = pa.schema([("doc_id", pa.int64()), ("item_id", pa.string()), ("position", pa.int64())])
 
 
-def near_matches(docs: DataFrame, items: DataFrame, slop: int, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """Proximity matches: for each document and item the first words of spans of at most slop words that hold all the item's words."""
-    index, out = build_index(docs), None
+def near_matches(docs: DataFrame, items: DataFrame, slop: int, chunk_bytes: int = CHUNK_BYTES, index: DataFrame | None = None) -> DataFrame:
+    """Proximity matches: for each document and item the first words of spans of at most slop words that hold all the item's words.
+
+    index: the index of docs, where one has been built.
+    """
+    index, out = build_index(docs) if index is None else index, None
 
     def finder(held):
         def find(batches):
             names, h, bounds = held.value
+            wanted = Phrases(h, bounds[:-1], np.diff(bounds))
             for _, b in blocks_of(batches):
-                for k, name in enumerate(names):
-                    start = b.near(h[bounds[k] : bounds[k + 1]], slop)
+                items, codes, lists = b.held(wanted)
+                for k in items:
+                    start = b.near(lists[np.searchsorted(codes, wanted.code[bounds[k] : bounds[k + 1]])], slop)
                     d = np.searchsorted(b.bounds, start, "right") - 1
                     if len(start):
-                        yield pa.RecordBatch.from_arrays([b.doc_ids.take(pa.array(d)), pa.array([name] * len(start)), pa.array(start - b.bounds[d])], schema=NEAR)
+                        yield pa.RecordBatch.from_arrays([b.doc_ids.take(pa.array(d)), pa.array([names[k]] * len(start)), pa.array(start - b.bounds[d])], schema=NEAR)
 
         return find
 
