@@ -16,7 +16,7 @@ one set. The join goes from cheap to dear, and every step is exact:
    been answered already: only the index lists of the tokens in which the two differ are read (`answers`). What a
    component has already answered is not asked again: in groups of more than one block, only sets outside the largest component are
    compared across blocks, with sets of other components, and only if their distances from the leader (a metric) differ by
-   no more than a link allows.
+   no more than a link allows; blocks are made within cells of that distance, so a set is copied to the blocks that may need it.
 
 No step emits pairs or gathers a list: lists are counted and reduced by partial aggregation, groups are dealt in blocks of at
 most BLOCK_SETS sets and BLOCK_BYTES bytes, and blocks return spanning forests. Connected components run as tables.
@@ -348,11 +348,17 @@ def compare_within(blocks: DataFrame, percent: int) -> DataFrame:
     return by_block(blocks, ["leader", "band", "sub"], run, "a long, b long")
 
 
+ACROSS = ["leader", "band", "cell", "over", "i", "j"]
+
+
 def compare_across(blocks: DataFrame, percent: int) -> DataFrame:
-    """Links between rows (side 0) and columns (side 1) of blocks (leader, band, i, j), other than within a component."""
+    """Links between rows (side 0) and columns (side 1) of blocks of ACROSS, other than within a component.
+
+    Rows are outside the largest component; a pair of which both sides are (`open`) meets twice and is looked at once.
+    """
 
     def run(batches):
-        for _, rows in grouped(batches, ["leader", "band", "i", "j"]):
+        for _, rows in grouped(batches, ACROSS):
             side = np.array(rows["side"])
             pick = [[i for i in np.flatnonzero(side == k)] for k in (0, 1)]
             if not pick[0] or not pick[1]:
@@ -360,7 +366,9 @@ def compare_across(blocks: DataFrame, percent: int) -> DataFrame:
             s = [[np.frombuffer(rows["tokens"][i], np.uint64) for i in p] for p in pick]
             root = [np.array([rows["root"][i] for i in p]) for p in pick]
             far = [np.array([rows["far"][i] for i in p]) for p in pick]
-            open_pairs = (root[0][:, None] != root[1][None, :]) & (np.abs(far[0][:, None] - far[1][None, :]) <= 1 - percent / 100 + 1e-9)
+            once = ~np.array([rows["open"][i] for i in pick[1]], bool)
+            open_pairs = (root[0][:, None] < root[1][None, :]) | ((root[0][:, None] > root[1][None, :]) & once[None, :])
+            open_pairs &= np.abs(far[0][:, None] - far[1][None, :]) <= 1 - percent / 100 + 1e-9
             r, c = np.flatnonzero(open_pairs.any(axis=1)), np.flatnonzero(open_pairs.any(axis=0))
             if not len(r):
                 continue
@@ -373,11 +381,11 @@ def compare_across(blocks: DataFrame, percent: int) -> DataFrame:
             _, one = np.unique(np.stack([root[0][r[x]], root[1][c[y]]]), axis=1, return_index=True)
             yield pa.RecordBatch.from_arrays([pa.array(a[r[x[one]]]), pa.array(b[c[y[one]]])], schema=EDGES)
 
-    return by_block(blocks, ["leader", "band", "i", "j"], run, "a long, b long")
+    return by_block(blocks, ACROSS, run, "a long, b long")
 
 
-def distances(members: DataFrame, leaders: DataFrame) -> DataFrame:
-    """Add far, the Jaccard distance of each member (leader, band, rep, tokens) from its leader's set."""
+def distances(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Add far, the Jaccard distance of each member (leader, band, rep) from its leader's set."""
     schema = pa.schema([("leader", pa.int64()), ("band", pa.int32()), ("rep", pa.int64()), ("far", pa.float64())])
 
     def run(batches):
@@ -389,29 +397,59 @@ def distances(members: DataFrame, leaders: DataFrame) -> DataFrame:
                 far.append(1 - k / max(len(a) + len(b) - k, 1))
             yield pa.RecordBatch.from_arrays([batch.column("leader"), batch.column("band"), batch.column("rep"), pa.array(far, pa.float64())], schema=schema)
 
-    of = leaders.select(F.col("rep").alias("leader"), F.col("tokens").alias("of"))
-    return members.join(merge(of), "leader").select("leader", "band", "rep", "tokens", "of").mapInArrow(run, "leader long, band int, rep long, far double")
+    of = sets.join(merge(members.select(F.col("leader").alias("rep")).distinct()), "rep").select(F.col("rep").alias("leader"), F.col("tokens").alias("of"), salts())
+    full = salted(members.select("leader", "band", "rep")).join(merge(sets.select("rep", "tokens")), "rep")
+    return full.join(merge(of), ["leader", "salt"]).select("leader", "band", "rep", "tokens", "of").mapInArrow(run, "leader long, band int, rep long, far double")
+
+
+def salts() -> Column:
+    """Copies of a row that describes a group, so that the group's members join it from several tasks."""
+    return F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+
+
+def salted(members: DataFrame) -> DataFrame:
+    return members.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int"))
+
+
+def routes(members: DataFrame, reach: float) -> tuple[DataFrame, DataFrame]:
+    """members with the cell of their distance, and the pairs of cells (leader, band, cell, over, rows, columns) that have to meet.
+
+    Distances of members that link differ by no more than reach, the width of a cell, so they are in one cell or in neighbouring
+    ones. rows: blocks of the open members of the cell; columns: blocks of all members of the cell `over`.
+    """
+    placed = materialize(members.withColumn("cell", F.floor(F.col("far") / reach)), "cells")
+    crowd = placed.groupBy("leader", "band", "cell").agg(F.ceil(F.sum(F.col("open").cast("int")) / F.max("fits")).alias("rows"), F.ceil(F.count("*") / F.max("fits")).alias("columns"))
+    crowd = materialize(crowd, "crowds")
+    beside = crowd.where("rows > 0").select("leader", "band", "cell", "rows", F.explode(F.array(*(F.col("cell") + d for d in (-1, 0, 1)))).alias("over"))
+    return placed, beside.join(merge(crowd.select("leader", "band", F.col("cell").alias("over"), "columns")), ["leader", "band", "over"])
 
 
 def big_group_links(big: DataFrame, sets: DataFrame, edges: DataFrame, percent: int) -> DataFrame:
-    """Links across the blocks of groups (leader, band, rep, nb) that still hold several components."""
+    """Links across the blocks of groups (leader, band, rep, fits) that still hold several components.
+
+    Rows are the members outside the largest component. They and the members they may link with are copied once for each block
+    of the other side, and only there; tokens come to a member when it is known to have such a block.
+    """
     roots = components(edges)
     known = big.join(merge(roots.withColumnRenamed("node", "rep")), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     parts = known.groupBy("leader", "band", "root").agg(F.count("*").alias("c"))
-    # a few rows for each group of several blocks, so that its members join from several tasks
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-    largest = parts.groupBy("leader", "band").agg(F.max(F.struct("c", "root")).alias("m"), F.count("*").alias("parts")).where("parts > 1").select("leader", "band", F.col("m.root").alias("giant"), salts)
-    left = materialize(known.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int")).join(merge(largest), ["leader", "band", "salt"]).drop("salt"), "open")
+    largest = parts.groupBy("leader", "band").agg(F.max(F.struct("c", "root")).alias("m"), F.count("*").alias("parts")).where("parts > 1").select("leader", "band", F.col("m.root").alias("giant"), salts())
+    left = salted(known).join(merge(largest), ["leader", "band", "salt"]).select("leader", "band", "rep", "fits", "root", (F.col("root") != F.col("giant")).alias("open"))
+    left = materialize(left, "open")
     if left.isEmpty():
         return big.sparkSession.createDataFrame([], "a long, b long")
-    full = left.join(merge(sets.select("rep", "tokens")), "rep")
-    far = distances(full, sets)
-    full = full.join(merge(far), ["leader", "band", "rep"]).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), (F.col("nb") - 1).cast("int")))
-    names = ["leader", "band", "i", "j", "side", "rep", "root", "far", "tokens"]
-    rows = full.where("root <> giant").withColumn("i", F.col("mine")).withColumn("j", every).withColumn("side", F.lit(0))
-    columns = full.withColumn("j", F.col("mine")).withColumn("i", every).withColumn("side", F.lit(1))
-    return compare_across(rows.select(names).unionByName(columns.select(names)), percent)
+    placed, meet = routes(left.join(merge(distances(left, sets)), ["leader", "band", "rep"]), 1 - percent / 100 + 1e-6)
+    meet = materialize(meet.select("*", salts()), "routes")
+    rows = salted(placed.where("open")).join(merge(meet), ["leader", "band", "cell", "salt"]).withColumn("side", F.lit(0))
+    columns = salted(placed).withColumnRenamed("cell", "over").join(merge(meet), ["leader", "band", "over", "salt"]).withColumn("side", F.lit(1))
+    names = ["leader", "band", "cell", "over", "rows", "columns", "side", "rep", "root", "far", "open"]
+    full = rows.select(names).unionByName(columns.select(names)).join(merge(sets.select("rep", "tokens")), "rep")
+    # the side's own block, and every block of the other side
+    own = lambda n: F.pmod(F.xxhash64("rep", F.lit(1)), F.col(n))
+    i = F.when(F.col("side") == 0, F.array(own("rows"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1))
+    j = F.when(F.col("side") == 1, F.array(own("columns"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("columns") - 1))
+    dealt = full.select("*", F.explode(i).alias("i")).select("*", F.explode(j).alias("j"))
+    return compare_across(dealt.select(*ACROSS, "side", "rep", "root", "far", "open", "tokens"), percent)
 
 
 def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, key: str | None = None) -> DataFrame:
@@ -436,7 +474,7 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
     most = F.pow(F.lit(1 / (percent / 100 - 1e-4)), F.col("band") + 1) * 8
     fits = F.greatest(F.lit(2), F.least(F.lit(BLOCK_SETS), F.floor(BLOCK_BYTES / most)))
     sized = joined_back(groups, ["leader", "band"], "rep", {"p": F.count("*")}, {"c": F.sum("p")})
-    groups = materialize(sized.select("leader", "band", "rep", F.ceil(F.col("c") / fits).alias("nb")), "sized")
+    groups = materialize(sized.select("leader", "band", "rep", F.ceil(F.col("c") / fits).alias("nb"), fits.alias("fits")), "sized")
     small = groups.where("nb = 1").join(merge(distinct.select("rep", "n", "prefix")), "rep").select("leader", "band", "rep", "n", "prefix")
     parts = materialize(survivors(small, percent), "parts")
     big = groups.where("nb > 1")

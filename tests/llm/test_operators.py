@@ -85,6 +85,23 @@ def test_jaccard_with_hot_lists_and_many_blocks(spark, docs, texts, monkeypatch,
     assert sorted(zip(got.doc_id, got.n_shingles, got.component_id, strict=True)) == want
 
 
+def test_jaccard_copies_meet_every_pair_that_may_link(spark):
+    """Routes of a big group: each pair of an open member and one within reach has one block, and no member goes to a block beyond."""
+    rng = random.Random(8)
+    members = [(1, 0, k, 4.0, k % 7 if k % 3 == 0 else 1000, k % 3 == 0, rng.random()) for k in range(60)]
+    df = spark.createDataFrame(members, "leader long, band int, rep long, fits double, root long, open boolean, far double")
+    placed, meet = jaccard.routes(df, 0.15)
+    cell = {r.rep: r.cell for r in placed.collect()}
+    ways = {(r.cell, r.over): (r.rows, r.columns) for r in meet.collect()}
+    for a in members:
+        for b in members:
+            if a[5] and abs(a[6] - b[6]) <= 0.15:
+                assert (cell[a[2]], cell[b[2]]) in ways
+    for (x, y), (n, m) in ways.items():
+        assert abs(x - y) <= 1
+        assert n == -(-sum(a[5] and cell[a[2]] == x for a in members) // 4) and m == -(-sum(cell[a[2]] == y for a in members) // 4)
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(100, 99), (99, 98), (7, 7)], "a long, b long")
     got = dict(map(tuple, graph.components(edges).collect()))
@@ -107,6 +124,25 @@ def test_decontamination_matches_plain(spark, docs, texts):
     assert decontaminate.decontaminate(docs, bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_block_finds_phrases_by_its_own_terms():
+    rng = np.random.default_rng(3)
+    for trial in range(60):
+        h = rng.integers(0, 12, rng.integers(0, 40)).astype(np.uint64) * np.uint64(7)
+        bounds = np.append(np.sort(rng.integers(0, len(h) + 1, 5)), len(h))
+        bounds[0] = 0
+        first, words, _ = decontaminate.windows(h, bounds, 3)
+        doc = rng.integers(0, 14, 30).astype(np.uint64) * np.uint64(7)
+        order = np.argsort(doc, kind="stable")
+        terms, heads = np.unique(doc[order], return_index=True)
+        b = decontaminate.Block({"doc_ids": None, "bounds": np.array([0, 31]), "terms": terms.view(np.int64), "heads": np.append(heads, 30), "postings": order})
+        wanted = decontaminate.Phrases(h, first, words)
+        held, codes, lists = b.held(wanted)
+        assert held.tolist() == [p for p in range(len(first)) if words[p] and set(h[first[p] : first[p] + words[p]]) <= set(doc)]
+        assert (b.terms[lists] == wanted.terms[codes]).all()
+        want = [(p, k) for p in range(len(first)) for k in range(31 - words[p]) if words[p] and (doc[k : k + words[p]] == h[first[p] : first[p] + words[p]]).all()]
+        assert sorted(zip(*(x.tolist() for x in b.phrases(wanted)), strict=True)) == want
+
+
 def test_proximity(spark):
     d = spark.createDataFrame([(1, "a b x c d", None, None, None), (2, "c z z z z b a", None, None, None), (3, "b c a", None, None, None)], DOCS)
     items = spark.createDataFrame([(9, "a b c")], "item_id long, text string")
