@@ -296,6 +296,22 @@ def free_support_barycentre(clouds: list[np.ndarray], weights: np.ndarray, start
     return x, False
 
 
+def free_support_barycentres(clouds: DataFrame, rounds: int = 100) -> DataFrame:
+    """(group, place, point, settled): the equally weighted free-support barycentre of the items of each group, in a task of its own.
+
+    clouds: (group, item, key, v); items of a group have equally many rows, the first item's are the start.
+    """
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = [np.stack([np.asarray(v, float) for v in g.sort_values("key")["v"]]) for _, g in pdf.groupby("item", sort=True)]
+        if len({len(c) for c in own}) > 1:
+            raise ContractError(f"items of {pdf['group'].iloc[0]} differ in rows")
+        x, settled = free_support_barycentre(own, np.full(len(own), 1 / len(own)), rounds=rounds)
+        return pd.DataFrame({"group": pdf["group"].iloc[0], "place": range(len(x)), "point": list(x), "settled": settled})
+
+    return clouds.groupBy("group").applyInPandas(solve, f"group {clouds.schema['group'].dataType.simpleString()}, place int, point array<double>, settled boolean")
+
+
 def centroid_field(centroids: DataFrame) -> DataFrame:
     """Simplex least squares of each centroid (item, v) on the others: an MMD projection with the linear kernel."""
     from lodestrata.operators.distances import pair_means

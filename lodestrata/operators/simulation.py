@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import itertools
+import zlib
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.sources.contracts import none, require
+
 
 def natural_residual(x: np.ndarray, field: np.ndarray) -> float:
     """Largest violation of x >= 0, F >= 0, x F = 0."""
@@ -56,10 +58,15 @@ def van_der_corput(n: int, base: int) -> np.ndarray:
 
 def economy(firms: int, activities: int, seed: int = 0, curvature: float = 1.0, interaction: float = 0.3) -> dict[str, np.ndarray]:
     """Sites on a low-discrepancy grid, opportunity levels and a strongly monotone interaction over firm x activity intensities."""
+    return economy_of(1 + np.random.default_rng(seed).random((firms, activities)), curvature, interaction)
+
+
+def economy_of(level: np.ndarray, curvature: float = 1.0, interaction: float = 0.3) -> dict[str, np.ndarray]:
+    """An economy with given opportunity levels, firm x activity."""
+    activities = level.shape[1]
     sites = np.stack([van_der_corput(activities, 2), van_der_corput(activities, 3)], axis=1)
     d = np.sqrt(((sites[:, None] - sites[None]) ** 2).sum(axis=2))
     kernel = np.exp(-d)
-    level = 1 + np.random.default_rng(seed).random((firms, activities))
     return {"sites": sites, "kernel": kernel / np.linalg.eigvalsh(kernel).max(), "level": level, "curvature": np.array(curvature), "interaction": np.array(interaction)}
 
 
@@ -185,26 +192,58 @@ def reported_law(activities: DataFrame) -> DataFrame:
     return met.select("firm", F.col("activity").alias("atom"), F.explode(F.array(F.lit(1), F.lit(-1))).alias("sign"), (F.col("p") / 2).alias("mass"))
 
 
-def histories(spark: SparkSession, size: float = 1.0, dates: int = 4, floor: float = -1e9) -> DataFrame:
-    """(history, date, news, level): all sign patterns of dated news and their running sums; leaving the domain is an error."""
-    rows = []
-    for h, signs in enumerate(itertools.product((-1.0, 1.0), repeat=dates)):
-        level = np.cumsum(signs) * size
-        if level.min() < floor:
-            raise ValueError(f"history {h} leaves the domain")
-        rows += [(h, t, float(s * size), float(x)) for t, (s, x) in enumerate(zip(signs, level, strict=True))]
-    return spark.createDataFrame(rows, "history int, date int, news double, level double")
+def histories(markets: DataFrame, dates: int = 4, floor: float = -1e9) -> DataFrame:
+    """(market, history, date, news, level): all sign patterns of dated news of each market's size (market, size), and their running
+    sums; leaving the domain is an error.
+    """
+    signed = markets.select("market", "size", F.explode(F.sequence(F.lit(0), F.lit((1 << dates) - 1))).alias("history"))
+    news = F.expr(f"transform(sequence(0, {dates - 1}), d -> if(shiftright(history, {dates - 1} - d) % 2 = 1, 1.0D, -1.0D) * size)")
+    dated = signed.select("market", "history", news.alias("all"), F.posexplode(news).alias("date", "news"))
+    out = dated.select("market", "history", "date", "news", F.aggregate(F.slice("all", 1, F.col("date") + 1), F.lit(0.0), lambda a, x: a + x).alias("level"))
+    return require(out, inside=none(F.col("level") < floor))
+
+
+def _grid(pdf: pd.DataFrame) -> tuple[list, list, np.ndarray]:
+    """Firms, activities and levels of one economy; a cell without a row has no opportunity."""
+    wide = pdf.pivot(index="firm", columns="activity", values="level").fillna(0.0).sort_index().sort_index(axis=1)
+    return list(wide.index), list(wide.columns), wide.to_numpy(float)
+
+
+def _kinds(levels: DataFrame) -> dict[str, str]:
+    return {c: levels.schema[c].dataType.simpleString() for c in ("economy", "firm", "activity")}
 
 
-def simulate(spark: SparkSession, paths: int, periods: int, firms: int = 3, activities: int = 4, seed: int = 0) -> DataFrame:
-    """(path, period, firm, activity, intensity): each path in a task of its own, seeded by its number."""
+def simulate(levels: DataFrame, periods: int, spread: float = 0.1, seed: int = 0, interaction: float = 0.3) -> DataFrame:
+    """(economy, period, firm, activity, intensity): the path of each economy (economy, firm, activity, level) in a task of its own.
+
+    Innovations are seeded by the economy's name, so a lost task gives the same path again.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        firms, activities, level = _grid(pdf)
+        name = pdf["economy"].iloc[0]
+        z = np.random.default_rng([seed, zlib.crc32(str(name).encode())]).normal(size=(periods, *level.shape))
+        q = path(economy_of(level, interaction=interaction), z, spread=spread)
+        t, f, a = (x.ravel() for x in np.indices(q.shape))
+        return pd.DataFrame({"economy": name, "period": t, "firm": [firms[i] for i in f], "activity": [activities[i] for i in a], "intensity": q.ravel()})
+
+    kind = _kinds(levels)
+    return levels.groupBy("economy").applyInPandas(run, f"economy {kind['economy']}, period int, firm {kind['firm']}, activity {kind['activity']}, intensity double")
+
+
+def responses(levels: DataFrame, periods: int, interaction: float = 0.3) -> DataFrame:
+    """(economy, firm, intensity, response, staged, residual) after some periods without news, each economy in a task of its own.
+
+    response: the derivative of a firm's value as all opportunity rises alike; staged: firms that stage their moves and commit
+    together come to the same intensities.
+    """
 
-    def run(batches):
-        e = economy(firms, activities, seed)
-        for pdf in batches:
-            for p in pdf["path"]:
-                q = path(e, np.random.default_rng([seed, int(p)]).normal(size=(periods, firms, activities)))
-                t, f, a = (x.ravel() for x in np.indices(q.shape))
-                yield pd.DataFrame({"path": int(p), "period": t, "firm": f, "activity": a, "intensity": q.ravel()})
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        firms, _, level = _grid(pdf)
+        e, still = economy_of(level, interaction=interaction), np.zeros((periods, *level.shape))
+        q = path(e, still)
+        _, slopes, left = local_model(e, q[-1], np.ones((1, *level.shape)))
+        return pd.DataFrame({"economy": pdf["economy"].iloc[0], "firm": firms, "intensity": q[-1].sum(axis=1), "response": slopes[0], "staged": bool((lifecycle(e, still) == q).all()), "residual": left})
 
-    return spark.range(paths).select(F.col("id").alias("path")).repartition(max(1, min(paths, 200)), "path").mapInPandas(run, "path long, period int, firm int, activity int, intensity double")
+    kind = _kinds(levels)
+    return levels.groupBy("economy").applyInPandas(run, f"economy {kind['economy']}, firm {kind['firm']}, intensity double, response double, staged boolean, residual double")

@@ -122,6 +122,23 @@ def sar_gmm(weights: np.ndarray) -> None:
     raise ValueError(f"instruments have rank {rank} of 3: rho is not identified for a row-stochastic W")
 
 
+def instrument_moments(weights: DataFrame) -> DataFrame:
+    """One row of sums of products of the instruments 1, W1 and WW1 of a field (target, candidate, weight), without its matrix.
+
+    For a row-stochastic field all three are the constant, so the moments have rank one: `instrument_rank`.
+    """
+    first = weights.groupBy("target").agg(F.sum("weight").alias("a"))
+    met = weights.join(first.toDF("candidate", "x"), "candidate")
+    both = first.join(met.groupBy("target").agg(F.sum(F.col("weight") * F.col("x")).alias("b")), "target")
+    total = lambda x, y, n: F.sum(F.col(x) * F.col(y)).alias(n)
+    return both.agg(F.count("*").alias("n"), F.sum("a").alias("a"), F.sum("b").alias("b"), total("a", "a", "aa"), total("a", "b", "ab"), total("b", "b", "bb"))
+
+
+def instrument_rank(m) -> int:
+    """The rank of a row of instrument_moments."""
+    return int(np.linalg.matrix_rank(np.array([[m["n"], m["a"], m["b"]], [m["a"], m["aa"], m["ab"]], [m["b"], m["ab"], m["bb"]]], float) / max(m["n"], 1), tol=1e-8))
+
+
 def factor_residuals(panel: DataFrame, factors: list[str], value: str = "excess", ticker: str = "ticker") -> tuple[DataFrame, DataFrame]:
     """Residuals of each asset's regression on an intercept and factors, and (ticker, coefficients).
 

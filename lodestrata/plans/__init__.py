@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from lodestrata.plans import audits, clouds, draws, files, fits, inference, networks, panels, portfolios
+from lodestrata.plans import audits, clouds, draws, files, fits, formations, inference, networks, panels, portfolios
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-for _m in (panels, networks, clouds, portfolios, inference, files, fits, draws, audits):
+for _m in (panels, networks, clouds, portfolios, inference, files, fits, draws, audits, formations):
     QUERIES |= _m.QUERIES
     ORACLE_SQL |= _m.ORACLE_SQL
 

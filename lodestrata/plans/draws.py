@@ -10,12 +10,14 @@ from lodestrata.operators import distances as D
 from lodestrata.operators import fields
 from lodestrata.operators import portfolios as P
 from lodestrata.operators import resampling as S
+from lodestrata.operators import simulation
 from lodestrata.operators import spatial as X
 from lodestrata.operators import studies
 from lodestrata.plans.clouds import R as CLOUDS
 from lodestrata.plans.clouds import clouds, group_daily, rbf
 from lodestrata.plans.fits import R as FITS
 from lodestrata.plans.fits import equal_field, roster_of
+from lodestrata.plans.inference import segment_levels
 from lodestrata.plans.register import Registry, rounded
 from lodestrata.sources.tables import table
 
@@ -43,20 +45,27 @@ def dyad_draw_weights(spark, sf_dir):
     return want.join(got, "draw_id", "left").select(F.col("draw_id").alias("draw"), (F.coalesce("w", F.lit(0.0)) == F.col("v")).alias("whole"))
 
 
-@R.query("SELECT k AS draw, 40::BIGINT AS positions, true AS inside, true AS blocks FROM range(100) t(k)")
+def calendar(spark, sf_dir) -> int:
+    """The number of dates with events."""
+    return table(spark, sf_dir, "events").select(F.to_date("ts")).distinct().count()
+
+
+@R.query("SELECT k AS draw, (SELECT count(DISTINCT CAST(ts AS DATE)) FROM events) AS positions, true AS inside, true AS blocks FROM range(100) t(k)")
 def stationary_paths(spark, sf_dir):
-    """Stationary paths: every position once, sources inside the sample, and blocks that go on by one between fresh starts."""
+    """Stationary paths over the calendar: every position once, sources inside the sample, and blocks that go on by one between fresh starts."""
     from pyspark.sql import Window
 
-    t = S.index_table(spark, 40, 100, 5, 9).withColumn("before", F.lag("source").over(Window.partitionBy("draw").orderBy("position")))
-    on = F.sum(F.when(F.col("source") == (F.col("before") + 1) % 40, 1).otherwise(0))
-    return t.groupBy("draw").agg(F.count_distinct("position").alias("positions"), ((F.min("source") >= 0) & (F.max("source") < 40)).alias("inside"), (on >= 20).alias("blocks"))
+    n = calendar(spark, sf_dir)
+    t = S.index_table(spark, n, 100, 5, 9).withColumn("before", F.lag("source").over(Window.partitionBy("draw").orderBy("position")))
+    on = F.sum(F.when(F.col("source") == (F.col("before") + 1) % n, 1).otherwise(0))
+    return t.groupBy("draw").agg(F.count_distinct("position").alias("positions"), ((F.min("source") >= 0) & (F.max("source") < n)).alias("inside"), (on >= n // 2).alias("blocks"))
 
 
-@R.query("SELECT s AS sample, k AS draw, n AS positions FROM (VALUES ('calibration', 30::BIGINT), ('evaluation', 20::BIGINT)) v(s, n), range(25) t(k)")
+@R.query("WITH n AS (SELECT count(DISTINCT CAST(ts AS DATE)) AS n FROM events) SELECT s AS sample, k AS draw, CASE s WHEN 'calibration' THEN n - n // 3 ELSE n // 3 END AS positions FROM (VALUES ('calibration'), ('evaluation')) v(s), range(25) t(k), n")
 def paired_refit_schedules(spark, sf_dir):
-    """Two samples' schedules with the same draws."""
-    a, b = S.paired_schedules(spark, 30, 20, 25, 4, 3)
+    """Schedules with the same draws for two thirds of the calendar and for the rest."""
+    n = calendar(spark, sf_dir)
+    a, b = S.paired_schedules(spark, n - n // 3, n // 3, 25, 4, 3)
     one = lambda t, n: t.groupBy("draw").agg(F.count_distinct("position").alias("positions")).select(F.lit(n).alias("sample"), "draw", "positions")
     return one(a, "calibration").unionByName(one(b, "evaluation"))
 
@@ -110,12 +119,10 @@ def random_basket_sizes(spark, sf_dir):
     return fields.random_baskets(w, 20, 7).where("target <> candidate").groupBy("draw", "target").agg(F.count_distinct("candidate").alias("n"), (F.abs(F.sum("weight") - 1) < 1e-9).alias("whole"))
 
 
-@R.query("SELECT CAST(p AS BIGINT) AS path, CAST(t AS INTEGER) AS period, 12::BIGINT AS cells, true AS fine FROM range(8) a(p), range(3) b(t)")
+@R.query("SELECT c_mktsegment AS economy, CAST(t AS INTEGER) AS period, count(DISTINCT n_regionkey) * count(DISTINCT n_nationkey % 4) AS cells, true AS fine FROM customer JOIN nation ON c_nationkey = n_nationkey, range(3) b(t) GROUP BY 1, 2")
 def simulated_path_cells(spark, sf_dir):
-    """Every period of every path has an intensity of each firm and activity, none negative."""
-    from lodestrata.operators import simulation
-
-    return simulation.simulate(spark, 8, 3).groupBy("path", "period").agg(F.count("*").alias("cells"), (F.min("intensity") >= 0).alias("fine"))
+    """Every period of every economy has an intensity of each firm and activity, none negative."""
+    return simulation.simulate(segment_levels(spark, sf_dir), 3).groupBy("economy", "period").agg(F.count("*").alias("cells"), (F.min("intensity") >= 0).alias("fine"))
 
 
 @R.query("SELECT CAST(k AS BIGINT) AS draw, o AS operator, true AS fine FROM range(12) t(k), (VALUES ('equal'), ('none')) v(o) UNION ALL SELECT -1, 'test', true")
@@ -153,11 +160,12 @@ def vintage_archive(spark, sf_dir):
     return rounded(studies.vintage_distances(c, [dt.date(2030, 1, 1)], 4), "value")
 
 
-@R.query("WITH a AS (SELECT label % 4 AS firm, 1 + vec_id % 2 AS year, avg(embedding[1]) AS x FROM embeddings GROUP BY 1, 2) SELECT CAST(a.year AS BIGINT) AS year, CAST(a.firm AS INTEGER) AS target, CAST(b.firm AS INTEGER) AS reference, [[abs(a.x - b.x)]] AS value FROM a JOIN a b ON b.year = 1 AND a.firm <> b.firm")
+@R.query("WITH c AS (SELECT label % 4 AS firm, 1 + vec_id % 2 AS year, k, avg(CAST(embedding[k] AS DOUBLE)) AS x FROM embeddings, range(1, 1 + (SELECT max(len(embedding)) FROM embeddings)) t(k) GROUP BY 1, 2, 3), a AS (SELECT firm, year, list(x ORDER BY k) AS x FROM c GROUP BY 1, 2) SELECT CAST(a.year AS BIGINT) AS year, CAST(a.firm AS INTEGER) AS target, CAST(b.firm AS INTEGER) AS reference, [[list_distance(a.x, b.x)]] AS value FROM a JOIN a b ON b.year = 1 AND a.firm <> b.firm")
 def directed_origin_distances(spark, sf_dir):
-    """Laws of one atom each, whose distances to the origin year's laws are those of the atoms."""
-    e = table(spark, sf_dir, "embeddings").groupBy((F.col("label") % 4).cast("int").alias("firm"), (1 + F.col("vec_id") % 2).cast("long").alias("year")).agg(F.avg(F.col("embedding")[0].cast("double")).alias("x"))
-    laws = e.select("firm", "year", F.lit(0).alias("atom"), F.array("x").alias("v"), F.lit(1.0).alias("mass"))
+    """Laws of one atom each, a mean vector, whose distances to the origin year's laws are those of the atoms."""
+    e = table(spark, sf_dir, "embeddings").select((F.col("label") % 4).cast("int").alias("firm"), (1 + F.col("vec_id") % 2).cast("long").alias("year"), F.posexplode("embedding").alias("k", "x"))
+    mean = e.groupBy("firm", "year", "k").agg(F.avg(F.col("x").cast("double")).alias("x")).groupBy("firm", "year").agg(F.array_sort(F.collect_list(F.struct("k", "x"))).alias("c"))
+    laws = mean.select("firm", "year", F.lit(0).alias("atom"), F.transform("c", lambda s: s["x"]).alias("v"), F.lit(1.0).alias("mass"))
     return rounded(studies.directed_distances(laws, 1), "value")
 
 

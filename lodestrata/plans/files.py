@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ from lodestrata.plans.register import Registry, fresh, rounded, stored
 from lodestrata.sources import contracts as C
 from lodestrata.sources import factors, sinks
 from lodestrata.sources import tables as T
-from lodestrata.sources.documents import table_digest
+from lodestrata.sources.documents import DistanceSpec, check_inputs, check_manifest, file_digests, parameters, put_text, table_digest, typed, write_manifest
 from lodestrata.sources.tables import table
 
 R = Registry(
@@ -129,11 +130,12 @@ def crosswalk_rows(spark, sf_dir):
     return T.crosswalk(spark, keys, T.universe(spark, path)).select("ticker", "cik", "gvkey", "Sector")
 
 
-@R.query("SELECT n_name AS key, n_nationkey * 1.5 AS value FROM nation")
+@R.query("SELECT CAST(c_custkey AS VARCHAR) AS key, c_nationkey * 1.5::DOUBLE AS value FROM customer")
 def json_number_map(spark, sf_dir):
+    """Sixteen files of one object each."""
     path = fresh(spark, "numbers")
-    n = table(spark, sf_dir, "nation").select(F.struct("n_name", (F.col("n_nationkey") * F.lit(1.5)).alias("v")).alias("e"))
-    n.agg(F.to_json(F.map_from_entries(F.collect_list("e"))).alias("value")).coalesce(1).write.text(path)
+    n = table(spark, sf_dir, "customer").select((F.col("c_custkey") % 16).alias("part"), F.struct(F.col("c_custkey").cast("string").alias("k"), (F.col("c_nationkey") * F.lit(1.5)).alias("v")).alias("e"))
+    n.groupBy("part").agg(F.to_json(F.map_from_entries(F.collect_list("e"))).alias("value")).write.partitionBy("part").text(path)
     return T.json_numbers(spark, path)
 
 
@@ -147,10 +149,13 @@ def telemetry_scan(spark, sf_dir):
 
 
 def csr(spark, sf_dir) -> DataFrame:
+    """A matrix of two entries a row, written in blocks of four rows."""
     n = table(spark, sf_dir, "nation")
     row = F.array(F.struct(F.col("n_regionkey").cast("int").alias("i"), F.lit(1.0).alias("x")), F.struct((5 + F.col("n_nationkey") % 3).cast("int").alias("i"), (F.col("n_nationkey") + 1.0).alias("x")))
-    packed = n.agg(F.array_sort(F.collect_list(F.struct("n_nationkey", row.alias("e")))).alias("r")).select(F.flatten(F.transform("r", lambda s: s["e"])).alias("e"), F.size("r").alias("n"))
-    return T.sparse_rows(spark, stored(packed.select(F.transform(F.sequence(F.lit(0), F.col("n")), lambda k: k * 2).alias("indptr"), F.transform("e", lambda s: s["i"]).alias("indices"), F.transform("e", lambda s: s["x"]).alias("data")), "csr"))
+    packed = n.groupBy(F.floor(F.col("n_nationkey") / 4).alias("block")).agg(F.array_sort(F.collect_list(F.struct("n_nationkey", row.alias("e")))).alias("r"))
+    flat = packed.select("block", F.flatten(F.transform("r", lambda s: s["e"])).alias("e"), F.size("r").alias("n"))
+    blocks = flat.select((F.col("block") * 4).alias("start"), F.transform(F.sequence(F.lit(0), F.col("n")), lambda k: k * 2).alias("indptr"), F.transform("e", lambda s: s["i"]).alias("indices"), F.transform("e", lambda s: s["x"]).alias("data"))
+    return T.sparse_rows(spark, stored(blocks, "csr"))
 
 
 @R.query("SELECT CAST(row AS INTEGER) AS row, CAST(place AS INTEGER) AS place, value FROM csr")
@@ -189,11 +194,46 @@ def written_tables(spark, sf_dir):
     """Tables of one artifact, and whether the digest of what was written is that of what was given."""
     path = fresh(spark, "artifact")
     given = {n: table(spark, sf_dir, n) for n in ("nation", "region", "supplier")}
-    digests = sinks.write_tables(path.removeprefix("file://"), given)
+    digests = sinks.write_tables(path, given, {"tables": len(given)})
     rows = [(n, spark.read.parquet(f"{path}/{n}").count(), digests[n] == table_digest(df.repartition(3), df.columns)) for n, df in given.items()]
     return spark.createDataFrame(rows, "name string, rows long, same boolean")
 
 
+@R.query("SELECT t AS name, true AS whole, 1::BIGINT AS changed, n AS rows, true AS refused FROM (SELECT 'customer' AS t, count(*) AS n FROM customer UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'supplier', count(*) FROM supplier)")
+def manifest_checks(spark, sf_dir):
+    """Manifests of written tables: all files as listed, one file whose digest was changed, and one entry that leaves the folder."""
+    root, out = fresh(spark, "manifests"), []
+    for name in ("customer", "orders", "supplier"):
+        df, folder = table(spark, sf_dir, name), f"{root}/{name}"
+        df.write.parquet(f"{folder}/table")
+        files = file_digests(spark, f"{folder}/table")
+        write_manifest(f"{folder}/manifest.json", {"schema_version": 1, "artifact_id": name, "kind": "table", "created_by": "query", "inputs": [], "parameters": {}, "rows": df.count(), "columns": df.columns, "files": files, "sha256": table_digest(df, df.columns), "identity": name, "status": "complete"})
+        held = parameters(f"{folder}/manifest.json")
+        first = min(held["files"])
+        whole = check_inputs(spark, f"{folder}/table", held).agg(F.bool_and("ok")).first()[0]
+        changed = check_inputs(spark, f"{folder}/table", held | {"files": held["files"] | {first: "0" * 64}}).where("not ok").count()
+        try:
+            check_manifest(held | {"files": {"../x": "0" * 64}})
+            refused = False
+        except C.ContractError:
+            refused = True
+        out.append((name, whole, changed, held["rows"], refused))
+    return spark.createDataFrame(out, "name string, whole boolean, changed long, rows long, refused boolean")
+
+
+@R.query("SELECT 'energy' AS distance, item_i, item_j, [[value]] AS value FROM nrg UNION ALL SELECT 'linear', c.item_i, c.item_j, [[CASE WHEN c.item_i = c.item_j THEN 0.0 ELSE a.mean + b.mean - 2 * c.mean END]] FROM lin c JOIN lin a ON a.item_i = c.item_i AND a.item_j = c.item_i JOIN lin b ON b.item_i = c.item_j AND b.item_j = c.item_j")
+def declared_distances(spark, sf_dir):
+    """Distances that a parameter document declares, read back as checked records."""
+    path = f"{fresh(spark, 'parameters')}/distances.json"
+    put_text(path, json.dumps({"distances": [{"distance_id": "energy", "family": "energy"}, {"distance_id": "linear", "family": "mmd", "kernel": "linear"}]}))
+    c, out = clouds(spark, sf_dir), None
+    for entry in parameters(path)["distances"]:
+        spec = typed(DistanceSpec, entry)
+        d = (D.energy(c) if spec.family == "energy" else D.mmd(c, spec.kernel)).select(F.lit(spec.distance_id).alias("distance"), "item_i", "item_j", "value")
+        out = d if out is None else out.unionByName(d)
+    return rounded(out, "value")
+
+
 @R.query("SELECT n_regionkey AS history, n_nationkey AS outer_draw FROM nation WHERE n_nationkey % 3 <> 0")
 def checkpoint_pending(spark, sf_dir):
     """Tasks that a checkpoint table does not hold yet."""
@@ -251,13 +291,12 @@ def distance_by_family(spark, sf_dir):
     return rounded(D.distance(clouds(spark, sf_dir), "energy"), "value")
 
 
-@R.query("SELECT a.key AS i, b.key AS j, [[list_distance(a.v, b.v)]] AS euclidean FROM u a, u b WHERE a.key % 100 = 0 AND b.key % 100 = 0")
+@R.query("SELECT a.key AS i, b.key AS j, [[list_distance(a.v, b.v)]] AS euclidean FROM u a, u b WHERE a.key % 100 = 0")
 def sql_functions(spark, sf_dir):
-    """The vector expressions as SQL functions of the session."""
+    """The vector expressions as SQL functions of the session: the query set of ids divisible by 100 against all rows."""
     A.register(spark)
-    c = clouds(spark, sf_dir).where("key % 100 = 0")
-    c.createOrReplaceTempView("lodestrata_vectors")
-    return rounded(spark.sql("SELECT a.key AS i, b.key AS j, vector_euclidean(a.v, b.v) AS euclidean FROM lodestrata_vectors a CROSS JOIN lodestrata_vectors b"), "euclidean")
+    clouds(spark, sf_dir).createOrReplaceTempView("lodestrata_vectors")
+    return rounded(spark.sql("SELECT a.key AS i, b.key AS j, vector_euclidean(a.v, b.v) AS euclidean FROM lodestrata_vectors a JOIN lodestrata_vectors b ON a.key % 100 = 0"), "euclidean")
 
 
 @R.query("SELECT DISTINCT c_nationkey AS gvkey1 FROM customer JOIN orders ON o_custkey = c_custkey")

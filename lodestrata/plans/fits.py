@@ -295,14 +295,17 @@ def endpoint_effects(spark, sf_dir):
     return rounded(spark.createDataFrame([(fit["beta"]["x"], fit["nodes"])], "beta double, nodes long"), "beta")
 
 
-@R.query("SELECT n_regionkey AS region, [[0.05 ** (1.0 / count(*))]] AS share_lower, [[avg(n_nationkey) FILTER (r <= 3) - 0.9 / sqrt(2 * 0.95 * 0.05) * stddev_samp(n_nationkey) FILTER (r <= 3) / sqrt(3)]] AS mean_lower FROM (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS r FROM nation) GROUP BY 1")
+@R.query("SELECT n_regionkey AS region, [[0.05 ** (1.0 / count(*))]] AS share_lower, [[CASE WHEN count(*) = 5 THEN avg(n_nationkey) - 2 * sqrt(cos(acos(sqrt(0.19)) / 3) / sqrt(0.19) - 1) * stddev_samp(n_nationkey) / sqrt(5) END]] AS mean_lower FROM nation GROUP BY 1")
 def one_sided_bounds(spark, sf_dir):
-    """Exact lower bounds: of a share with all successes, and of a mean of three, whose quantiles have closed forms."""
-    by: dict[int, list[int]] = {}
-    for r in table(spark, sf_dir, "nation").orderBy("n_nationkey").collect():
-        by.setdefault(r["n_regionkey"], []).append(r["n_nationkey"])
-    rows = [(k, G.clopper_pearson_lower(len(v), len(v), 0.95), G.mean_lower_bound(3, float(np.mean(v[:3])), float(np.std(v[:3], ddof=1)), 0.95)) for k, v in by.items()]
-    return rounded(spark.createDataFrame(rows, "region int, share_lower double, mean_lower double"), "share_lower", "mean_lower")
+    """Exact lower bounds by region: of a share with all successes, and of a mean of five, whose quantile has a closed form."""
+    x = table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("region")).agg(F.count("*").alias("n"), F.avg("n_nationkey").alias("mean"), F.stddev_samp("n_nationkey").alias("sd"))
+
+    def bounds(batches):
+        for pdf in batches:
+            share = [G.clopper_pearson_lower(int(n), int(n), 0.95) for n in pdf["n"]]
+            yield pdf.assign(share_lower=share, mean_lower=[G.mean_lower_bound(int(n), m, s, 0.95) for n, m, s in zip(pdf["n"], pdf["mean"], pdf["sd"], strict=True)])[["region", "share_lower", "mean_lower"]]
+
+    return rounded(x.mapInPandas(bounds, f"region {x.schema['region'].dataType.simpleString()}, share_lower double, mean_lower double"), "share_lower", "mean_lower")
 
 
 @R.query("WITH d AS (SELECT n_nationkey AS draw_id, c_mktsegment AS cell_id, avg(c_acctbal) AS value, count(*) % 4 <> 0 AS ok FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2) SELECT a.draw_id, [[a.value - b.value]] AS difference FROM d a JOIN d b USING (draw_id) WHERE a.cell_id = 'BUILDING' AND b.cell_id = 'MACHINERY' AND a.ok AND b.ok")
@@ -405,25 +408,25 @@ def reported_laws(spark, sf_dir):
     return rounded(S.reported_law(n), "mass")
 
 
-@R.query("WITH h AS (SELECT h, d, CASE WHEN (h >> (3 - d)) & 1 = 1 THEN 1.0 ELSE -1.0 END AS s FROM range(16) a(h), range(4) b(d)) SELECT CAST(h AS INTEGER) AS history, CAST(d AS INTEGER) AS date, s::DOUBLE AS news, sum(s) OVER (PARTITION BY h ORDER BY d)::DOUBLE AS level FROM h")
+@R.query("WITH h AS (SELECT c_custkey AS market, h, d, CASE WHEN (h >> (3 - d)) & 1 = 1 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END * c_acctbal / 1e3 AS s FROM customer, range(16) a(h), range(4) b(d)) SELECT market, CAST(h AS INTEGER) AS history, CAST(d AS INTEGER) AS date, [[s]] AS news, [[sum(s) OVER (PARTITION BY market, h ORDER BY d)]] AS level FROM h")
 def news_histories(spark, sf_dir):
-    return S.histories(spark)
+    """Every history of four dates of news, of the size of each customer's balance."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("market"), (F.col("c_acctbal") / 1e3).alias("size"))
+    return rounded(S.histories(c), "news", "level")
 
 
-@R.query("SELECT true AS lifecycle, true AS responses, true AS solved")
+@R.query("""
+WITH c AS (SELECT n_regionkey AS economy, n_nationkey AS firm, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2), l AS (SELECT economy, firm, 1 + 0.2 * n / max(n) OVER (PARTITION BY economy) AS l, count(*) OVER (PARTITION BY economy) AS f FROM c),
+a AS (SELECT *, (l - 0.3 * sum(l) OVER (PARTITION BY economy) / (1.5 + 0.3 * f)) / 1.5 AS q FROM l), b AS (SELECT *, (l + 0.5 * q - 0.3 * (sum(l + 0.5 * q) OVER (PARTITION BY economy)) / (1.5 + 0.3 * f)) / 1.5 AS z FROM a), t AS (SELECT *, sum(z) OVER (PARTITION BY economy) AS s FROM b)
+SELECT economy, firm, [[z]] AS intensity, [[z + (l - z - 0.3 * s - 0.3 * z * f) / (1.5 + 0.3 * f)]] AS response, true AS staged, true AS solved FROM t
+""")
 def economy_contracts(spark, sf_dir):
-    """Firms that commit at once follow the path; responses are the derivatives of the values; moves solve their inequality."""
-    e = S.economy(3, 4)
-    shocks = np.random.default_rng(5).normal(size=(3, 3, 4))
-    same = np.abs(S.lifecycle(e, shocks) - S.path(e, shocks)).max() == 0
-    q = S.path(e, shocks)[-1]
-    d = np.random.default_rng(6).normal(size=(2, 3, 4))
-    values, slopes, left = S.local_model(e, q, d)
-    h = 1e-6
-    move = [S.linear_response(e, q, x) for x in d]
-    moved = [S.local_model(e | {"level": e["level"] + h * x}, q + h * m, d)[0] for x, m in zip(d, move, strict=True)]
-    near = np.abs(np.stack([(v - values) / h for v in moved]) - slopes).max() < 1e-4
-    return spark.createDataFrame([(bool(same), bool(near), bool(left < 1e-9))], "lifecycle boolean, responses boolean, solved boolean")
+    """Regions as economies of one activity, nations as firms: two moves and the response after them, in closed form where all are active."""
+    c, n = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
+    size = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_regionkey").alias("economy"), F.col("n_nationkey").alias("firm")).agg(F.count("*").alias("n"))
+    most = size.groupBy("economy").agg(F.max("n").alias("most"))
+    levels = size.join(most, "economy").select("economy", "firm", F.lit(0).alias("activity"), (1 + 0.2 * F.col("n") / F.col("most")).alias("level"))
+    return rounded(S.responses(levels, 2).withColumn("solved", F.col("residual") < 1e-9).drop("residual"), "intensity", "response")
 
 
 @R.query("WITH n AS (SELECT count(DISTINCT t) AS n FROM gd) SELECT [[1.0 / (n - 1)]] AS dobrushin, [[1.0 / n]] AS stationary_max, [[(n - 2) / ((n - 1.0) ** 2)]] AS two_step_min, [[1 / (1 - 0.4)]] AS resolvent_bound FROM n")

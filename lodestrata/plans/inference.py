@@ -252,10 +252,17 @@ def stationary_bootstrap(spark, sf_dir):
     return rounded(S.quantile_band(draws, "mean", ["cell"]), "mean", "low", "high")
 
 
+def segment_levels(spark, sf_dir) -> DataFrame:
+    """Market segments as economies, regions as firms, four kinds of nations as activities: opportunity by mean balance."""
+    c, n = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
+    met = c.join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    return met.groupBy(F.col("c_mktsegment").alias("economy"), F.col("n_regionkey").alias("firm"), (F.col("n_nationkey") % 4).cast("int").alias("activity")).agg((1 + F.avg("c_acctbal") / 1e4).alias("level"))
+
+
 @R.query()
 def simulated_paths(spark, sf_dir):
-    """Intensities of a small economy on eight seeded paths."""
-    return rounded(simulation.simulate(spark, 8, 3), "intensity")
+    """Intensities of an economy for each market segment, under seeded news."""
+    return rounded(simulation.simulate(segment_levels(spark, sf_dir), 3), "intensity")
 
 
 @R.query()

@@ -6,10 +6,11 @@ import dataclasses
 import hashlib
 import json
 import os
-import tempfile
+import uuid
 from pathlib import Path
 from typing import Any
 
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,9 +71,34 @@ class ProjectionSpec:
             raise ContractError("unknown geometry or feasible set")
 
 
+def uri_of(path: str) -> str:
+    """A path with its file system: local where none is named."""
+    if path.startswith("file:"):
+        return "file://" + path.removeprefix("file:").removeprefix("//")
+    return path if "://" in path else Path(path).absolute().as_uri()
+
+
+def get_text(path: str) -> str:
+    fs, at = pafs.FileSystem.from_uri(uri_of(path))
+    with fs.open_input_stream(at) as f:
+        return f.read().decode()
+
+
+def put_text(path: str, text: str) -> None:
+    """text at path, written under another name and renamed: there at once or not at all."""
+    fs, at = pafs.FileSystem.from_uri(uri_of(path))
+    fs.create_dir(at.rpartition("/")[0] or "/", recursive=True)
+    held = f"{at}.{uuid.uuid4().hex}"
+    with fs.open_output_stream(held) as f:
+        f.write(text.encode())
+    if not isinstance(fs, pafs.LocalFileSystem) and fs.get_file_info(at).type != pafs.FileType.NotFound:
+        fs.delete_file(at)
+    fs.move(held, at)
+
+
 def parameters(path: str) -> dict[str, Any]:
-    """A YAML or JSON document."""
-    text = Path(path).read_text()
+    """A YAML or JSON document, of any file system."""
+    text = get_text(path)
     if path.endswith(".json"):
         return json.loads(text)
     import yaml
@@ -83,10 +109,13 @@ def parameters(path: str) -> dict[str, Any]:
 def write_manifest(path: str, manifest: dict[str, Any]) -> None:
     """Checked, with sorted keys, and in place at once or not at all."""
     check_manifest(manifest)
-    folder = os.path.dirname(os.path.abspath(path))
-    with tempfile.NamedTemporaryFile("w", dir=folder, delete=False) as f:
-        json.dump(manifest, f, sort_keys=True, indent=1)
-    os.replace(f.name, path)
+    put_text(path, json.dumps(manifest, sort_keys=True, indent=1))
+
+
+def file_digests(spark: SparkSession, folder: str) -> dict[str, str]:
+    """SHA-256 by name of the files below folder that are not Spark's own marks, hashed where they are read: an artifact's list of files."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("digest"))
+    return {r["name"]: r["digest"] for r in files.where("not name rlike '^[_.]'").collect()}
 
 
 def check_manifest(manifest: dict[str, Any]) -> dict[str, Any]:

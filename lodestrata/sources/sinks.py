@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import json
-import os
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.sources.documents import table_digest, write_manifest
+from lodestrata.sources.documents import put_text, table_digest, write_manifest
 
 __all__ = ["append_json", "pending", "cached", "format_value", "values_latex", "write_coverage", "write_csv", "write_checkpoint", "write_stable", "write_tables", "write_manifest"]
 
@@ -26,9 +25,7 @@ def write_tables(folder: str, tables: dict[str, DataFrame], summary: dict[str, A
         df.write.mode("overwrite").parquet(f"{folder}/{name}")
         digests[name] = table_digest(df.sparkSession.read.parquet(f"{folder}/{name}"), df.columns)
     if summary is not None:
-        os.makedirs(folder, exist_ok=True)
-        with open(f"{folder}/summary.json", "w") as f:
-            json.dump(summary | {"digests": digests}, f, sort_keys=True, indent=1)
+        put_text(f"{folder}/summary.json", json.dumps(summary | {"digests": digests}, sort_keys=True, indent=1))
     return digests
 
 

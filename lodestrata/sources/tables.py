@@ -117,7 +117,7 @@ def crosswalk(spark: SparkSession, path: str, of: DataFrame) -> DataFrame:
 
 
 def json_numbers(spark: SparkSession, path: str) -> DataFrame:
-    """(key, value) of a JSON file with one object of numbers; a value that is not finite is an error."""
+    """(key, value) of JSON files with one object of numbers each, a file a task; a value that is not finite is an error."""
     df = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,double>")).alias("key", "value"))
     return require(df, finite=none(F.col("value").isNull() | F.isnan("value")))
 
@@ -127,13 +127,17 @@ def telemetry(spark: SparkSession, path: str) -> DataFrame:
 
 
 def sparse_rows(spark: SparkSession, path: str) -> DataFrame:
-    """(row, weights map<int,double>) from CSR arrays in Parquet (indptr, indices, data), one row each matrix."""
-    m = spark.read.parquet(path).select("indptr", "indices", "data")
-    rows = m.select(F.posexplode(F.slice("indptr", 1, F.size("indptr") - 1)).alias("row", "lo"), "indptr", "indices", "data")
+    """(row, weights map<int,double>) from CSR arrays in Parquet (indptr, indices, data).
+
+    A matrix may be cut into blocks of rows, each with arrays of its own and `start`, its first row; blocks are then read apart.
+    """
+    m = spark.read.parquet(path)
+    m = m.select("indptr", "indices", "data", (F.col("start") if "start" in m.columns else F.lit(0)).cast("int").alias("start"))
+    rows = m.select(F.posexplode(F.slice("indptr", 1, F.size("indptr") - 1)).alias("row", "lo"), "indptr", "indices", "data", "start")
     hi = F.get("indptr", F.col("row") + 1)
     n = (hi - F.col("lo")).cast("int")
     at = (F.col("lo") + 1).cast("int")
-    return rows.select("row", F.map_from_arrays(F.slice("indices", at, n), F.slice("data", at, n)).alias("weights"))
+    return rows.select((F.col("start") + F.col("row")).alias("row"), F.map_from_arrays(F.slice("indices", at, n), F.slice("data", at, n)).alias("weights"))
 
 
 def cosine_of_sparse(rows: DataFrame) -> DataFrame:
