@@ -34,8 +34,16 @@ def all_finite(x) -> Column:
     return F.forall(_c(x), lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
 
 
+def each(x, number: Column, f) -> Column:
+    """f(element, number) of every element. A number that a lambda captures is worked out again for each element, which for a length is
+    quadratic in the width; as an array of equal numbers it is worked out once for each row.
+    """
+    x = _c(x)
+    return F.zip_with(x, F.array_repeat(number, F.size(x)), f)
+
+
 def scaled(x, factor: Column) -> Column:
-    return F.transform(_c(x), lambda v: v * factor)
+    return each(x, factor, lambda v, k: v * k)
 
 
 def unit(x, name: str = "row") -> Column:
@@ -43,7 +51,7 @@ def unit(x, name: str = "row") -> Column:
     x = doubles(x)
     length = norm(x)
     fine = all_finite(x) & (length > 0)
-    return F.when(fine, F.transform(x, lambda v: v / length)).otherwise(F.raise_error(F.lit(f"{name}: zero or non-finite vector")).cast("array<double>"))
+    return F.when(fine, each(x, length, lambda v, n: v / n)).otherwise(F.raise_error(F.lit(f"{name}: zero or non-finite vector")).cast("array<double>"))
 
 
 def prefix(x, width: int) -> Column:

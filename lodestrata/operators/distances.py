@@ -17,10 +17,13 @@ from pyspark.sql import functions as F
 from lodestrata.functions import arrays as A
 from lodestrata.functions.ranks import top_k
 from lodestrata.operators.transport import balanced_assignment
+from lodestrata.shared import kept
 from lodestrata.sources.contracts import none, require, unique
 
 #: A block of points; smaller where there would be fewer than LEAST_BLOCKS of them, so that a small problem has several tasks.
 BLOCK_BYTES, LEAST_BLOCKS = 1 << 21, 6
+#: Pairs of blocks in one task at most, about 256 MB of its shuffle.
+PAIRS_OF_TASK = 64
 #: Differences that a block holds at once: 64 MB of doubles, whatever the width.
 DIFFERENCES = 1 << 23
 
@@ -61,7 +64,7 @@ KERNELS = {
 
 
 def _block_sums(kernel: str, bandwidth: float, alpha: float):
-    """The sums of one pair of packed blocks, by items, for each row of a batch."""
+    """The sums of a pair of packed blocks, or of one block with itself, by items."""
 
     def kernel_of(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         if kernel == "linear":
@@ -71,20 +74,17 @@ def _block_sums(kernel: str, bandwidth: float, alpha: float):
         d2 = [((x[i : i + step, None, :] - y[None, :, :]) ** 2).sum(axis=2) for i in range(0, len(x), step)]
         return KERNELS[kernel](np.concatenate(d2), bandwidth, alpha)
 
-    def run(batches):
-        for batch in batches:
-            for r in range(batch.num_rows):
-                own = {n: batch.column(n)[r] for n in ("items_a", "items_b", "vecs_a", "vecs_b")}
-                (code_i, names_i), (code_j, names_j) = (pd.factorize(np.array(own[n].as_py(), object)) for n in ("items_a", "items_b"))
-                x, y = (np.frombuffer(own[v].as_py(), np.float64).reshape(len(c), -1) for v, c in (("vecs_a", code_i), ("vecs_b", code_j)))
-                rows = kernel_of(x, y)
-                by_i = np.zeros((len(names_i), len(y)))
-                np.add.at(by_i, code_i, rows)
-                total = np.zeros((len(names_j), len(names_i)))
-                np.add.at(total, code_j, by_i.T)
-                i, j = np.meshgrid(np.arange(len(names_i)), np.arange(len(names_j)))
-                kind = batch.schema.field("items_a").type.value_type
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(i.size, batch.column("apart")[r].as_py())), pa.array(list(names_i[i.ravel()]), kind), pa.array(list(names_j[j.ravel()]), kind), pa.array(total.ravel())], names=["apart", "item_i", "item_j", "total"])
+    def run(group: pa.Table) -> pa.Table:
+        sides = [(*pd.factorize(np.array(items.as_py(), object)), vecs.as_py()) for items, vecs in zip(group.column("items"), group.column("vecs"), strict=True)]
+        (code_i, names_i, own_i), (code_j, names_j, own_j) = sides[0], sides[-1]
+        x, y = (np.frombuffer(v, np.float64).reshape(len(c), -1) for v, c in ((own_i, code_i), (own_j, code_j)))
+        by_i = np.zeros((len(names_i), len(y)))
+        np.add.at(by_i, code_i, kernel_of(x, y))
+        total = np.zeros((len(names_j), len(names_i)))
+        np.add.at(total, code_j, by_i.T)
+        i, j = np.meshgrid(np.arange(len(names_i)), np.arange(len(names_j)))
+        kind = group.schema.field("items").type.value_type
+        return pa.table([pa.array(np.full(i.size, len(sides) == 2)), pa.array(list(names_i[i.ravel()]), kind), pa.array(list(names_j[j.ravel()]), kind), pa.array(total.ravel())], names=["apart", "item_i", "item_j", "total"])
 
     return run
 
@@ -107,23 +107,24 @@ def packed_blocks(clouds: DataFrame, blocks: int) -> DataFrame:
 def pair_means(clouds: DataFrame, kernel: str = "energy", bandwidth: float = 1.0, alpha: float = 1.0) -> DataFrame:
     """(item_i, item_j, mean) over all ordered point pairs, self pairs included: |x - y|^alpha, x.y, or exp(-|x - y|^2 / 2h^2).
 
-    Blocks mix items, so many small clouds share a block and a large one spreads over several; only blocks a <= b meet. A join
-    carries n / block rows for each block, so a point travels as often as there are blocks, never as a row of its own.
+    Blocks mix items, so many small clouds share a block and a large one spreads over several; only blocks a <= b meet. A block
+    is copied to its pairs as one row, in a single shuffle, so a point travels as often as there are blocks, never as a row of its
+    own. Tasks are counted in pairs, not in bytes, which adaptive plans would merge although the work is quadratic.
     """
     size = clouds.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).first()
     blocks = min(max(1, -(-size["n"] * 8 * max(size["d"] or 1, 1) // BLOCK_BYTES), LEAST_BLOCKS), max(size["n"], 1))
-    spark = clouds.sparkSession
-    packed = packed_blocks(clouds, blocks)
-    tasks = max(1, min(blocks * (blocks + 1) // 2, 4 * spark.sparkContext.defaultParallelism))
-    every = spark.range(blocks * blocks, numPartitions=tasks).select(F.expr(f"cast(id div {blocks} as int)").alias("a"), (F.col("id") % blocks).cast("int").alias("b")).where("a <= b")
-    met = every.join(packed.toDF("a", "items_a", "vecs_a"), "a").join(packed.toDF("b", "items_b", "vecs_b"), "b").withColumn("apart", F.col("a") != F.col("b"))
+    pairs = blocks * (blocks + 1) // 2
+    tasks = min(pairs, max(4 * clouds.sparkSession.sparkContext.defaultParallelism, -(-pairs // PAIRS_OF_TASK)))
+    copies = packed_blocks(clouds, blocks).select("own", "items", "vecs", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
+    met = copies.select(F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "items", "vecs").repartition(tasks, "a", "b")
     item = clouds.schema["item"].dataType.simpleString()
-    sums = met.select("apart", "items_a", "vecs_a", "items_b", "vecs_b").mapInArrow(_block_sums(kernel, bandwidth, alpha), f"apart boolean, item_i {item}, item_j {item}, total double")
+    sums = met.groupBy("a", "b").applyInArrow(_block_sums(kernel, bandwidth, alpha), f"apart boolean, item_i {item}, item_j {item}, total double")
     # a pair of different blocks stands for both orders
     turned = F.struct(F.col("item_j").alias("item_i"), F.col("item_i").alias("item_j"))
     both = sums.select(F.explode(F.when(F.col("apart"), F.array(F.struct("item_i", "item_j"), turned)).otherwise(F.array(F.struct("item_i", "item_j")))).alias("p"), "total").select("p.*", "total")
     sizes = clouds.groupBy("item").agg(F.count(F.lit(1)).alias("n"))
-    total = both.groupBy("item_i", "item_j").agg(F.sum("total").alias("total"))
+    # one row for each pair of items: written down, as callers read it several times and the work behind it is quadratic in the points
+    total = kept(both.groupBy("item_i", "item_j").agg(F.sum("total").alias("total")), "pair-sums")
     met = total.join(sizes.select(F.col("item").alias("item_i"), F.col("n").alias("n_i")), "item_i").join(sizes.select(F.col("item").alias("item_j"), F.col("n").alias("n_j")), "item_j")
     return met.select("item_i", "item_j", (F.col("total") / (F.col("n_i") * F.col("n_j"))).alias("mean"), "n_i", "n_j")
 
