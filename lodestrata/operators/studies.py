@@ -7,11 +7,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.functions import arrays as A
 from lodestrata.operators import distances as D
 from lodestrata.operators.ordered import sized
 from lodestrata.operators.panels import trailing_and_forward
 from lodestrata.operators.portfolios import minimum_variance, solve_certificate
 from lodestrata.operators.transport import balanced_assignment, costs, transport
+from lodestrata.shared import kept
 
 
 def formation_weights(panel: DataFrame, formations: DataFrame, lookback: int, horizon: int, cap: float = 1.0) -> DataFrame:
@@ -150,6 +152,27 @@ def pair_costs(clouds: DataFrame, width: int | None = None) -> DataFrame:
     return pairs.select("item_i", "item_j", F.transform("x", lambda a: F.transform("y", lambda b: square(a, b))).alias("costs"))
 
 
+def cost_totals(clouds: DataFrame, width: int | None = None) -> DataFrame:
+    """(item_i, item_j, n, total): the number and the sum of the squared costs of two clouds (item, key, v), for i <= j.
+
+    The sum over all pairs of rows of |x - y|^2 is n_j sum |x|^2 + n_i sum |y|^2 - 2 (sum x).(sum y), whatever the origin, here the mean of
+    all rows; so every row is read once and no cost is held. Where widths differ or an element is missing, it is null.
+    """
+    rows = D.representation(clouds, width, unit_rows=False).select("item", "v")
+    fine = F.coalesce(F.forall("v", lambda x: x.isNotNull()), F.lit(False))
+    items = rows.groupBy("item").agg(F.count(F.lit(1)).alias("n"), F.min(F.size("v")).alias("low"), F.max(F.size("v")).alias("high"), F.every(fine).alias("fine"))
+    flat = rows.select("item", F.posexplode("v").alias("k", "x"))
+    middle = flat.groupBy("k").agg(F.coalesce(F.avg(F.when(F.abs("x") < float("inf"), F.col("x"))), F.lit(0.0)).alias("middle"))
+    moved = flat.join(sized(middle), "k").withColumn("x", F.col("x") - F.col("middle"))
+    sums = moved.groupBy("item", "k").agg(F.sum("x").alias("x"), F.sum(F.col("x") * F.col("x")).alias("xx"))
+    whole = sums.groupBy("item").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda s: s["x"]).alias("s"), F.sum("xx").alias("q"))
+    # a row for each item, written down: both sides of its pairs read it
+    whole = kept(items.join(whole, "item", "left").select("item", "n", F.when(F.col("fine") & (F.col("low") == F.col("high")), F.col("low")).alias("d"), F.coalesce("s", F.array().cast("array<double>")).alias("s"), F.coalesce("q", F.lit(0.0)).alias("q")), "cost-moments")
+    a, b = (whole.toDF(*(f"{c}_{side}" for c in whole.columns)) for side in ("i", "j"))
+    total = F.col("n_j") * F.col("q_i") + F.col("n_i") * F.col("q_j") - 2 * A.dot("s_i", "s_j")
+    return a.join(b, F.col("item_i") <= F.col("item_j")).select("item_i", "item_j", (F.col("n_i") * F.col("n_j")).alias("n"), F.when(F.col("d_i") == F.col("d_j"), F.greatest(total, F.lit(0.0))).alias("total"))
+
+
 def dimension_ladder(clouds: DataFrame, widths: list[int], m: int) -> DataFrame:
     """(width, pairs, same_share, switched_1, switched_2, sd): how matchings of order 1 and 2 differ at each prefix width.
 
