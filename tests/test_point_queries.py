@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from lodestrata.operators import distances as D
 from lodestrata.operators import studies
 
 SMALL = "/root/testdata/sf0.001"
@@ -21,6 +22,24 @@ def points(spark):
     return x, spark.createDataFrame([(k % 3, k, x[k].tolist()) for k in range(60)], "item int, key long, v array<double>")
 
 
+@pytest.mark.parametrize("size", [1 << 21, 400])
+def test_query_distances_in_any_blocks(points, monkeypatch, size):
+    monkeypatch.setattr(D, "BLOCK_BYTES", size)
+    monkeypatch.setattr(D, "BATCH_ROWS", 100)
+    x, c = points
+    got = {(r["i"], r["j"]): r[2:] for r in D.query_distances(c.where("key % 3 = 0"), c).collect()}
+    assert set(got) == {(i, j) for i in range(0, 60, 3) for j in range(60) if i != j}
+    for (i, j), values in got.items():
+        cos = min(1.0, x[i] @ x[j])
+        assert values == pytest.approx((np.linalg.norm(x[i] - x[j]), 1 - cos, np.arccos(cos)), abs=3e-8)
+    assert got[3, 7][0] == 0.0
+
+
+def test_query_distances_do_not_copy_rows_by_blocks(points):
+    plan = D.query_distances(points[1].where("key % 3 = 0"), points[1])._jdf.queryExecution().toString()
+    assert "FlatMapGroupsInArrow" in plan and "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan
+
+
 def test_cost_totals_are_sums_of_costs(spark, points):
     _, c = points
     c = c.withColumn("v", F.transform("v", lambda x: x + 100))
