@@ -57,3 +57,10 @@ def test_cached_costs_hold_no_cost_of_a_pair_of_rows(spark):
     files = entry.queries()["cached_costs"](spark, SMALL).inputFiles()
     # 500 rows are 125,250 costs, a megabyte
     assert sum(os.path.getsize(urllib.parse.unquote(urllib.parse.urlparse(f).path)) for f in files) < 100_000
+
+
+def test_peer_sets_take_one_pass_over_the_pairs_of_points(spark, monkeypatch):
+    passes, whole = [], D.pair_means
+    monkeypatch.setattr(D, "pair_means", lambda *a, **k: passes.append(1) or whole(*a, **k))
+    entry.queries()["peer_overlap_sets"](spark, SMALL)
+    assert len(passes) == 1
