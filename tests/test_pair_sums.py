@@ -1,10 +1,12 @@
 """Pair sums in tiles: bounded memory whatever the width, and the sums of plain differences."""
 
 import tracemalloc
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from lodestrata.operators import distances as D
 
@@ -52,3 +54,28 @@ def test_blocks_grow_with_the_points():
     assert [D.blocks_of(n, 64, 10) for n in (1, 3, 2000, 51_282, 102_564, 615_384)] == [1, 3, 6, 13, 17, 19]
     # a block of many items keeps its size, as its sums have a cell for each pair of them
     assert D.blocks_of(615_384, 64, 5000) == 151
+
+
+def test_pairs_of_blocks_are_dealt_evenly(spark):
+    # 13 blocks, 91 pairs, 30 tasks: a hash of the pair gave some task three times the mean
+    points = spark.range(400).select((F.col("id") % 3).cast("int").alias("item"), F.col("id").alias("key"), F.array(F.sin("id"), F.cos("id")).alias("v"))
+    met = D.met_blocks(D.packed_blocks(points, 13), 13, 30)
+    rows = met.groupBy(F.spark_partition_id().alias("task"), "pair").count().collect()
+    of_task = Counter(r["task"] for r in rows)
+    assert sorted(r["pair"] for r in rows) == list(range(91))
+    assert len(of_task) == 30 and max(of_task.values()) - min(of_task.values()) <= 1
+    # the pair of a block with itself is one row, every other is two
+    assert Counter(r["count"] for r in rows) == {1: 13, 2: 78}
+
+
+def test_pass_over_the_pairs_has_many_even_tasks(spark):
+    """As many tasks as pairs while those are few, not four for each core."""
+    points = spark.range(600).select((F.col("id") % 3).cast("int").alias("item"), F.col("id").alias("key"), F.transform(F.sequence(F.lit(1), F.lit(4096)), lambda k: F.sin(F.col("id") * k)).alias("v"))
+    size = D.blocks_of(600, 4096, 3)
+    seen, dealt = [], D.met_blocks
+    try:
+        D.met_blocks = lambda packed, blocks, tasks: seen.append((blocks, tasks)) or dealt(packed, blocks, tasks)
+        means = {(r["item_i"], r["item_j"]): r["mean"] for r in D.pair_means(points).collect()}
+    finally:
+        D.met_blocks = dealt
+    assert seen == [(size, size * (size + 1) // 2)] and len(means) == 9 and means[0, 1] == pytest.approx(means[1, 0])
