@@ -79,3 +79,16 @@ def test_pass_over_the_pairs_has_many_even_tasks(spark):
     finally:
         D.met_blocks = dealt
     assert seen == [(size, size * (size + 1) // 2)] and len(means) == 9 and means[0, 1] == pytest.approx(means[1, 0])
+
+
+def clouds_of(spark, sizes):
+    rng = np.random.default_rng(len(sizes))
+    x = {i: rng.normal(size=(n, 4)) for i, n in enumerate(sizes)}
+    return x, spark.createDataFrame([(i, k, v.tolist()) for i, m in x.items() for k, v in enumerate(m)], "item int, key int, v array<double>")
+
+
+def test_a_block_without_points_adds_nothing(spark):
+    # six points in six blocks: some are empty, and a block that was copied for one of them met itself again
+    x, c = clouds_of(spark, [3, 1, 2])
+    got = {(r["item_i"], r["item_j"]): r["mean"] for r in D.pair_means(c).collect()}
+    assert got == {(i, j): pytest.approx(np.linalg.norm(x[i][:, None] - x[j][None], axis=2).mean()) for i in x for j in x}
