@@ -92,3 +92,15 @@ def test_a_block_without_points_adds_nothing(spark):
     x, c = clouds_of(spark, [3, 1, 2])
     got = {(r["item_i"], r["item_j"]): r["mean"] for r in D.pair_means(c).collect()}
     assert got == {(i, j): pytest.approx(np.linalg.norm(x[i][:, None] - x[j][None], axis=2).mean()) for i in x for j in x}
+
+
+@pytest.mark.parametrize("size", [1 << 21, 128, 64])
+def test_dispersion_meets_no_points_of_different_items(spark, monkeypatch, size):
+    # an item of many blocks, several that share one, one of a single point
+    x, c = clouds_of(spark, [40, 3, 1, 25])
+    c = c.unionByName(spark.createDataFrame([(None, 0, [0.0] * 4)], c.schema))
+    monkeypatch.setattr(D, "BLOCK_BYTES", size)
+    monkeypatch.setattr(D, "pair_means", None)
+    got = {r["item"]: (r["v"], r["u"]) for r in D.within_terms(c).collect()}
+    mean = {i: np.linalg.norm(m[:, None] - m[None], axis=2).mean() for i, m in x.items()}
+    assert got == {i: (pytest.approx(mean[i]), pytest.approx(mean[i] * len(m) / (len(m) - 1)) if len(m) > 1 else None) for i, m in x.items()}
