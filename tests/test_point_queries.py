@@ -64,3 +64,38 @@ def test_peer_sets_take_one_pass_over_the_pairs_of_points(spark, monkeypatch):
     monkeypatch.setattr(D, "pair_means", lambda *a, **k: passes.append(1) or whole(*a, **k))
     entry.queries()["peer_overlap_sets"](spark, SMALL)
     assert len(passes) == 1
+
+
+def packed(x, keys, query):
+    """A block of points as a batch of one row."""
+    import pyarrow as pa
+
+    return pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([query]), pa.array([keys], pa.list_(pa.int64())), pa.array([x.tobytes()], pa.binary())], names=["pair", "query", "items", "vecs"])
+
+
+def test_distances_of_a_pair_of_blocks_ascend(monkeypatch):
+    monkeypatch.setattr(D, "BATCH_ROWS", 7)
+    rng = np.random.default_rng(6)
+    x, y = rng.normal(size=(9, 4)), rng.normal(size=(11, 4))
+    y[3], y[5, 0] = x[2], np.nan
+    for held in (1 << 24, 30):
+        monkeypatch.setattr(D, "PAIRS_HELD", held)
+        out = [b.to_pylist() for b in D._between([packed(x, list(range(9)), True), packed(y, list(range(100, 111)), False)], decimals=3)]
+        rows = [r for b in out for r in b]
+        assert len(rows) == 99 and max(map(len, out)) <= 7
+        for r in rows:
+            a, b = x[r["i"]], y[r["j"] - 100]
+            want = np.linalg.norm(a - b), 1 - a @ b / np.linalg.norm(a) / np.linalg.norm(b)
+            assert (r["euclidean"], r["cosine"]) == pytest.approx(want, abs=6e-4, nan_ok=True)
+        values = [r["euclidean"] for r in rows]
+        if held > 99:
+            assert values[:90] == sorted(values[:90]) and all(map(np.isnan, values[90:]))
+
+
+def test_written_distances_take_few_bytes(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(600, 8))
+    c = spark.createDataFrame([(0, k, (v / np.linalg.norm(v)).tolist()) for k, v in enumerate(x)], "item int, key long, v array<double>")
+    D.query_distances(c, c, decimals=3).write.parquet(str(tmp_path / "d"))
+    # 4.6 bytes a row in the order of the points
+    assert sum(p.stat().st_size for p in (tmp_path / "d").glob("*.parquet")) < 3.5 * 600 * 599
