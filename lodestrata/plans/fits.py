@@ -76,9 +76,9 @@ def rounded4(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def equal_field(panel: DataFrame) -> DataFrame:
-    """Equal weights on all other tickers of a panel."""
+    """Equal weights on all other tickers of a panel, written down, as callers read them several times."""
     u = panel.select("ticker").distinct().withColumns({"industry": F.lit(None).cast("string"), "sector": F.lit(None).cast("string")})
-    return fields.class_field(u)
+    return kept(fields.class_field(kept(u, "tickers")), "equal-field")
 
 
 def centred_groups(spark, sf_dir) -> DataFrame:
